@@ -1 +1,493 @@
-"""Further registered queries (filled in operator by operator)."""
+"""Registered queries for every operator row (sources, quality, facts, metrics,
+filters, warehouse, forecasts, scale sales).  Inputs: fixture W for the survey
+path, X for the text ingest, E for scale sales (see FIXTURES.md)."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tambo import schemas as S
+from tambo.functions import columns as C
+from tambo.operators import facts as FX
+from tambo.operators import filters as FL
+from tambo.operators import forecast as FC
+from tambo.operators import metrics as M
+from tambo.operators import quality as Q
+from tambo.operators import scale as B
+from tambo.plans import warehouse as WH
+from tambo.registry import facts_normalised, facts_raw, register, semantic, validated
+from tambo.session import scratch_path
+from tambo.sources import fixtures as FIX
+from tambo.sources.survey_csv import type_survey
+
+SURVEY_OUT = ["fecha", "producto", "unidad_may", "equiv_may", "may_min", "may_prom", "may_max",
+              "unidad_min", "equiv_min", "min_min", "min_prom", "min_max", "hoja_origen"]
+
+
+def _records(spark, sf_dir):
+    return M.dashboard_records(facts_raw(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ ingest of the text survey X
+@register("ingest_header_skip")
+def q_ingest_header_skip(spark, sf_dir):
+    t = type_survey(FIX.text_survey(spark, sf_dir))
+    return t.groupBy("hoja_origen", "fecha").agg(F.count(F.lit(1)).alias("filas"))
+
+
+@register("ingest_dates")
+def q_ingest_dates(spark, sf_dir):
+    from tambo.functions.parsing import parse_day_first_date
+    x = FIX.text_survey(spark, sf_dir)
+    return x.groupBy(F.col("fecha").alias("fecha_texto")).agg(F.count(F.lit(1)).alias("filas")) \
+            .withColumn("fecha", parse_day_first_date("fecha_texto"))
+
+
+@register("ingest_numeric")
+def q_ingest_numeric(spark, sf_dir):
+    t = type_survey(FIX.text_survey(spark, sf_dir))
+    return t.select(*SURVEY_OUT)
+
+
+@register("ingest_required")
+def q_ingest_required(spark, sf_dir):
+    t = Q.require_fields(type_survey(FIX.text_survey(spark, sf_dir)))
+    return t.select(*SURVEY_OUT)
+
+
+@register("ingest_analysis_price")
+def q_ingest_analysis_price(spark, sf_dir):
+    v = Q.add_analysis_price(Q.require_fields(type_survey(FIX.text_survey(spark, sf_dir))))
+    return v.select("fecha", "producto", "hoja_origen", "precio_mayorista", "precio_minorista",
+                    "precio_analisis", "tipo_precio")
+
+
+# ------------------------------------------------------------------ quality (W)
+@register("quality_flags")
+def q_quality_flags(spark, sf_dir):
+    v = validated(spark, sf_dir)
+    return v.groupBy("estado", "error").agg(F.count(F.lit(1)).alias("filas"))
+
+
+@register("quality_split")
+def q_quality_split(spark, sf_dir):
+    return Q.quality_counts(validated(spark, sf_dir))
+
+
+@register("etl_row_metrics")
+def q_etl_row_metrics(spark, sf_dir):
+    m = Q.etl_row_metrics(Q.ok_rows(validated(spark, sf_dir)))
+    return m.select("fecha", "producto", "hoja_origen", "precio_unitario", "diferencia_precio", "variacion_precio")
+
+
+@register("facts_raw")
+def q_facts_raw(spark, sf_dir):
+    return facts_raw(spark, sf_dir)
+
+
+@register("facts_normalised")
+def q_facts_normalised(spark, sf_dir):
+    return facts_normalised(spark, sf_dir)
+
+
+@register("standardise_columns")
+def q_standardise_columns(spark, sf_dir):
+    s = semantic(spark, sf_dir)
+    camel = s.select(F.col("fecha").alias("Fecha"), F.col("producto").alias("Producto"),
+                     F.col("tipo_venta").alias("TipoVenta"), F.col("precio_minimo").alias("PrecioMinimo"),
+                     F.col("precio_promedio").alias("PrecioPromedio"), F.col("precio_maximo").alias("PrecioMaximo"),
+                     F.col("variacion_precio").alias("Variacion_Precio"))
+    return C.standardise_columns(camel)
+
+
+@register("calendar_columns")
+def q_calendar_columns(spark, sf_dir):
+    s = semantic(spark, sf_dir).select("fecha").distinct()
+    return C.with_calendar(s)
+
+
+# ------------------------------------------------------------------ metrics (semantic rows over W)
+@register("kpis_global")
+def q_kpis_global(spark, sf_dir):
+    return M.kpis_global(semantic(spark, sf_dir))
+
+
+@register("kpi_product_count")
+def q_kpi_product_count(spark, sf_dir):
+    return M.kpi_product_count(semantic(spark, sf_dir))
+
+
+@register("kpi_table")
+def q_kpi_table(spark, sf_dir):
+    return M.kpi_table(semantic(spark, sf_dir))
+
+
+@register("avg_by_product")
+def q_avg_by_product(spark, sf_dir):
+    return M.avg_by_product(semantic(spark, sf_dir))
+
+
+@register("avg_by_channel")
+def q_avg_by_channel(spark, sf_dir):
+    return M.avg_by_channel(semantic(spark, sf_dir))
+
+
+@register("avg_by_date")
+def q_avg_by_date(spark, sf_dir):
+    return M.avg_by_date(semantic(spark, sf_dir))
+
+
+@register("variation_by_date")
+def q_variation_by_date(spark, sf_dir):
+    return M.variation_by_date(semantic(spark, sf_dir))
+
+
+@register("channel_gap_by_date")
+def q_channel_gap_by_date(spark, sf_dir):
+    return M.channel_gap_by_date(semantic(spark, sf_dir))
+
+
+@register("channel_gap_by_date_sql")
+def q_channel_gap_by_date_sql(spark, sf_dir):
+    return M.channel_gap_by_date_sql(semantic(spark, sf_dir))
+
+
+@register("avg_by_product_date")
+def q_avg_by_product_date(spark, sf_dir):
+    return M.avg_by_product_date(semantic(spark, sf_dir))
+
+
+@register("ranking_detail")
+def q_ranking_detail(spark, sf_dir):
+    return M.ranking_detail(semantic(spark, sf_dir))
+
+
+@register("ranking_products")
+def q_ranking_products(spark, sf_dir):
+    return M.ranking_products(semantic(spark, sf_dir))
+
+
+@register("ranking_with_variation")
+def q_ranking_with_variation(spark, sf_dir):
+    return M.ranking_with_variation(facts_raw(spark, sf_dir))
+
+
+@register("ranking_channels_seen")
+def q_ranking_channels_seen(spark, sf_dir):
+    return M.ranking_channels_seen(_records(spark, sf_dir))
+
+
+@register("group_average")
+def q_group_average(spark, sf_dir):
+    return M.group_average(_records(spark, sf_dir), "unidad", "precio_analisis")
+
+
+@register("channel_columns_avg")
+def q_channel_columns_avg(spark, sf_dir):
+    return M.channel_columns_avg(_records(spark, sf_dir))
+
+
+@register("kpis_filtered")
+def q_kpis_filtered(spark, sf_dir):
+    r = FL.filter_units(_records(spark, sf_dir), "1996-01-01", "", None, [S.RETAIL], [S.RETAIL_UNIT])
+    return M.kpis_filtered(r)
+
+
+@register("fact_counts")
+def q_fact_counts(spark, sf_dir):
+    v = validated(spark, sf_dir)
+    return M.fact_counts(v, FX.unpivot_channels(Q.ok_rows(v)))
+
+
+@register("product_frequency")
+def q_product_frequency(spark, sf_dir):
+    return M.product_frequency(facts_raw(spark, sf_dir))
+
+
+@register("product_series")
+def q_product_series(spark, sf_dir):
+    return M.product_series(semantic(spark, sf_dir))
+
+
+@register("last_and_previous")
+def q_last_and_previous(spark, sf_dir):
+    return M.last_and_previous(semantic(spark, sf_dir))
+
+
+@register("dashboard_records")
+def q_dashboard_records(spark, sf_dir):
+    return _records(spark, sf_dir)
+
+
+@register("format_money")
+def q_format_money(spark, sf_dir):
+    k = M.kpis_global(semantic(spark, sf_dir))
+    return M.format_money(k, k.columns)
+
+
+# ------------------------------------------------------------------ filters
+@register("filter_dashboard")
+def q_filter_dashboard(spark, sf_dir):
+    s = semantic(spark, sf_dir)
+    return FL.filter_dashboard(s, dt.date(1996, 1, 1), dt.date(1998, 12, 31), [], [S.RETAIL])
+
+
+@register("filter_units")
+def q_filter_units(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return FL.filter_units(r, "", "1997-06-30", None, [S.WHOLESALE, S.RETAIL], [S.RETAIL_UNIT, S.NO_UNIT])
+
+
+@register("filter_domains")
+def q_filter_domains(spark, sf_dir):
+    return FL.filter_domains(_records(spark, sf_dir))
+
+
+@register("product_search")
+def q_product_search(spark, sf_dir):
+    return FL.product_search(semantic(spark, sf_dir), "AN")
+
+
+# ------------------------------------------------------------------ warehouse
+def _warehouse(spark, sf_dir):
+    v = validated(spark, sf_dir)
+    ok = Q.ok_rows(v)
+    f = FX.unpivot_channels(ok, normalise=True)
+    return WH.load(WH.empty_warehouse(spark), ok, f, replace=True), f
+
+
+@register("semantic_view")
+def q_semantic_view(spark, sf_dir):
+    wh, _ = _warehouse(spark, sf_dir)
+    return WH.semantic_view(wh).drop("id_precio")
+
+
+@register("dim_producto")
+def q_dim_producto(spark, sf_dir):
+    return _warehouse(spark, sf_dir)[0]["dim_producto"]
+
+
+@register("dim_tipo_venta")
+def q_dim_tipo_venta(spark, sf_dir):
+    return _warehouse(spark, sf_dir)[0]["dim_tipo_venta"]
+
+
+@register("dim_tiempo")
+def q_dim_tiempo(spark, sf_dir):
+    wh = _warehouse(spark, sf_dir)[0]
+    return (wh["dim_tiempo"].join(wh["dim_mes"], "id_mes").join(wh["dim_anio"], "id_anio")
+              .select("fecha", "dia", "mes", "nombre_mes", "anio"))
+
+
+@register("dim_unidad")
+def q_dim_unidad(spark, sf_dir):
+    wh = _warehouse(spark, sf_dir)[0]
+    return wh["dim_unidad"].join(wh["dim_tipo_venta"], "id_tipo_venta") \
+                           .select("unidad", "tipo_venta", "equivalencia")
+
+
+@register("dim_upsert")
+def q_dim_upsert(spark, sf_dir):
+    """Second load of all facts into the dimensions built from the facts before 1998."""
+    f = facts_normalised(spark, sf_dir)
+    first = f.filter(F.col("fecha") < F.lit("1998-01-01").cast("date"))
+    wh1 = WH.load_dimensions(WH.empty_warehouse(spark), first)
+    wh2 = WH.load_dimensions(wh1, f)
+    old = wh1["dim_producto"].select("producto", F.lit("existente").alias("origen"))
+    return wh2["dim_producto"].join(old, "producto", "left") \
+        .select("producto", "id_producto", F.coalesce("origen", F.lit("nuevo")).alias("origen"))
+
+
+@register("dim_lookup")
+def q_dim_lookup(spark, sf_dir):
+    wh, f = _warehouse(spark, sf_dir)
+    j = WH.dim_lookup(wh, f)
+    return j.groupBy("tipo_venta", "unidad").agg(
+        F.count(F.lit(1)).alias("hechos"), F.count_distinct("id_producto").alias("productos"),
+        F.count_distinct("id_tiempo").alias("fechas"))
+
+
+@register("fact_load")
+def q_fact_load(spark, sf_dir):
+    wh, _ = _warehouse(spark, sf_dir)
+    return wh["fact_precios"].agg(
+        F.count(F.lit(1)).alias("hechos"), F.count_distinct("id_precio").alias("ids_distintos"),
+        F.sum("precio_prom").cast("double").alias("suma_precio_prom"),
+        F.sum("precio_min").cast("double").alias("suma_precio_min"),
+        F.sum("precio_max").cast("double").alias("suma_precio_max"))
+
+
+@register("staging_rows")
+def q_staging_rows(spark, sf_dir):
+    ok = Q.ok_rows(validated(spark, sf_dir))
+    return WH.staging_rows(ok).drop("fecha_captura")
+
+
+@register("fk_check")
+def q_fk_check(spark, sf_dir):
+    return WH.fk_check(_warehouse(spark, sf_dir)[0])
+
+
+@register("schema_check")
+def q_schema_check(spark, sf_dir):
+    return WH.schema_check(_warehouse(spark, sf_dir)[0])
+
+
+# ------------------------------------------------------------------ forecasts (semantic rows over W)
+@register("project_ordinal")
+def q_project_ordinal(spark, sf_dir):
+    return FC.project_ordinal(semantic(spark, sf_dir), S.HORIZON, clamp=True)
+
+
+@register("project_ordinal_unclamped")
+def q_project_ordinal_unclamped(spark, sf_dir):
+    return FC.project_ordinal(semantic(spark, sf_dir), S.HORIZON, clamp=False)
+
+
+@register("project_one_step")
+def q_project_one_step(spark, sf_dir):
+    return FC.project_ordinal(semantic(spark, sf_dir), 1, clamp=True)
+
+
+@register("forecast_weeks")
+def q_forecast_weeks(spark, sf_dir):
+    return FC.forecast_weeks(semantic(spark, sf_dir))
+
+
+@register("forecast_variation")
+def q_forecast_variation(spark, sf_dir):
+    return FC.forecast_variation(semantic(spark, sf_dir))
+
+
+@register("forecast_gap")
+def q_forecast_gap(spark, sf_dir):
+    return FC.forecast_gap(semantic(spark, sf_dir))
+
+
+@register("forecast_date_axis")
+def q_forecast_date_axis(spark, sf_dir):
+    return FC.forecast_date_axis(semantic(spark, sf_dir))
+
+
+@register("forecast_product_date_axis")
+def q_forecast_product_date_axis(spark, sf_dir):
+    return FC.forecast_product_date_axis(semantic(spark, sf_dir))
+
+
+@register("forecast_gap_date_axis")
+def q_forecast_gap_date_axis(spark, sf_dir):
+    return FC.forecast_gap_date_axis(semantic(spark, sf_dir))
+
+
+@register("increments")
+def q_increments(spark, sf_dir):
+    return FC.increments(semantic(spark, sf_dir))
+
+
+@register("increments_raw_rows")
+def q_increments_raw_rows(spark, sf_dir):
+    return FC.increments_raw_rows(semantic(spark, sf_dir))
+
+
+@register("top_increment")
+def q_top_increment(spark, sf_dir):
+    return FC.top_increment(semantic(spark, sf_dir))
+
+
+@register("top_increment_path")
+def q_top_increment_path(spark, sf_dir):
+    return FC.top_increment_path(semantic(spark, sf_dir))
+
+
+@register("forecast_table")
+def q_forecast_table(spark, sf_dir):
+    return FC.forecast_table(semantic(spark, sf_dir))
+
+
+@register("history_plus_forecast")
+def q_history_plus_forecast(spark, sf_dir):
+    return FC.history_plus_forecast(semantic(spark, sf_dir), anchor=True)
+
+
+@register("executive_summary")
+def q_executive_summary(spark, sf_dir):
+    return FC.executive_summary(FX.to_semantic(facts_raw(spark, sf_dir)))
+
+
+@register("product_alerts")
+def q_product_alerts(spark, sf_dir):
+    return FC.product_alerts(FX.to_semantic(facts_raw(spark, sf_dir)))
+
+
+@register("client_summary")
+def q_client_summary(spark, sf_dir):
+    return FC.client_summary(_records(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ scale sales (E)
+def _sales(spark, sf_dir):
+    return FIX.scale_events(spark, sf_dir)
+
+
+@register("scale_total")
+def q_scale_total(spark, sf_dir):
+    return B.scale_total(_sales(spark, sf_dir)).select("event_id", "peso", "precio", "total")
+
+
+@register("scale_price_band")
+def q_scale_price_band(spark, sf_dir):
+    return B.scale_price_band(_sales(spark, sf_dir)).select(
+        "event_id", "canal", "may_min", "may_prom", "may_max", "min_min", "min_prom", "min_max")
+
+
+@register("catalogue_price")
+def q_catalogue_price(spark, sf_dir):
+    s = _sales(spark, sf_dir).withColumn(
+        "producto", F.element_at(F.array(*[F.lit(r[0]) for r in S.CATALOGUE], F.lit("Camote")),
+                                 (F.col("event_id") % 6 + 1).cast("int")))
+    return B.catalogue_price(s, B.catalogue(spark)).select("event_id", "producto", "canal", "precio_catalogo")
+
+
+@register("scale_enrich")
+def q_scale_enrich(spark, sf_dir):
+    s = _sales(spark, sf_dir).withColumn(
+        "producto", F.element_at(F.array(*[F.lit(r[0]) for r in S.CATALOGUE], F.lit("Camote")),
+                                 (F.col("event_id") % 6 + 1).cast("int")))
+    return B.scale_enrich(s, B.catalogue(spark)).select("event_id", "producto", "u_may", "eq_may", "u_min", "eq_min")
+
+
+@register("scale_pair_sales")
+def q_scale_pair_sales(spark, sf_dir):
+    return B.scale_pair_sales(_sales(spark, sf_dir), B.catalogue(spark)).select(*B.PAIR_COLUMNS)
+
+
+@register("scale_upsert")
+def q_scale_upsert(spark, sf_dir):
+    sales = _sales(spark, sf_dir)
+    cat = B.catalogue(spark)
+    early = sales.filter(F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
+    existing = B.latest_per_key(B.scale_pair_sales(early, cat)).withColumns(
+        {"id": F.lit(None).cast("long"), "created_at": F.lit(None).cast("timestamp")})
+    merged = B.scale_upsert(existing, B.scale_pair_sales(sales, cat))
+    return merged.select(*B.PAIR_COLUMNS)
+
+
+@register("scale_recent")
+def q_scale_recent(spark, sf_dir):
+    return B.scale_recent(_sales(spark, sf_dir)).select("event_id", "ts", "producto", "canal", "precio")
+
+
+@register("scale_to_facts")
+def q_scale_to_facts(spark, sf_dir):
+    pairs = B.scale_pair_sales(_sales(spark, sf_dir), B.catalogue(spark))
+    return FX.unpivot_channels(Q.ok_rows(Q.validate(B.pairs_as_survey(pairs))), normalise=True)
+
+
+@register("scale_history")
+def q_scale_history(spark, sf_dir):
+    pairs = B.scale_pair_sales(_sales(spark, sf_dir), B.catalogue(spark))
+    path = scratch_path(spark, "ventas_csv")
+    B.write_sales_csv(pairs, path)
+    return B.read_sales_csv(spark, path)
