@@ -53,3 +53,14 @@ def days_since_origin(date_col: Column | str) -> Column:
     """x of the date-axis regressions: days since 2000-01-01."""
     c = F.col(date_col) if isinstance(date_col, str) else date_col
     return F.datediff(c, F.lit(S.DATE_AXIS_ORIGIN).cast("date")).cast("double")
+
+
+def stable_round(col: Column | str, d: int = 2) -> Column:
+    """Round an aggregate (mean, regression) to ``d`` dp, HALF_UP.
+
+    Rounding to 6 dp first absorbs the last-bit noise of sums taken in a
+    different order, so a value that is mathematically on a tie always rounds
+    the same way regardless of partitioning.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(F.round(c, 6), d)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tambo import schemas as S
-from tambo.functions.columns import days_since_origin
+from tambo.functions.columns import days_since_origin, stable_round
 from tambo.plans.ordinal import global_index
 
 
@@ -315,10 +315,10 @@ def executive_summary(sem: DataFrame, horizon: int = S.HORIZON) -> DataFrame:
     parts = _global_parts(sem)
     one = collapse([prod, parts[2], parts[3], _top_part(sem)])
     return one.select(
-        F.round(F.coalesce("_fut", F.lit(0.0)), 2).alias("precio_promedio_futuro"),
-        F.round(_proj_prefixed("v", horizon), 2).alias("tendencia_variacion"),
+        stable_round(F.coalesce("_fut", F.lit(0.0)), 2).alias("precio_promedio_futuro"),
+        stable_round(_proj_prefixed("v", horizon), 2).alias("tendencia_variacion"),
         F.coalesce("producto_mayor_incremento", F.lit(S.NO_DATA)).alias("producto_mayor_incremento"),
-        F.round(_proj_prefixed("g", horizon), 2).alias("diferencia_futura_canales"))
+        stable_round(_proj_prefixed("g", horizon), 2).alias("diferencia_futura_canales"))
 
 
 def product_alerts(sem: DataFrame, k: int = 10, horizon: int = S.HORIZON) -> DataFrame:
@@ -338,9 +338,9 @@ def product_alerts(sem: DataFrame, k: int = 10, horizon: int = S.HORIZON) -> Dat
     rise = F.when(actual != 0, (pred - actual) / actual * 100)
     return f.select(
         "producto",
-        F.round(actual, 2).alias("precio_actual"),
-        F.round(pred, 2).alias("precio_predicho"),
-        F.round(F.when(anterior != 0, (actual - anterior) / anterior * 100).otherwise(F.lit(0.0)), 2)
+        stable_round(actual, 2).alias("precio_actual"),
+        stable_round(pred, 2).alias("precio_predicho"),
+        stable_round(F.when(anterior != 0, (actual - anterior) / anterior * 100).otherwise(F.lit(0.0)), 2)
          .alias("variacion_pct"),
         F.when(rise > S.ALERT_PCT, F.lit(S.ALERT_RISE)).otherwise(F.lit(S.ALERT_NORMAL)).alias("alerta"),
         F.lit(S.ALERT_CONFIDENCE).alias("confianza"))
@@ -360,7 +360,7 @@ def client_summary(records: DataFrame, k: int = 10) -> DataFrame:
                .orderBy(F.desc("_avg"), F.asc("producto")).limit(k).select("producto"))
     daily = (recs.filter(F.col("precio_analisis").isNotNull())
                  .join(F.broadcast(top), "producto", "left_semi")
-                 .groupBy("producto", "fecha").agg(F.round(F.avg("precio_analisis"), 2).alias("y")))
+                 .groupBy("producto", "fecha").agg(stable_round(F.avg("precio_analisis"), 2).alias("y")))
     fit = ordinal_fit(daily, ["producto"]).withColumn("_fut", projected(1, True)) \
         .withColumn("_inc", F.col("_fut") - F.col("last_y"))
     prods = fit.agg(F.avg("_fut").alias("_avg_fut"),

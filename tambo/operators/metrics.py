@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tambo import schemas as S
-from tambo.functions.columns import money
+from tambo.functions.columns import money, stable_round
 
 
 # ----------------------------------------------------------------- KPIs
@@ -36,7 +36,7 @@ def kpi_table(sem: DataFrame) -> DataFrame:
     k = kpis_global(sem)
     args = []
     for (name, goal), col in zip(S.KPI_ROWS, k.columns):
-        args += [F.lit(name), F.col(col).cast("decimal(18,2)"), F.lit(goal)]
+        args += [F.lit(name), stable_round(col, 2).cast("decimal(18,2)"), F.lit(goal)]
     rows = k.select(F.stack(F.lit(len(S.KPI_ROWS)), *args).alias("nombre_kpi", "valor", "meta"))
     order = F.array_position(F.array(*[F.lit(n) for n, _ in S.KPI_ROWS]), F.col("nombre_kpi"))
     return rows.select(order.cast("long").alias("kpi_key"), "nombre_kpi", "valor", "meta")
@@ -171,8 +171,8 @@ def ranking_with_variation(facts: DataFrame, k: int = 10) -> DataFrame:
         F.row_number().over(w).cast("long").alias("ranking"),
         F.col("producto").alias("mercado"),
         F.lit("Mayorista / Minorista").alias("tipo"),
-        F.round("precio", 2).alias("precio"),
-        F.coalesce(F.round("variacion", 2), F.lit(0.0)).alias("variacion"),
+        stable_round("precio", 2).alias("precio"),
+        F.coalesce(stable_round("variacion", 2), F.lit(0.0)).alias("variacion"),
     )
 
 
@@ -198,7 +198,7 @@ def product_series(sem: DataFrame) -> DataFrame:
     """
     daily = avg_by_product_date(sem)
     return (daily.groupBy("producto")
-                 .agg(F.array_sort(F.collect_list(F.struct("fecha", F.round("precio_promedio", 2).alias("y"))))
+                 .agg(F.array_sort(F.collect_list(F.struct("fecha", stable_round("precio_promedio", 2).alias("y"))))
                       .alias("s"))
                  .select("producto", F.col("s.fecha").alias("fechas"), F.col("s.y").alias("precios")))
 

@@ -10,15 +10,29 @@ from __future__ import annotations
 
 
 def sr(expr: str, d: int = 4) -> str:
-    """Spark-style round(double, d) in DuckDB."""
-    return f"CAST(ROUND(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,16)), {d}) AS DOUBLE)"
+    """Spark-style round(double, d) in DuckDB (HALF_UP on the shortest decimal text)."""
+    return f"CAST(ROUND(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), {d}) AS DOUBLE)"
+
+
+def srs(expr: str, d: int = 2) -> str:
+    """``stable_round`` of the library: 6 dp, then ``d`` dp, HALF_UP."""
+    return f"CAST(ROUND(ROUND(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), 6), {d}) AS DOUBLE)"
+
+
+def out4(expr: str) -> str:
+    """Output rounding shared with ``tambo.registry.finish``: 6 dp, then 4 dp.
+
+    The first step absorbs last-bit differences of sums computed in another
+    order, so values that sit on a 4-dp tie round the same way in both engines.
+    """
+    return f"CAST(ROUND(ROUND(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), 6), 4) AS DOUBLE)"
 
 
 def final(body: str, doubles: list[str]) -> str:
     """Wrap a query so its double columns are rounded to 4 dp like the Spark side."""
     if not doubles:
         return body
-    repl = ", ".join(f"{sr(c)} AS {c}" for c in doubles)
+    repl = ", ".join(f"{out4(c)} AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({repl}) FROM ({body}) AS q"
 
 
@@ -114,28 +128,29 @@ vq AS (SELECT *, CASE WHEN error <> '' THEN 'ERROR' ELSE 'OK' END AS estado FROM
 ok AS (SELECT * FROM vq WHERE estado = 'OK' AND producto <> '')"""
 
 
-def _facts_branch(ch: str, u: str, e: str, lo: str, mid: str, hi: str, normalise: bool) -> str:
+def _facts_branch(ch: str, u: str, e: str, lo: str, mid: str, hi: str, normalise: bool,
+                  src: str = "ok") -> str:
     if normalise:
         eq = f"CASE WHEN {e} IS NULL OR {e} <= 0 THEN CAST(1 AS DOUBLE) ELSE {e} END"
         return (f"SELECT fecha, producto, '{ch}' AS tipo_venta, "
                 f"COALESCE(NULLIF(trim({u}), ''), 'Sin unidad') AS unidad, "
                 f"{eq} AS equivalencia, {lo} / ({eq}) AS precio_min, {mid} / ({eq}) AS precio_prom, "
-                f"{hi} / ({eq}) AS precio_max FROM ok WHERE {mid} IS NOT NULL")
+                f"{hi} / ({eq}) AS precio_max FROM {src} WHERE {mid} IS NOT NULL")
     return (f"SELECT fecha, producto, '{ch}' AS tipo_venta, "
             f"COALESCE(NULLIF(trim({u}), ''), 'Sin unidad') AS unidad, "
             f"CAST({e} AS DOUBLE) AS equivalencia, {lo} AS precio_min, {mid} AS precio_prom, "
-            f"{hi} AS precio_max FROM ok WHERE {mid} IS NOT NULL")
+            f"{hi} AS precio_max FROM {src} WHERE {mid} IS NOT NULL")
 
 
-def _facts_cte(name: str, normalise: bool) -> str:
-    a = _facts_branch("Mayorista", "unidad_may", "equiv_may", "may_min", "may_prom", "may_max", normalise)
-    b = _facts_branch("Minorista", "unidad_min", "equiv_min", "min_min", "min_prom", "min_max", normalise)
+def facts_cte(name: str, normalise: bool, src: str = "ok") -> str:
+    a = _facts_branch("Mayorista", "unidad_may", "equiv_may", "may_min", "may_prom", "may_max", normalise, src)
+    b = _facts_branch("Minorista", "unidad_min", "equiv_min", "min_min", "min_prom", "min_max", normalise, src)
     return (f"{name} AS (SELECT *, precio_max - precio_min AS variacion_precio FROM "
             f"({a} UNION ALL {b}) u)")
 
 
 # Normalised facts (fn), raw facts (fr), semantic rows over fn (s).
-F_CTE = V_CTE + ",\n" + _facts_cte("fn", True) + ",\n" + _facts_cte("fr", False) + """,
+F_CTE = V_CTE + ",\n" + facts_cte("fn", True) + ",\n" + facts_cte("fr", False) + """,
 s AS (
   SELECT fecha, producto, tipo_venta, unidad, equivalencia, precio_min AS precio_minimo,
          precio_prom AS precio_promedio, precio_max AS precio_maximo, variacion_precio
