@@ -544,3 +544,6 @@ sok AS (SELECT * FROM sv WHERE length(producto) >= 3 AND precio_analisis IS NOT
         AND producto <> ''),
 """ + facts_cte("sf", True, "sok"), "SELECT * FROM sf", FACT_D)
 q("scale_history", PAIRS, f"SELECT {PAIR_OUT} FROM pairs", PAIR_D)
+
+# The streamed table equals the upsert of the batch answer.
+ORACLE["scale_stream"] = ORACLE["scale_upsert"]

@@ -145,7 +145,15 @@ def kpi_rows(facts: DataFrame) -> DataFrame:
 
 
 def load(wh: Warehouse, ok: DataFrame, facts: DataFrame, replace: bool = True, load_id: int = 1) -> Warehouse:
-    """Load a batch (L8): replace clears facts, KPIs and staging but keeps dimensions."""
+    """Load a batch (L8): replace clears facts, KPIs and staging but keeps dimensions.
+
+    The fact batch feeds six dimension upserts, the fact rows and the KPIs; it
+    is checkpointed once to the session's checkpoint folder so the source is
+    scanned once and a lost executor recomputes from the checkpoint.
+    """
+    from tambo.session import checkpoint_dir
+    checkpoint_dir(facts.sparkSession)
+    facts = facts.checkpoint(eager=True)
     w2 = load_dimensions(wh, facts)
     t = dict(w2.tables)
     new_facts = fact_rows(w2, facts, load_id)

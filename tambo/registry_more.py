@@ -491,3 +491,17 @@ def q_scale_history(spark, sf_dir):
     path = scratch_path(spark, "ventas_csv")
     B.write_sales_csv(pairs, path)
     return B.read_sales_csv(spark, path)
+
+
+@register("scale_stream")
+def q_scale_stream(spark, sf_dir):
+    """The sales arrive as two file batches, the second holding earlier sales of
+    days already processed; the streamed table must equal the batch answer."""
+    from tambo.streaming.scale_stream import current_sales_table, start_scale_stream
+    root = scratch_path(spark, "scale_stream")
+    inp, ckpt = f"{root}/input", f"{root}/_stream_checkpoint"
+    sales = _sales(spark, sf_dir)
+    for part in (F.col("event_id") % 3 != 0, F.col("event_id") % 3 == 0):
+        sales.filter(part).write.mode("append").parquet(inp)
+        start_scale_stream(spark, inp, root, ckpt).awaitTermination()
+    return current_sales_table(spark, root).select(*B.PAIR_COLUMNS)
