@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tambo import schemas as S
-from tambo.functions.parsing import parse_day_first_date, parse_number
+from tambo.functions.parsing import finite, parse_day_first_date, parse_number
 
 SNIFF_CANDIDATES = [";", ",", "\t"]
 SNIFF_LINES = 200
@@ -59,9 +59,16 @@ def read_survey_csv(spark: SparkSession, paths: str | Sequence[str], sep: str =
 
 
 def type_survey(raw: DataFrame) -> DataFrame:
-    """Text survey -> typed survey: day-first date, numbers, rows without a date dropped."""
-    typed = raw.withColumns({
-        "fecha": parse_day_first_date("fecha"),
-        **{c: parse_number(c) for c in S.NUMERIC_SURVEY_COLUMNS},
+    """Text survey -> typed survey: day-first date, numbers, rows without a date dropped.
+
+    Three stacked projections (trim, parse, finite) so that the optimizer does
+    not inline one parse into several places: each value is trimmed, matched
+    and cast once, and the stage stays small enough for whole-stage codegen.
+    """
+    nums = S.NUMERIC_SURVEY_COLUMNS
+    trimmed = raw.withColumns({c: F.trim(F.col(c)) for c in ["fecha", *nums]})
+    parsed = trimmed.withColumns({
+        "fecha": parse_day_first_date(F.col("fecha"), trimmed=True),
+        **{c: parse_number(F.col(c), trimmed=True, check_finite=False) for c in nums},
     })
-    return typed.filter(F.col("fecha").isNotNull())
+    return parsed.filter(F.col("fecha").isNotNull()).withColumns({c: finite(F.col(c)) for c in nums})
