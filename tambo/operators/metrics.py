@@ -33,7 +33,11 @@ def kpi_product_count(sem: DataFrame) -> DataFrame:
 
 def kpi_table(sem: DataFrame) -> DataFrame:
     """KPI table rows (A3, U1): one scan, four rows via stack, values numeric(18,2)."""
-    k = kpis_global(sem)
+    return kpi_table_from(kpis_global(sem))
+
+
+def kpi_table_from(k: DataFrame) -> DataFrame:
+    """Four KPI rows from the one-row KPI frame (columns in ``kpis_global`` order)."""
     args = []
     for (name, goal), col in zip(S.KPI_ROWS, k.columns):
         args += [F.lit(name), stable_round(col, 2).cast("decimal(18,2)"), F.lit(goal)]

@@ -73,14 +73,43 @@ def upsert_members(existing: DataFrame, candidates: DataFrame, keys: list[str],
     return u.withColumn(id_col, F.coalesce(F.col(id_col), (base + rn).cast("long"))).select(id_col, *cols)
 
 
-def load_dimensions(wh: Warehouse, facts: DataFrame) -> Warehouse:
+# grouping_id() of each grouping set over (producto, fecha, unidad, tipo_venta).
+GID_PRODUCT, GID_DATE, GID_UNIT, GID_ALL = 7, 11, 12, 15
+
+
+def batch_members(facts: DataFrame) -> DataFrame:
+    """One pass over a fact batch: dimension members and the batch KPIs.
+
+    Grouping sets (producto), (fecha), (unidad, tipo_venta) and () in a single
+    partial aggregate; the result has one row per product, date and unit plus
+    one KPI row, so it is small and is checkpointed for the dimension upserts.
+    """
+    return facts.groupingSets(
+        [["producto"], ["fecha"], ["unidad", "tipo_venta"], []],
+        "producto", "fecha", "unidad", "tipo_venta",
+    ).agg(
+        F.grouping_id().alias("gid"),
+        F.min("equivalencia").alias("equivalencia"),
+        F.avg("precio_prom").alias("precio_promedio_general"),
+        F.max("precio_max").alias("precio_maximo_registrado"),
+        F.min("precio_min").alias("precio_minimo_registrado"),
+        F.avg("variacion_precio").alias("variacion_promedio"),
+    )
+
+
+def load_dimensions(wh: Warehouse, facts: DataFrame, members: DataFrame | None = None) -> Warehouse:
     """Product, year, month, date, channel and unit dimensions for a fact batch."""
+    if members is None:
+        from tambo.session import checkpoint_dir
+        checkpoint_dir(facts.sparkSession)
+        members = batch_members(facts).checkpoint(eager=True)
     t = dict(wh.tables)
-    t["dim_producto"] = upsert_members(t["dim_producto"], facts.filter(F.col("producto").isNotNull()),
-                                       ["producto"], "id_producto")
-    t["dim_tipo_venta"] = upsert_members(t["dim_tipo_venta"], facts, ["tipo_venta"], "id_tipo_venta")
+    products = members.filter((F.col("gid") == GID_PRODUCT) & F.col("producto").isNotNull())
+    units_m = members.filter(F.col("gid") == GID_UNIT)
+    t["dim_producto"] = upsert_members(t["dim_producto"], products, ["producto"], "id_producto")
+    t["dim_tipo_venta"] = upsert_members(t["dim_tipo_venta"], units_m, ["tipo_venta"], "id_tipo_venta")
 
-    dates = facts.select("fecha").filter(F.col("fecha").isNotNull()).distinct()
+    dates = members.filter((F.col("gid") == GID_DATE) & F.col("fecha").isNotNull()).select("fecha")
     t["dim_anio"] = upsert_members(t["dim_anio"], dates.select(F.year("fecha").alias("anio")),
                                    ["anio"], "id_anio")
     months = (dates.select(F.month("fecha").alias("mes"), F.year("fecha").alias("anio")).distinct()
@@ -95,10 +124,9 @@ def load_dimensions(wh: Warehouse, facts: DataFrame) -> Warehouse:
     t["dim_tiempo"] = upsert_members(t["dim_tiempo"], days, ["fecha"], "id_tiempo")
 
     # First equivalence wins: the smallest of the batch; an existing row is kept.
-    units = (facts.groupBy("unidad", "tipo_venta").agg(F.min("equivalencia").alias("equivalencia"))
-                  .join(t["dim_tipo_venta"], "tipo_venta")
-                  .select("unidad", F.col("equivalencia").cast("decimal(18,4)").alias("equivalencia"),
-                          "id_tipo_venta"))
+    units = (units_m.join(t["dim_tipo_venta"], "tipo_venta")
+                    .select("unidad", F.col("equivalencia").cast("decimal(18,4)").alias("equivalencia"),
+                            "id_tipo_venta"))
     t["dim_unidad"] = upsert_members(t["dim_unidad"], units, ["unidad", "id_tipo_venta"], "id_unidad")
     return Warehouse(t)
 
@@ -137,24 +165,25 @@ def staging_rows(ok: DataFrame) -> DataFrame:
         F.col("hoja_origen"))
 
 
-def kpi_rows(facts: DataFrame) -> DataFrame:
-    """KPI table from a fact batch (A3)."""
-    from tambo.operators.facts import to_semantic
-    from tambo.operators.metrics import kpi_table
-    return kpi_table(to_semantic(facts)).withColumn("fecha_calculo", F.current_timestamp())
+def kpi_rows(members: DataFrame) -> DataFrame:
+    """KPI table (A3) from the batch's KPI row of ``batch_members``."""
+    from tambo.operators.metrics import kpi_table_from
+    k = members.filter(F.col("gid") == GID_ALL).select(
+        "precio_promedio_general", "precio_maximo_registrado", "precio_minimo_registrado", "variacion_promedio")
+    return kpi_table_from(k).withColumn("fecha_calculo", F.current_timestamp())
 
 
 def load(wh: Warehouse, ok: DataFrame, facts: DataFrame, replace: bool = True, load_id: int = 1) -> Warehouse:
     """Load a batch (L8): replace clears facts, KPIs and staging but keeps dimensions.
 
-    The fact batch feeds six dimension upserts, the fact rows and the KPIs; it
-    is checkpointed once to the session's checkpoint folder so the source is
-    scanned once and a lost executor recomputes from the checkpoint.
+    The batch is read twice: once by the grouping-sets aggregate that yields
+    every dimension member and the KPIs (small, checkpointed), once by the
+    fact-row projection that looks the surrogate keys up.
     """
     from tambo.session import checkpoint_dir
     checkpoint_dir(facts.sparkSession)
-    facts = facts.checkpoint(eager=True)
-    w2 = load_dimensions(wh, facts)
+    members = batch_members(facts).checkpoint(eager=True)
+    w2 = load_dimensions(wh, facts, members)
     t = dict(w2.tables)
     new_facts = fact_rows(w2, facts, load_id)
     new_stg = staging_rows(ok)
@@ -163,7 +192,7 @@ def load(wh: Warehouse, ok: DataFrame, facts: DataFrame, replace: bool = True, l
     else:
         t["fact_precios"] = wh["fact_precios"].unionByName(new_facts)
         t["stg_precios_raw"] = wh["stg_precios_raw"].unionByName(new_stg)
-    t["fact_kpis"] = kpi_rows(facts)
+    t["fact_kpis"] = kpi_rows(members)
     return Warehouse(t)
 
 
