@@ -20,6 +20,7 @@ from tambo.sources import fixtures as FIX
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+RAW: dict[str, Query] = {}          # the same queries without the comparison rounding (bench)
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -38,6 +39,7 @@ def finish(df: DataFrame) -> DataFrame:
 def register(name: str):
     def deco(fn: Query) -> Query:
         REGISTRY[name] = lambda spark, sf_dir: finish(fn(spark, sf_dir))
+        RAW[name] = fn
         return fn
     return deco
 

@@ -260,8 +260,11 @@ def _warehouse(spark, sf_dir):
 
 @register("semantic_view")
 def q_semantic_view(spark, sf_dir):
+    """Load the warehouse, write it as parquet, read it back and serve the view."""
     wh, _ = _warehouse(spark, sf_dir)
-    return WH.semantic_view(wh).drop("id_precio")
+    root = scratch_path(spark, "warehouse")
+    WH.save(wh, root, replace=True)
+    return WH.semantic_sorted(WH.read(spark, root)).drop("id_precio")
 
 
 @register("dim_producto")

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tambo import schemas as S
-from tambo.sources.tables import table
+from tambo.sources.tables import fact_table, table
 
 
 def wide_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture W: one typed 12-column survey row per line item (+ hoja_origen)."""
-    li = table(spark, sf_dir, "lineitem").select(
+    li = fact_table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
@@ -64,7 +64,7 @@ def text_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scale_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture E: one scale sale per event."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev = fact_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     return ev.select(
         "event_id",
         "ts",

@@ -9,3 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def fact_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A row-heavy input, spread over the cluster's cores when the scan cannot be.
+
+    A file with a single row group (or an unsplittable CSV) scans as one task,
+    and every row-local stage after it (parsing, validation, unpivot) would
+    run on one core.  When the scan yields fewer partitions than the default
+    parallelism the rows are redistributed round-robin once; on a large input
+    the scan already has many more partitions and this is a no-op.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

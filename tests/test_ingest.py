@@ -82,3 +82,18 @@ def test_quality_rules(spark):
     assert by[(3.0, None)].estado == "OK" and by[(3.0, None)].tipo_precio == "Mayorista"
     counts = Q.quality_counts(Q.validate(df)).first()
     assert (counts.registros_leidos, counts.registros_validos, counts.registros_rechazados) == (4, 1, 3)
+
+
+def test_filters_empty_selection_semantics(spark):
+    from tambo.operators import filters as FL
+    df = spark.createDataFrame(
+        [("2024-01-01", "Papa", "Mayorista", "Saco"), ("2024-02-01", "Papa", "Minorista", "Kilogramo"),
+         ("2024-03-01", "Tomate", "Minorista", "Kilogramo")],
+        "fecha string, producto string, tipo_precio string, unidad string")
+    assert FL.filter_units(df, "", "", None, None, None).count() == 3
+    assert FL.filter_units(df, "", "", [], None, None).count() == 0            # client: empty = none
+    assert FL.filter_units(df, "", "", [], None, None, empty_means="all").count() == 3
+    assert FL.filter_units(df, "2024-02-01", "", None, ["Minorista"], ["Kilogramo"]).count() == 2
+    sem = df.withColumn("fecha", F.to_date("fecha")).withColumnRenamed("tipo_precio", "tipo_venta")
+    assert FL.filter_dashboard(sem, "2024-01-01", "2024-02-28", [], []).count() == 2   # empty = all
+    assert [r.producto for r in FL.product_search(sem, "TOM").collect()] == ["Tomate"]
