@@ -40,6 +40,9 @@ KPI_SCHEMA = "kpi_key long, nombre_kpi string, valor decimal(18,2), meta string,
 @dataclass
 class Warehouse:
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    # Rows added by the last load for the appendable tables, and its load id.
+    batch: dict[str, DataFrame] = field(default_factory=dict)
+    load_id: int | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -193,7 +196,7 @@ def load(wh: Warehouse, ok: DataFrame, facts: DataFrame, replace: bool = True, l
         t["fact_precios"] = wh["fact_precios"].unionByName(new_facts)
         t["stg_precios_raw"] = wh["stg_precios_raw"].unionByName(new_stg)
     t["fact_kpis"] = kpi_rows(members)
-    return Warehouse(t)
+    return Warehouse(t, {"fact_precios": new_facts, "stg_precios_raw": new_stg}, load_id)
 
 
 # ------------------------------------------------------------------ semantic view
@@ -263,17 +266,63 @@ def schema_check(wh: Warehouse) -> DataFrame:
 
 
 # ------------------------------------------------------------------ parquet persistence
-def save(wh: Warehouse, root: str, replace: bool = True) -> None:
-    """Write every table under ``root`` (parquet); facts partitioned by nothing, dims whole."""
-    for name, df in wh.tables.items():
-        df.write.mode("overwrite" if replace or not name.startswith(("fact", "stg")) else "append") \
-            .parquet(os.path.join(root, name))
+TABLES = [*DIM_SCHEMAS, "fact_precios", "stg_precios_raw", "fact_kpis"]
+APPENDABLE = ("fact_precios", "stg_precios_raw")
+
+
+def _manifest(spark: SparkSession, root: str) -> dict[str, list[int]] | None:
+    """Committed state: table -> load ids, from the newest manifest version (one line per table)."""
+    try:
+        lines = spark.read.text(os.path.join(root, "_manifest", "v=*")) \
+            .withColumn("v", F.regexp_extract(F.input_file_name(), r"v=([0-9]+)", 1).cast("long"))
+        newest = lines.agg(F.max("v")).first()[0]
+        if newest is None:
+            return None
+        rows = lines.filter(F.col("v") == newest).select("value").collect()   # one row per table
+    except Exception:  # noqa: BLE001  (no manifest written yet)
+        return None
+    out = {}
+    for r in rows:
+        name, ids = r.value.split("=", 1)
+        out[name] = [int(x) for x in ids.split(",") if x]
+    return out
+
+
+def save(wh: Warehouse, root: str, replace: bool = True, load_id: int | None = None) -> int:
+    """Write a load as new per-table directories, then commit a new manifest.
+
+    Every table is written under ``<table>/load=<id>``; nothing existing is
+    touched.  The manifest (one line per table listing the load directories
+    that make up its current content) is written last: a load that fails
+    before it leaves readers on the previous state, which is the rollback.
+    Replace mode lists only the new facts, staging and KPIs; append mode adds
+    the new fact and staging directories to the previous ones.  Dimensions
+    are full snapshots.  Returns the load id.
+    """
+    spark = next(iter(wh.tables.values())).sparkSession
+    prev = _manifest(spark, root) or {}
+    if load_id is None:
+        load_id = wh.load_id or 1 + max([i for ids in prev.values() for i in ids], default=0)
+    state = {}
+    for name in TABLES:
+        append = not replace and name in APPENDABLE and name in wh.batch
+        df = wh.batch[name] if append else wh.tables[name]
+        df.write.mode("errorifexists").parquet(os.path.join(root, name, f"load={load_id}"))
+        keep = prev.get(name, []) if append else []
+        state[name] = keep + [load_id]
+    lines = [(f"{n}={','.join(str(i) for i in ids)}",) for n, ids in state.items()]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("errorifexists") \
+        .text(os.path.join(root, "_manifest", f"v={load_id}"))
+    return load_id
 
 
 def read(spark: SparkSession, root: str) -> Warehouse:
-    """Read back a saved warehouse (S6 reads its semantic view from here)."""
-    return Warehouse({n: spark.read.parquet(os.path.join(root, n))
-                      for n in [*DIM_SCHEMAS, "fact_precios", "stg_precios_raw", "fact_kpis"]})
+    """Read the committed warehouse state (S6 reads its semantic view from here)."""
+    state = _manifest(spark, root)
+    if state is None:
+        return empty_warehouse(spark)
+    return Warehouse({n: spark.read.parquet(*[os.path.join(root, n, f"load={i}") for i in ids])
+                      for n, ids in state.items()})
 
 
 def semantic_sorted(wh: Warehouse) -> DataFrame:

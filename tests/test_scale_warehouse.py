@@ -93,3 +93,28 @@ def test_reload_in_replace_mode_is_stable(spark):
     wh3 = WH.load(wh1, ok, f, replace=False, load_id=3)
     assert wh3["fact_precios"].count() == 2 * f.count()
     assert wh3["fact_precios"].select("id_precio").distinct().count() == 2 * f.count()
+
+
+def test_versioned_save_replace_append_and_failed_load(spark, tmp_path):
+    v = Q.validate(FIX.wide_survey(spark, SF_SMALL))
+    ok = Q.ok_rows(v)
+    f = FX.unpivot_channels(ok)
+    n = f.count()
+    root = str(tmp_path / "wh")
+    assert WH.read(spark, root)["fact_precios"].count() == 0
+    wh = WH.load(WH.empty_warehouse(spark), ok, f, replace=True)
+    assert WH.save(wh, root) == 1
+    assert WH.read(spark, root)["fact_precios"].count() == n
+    WH.save(WH.load(WH.read(spark, root), ok, f, replace=False, load_id=2), root, replace=False)
+    appended = WH.read(spark, root)["fact_precios"]
+    assert appended.count() == 2 * n                                      # append lists both loads
+    assert appended.select("id_precio").distinct().count() == 2 * n
+    WH.save(WH.load(WH.read(spark, root), ok, f, replace=True, load_id=3), root, replace=True)
+    assert WH.read(spark, root)["fact_precios"].count() == n            # replace lists the new load only
+    broken = WH.load(WH.read(spark, root), ok, f, replace=True, load_id=4)
+    bad = {**broken.tables, "fact_kpis": broken["fact_kpis"].withColumn("x", F.lit(1) / F.lit(0))}
+    with pytest.raises(Exception):
+        WH.save(WH.Warehouse(bad), root, replace=True)
+    after = WH.read(spark, root)                                         # failed load: previous state
+    assert after["fact_precios"].count() == n
+    assert {r.restriccion for r in WH.fk_check(after).filter("violaciones > 0").collect()} == set()
