@@ -26,19 +26,49 @@ from tambo.plans.ordinal import global_index
 
 
 # ---------------------------------------------------------------- series and fits
+_SUMS = {"precio_promedio": ("_sy", "_ny"), "variacion_precio": ("_sv", "_nv")}
+
+
+def daily_base(sem: DataFrame) -> DataFrame:
+    """Sums and counts of price and range per (producto, fecha, tipo_venta).
+
+    Every daily series of the forecasts (global, per product, per channel,
+    ranges) is a re-aggregation of this one partial aggregate, so a job that
+    needs several series reads the facts once: the identical shuffle below
+    each branch is reused by the planner.  Its size is bounded by products x
+    days x 2 channels.
+    """
+    return sem.filter(F.col("fecha").isNotNull()).groupBy("producto", "fecha", "tipo_venta").agg(
+        F.sum("precio_promedio").alias("_sy"), F.count("precio_promedio").alias("_ny"),
+        F.sum("variacion_precio").alias("_sv"), F.count("variacion_precio").alias("_nv"))
+
+
+def _mean(s: str, n: str, cond: Column | None = None) -> Column:
+    if cond is not None:
+        s_, n_ = F.sum(F.when(cond, F.col(s))), F.sum(F.when(cond, F.col(n)))
+    else:
+        s_, n_ = F.sum(s), F.sum(n)
+    return F.when(n_ > 0, s_ / n_)
+
+
 def daily_series(sem: DataFrame, keys: list[str], value: str = "precio_promedio") -> DataFrame:
     """Mean of ``value`` per (keys, fecha); null keys dropped; y may be null."""
-    cond = F.col("fecha").isNotNull()
+    if value not in _SUMS:
+        cond = F.col("fecha").isNotNull()
+        for k in keys:
+            cond = cond & F.col(k).isNotNull()
+        return sem.filter(cond).groupBy(*keys, "fecha").agg(F.avg(value).alias("y"))
+    base = daily_base(sem)
     for k in keys:
-        cond = cond & F.col(k).isNotNull()
-    return sem.filter(cond).groupBy(*keys, "fecha").agg(F.avg(value).alias("y"))
+        base = base.filter(F.col(k).isNotNull())
+    return base.groupBy(*keys, "fecha").agg(_mean(*_SUMS[value]).alias("y"))
 
 
 def gap_series(sem: DataFrame) -> DataFrame:
     """Retail minus wholesale daily means on dates with both channels (A8 as a series)."""
-    g = sem.filter(F.col("fecha").isNotNull()).groupBy("fecha").agg(
-        F.avg(F.when(F.col("tipo_venta") == S.RETAIL, F.col("precio_promedio"))).alias("_r"),
-        F.avg(F.when(F.col("tipo_venta") == S.WHOLESALE, F.col("precio_promedio"))).alias("_w"))
+    g = daily_base(sem).groupBy("fecha").agg(
+        _mean("_sy", "_ny", F.col("tipo_venta") == S.RETAIL).alias("_r"),
+        _mean("_sy", "_ny", F.col("tipo_venta") == S.WHOLESALE).alias("_w"))
     return g.select("fecha", (F.col("_r") - F.col("_w")).alias("y")).filter(F.col("y").isNotNull())
 
 
@@ -256,8 +286,7 @@ def _centred(series: DataFrame, cols: list[str]) -> DataFrame:
 
 def forecast_date_axis(sem: DataFrame, horizon: int = S.HORIZON) -> DataFrame:
     """Global 8-week forecast of price and range on the date axis."""
-    serie = sem.groupBy("fecha").agg(F.avg("precio_promedio").alias("y"),
-                                     F.avg("variacion_precio").alias("vy")) \
+    serie = daily_base(sem).groupBy("fecha").agg(_mean("_sy", "_ny").alias("y"), _mean("_sv", "_nv").alias("vy")) \
                .withColumn("x", days_since_origin("fecha"))
     c = _centred(serie, ["y", "vy"])
     dx = F.col("x") - F.col("a_x")
