@@ -156,9 +156,24 @@ def write_sales_csv(pairs: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
 
 
+def sales_csv_missing_columns(spark: SparkSession, path: str) -> list[str]:
+    """Header check of a sales history CSV (L12, re-aimed): the expected columns it lacks.
+
+    Only the header line is parsed; the file is never rewritten or deleted.
+    """
+    header = spark.read.option("sep", ";").option("header", True).csv(path).columns
+    return [c for c in S.SALES_CSV_COLUMNS if c not in header]
+
+
 def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Sales history back from CSV (S9): both date formats, undated rows skipped."""
+    """Sales history back from CSV (S9): both date formats, undated rows skipped.
+
+    A file whose header lacks the product column is rejected (L12).
+    """
     from tambo.functions.parsing import parse_number, parse_timestamp
+    missing = sales_csv_missing_columns(spark, path)
+    if S.SALES_CSV_COLUMNS[1] in missing:
+        raise ValueError(f"sales history {path} lacks columns: {', '.join(missing)}")
     schema = T.StructType([T.StructField(h, T.StringType()) for h in S.SALES_CSV_COLUMNS])
     raw = spark.read.schema(schema).option("sep", ";").option("header", True).csv(path)
     typed = raw.select(

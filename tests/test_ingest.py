@@ -97,3 +97,19 @@ def test_filters_empty_selection_semantics(spark):
     sem = df.withColumn("fecha", F.to_date("fecha")).withColumnRenamed("tipo_precio", "tipo_venta")
     assert FL.filter_dashboard(sem, "2024-01-01", "2024-02-28", [], []).count() == 2   # empty = all
     assert [r.producto for r in FL.product_search(sem, "TOM").collect()] == ["Tomate"]
+
+
+def test_sales_csv_header_check(spark, tmp_path):
+    import pytest
+    from tambo import schemas as S
+    from tambo.operators import scale as B
+    good = _write(tmp_path / "v.csv", ";".join(S.SALES_CSV_COLUMNS) + "\n"
+                  "05/03/2024 10:00:00;Papa;Saco;50;1.52;1.6;1.68;;;;;\n"
+                  "sin fecha;Papa;Saco;50;1.52;1.6;1.68;;;;;\n")
+    assert B.sales_csv_missing_columns(spark, good) == []
+    rows = B.read_sales_csv(spark, good).collect()
+    assert len(rows) == 1 and rows[0].may_prom == 1.6 and rows[0].min_prom is None
+    bad = _write(tmp_path / "old.csv", "Fecha;Producto;Precio\n05/03/2024;Papa;1.6\n")
+    assert "Productos" in B.sales_csv_missing_columns(spark, bad)
+    with pytest.raises(ValueError):
+        B.read_sales_csv(spark, bad)
