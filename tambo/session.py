@@ -1,9 +1,9 @@
 """SparkSession helpers.
 
-The library never creates machine-local scratch folders on a cluster: the
-checkpoint folder is read from ``spark.checkpoint.dir`` (set by the cluster to
-a shared location).  Only when it is unset, as in local tests, a private
-folder under the system temp directory is created once per session.
+The checkpoint folder is read from ``spark.checkpoint.dir``, which a cluster
+sets to a shared location.  When it is unset, a private temporary folder is
+used in local mode only; on a cluster that is an error, because executors could
+not read what the driver's own disk holds.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_LOCAL_CHECKPOINT: dict[int, str] = {}
-
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "tambo") -> SparkSession:
@@ -31,6 +29,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -39,20 +38,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the session; a private temp one only if unset."""
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = spark.sparkContext.getCheckpointDir()
-    if conf_dir:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(conf_dir)
-        return conf_dir
-    key = id(spark.sparkContext)
-    if key not in _LOCAL_CHECKPOINT:
-        _LOCAL_CHECKPOINT[key] = tempfile.mkdtemp(prefix="tambo-ckpt-")
-        spark.sparkContext.setCheckpointDir(_LOCAL_CHECKPOINT[key])
-        spark.conf.set("spark.checkpoint.dir", _LOCAL_CHECKPOINT[key])
-    return _LOCAL_CHECKPOINT[key]
+    """Shared checkpoint folder of the session; the context's own folder is set to it when it has none."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tambo-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
