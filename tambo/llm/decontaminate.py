@@ -64,7 +64,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, words_per_hit:
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())    # at most n values
     sized = base.select("doc", text_key(F.col("text")).alias("key"),
                         F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
-    hits = document_hits(base, windows, n_windows, lengths)
+    hits = checkpointed(document_hits(base, windows, n_windows, lengths))       # read twice below; hits only
     found = hits.groupBy("doc", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hit"))
     found = found.select("doc", "key", _merged(F.col("hit")).alias("spans"))
     member = windows.select("window", "item")
