@@ -98,16 +98,23 @@ def document_hits(base: DataFrame, windows: DataFrame, n_windows: int, lengths:
     probed = words.filter(F.size("words") > 0).select(
         "doc", "key", "words", F.posexplode(F.concat(*hashes) if len(hashes) > 1 else hashes[0]).alias("at", "hash"))
     distinct = windows.select("hash", "length", "window").distinct()
-    joined = probed.join(_bounded(distinct, n_windows), "hash")
-    offset, before = F.lit(0), F.lit(0)
+    offset, length, before = F.lit(0), F.lit(lengths[0]), F.lit(0)
     for m in lengths:
-        offset = F.when(F.col("length") == m, before).otherwise(offset)
+        offset = F.when(F.col("at") >= before, before).otherwise(offset)
+        length = F.when(F.col("at") >= before, m).otherwise(length)
         before = before + count[m]
-    start = F.col("at") - offset
-    verified = joined.withColumn("start", start).filter(
-        (F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("words")))
-    verified = verified.filter(F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ") == F.col("window"))
-    return verified.select("doc", "key", "window", "start", (F.col("start") + F.col("length")).alias("end"))
+    start = (F.col("at") - offset).alias("start")
+    window = F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ")
+    if n_windows <= MAX_BROADCAST_WINDOWS:
+        # Probed where the text's words are; only matches go on, so the words are at hand to verify them.
+        joined = probed.join(F.broadcast(distinct.drop("length")), "hash")
+        found = joined.select("doc", "key", "words", "window", start, length.alias("length")).filter(window == F.col("window"))
+    else:
+        # Rows move to the windows: each takes its own window along, not the text.
+        placed = probed.select("doc", "key", "words", "hash", start, length.alias("length"))
+        found = placed.select("doc", "key", "hash", "start", "length", window.alias("window")).join(
+            distinct.drop("length"), ["hash", "window"])
+    return found.select("doc", "key", "window", "start", (F.col("start") + F.col("length")).alias("end"))
 
 
 def window_hashes(words: Column, m: int) -> Column:

@@ -197,9 +197,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, model, id_col, text_col).withColumn("held_out", held_out(F.col("doc")))
 
 
-def drop_unidentified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+def drop_unidentified(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text",
                       lang_col: str = "lang", **sizes) -> DataFrame:
-    """The documents, with their own columns, whose text has a language: not ``und``, score at least ``min_score``."""
+    """The documents, with their own columns, whose text has a language (not ``und``) with a score of at least ``min_score``."""
     model = train(docs.filter(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col,
                   lang_col=lang_col, **sizes)
     judged = predict(docs, model, id_col, text_col, keep=docs.columns)
