@@ -170,9 +170,14 @@ def increments(sem: DataFrame, horizon: int = S.HORIZON, clamp: bool = True) ->
     return out.withColumn("ranking", F.row_number().over(w).cast("long"))
 
 
+def forecastable(sem: DataFrame) -> DataFrame:
+    """Rows fit for forecasting (P19): date, product and price present."""
+    return sem.dropna(subset=["fecha", "producto", "precio_promedio"])
+
+
 def increments_raw_rows(sem: DataFrame, horizon: int = S.HORIZON, min_points: int = 2) -> DataFrame:
-    """Per product over raw rows in (fecha, tipo_venta, price) order, unclamped, n >= 2."""
-    rows = sem.filter(F.col("producto").isNotNull() & F.col("fecha").isNotNull()) \
+    """Per product over raw rows with a price (positions count those only), in (fecha, tipo_venta, price) order, unclamped, n >= 2."""
+    rows = forecastable(sem) \
               .select("producto", "fecha", "tipo_venta", "precio_promedio")
     idx = global_index(rows, ["producto", "fecha", "tipo_venta", "precio_promedio"])
     fit = fit_global_index(idx, ["producto"], "precio_promedio").filter(F.col("n") >= min_points)

@@ -35,11 +35,6 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(S.CATALOGUE, schema)
 
 
-def markets(spark: SparkSession) -> DataFrame:
-    rows = [(m, S.WHOLESALE) for m in S.WHOLESALE_MARKETS] + [(m, S.RETAIL) for m in S.RETAIL_MARKETS]
-    return spark.createDataFrame(rows, "mercado string, canal string")
-
-
 def scale_total(sales: DataFrame) -> DataFrame:
     """Accepted sales (weight > 0) with total = round(weight * price, 2) (B1)."""
     return sales.filter(F.col("peso") > 0).withColumn("total", F.round(F.col("peso") * F.col("precio"), 2))
@@ -47,14 +42,14 @@ def scale_total(sales: DataFrame) -> DataFrame:
 
 def catalogue_price(sales: DataFrame, cat: DataFrame) -> DataFrame:
     """Catalogue price of the sale's product in its channel; unknown product -> 0.0."""
-    j = sales.join(F.broadcast(cat), "producto", "left")
+    j = sales.join(cat, "producto", "left")
     price = F.when(F.col("canal") == S.WHOLESALE, F.col("precio_mayorista")).otherwise(F.col("precio_minorista"))
     return j.select(*sales.columns, F.coalesce(price, F.lit(0.0)).alias("precio_catalogo"))
 
 
 def scale_enrich(sales: DataFrame, cat: DataFrame) -> DataFrame:
     """Unit and equivalence per channel from the catalogue; unknown -> defaults."""
-    j = sales.join(F.broadcast(cat.select("producto", "unidad_mayorista", "equiv_mayorista")), "producto", "left")
+    j = sales.join(cat.select("producto", "unidad_mayorista", "equiv_mayorista"), "producto", "left")
     return j.select(
         *sales.columns,
         F.coalesce("unidad_mayorista", F.lit(S.UNKNOWN_PRODUCT["unidad_mayorista"])).alias("u_may"),

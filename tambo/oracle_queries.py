@@ -276,12 +276,11 @@ UNION ALL SELECT 'dim_tiempo(fecha)', COUNT(*) FROM (SELECT fecha FROM dt GROUP
 UNION ALL SELECT 'dim_tipo_venta(tipo_venta)', COUNT(*) FROM (SELECT tipo_venta FROM dtv GROUP BY 1 HAVING COUNT(*) > 1) c
 UNION ALL SELECT 'dim_unidad(unidad,id_tipo_venta)',
           COUNT(*) FROM (SELECT unidad, tipo_venta FROM dun GROUP BY 1, 2 HAVING COUNT(*) > 1) e""", [])
-q("schema_check", F_CTE, """
+ORACLE["schema_check"] = """
 SELECT * FROM (VALUES ('stg_precios_raw', 6, '', true), ('dim_producto', 2, '', true), ('dim_anio', 2, '', true),
   ('dim_mes', 4, '', true), ('dim_tiempo', 4, '', true), ('dim_tipo_venta', 2, '', true),
-  ('dim_unidad', 4, '', true), ('fact_precios', 8, '', true), ('fact_kpis', 5, '', true))
-  AS t(tabla, requeridas, faltantes, ok)
-WHERE (SELECT COUNT(*) FROM fn) >= 0""", [])
+  ('dim_unidad', 4, 'equivalencia', false), ('fact_precios', 8, '', true), ('fact_kpis', 5, '', true))
+  AS t(tabla, requeridas, faltantes, ok)"""
 
 
 # ------------------------------------------------------------------ ordinal forecasts
@@ -333,9 +332,9 @@ q("increments_raw_rows", F_CTE, """
 , rr AS (SELECT producto, precio_promedio AS y,
                CAST(row_number() OVER (PARTITION BY producto ORDER BY fecha, tipo_venta, precio_promedio) - 1
                     AS DOUBLE) AS x
-        FROM s WHERE producto IS NOT NULL AND fecha IS NOT NULL),
+        FROM s WHERE producto IS NOT NULL AND fecha IS NOT NULL AND precio_promedio IS NOT NULL),
   rf AS (SELECT producto, COUNT(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
-                arg_max(y, x) AS last_y FROM rr WHERE y IS NOT NULL GROUP BY producto HAVING COUNT(*) >= 2),
+                arg_max(y, x) AS last_y FROM rr GROUP BY producto HAVING COUNT(*) >= 2),
   ri AS (SELECT producto, last_y AS precio_actual, intercept + slope * (n - 1 + 8) AS precio_predicho,
                 intercept + slope * (n - 1 + 8) - last_y AS incremento_esperado FROM rf)
 SELECT *, CAST(row_number() OVER (ORDER BY incremento_esperado DESC, producto) AS BIGINT) AS ranking FROM ri""".lstrip(),
@@ -375,50 +374,34 @@ WHERE lastd.ultima_fecha IS NOT NULL
 UNION ALL
 SELECT last_fecha, last_y, 'Proyectado' FROM gf""", ["valor"])
 
-# ------------------------------------------------------------------ date-axis forecasts (view SQL)
-q("forecast_date_axis", F_CTE, """
-, serie AS (SELECT fecha, (fecha - DATE '2000-01-01') AS x, AVG(precio_promedio) AS y,
-                   AVG(variacion_precio) AS vy FROM s GROUP BY fecha),
-  av AS (SELECT AVG(CAST(x AS DOUBLE)) AS ax, AVG(CAST(y AS DOUBLE)) AS ay, AVG(CAST(vy AS DOUBLE)) AS avy FROM serie),
-  reg AS (SELECT MAX(fecha) AS ultima, av.ax, av.ay, av.avy,
-                 SUM((x - av.ax) * (y - av.ay)) / NULLIF(SUM((x - av.ax) * (x - av.ax)), 0) AS pend,
-                 SUM((x - av.ax) * (vy - av.avy)) / NULLIF(SUM((x - av.ax) * (x - av.ax)), 0) AS pendv
-          FROM serie CROSS JOIN av GROUP BY av.ax, av.ay, av.avy),
-  wk AS (SELECT range AS semana FROM range(1, 9))
-SELECT CAST(ultima + CAST(semana * 7 AS INTEGER) AS DATE) AS fecha_prediccion,
-       ay + pend * ((CAST(ultima + CAST(semana * 7 AS INTEGER) AS DATE) - DATE '2000-01-01') - ax)
-         AS precio_promedio_futuro,
-       avy + pendv * ((CAST(ultima + CAST(semana * 7 AS INTEGER) AS DATE) - DATE '2000-01-01') - ax)
-         AS tendencia_variacion
-FROM reg CROSS JOIN wk""".lstrip(), ["precio_promedio_futuro", "tendencia_variacion"])
-q("forecast_product_date_axis", F_CTE, """
-, serie AS (SELECT producto, fecha, (fecha - DATE '2000-01-01') AS x, AVG(precio_promedio) AS y
-            FROM s WHERE producto IS NOT NULL AND fecha IS NOT NULL GROUP BY producto, fecha),
-  base AS (SELECT producto, AVG(CAST(x AS DOUBLE)) AS ax, AVG(CAST(y AS DOUBLE)) AS ay, MAX(x) AS maxx
-           FROM serie GROUP BY producto HAVING COUNT(*) >= 2),
-  reg AS (SELECT s2.producto, b.maxx, MAX(CASE WHEN s2.x = b.maxx THEN s2.y END) AS precio_actual,
-                 b.ay + (SUM((s2.x - b.ax) * (s2.y - b.ay)) / NULLIF(SUM((s2.x - b.ax) * (s2.x - b.ax)), 0))
-                   * ((b.maxx + 56) - b.ax) AS precio_futuro
-          FROM serie s2 JOIN base b ON s2.producto = b.producto GROUP BY s2.producto, b.maxx, b.ax, b.ay)
-SELECT producto, precio_actual, precio_futuro, precio_futuro - precio_actual AS incremento_esperado,
-       CAST(row_number() OVER (ORDER BY precio_futuro - precio_actual DESC, producto) AS BIGINT)
-         AS ranking_incremento
-FROM reg""".lstrip(), ["precio_actual", "precio_futuro", "incremento_esperado"])
-q("forecast_gap_date_axis", F_CTE, """
-, serie AS (SELECT fecha, (fecha - DATE '2000-01-01') AS x,
-                   AVG(CASE WHEN tipo_venta = 'Minorista' THEN precio_promedio END)
-                   - AVG(CASE WHEN tipo_venta = 'Mayorista' THEN precio_promedio END) AS y
-            FROM s GROUP BY fecha),
-  base AS (SELECT AVG(CAST(x AS DOUBLE)) AS ax, AVG(CAST(y AS DOUBLE)) AS ay, MAX(fecha) AS ultima
-           FROM serie WHERE y IS NOT NULL),
-  reg AS (SELECT b.ultima, b.ax, b.ay,
-                 SUM((s2.x - b.ax) * (s2.y - b.ay)) / NULLIF(SUM((s2.x - b.ax) * (s2.x - b.ax)), 0) AS pend
-          FROM serie s2 CROSS JOIN base b WHERE s2.y IS NOT NULL GROUP BY b.ultima, b.ax, b.ay),
-  wk AS (SELECT range AS semana FROM range(1, 9))
-SELECT CAST(ultima + CAST(semana * 7 AS INTEGER) AS DATE) AS fecha_prediccion,
-       ay + pend * ((CAST(ultima + CAST(semana * 7 AS INTEGER) AS DATE) - DATE '2000-01-01') - ax)
-         AS diferencia_futura
-FROM reg CROSS JOIN wk""".lstrip(), ["diferencia_futura"])
+# ------------------------------------------------------------------ date-axis forecasts
+# A least-squares line through daily means is mean(y) + slope * (t - mean(t)), t counted in days from any origin.
+DAY = "CAST(date_diff('day', DATE '1970-01-01', fecha) AS DOUBLE)"
+AHEAD = "CAST(DATE '1970-01-01' + CAST(hi + 7 * k AS INTEGER) AS DATE) AS fecha_prediccion"
+q("forecast_date_axis", F_CTE, f"""
+, daily AS (SELECT {DAY} AS t, AVG(precio_promedio) AS y, AVG(variacion_precio) AS v FROM s GROUP BY fecha),
+  m AS (SELECT MAX(t) AS hi, AVG(t) AS mt, AVG(y) AS my, AVG(v) AS mv, regr_slope(y, t) AS by_day,
+               (SUM(t * v) - AVG(t) * SUM(v) - AVG(v) * SUM(t) FILTER (v IS NOT NULL) + COUNT(v) * AVG(t) * AVG(v))
+                 / NULLIF(COUNT(t) * VAR_POP(t), 0) AS bv_day FROM daily)
+SELECT {AHEAD}, my + by_day * (hi + 7 * k - mt) AS precio_promedio_futuro,
+       mv + bv_day * (hi + 7 * k - mt) AS tendencia_variacion
+FROM m, range(1, 9) AS weeks(k)""".lstrip(), ["precio_promedio_futuro", "tendencia_variacion"])
+q("forecast_product_date_axis", F_CTE, f"""
+, daily AS (SELECT producto, fecha, {DAY} AS t, AVG(precio_promedio) AS y FROM s
+            WHERE producto IS NOT NULL AND fecha IS NOT NULL GROUP BY producto, fecha),
+  line AS (SELECT producto, arg_max(y, t) AS now, AVG(y) + regr_slope(y, t) * (MAX(t) + 56 - AVG(t)) AS later
+           FROM daily GROUP BY producto HAVING COUNT(*) >= 2)
+SELECT producto, now AS precio_actual, later AS precio_futuro, later - now AS incremento_esperado,
+       CAST(row_number() OVER (ORDER BY later - now DESC, producto) AS BIGINT) AS ranking_incremento
+FROM line""".lstrip(), ["precio_actual", "precio_futuro", "incremento_esperado"])
+q("forecast_gap_date_axis", F_CTE, f"""
+, channel AS (SELECT fecha, tipo_venta, AVG(precio_promedio) AS y FROM s GROUP BY fecha, tipo_venta),
+  gap AS (SELECT {DAY.replace("fecha", "a.fecha")} AS t, a.y - b.y AS y FROM channel a JOIN channel b
+          ON a.fecha = b.fecha AND a.tipo_venta = 'Minorista' AND b.tipo_venta = 'Mayorista'),
+  m AS (SELECT MAX(t) AS hi, AVG(t) AS mt, AVG(y) AS my, regr_slope(y, t) AS by_day FROM gap WHERE y IS NOT NULL)
+SELECT {AHEAD}, my + by_day * (hi + 7 * k - mt) AS diferencia_futura
+FROM m, range(1, 9) AS weeks(k)""".lstrip(), ["diferencia_futura"])
+ORACLE["result_tables"] = ORACLE["increments"]
 
 # ------------------------------------------------------------------ summaries over raw facts
 FCR = FC.replace("FROM fn\n)", "FROM fr\n)", 1)

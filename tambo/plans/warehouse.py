@@ -7,20 +7,24 @@ current maximum id; the numbering window runs over the new members only.
 Facts get their surrogate keys by equi-joins on natural keys; the optimizer
 broadcasts a dimension when its runtime size is under the broadcast threshold
 (AQE), and otherwise shuffles, so a large catalogue degrades gracefully.
-Fact ids are ``load_id * 2**40 + monotonically_increasing_id()``: unique
-without a global ordering.
+Fact ids follow the present maximum: partition offsets plus places within the
+partitions, unique for any number of partitions and without a global ordering.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tambo import schemas as S
 from tambo.functions.columns import month_name
+from tambo.operators.facts import to_semantic
+from tambo.session import checkpoint_dir
 
 DIM_SCHEMAS = {
     "dim_producto": "id_producto long, producto string",
@@ -103,7 +107,6 @@ def batch_members(facts: DataFrame) -> DataFrame:
 def load_dimensions(wh: Warehouse, facts: DataFrame, members: DataFrame | None = None) -> Warehouse:
     """Product, year, month, date, channel and unit dimensions for a fact batch."""
     if members is None:
-        from tambo.session import checkpoint_dir
         checkpoint_dir(facts.sparkSession)
         members = batch_members(facts).checkpoint(eager=True)
     t = dict(wh.tables)
@@ -143,15 +146,31 @@ def dim_lookup(wh: Warehouse, facts: DataFrame) -> DataFrame:
             .join(wh["dim_unidad"].select("id_unidad", "unidad", "id_tipo_venta"), ["unidad", "id_tipo_venta"]))
 
 
-def fact_rows(wh: Warehouse, facts: DataFrame, load_id: int = 1) -> DataFrame:
-    """Facts with surrogate keys and numeric(18,2) prices."""
+def numbered(rows: DataFrame, id_col: str, after: int) -> DataFrame:
+    """``rows`` with consecutive ids from ``after`` + 1: the rows are fixed in their partitions (checkpoint), and a
+    row's id is its partition's offset plus its place there, whatever the number of partitions."""
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
+    fixed = rows.checkpoint(eager=True)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    tagged = fixed.withColumns({"_pid": F.spark_partition_id(), "_at": place})
+    counts = sorted(map(tuple, tagged.groupBy("_pid").count().collect()))       # one row per partition
+    starts = itertools.accumulate((n for _, n in counts), initial=after + 1)
+    offsets = spark.createDataFrame([(p, s) for (p, _), s in zip(counts, starts)], "_pid int, _start long")
+    return (tagged.join(F.broadcast(offsets), "_pid")
+                  .select((F.col("_start") + F.col("_at")).alias(id_col), *rows.columns))
+
+
+def fact_rows(wh: Warehouse, facts: DataFrame) -> DataFrame:
+    """Facts with surrogate keys and numeric(18,2) prices, numbered after the present ones."""
     j = dim_lookup(wh, facts)
-    return j.select(
-        (F.lit(load_id).cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id()).alias("id_precio"),
+    after = wh["fact_precios"].agg(F.max("id_precio")).first()[0] or 0
+    rows = j.select(
         "id_producto", "id_tiempo", "id_unidad", "id_tipo_venta",
         F.col("precio_min").cast("decimal(18,2)").alias("precio_min"),
         F.col("precio_prom").cast("decimal(18,2)").alias("precio_prom"),
         F.col("precio_max").cast("decimal(18,2)").alias("precio_max"))
+    return numbered(rows, "id_precio", after)
 
 
 def staging_rows(ok: DataFrame) -> DataFrame:
@@ -176,26 +195,38 @@ def kpi_rows(members: DataFrame) -> DataFrame:
     return kpi_table_from(k).withColumn("fecha_calculo", F.current_timestamp())
 
 
-def load(wh: Warehouse, ok: DataFrame, facts: DataFrame, replace: bool = True, load_id: int = 1) -> Warehouse:
+def kpi_rows_of_table(facts: DataFrame) -> DataFrame:
+    """KPI table (A3) of a whole fact table, old and new rows together."""
+    from tambo.operators.metrics import kpi_table_from
+    k = facts.agg(
+        F.avg("precio_prom").cast("double").alias("precio_promedio_general"),
+        F.max("precio_max").cast("double").alias("precio_maximo_registrado"),
+        F.min("precio_min").cast("double").alias("precio_minimo_registrado"),
+        F.avg(F.col("precio_max") - F.col("precio_min")).cast("double").alias("variacion_promedio"))
+    return kpi_table_from(k).withColumn("fecha_calculo", F.current_timestamp())
+
+
+def load(wh: Warehouse, ok: DataFrame, facts: DataFrame, replace: bool = True, load_id: int | None = None) -> Warehouse:
     """Load a batch (L8): replace clears facts, KPIs and staging but keeps dimensions.
 
     The batch is read twice: once by the grouping-sets aggregate that yields
     every dimension member and the KPIs (small, checkpointed), once by the
-    fact-row projection that looks the surrogate keys up.
+    fact-row projection that looks the surrogate keys up (checkpointed to be
+    numbered).  KPIs are the batch's in replace mode, the whole table's in
+    append mode.
     """
-    from tambo.session import checkpoint_dir
     checkpoint_dir(facts.sparkSession)
     members = batch_members(facts).checkpoint(eager=True)
     w2 = load_dimensions(wh, facts, members)
     t = dict(w2.tables)
-    new_facts = fact_rows(w2, facts, load_id)
+    new_facts = fact_rows(w2, facts)
     new_stg = staging_rows(ok)
     if replace:
         t["fact_precios"], t["stg_precios_raw"] = new_facts, new_stg
     else:
         t["fact_precios"] = wh["fact_precios"].unionByName(new_facts)
         t["stg_precios_raw"] = wh["stg_precios_raw"].unionByName(new_stg)
-    t["fact_kpis"] = kpi_rows(members)
+    t["fact_kpis"] = kpi_rows(members) if replace else kpi_rows_of_table(t["fact_precios"])
     return Warehouse(t, {"fact_precios": new_facts, "stg_precios_raw": new_stg}, load_id)
 
 
@@ -279,8 +310,10 @@ def _manifest(spark: SparkSession, root: str) -> dict[str, list[int]] | None:
         if newest is None:
             return None
         rows = lines.filter(F.col("v") == newest).select("value").collect()   # one row per table
-    except Exception:  # noqa: BLE001  (no manifest written yet)
-        return None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None                                                     # no manifest written yet
     out = {}
     for r in rows:
         name, ids = r.value.split("=", 1)
@@ -303,11 +336,14 @@ def save(wh: Warehouse, root: str, replace: bool = True, load_id: int | None = N
     prev = _manifest(spark, root) or {}
     if load_id is None:
         load_id = wh.load_id or 1 + max([i for ids in prev.values() for i in ids], default=0)
+    if any(load_id in ids for ids in prev.values()):
+        raise ValueError(f"load {load_id} is committed already")
     state = {}
     for name in TABLES:
         append = not replace and name in APPENDABLE and name in wh.batch
         df = wh.batch[name] if append else wh.tables[name]
-        df.write.mode("errorifexists").parquet(os.path.join(root, name, f"load={load_id}"))
+        # No manifest lists this load yet: what stands there is left by a load that failed.
+        df.write.mode("overwrite").parquet(os.path.join(root, name, f"load={load_id}"))
         keep = prev.get(name, []) if append else []
         state[name] = keep + [load_id]
     lines = [(f"{n}={','.join(str(i) for i in ids)}",) for n, ids in state.items()]
@@ -325,6 +361,27 @@ def read(spark: SparkSession, root: str) -> Warehouse:
                       for n, ids in state.items()})
 
 
+# ------------------------------------------------------------------ result tables (L9), source choice
+RESULTS = ("predicciones_precios", "ranking_incremento")
+
+
+def save_results(root: str, forecast: DataFrame, ranking: DataFrame) -> None:
+    """Writes the batch job's two outputs, replacing those of an earlier run."""
+    for name, df in zip(RESULTS, (forecast, ranking)):
+        df.write.mode("overwrite").parquet(os.path.join(root, "resultados", name))
+
+
+def read_results(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(os.path.join(root, "resultados", n)) for n in RESULTS}
+
+
+def choose_source(spark: SparkSession, root: str, session_facts: DataFrame | None = None) -> DataFrame:
+    """The session's facts as semantic rows if there are any, else the stored view."""
+    if session_facts is not None and not session_facts.isEmpty():
+        return to_semantic(session_facts)
+    return semantic_as_double(semantic_view(read(spark, root)))
+
+
 def semantic_sorted(wh: Warehouse) -> DataFrame:
     """Semantic view ordered by date."""
     return semantic_view(wh).orderBy("fecha", "producto", "tipo_venta")

@@ -335,7 +335,12 @@ def q_fk_check(spark, sf_dir):
 
 @register("schema_check")
 def q_schema_check(spark, sf_dir):
-    return WH.schema_check(_warehouse(spark, sf_dir)[0])
+    """The stored tables read back, one of them without a required column."""
+    root = scratch_path(spark, "schema_check")
+    WH.save(_warehouse(spark, sf_dir)[0], root)
+    stored = WH.read(spark, root)
+    stored.tables["dim_unidad"].drop("equivalencia").write.parquet(f"{root}/without_column")
+    return WH.schema_check(WH.Warehouse({**stored.tables, "dim_unidad": spark.read.parquet(f"{root}/without_column")}))
 
 
 # ------------------------------------------------------------------ forecasts (semantic rows over W)
@@ -394,6 +399,15 @@ def q_increments_raw_rows(spark, sf_dir):
     return FC.increments_raw_rows(semantic(spark, sf_dir))
 
 
+@register("result_tables")
+def q_result_tables(spark, sf_dir):
+    """The second of two runs replaces the tables; the ranking is read back."""
+    root, sem = scratch_path(spark, "results"), semantic(spark, sf_dir)
+    for _ in range(2):
+        WH.save_results(root, FC.forecast_table(sem), FC.increments(sem))
+    return WH.read_results(spark, root)["ranking_incremento"]
+
+
 @register("top_increment")
 def q_top_increment(spark, sf_dir):
     return FC.top_increment(semantic(spark, sf_dir))

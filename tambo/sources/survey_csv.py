@@ -10,7 +10,7 @@ safe under any split of the file.
 
 from __future__ import annotations
 
-import os
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,42 +19,50 @@ from pyspark.sql import functions as F
 from tambo import schemas as S
 from tambo.functions.parsing import finite, parse_day_first_date, parse_number
 
-SNIFF_CANDIDATES = [";", ",", "\t"]
-SNIFF_LINES = 200
+SEPARATORS = [";", ",", "\t"]
 
 
-def sniff_separator(spark: SparkSession, paths: Sequence[str]) -> str:
-    """Most frequent candidate separator over a bounded head sample."""
-    head = spark.read.text(list(paths)).limit(SNIFF_LINES)
-    counts = head.select(*[
-        F.sum(F.size(F.split(F.col("value"), "\\t" if sep == "\t" else f"[{sep}]")) - 1).alias(f"c{i}")
-        for i, sep in enumerate(SNIFF_CANDIDATES)
-    ]).first()
-    best = max(range(len(SNIFF_CANDIDATES)), key=lambda i: (counts[i] or 0, -i))
-    return SNIFF_CANDIDATES[best]
+def sniff_separators(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """Separator of each file (S2): the one under which most of its lines, over the whole file, begin with a
+    day-first date and have a second field; ties go to the first candidate.  A file without such a line is refused."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\uFEFF", "").alias("value"))
+    fields = [F.split("value", "\\t" if sep == "\t" else f"[{sep}]") for sep in SEPARATORS]
+    dated = [(F.size(f) > 1) & parse_day_first_date(F.trim(F.translate(f[0], '"', ""))).isNotNull() for f in fields]
+    counts = lines.groupBy("file").agg(*[F.count_if(d).alias(f"c{i}") for i, d in enumerate(dated)]).collect()   # one row per file
+    found = {}
+    for r in counts:
+        best = max(range(len(SEPARATORS)), key=lambda i: (r[f"c{i}"], -i))
+        if r[f"c{best}"] == 0:
+            raise ValueError(f"no dated row under any separator: {r['file']}")
+        found[r["file"]] = SEPARATORS[best]
+    return found
 
 
-def read_survey_csv(spark: SparkSession, paths: str | Sequence[str], sep: str = ";") -> DataFrame:
+def read_survey_csv(spark: SparkSession, paths: str | Sequence[str], sep: str = ";",
+                    sheet_label: str | None = None) -> DataFrame:
     """Raw 12 text columns + ``hoja_origen``.
 
-    One file is labelled ``CSV``; several files are sheets labelled by their
-    file stem.  A leading byte-order mark is removed from the first column.
+    A sheet is labelled by its file's stem unless ``sheet_label`` names it.  With
+    ``sep="auto"`` each file is read with its own separator.  A leading byte-order
+    mark is removed from the first column.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if sep == "auto":
-        sep = sniff_separator(spark, paths)
+        by_sep: dict[str, list[str]] = {}
+        for file, own in sniff_separators(spark, paths).items():
+            by_sep.setdefault(own, []).append(file)
+        parts = [read_survey_csv(spark, files, own, sheet_label) for own, files in sorted(by_sep.items())]
+        return functools.reduce(DataFrame.unionByName, parts)
     raw = (spark.read.schema(S.RAW_SURVEY_SCHEMA)
            .option("sep", sep).option("header", "false").option("mode", "PERMISSIVE")
            .option("encoding", "UTF-8")
            .csv(paths))
-    if len(paths) == 1 and not os.path.isdir(paths[0]):
-        sheet = F.lit(S.CSV_SHEET)
-    else:
-        sheet = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     return raw.select(
         F.regexp_replace(F.col("fecha"), "^\uFEFF", "").alias("fecha"),
         *S.SURVEY_COLUMNS[1:],
-        sheet.alias("hoja_origen"),
+        (stem if sheet_label is None else F.lit(sheet_label)).alias("hoja_origen"),
     )
 
 

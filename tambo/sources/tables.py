@@ -12,14 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fact_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A row-heavy input, spread over the cluster's cores when the scan cannot be.
+    """A row-heavy input as it is stored.
 
-    A file with a single row group (or an unsplittable CSV) scans as one task,
-    and every row-local stage after it (parsing, validation, unpivot) would
-    run on one core.  When the scan yields fewer partitions than the default
-    parallelism the rows are redistributed round-robin once; on a large input
-    the scan already has many more partitions and this is a no-op.
+    With the session option ``spark.tambo.spreadScans`` set to true (off by
+    default) its rows are dealt round-robin over the cores, for inputs whose
+    files cannot be split.
     """
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if spark.conf.get("spark.tambo.spreadScans", "false") == "true":
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df

@@ -16,8 +16,9 @@ is handled by ``foreachBatch``:
 
 The same day rule of the application ("same calendar day") is kept by whole
 day recomputation, so late data needs no watermark or state store.  Replaying
-a batch is idempotent: stored sales are skipped and recomputation gives the
-same rows.  New content is checkpointed before any overwrite, so no job reads
+a batch is idempotent: stored sales are skipped, the batch's groups are always
+recomputed and give the same rows, so a batch that failed between the two
+writes is completed by its replay.  New content is checkpointed before any overwrite, so no job reads
 the files it replaces.
 """
 
@@ -49,7 +50,9 @@ class ScaleSalesSink:
         """The stored table, or an empty frame before the first write (any file system)."""
         try:
             return self.spark.read.parquet(path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             return self.spark.createDataFrame([], schema)
 
     def raw(self) -> DataFrame:
@@ -63,27 +66,27 @@ class ScaleSalesSink:
         return self._read(self.table_path, schema)
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
-        spark = self.spark
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        cat = B.catalogue(spark)
-        sales = batch.dropDuplicates(["event_id"]).withColumn("dia", F.to_date("ts"))
-        days = sales.select("dia").distinct()
-        # Days of one batch: bounded by the calendar, broadcast.
-        stored = self.raw().join(F.broadcast(days), "dia", "left_semi")
-        new = sales.join(stored.select("event_id"), "event_id", "left_anti").checkpoint(eager=True)
-        if new.isEmpty():
+        cat = B.catalogue(self.spark)
+        sales = batch.dropDuplicates(["event_id"]).withColumn("dia", F.to_date("ts")).checkpoint(eager=True)
+        # Days of one batch: bounded by the calendar.  As literals they prune the stores' partitions.
+        days = [r["dia"] for r in sales.select("dia").distinct().collect()]
+        if not days:
             return
-        new.write.mode("append").partitionBy("dia").parquet(self.raw_path)
+        touched = F.col("dia").isin([d for d in days if d is not None]) | F.col("dia").isNull()
+        stored = self.raw().filter(touched)
+        new = sales.join(stored.select("event_id"), "event_id", "left_anti").checkpoint(eager=True)
+        if not new.isEmpty():
+            new.write.mode("append").partitionBy("dia").parquet(self.raw_path)
 
-        groups = new.select("dia", "producto").distinct()
-        touched_days = groups.select("dia").distinct()
-        group_sales = self.raw().join(groups, ["dia", "producto"], "left_semi").drop("dia")
+        # Groups of the whole batch, not of its new sales: a batch that failed after the append is made good.
+        groups = sales.select("dia", "producto").distinct()
+        group_sales = self.raw().filter(touched).join(groups, ["dia", "producto"], "left_semi").drop("dia")
         fresh = B.scale_pair_sales(group_sales, cat).withColumn("dia", F.to_date("creado_ts"))
-        kept = (self.table().join(touched_days, "dia", "left_semi")
-                            .join(groups, ["dia", "producto"], "left_anti"))
+        kept = self.table().filter(touched).join(groups, ["dia", "producto"], "left_anti")
         out = kept.select(*ROW_COLUMNS, "dia").unionByName(fresh.select(*ROW_COLUMNS, "dia")) \
                   .checkpoint(eager=True)
-        out.write.mode("overwrite").partitionBy("dia").parquet(self.table_path)
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("dia").parquet(self.table_path))
 
 
 def start_scale_stream(spark: SparkSession, input_dir: str, root: str, checkpoint_location: str,

@@ -122,3 +122,12 @@ def test_gap_forecast_without_common_dates_is_zero(spark):
     table = FC.forecast_table(sem).orderBy("semana").collect()
     assert table[0].fechaprediccion == D0 + dt.timedelta(days=8)
     assert table[0].productomayorincremento == "a"
+
+
+def test_raw_row_positions_count_priced_rows_only(spark):
+    import datetime as dt
+
+    from tambo.operators import forecast as FC
+    rows = [("Papa", dt.date(2024, 1, d), "Minorista", y) for d, y in ((1, 1.0), (2, 2.0), (3, None), (4, 3.0))]
+    sem = spark.createDataFrame(rows, "producto string, fecha date, tipo_venta string, precio_promedio double")
+    assert abs(FC.increments_raw_rows(sem).first().precio_predicho - 11.0) < 1e-9

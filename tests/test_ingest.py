@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tambo.operators import quality as Q
-from tambo.sources.survey_csv import read_survey_csv, sniff_separator, type_survey
+from tambo.sources.survey_csv import read_survey_csv, sniff_separators, type_survey
 
 
 def _write(path, text, bom=False):
@@ -19,7 +20,7 @@ ROWS = ("05/03/2024;Papa;Saco;50;70;80;90;Kilogramo;1;2;2.5;3\n"
 
 def test_bom_and_title_rows(spark, tmp_path):
     p = _write(tmp_path / "s.csv", "Reporte de precios;;;\nFecha;Producto;Unidad\n" + ROWS, bom=True)
-    t = type_survey(read_survey_csv(spark, p))
+    t = type_survey(read_survey_csv(spark, p, sheet_label="CSV"))
     rows = t.orderBy("fecha").collect()
     assert [r.producto for r in rows] == ["Papa", "Tomate"]
     assert rows[0].fecha == dt.date(2024, 3, 5)
@@ -43,10 +44,21 @@ def test_short_rows_padded_and_long_rows_cut(spark, tmp_path):
 def test_comma_file_needs_auto_separator(spark, tmp_path):
     p = _write(tmp_path / "s.csv", ROWS.replace(";", ","))
     assert type_survey(read_survey_csv(spark, p)).count() == 0          # ';' as in the reference
-    assert sniff_separator(spark, [p]) == ","
+    assert list(sniff_separators(spark, [p]).values()) == [","]
     assert type_survey(read_survey_csv(spark, p, sep="auto")).count() == 2
 
 
+def test_separator_is_found_per_file_below_long_notes(spark, tmp_path):
+    notes = "nota; con; punto; y; coma\n" * 300
+    a = _write(tmp_path / "Enero.csv", notes + ROWS.replace(";", ","))
+    b = _write(tmp_path / "Febrero.csv", ROWS)
+    t = type_survey(read_survey_csv(spark, [f"file://{a}", b], sep="auto"))
+    assert {r.hoja_origen: r["count"] for r in t.groupBy("hoja_origen").count().collect()} == {"Enero": 2, "Febrero": 2}
+    assert {r.hoja_origen for r in read_survey_csv(spark, f"file://{tmp_path}").collect()} == {"Enero", "Febrero"}
+    with pytest.raises(ValueError, match="no dated row"):
+        sniff_separators(spark, [_write(tmp_path / "x.csv", notes)])
+
+
 def test_two_files_are_two_sheets(spark, tmp_path):
     a = _write(tmp_path / "Enero.csv", ROWS)
     b = _write(tmp_path / "Febrero.csv", ROWS)

@@ -118,3 +118,47 @@ def test_versioned_save_replace_append_and_failed_load(spark, tmp_path):
     after = WH.read(spark, root)                                         # failed load: previous state
     assert after["fact_precios"].count() == n
     assert {r.restriccion for r in WH.fk_check(after).filter("violaciones > 0").collect()} == set()
+
+
+def test_stream_batch_that_failed_between_its_writes_is_made_good(spark, tmp_path, monkeypatch):
+    sales = FIX.scale_events(spark, SF_SMALL)
+    sink = ScaleSalesSink(spark, str(tmp_path / "t"))
+
+    def fail(*_):
+        raise RuntimeError("lost after the raw append")
+
+    with monkeypatch.context() as m:
+        m.setattr(B, "scale_pair_sales", fail)
+        with pytest.raises(RuntimeError):
+            sink(sales, 0)
+    assert sink.raw().count() == sales.count()
+    sink(sales, 0)
+    expected = B.latest_per_key(B.scale_pair_sales(sales, B.catalogue(spark))).select(*B.PAIR_COLUMNS)
+    got = current_sales_table(spark, str(tmp_path / "t")).select(*B.PAIR_COLUMNS)
+    assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == "STATIC"
+
+
+def test_ids_are_unique_over_many_partitions(spark):
+    first = WH.numbered(spark.range(300).repartition(300).toDF("x"), "n", 0)
+    second = WH.numbered(spark.range(300).repartition(300).toDF("x"), "n", 300)
+    assert sorted(r.n for r in first.union(second).collect()) == list(range(1, 601))
+
+
+def test_default_loads_manifest_errors_and_appended_kpis(spark, tmp_path, monkeypatch):
+    f = FX.unpivot_channels(Q.ok_rows(Q.validate(FIX.wide_survey(spark, SF_SMALL))))
+    ok = Q.ok_rows(Q.validate(FIX.wide_survey(spark, SF_SMALL)))
+    root, half = str(tmp_path / "wh"), F.col("fecha") < "1995-06-01"
+    WH.save(WH.load(WH.empty_warehouse(spark), ok, f.filter(half)), root)
+    two = WH.load(WH.read(spark, root), ok, f.filter(~half), replace=False)
+    assert WH.save(two, root, replace=False) == 2
+    whole = WH.load(WH.empty_warehouse(spark), ok, f)
+    kpis = lambda w: sorted((r.nombre_kpi, float(r.valor)) for r in w["fact_kpis"].collect())        # noqa: E731
+    for (name, a), (_, b) in zip(kpis(WH.read(spark, root)), kpis(whole)):
+        assert abs(a - b) <= 0.02, name
+    with monkeypatch.context() as m:
+        m.setattr(F, "input_file_name", lambda: F.raise_error(F.lit("lost")))
+        with pytest.raises(Exception, match="lost"):
+            WH.save(two, root, replace=False)
+    assert WH.choose_source(spark, root, f.filter(half)).count() == f.filter(half).count()
+    assert WH.choose_source(spark, root, f.filter("false")).count() == f.count()
