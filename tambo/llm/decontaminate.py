@@ -95,8 +95,9 @@ def document_hits(base: DataFrame, windows: DataFrame, n_windows: int, lengths:
     words = base.select("doc", text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("words"))
     count = {m: F.greatest(F.size("words") - (m - 1), F.lit(0)) for m in lengths}
     hashes = [window_hashes(F.col("words"), m) for m in lengths]
-    probed = words.filter(F.size("words") > 0).select(
-        "doc", "key", "words", F.posexplode(F.concat(*hashes) if len(hashes) > 1 else hashes[0]).alias("at", "hash"))
+    # The outer form, whose null row of an empty array finds no match: for the inner form Spark would add a filter on
+    # the array's size and compute every hash twice.
+    probed = words.select("doc", "key", "words", F.posexplode_outer(F.concat(*hashes) if len(hashes) > 1 else hashes[0]).alias("at", "hash"))
     distinct = windows.select("hash", "length", "window").distinct()
     offset, length, before = F.lit(0), F.lit(lengths[0]), F.lit(0)
     for m in lengths:
