@@ -49,20 +49,39 @@ def filter_units(records: DataFrame, start: str, end: str, productos: Sequence[s
 
 
 def filter_domains(df: DataFrame) -> DataFrame:
-    """Filter domains as (dominio, valor) rows: date bounds, sorted distinct products,
-    channels and units (P16).  Each domain is a distributed distinct."""
-    dates = df.agg(F.min("fecha").cast("string").alias("min"), F.max("fecha").cast("string").alias("max"))
-    bounds = dates.select(F.stack(F.lit(2), F.lit("fecha_min"), F.col("min"),
-                                  F.lit("fecha_max"), F.col("max")).alias("dominio", "valor"))
+    """Filter domains as (dominio, valor) rows: date bounds, distinct products, channels and units.
+
+    One pass: the rows are aggregated to their (product, channel, unit)
+    combinations with date bounds, and those rows give every domain.  The
+    bounds of an empty input are null.
+    """
     chan = "tipo_precio" if "tipo_precio" in df.columns else "tipo_venta"
-    parts = [bounds]
-    for name, col in (("producto", "producto"), ("tipo", chan), ("unidad", "unidad")):
-        parts.append(df.select(F.lit(name).alias("dominio"), F.trim(F.col(col)).alias("valor"))
-                       .filter(F.col("valor").isNotNull()).distinct())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    date = F.col("fecha").cast("string")
+    combos = df.groupBy(F.trim("producto").alias("producto"), F.trim(chan).alias("tipo"),
+                        F.trim("unidad").alias("unidad")).agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
+    seed = df.sparkSession.range(1).select(*[F.lit(None).cast("string").alias(c) for c in combos.columns])
+    low, high = F.lit("fecha_min"), F.lit("fecha_max")
+    pairs = combos.unionByName(seed).select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("dominio"), F.col(c).alias("valor"))
+        for n, c in (("fecha_min", "lo"), ("fecha_max", "hi"), ("producto", "producto"), ("tipo", "tipo"),
+                     ("unidad", "unidad"))])))
+    is_bound = F.col("dominio").isin("fecha_min", "fecha_max")
+    grouped = pairs.groupBy("dominio", F.when(~is_bound, F.col("valor")).alias("_member")) \
+                   .agg(F.min("valor").alias("_lo"), F.max("valor").alias("_hi"))
+    out = grouped.select("dominio", F.when(F.col("dominio") == low, F.col("_lo"))
+                         .when(F.col("dominio") == high, F.col("_hi")).otherwise(F.col("_member")).alias("valor"))
+    return out.filter(is_bound | F.col("valor").isNotNull())
+
+
+def filter_dates(facts: DataFrame, start: str = "", end: str = "") -> DataFrame:
+    """Facts within ISO date bounds, blank = open: the client's date filter on the DATE column, before it is formatted
+    as text, so that it reaches the scan (P15).  Undated rows fail any bound."""
+    cond = F.lit(True)
+    if start:
+        cond = cond & (F.col("fecha") >= F.lit(start).cast("date"))
+    if end:
+        cond = cond & (F.col("fecha") <= F.lit(end).cast("date"))
+    return facts.filter(cond)
 
 
 def product_search(df: DataFrame, query: str) -> DataFrame:

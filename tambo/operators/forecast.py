@@ -10,8 +10,8 @@ Two regression axes exist:
 
 Series are daily means, i.e. aggregates whose size is bounded by the calendar
 (per key: one row per date).  Windows run only over those aggregates.  The
-raw-row variant (F11) orders fact rows with a global sort index instead of a
-per-key window, because one product may hold a third of all facts.
+raw-row variant (F11) numbers rows inside (product, date, channel) cells and
+adds the rows of earlier cells, because one product may hold a third of all facts.
 Single-row results are combined by union + one aggregate, never by joins.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tambo import schemas as S
 from tambo.functions.columns import days_since_origin, stable_round
-from tambo.plans.ordinal import global_index
+from tambo.session import checkpoint_dir
 
 
 # ---------------------------------------------------------------- series and fits
@@ -88,27 +88,6 @@ def ordinal_fit(series: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def fit_global_index(indexed: DataFrame, keys: list[str], y: str, idx: str = "gidx") -> DataFrame:
-    """Ordinal fit per key from a contiguous global index (shift-invariant sums).
-
-    With g = start + x, slope(y, g) = slope(y, x) and the projection at
-    x = n - 1 + h equals mean(y) + slope * (max(g) + h - mean(g)); expressed
-    here as intercept/slope on x so it plugs into ``projected``.
-    """
-    a = indexed.filter(F.col(y).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.regr_slope(y, idx).alias("slope"),
-        F.avg(y).alias("_ay"),
-        F.avg(idx).alias("_ag"),
-        F.min(idx).alias("_g0"),
-        F.max_by(y, idx).alias("last_y"),
-        F.max("fecha").alias("last_fecha"),
-    )
-    # intercept on x: mean(y) - slope * mean(x), mean(x) = mean(g) - start.
-    return a.withColumn("intercept", F.col("_ay") - F.col("slope") * (F.col("_ag") - F.col("_g0"))) \
-            .drop("_ay", "_ag", "_g0")
-
-
 def projected(h: Column | int, clamp: bool = True) -> Column:
     """Projection h steps past the last point of a fit row (n >= 1)."""
     h = F.lit(h) if isinstance(h, int) else h
@@ -176,11 +155,35 @@ def forecastable(sem: DataFrame) -> DataFrame:
 
 
 def increments_raw_rows(sem: DataFrame, horizon: int = S.HORIZON, min_points: int = 2) -> DataFrame:
-    """Per product over raw rows with a price (positions count those only), in (fecha, tipo_venta, price) order, unclamped, n >= 2."""
-    rows = forecastable(sem) \
-              .select("producto", "fecha", "tipo_venta", "precio_promedio")
-    idx = global_index(rows, ["producto", "fecha", "tipo_venta", "precio_promedio"])
-    fit = fit_global_index(idx, ["producto"], "precio_promedio").filter(F.col("n") >= min_points)
+    """Per product over raw rows with a price (positions count those only), in (fecha, tipo_venta, price) order, unclamped, n >= 2.
+
+    Rows of equal price in a (product, date, channel) cell are counted before the
+    shuffle.  A position is the rows of earlier cells (a running sum over the
+    cells, bounded by the calendar) plus the place inside the cell, so the centred
+    sum of x * y needs one row per cell, and that of x * x is n (n^2 - 1) / 12.
+    """
+    cell = ["producto", "fecha", "tipo_venta"]
+    y, c = F.col("precio_promedio"), F.col("_c")
+    prices = forecastable(sem).groupBy(*cell, "precio_promedio").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    cheaper = Window.partitionBy(*cell).orderBy("precio_promedio").rowsBetween(Window.unboundedPreceding, -1)
+    cells = prices.withColumn("_at", F.coalesce(F.sum("_c").over(cheaper), F.lit(0.0))).groupBy(*cell).agg(
+        F.sum("_c").alias("_m"), F.sum(y * c).alias("_sy"),
+        F.sum(y * c * (F.col("_at") + (c - 1) / 2)).alias("_spy"),
+        F.max("precio_promedio").alias("_last"))
+    whole = Window.partitionBy("producto")
+    earlier = whole.orderBy("fecha", "tipo_venta").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumns({
+        "_start": F.coalesce(F.sum("_m").over(earlier), F.lit(0.0)),
+        "n": F.sum("_m").over(whole),
+        "_ay": F.sum("_sy").over(whole) / F.sum("_m").over(whole)})
+    m, ay, ax = F.col("_m"), F.col("_ay"), (F.col("n") - 1) / 2
+    cov = (F.col("_start") - ax) * (F.col("_sy") - m * ay) + F.col("_spy") - ay * m * (m - 1) / 2
+    fit = placed.groupBy("producto").agg(
+        F.max("n").alias("n"), F.max("_ay").alias("_ay"), F.sum(cov).alias("_cov"),
+        F.max_by("_last", F.struct("fecha", "tipo_venta")).alias("last_y")).filter(F.col("n") >= min_points)
+    n = F.col("n")
+    fit = fit.withColumn("slope", F.col("_cov") * 12 / (n * (n * n - 1))) \
+             .withColumn("intercept", F.col("_ay") - F.col("slope") * (n - 1) / 2)
     out = fit.select(
         "producto",
         F.col("last_y").alias("precio_actual"),
@@ -265,21 +268,38 @@ def forecast_table(sem: DataFrame, horizon: int = S.HORIZON) -> DataFrame:
     }).withColumnRenamed("fecha_prediccion", "fechaprediccion")
 
 
-def history_plus_forecast(sem: DataFrame, anchor: bool = True, horizon: int = S.HORIZON) -> DataFrame:
+def history_plus_forecast(sem: DataFrame, anchor: bool = True, horizon: int = S.HORIZON,
+                          series: str = "price") -> DataFrame:
     """Daily history tagged 'Historico' plus the projection tagged 'Proyectado' (U3).
 
-    With ``anchor`` the last real point is repeated as the first projected row.
+    ``series``: the mean price, the mean range, the channel gap, or the price of
+    the product with the largest increment ('top').  With ``anchor`` the last real
+    point is repeated as the first projected row.
     """
-    hist = daily_series(sem, []).select("fecha", F.col("y").alias("valor"), F.lit(S.HISTORY).alias("tipo"))
-    proj = forecast_weeks(sem, horizon).select(
-        F.col("fecha_prediccion").alias("fecha"), F.col("precio_promedio_futuro").alias("valor"),
-        F.lit(S.PROJECTED).alias("tipo"))
-    out = hist.unionByName(proj)
+    if series == "top":
+        path = top_increment_path(sem, horizon)
+        # One product: a proven bound for the broadcast.
+        hist = daily_series(sem, ["producto"]).join(F.broadcast(path.select("producto").distinct()), "producto",
+                                                    "left_semi").select("fecha", "y")
+        proj = path.select("fecha_prediccion", F.col("precio_proyectado").alias("_p"))
+    elif series == "range":
+        hist = daily_series(sem, [], "variacion_precio")
+        proj = forecast_variation(sem, horizon).select("fecha_prediccion", F.col("tendencia_variacion").alias("_p"))
+    elif series == "gap":
+        hist = gap_series(sem)
+        proj = forecast_gap(sem, horizon).select("fecha_prediccion", F.col("diferencia_futura").alias("_p"))
+    elif series == "price":
+        hist = daily_series(sem, [])
+        proj = forecast_weeks(sem, horizon).select("fecha_prediccion", F.col("precio_promedio_futuro").alias("_p"))
+    else:
+        raise ValueError(f"unknown series {series!r}")
+    projected_rows = proj.select(F.col("fecha_prediccion").alias("fecha"), F.col("_p").alias("valor"))
     if anchor:
-        fit = ordinal_fit(daily_series(sem, []), [])
-        out = out.unionByName(fit.select(F.col("last_fecha").alias("fecha"), F.col("last_y").alias("valor"),
-                                         F.lit(S.PROJECTED).alias("tipo")))
-    return out
+        last = ordinal_fit(hist, []).filter(F.col("n") > 0)
+        projected_rows = projected_rows.unionByName(
+            last.select(F.col("last_fecha").alias("fecha"), F.col("last_y").alias("valor")))
+    return hist.select("fecha", F.col("y").alias("valor"), F.lit(S.HISTORY).alias("tipo")) \
+               .unionByName(projected_rows.withColumn("tipo", F.lit(S.PROJECTED)))
 
 
 # ---------------------------------------------------------------- date axis
@@ -386,22 +406,28 @@ def client_summary(records: DataFrame, k: int = 10) -> DataFrame:
     One-step projections; the top-k products by mean analysis price; each
     product series is its daily mean rounded to 2 dp; the channel gap is the
     difference of the two channel projections, 0 when either is 0.
+
+    The records are read once, for the sums and counts of each (product, date);
+    those are checkpointed, because each series would otherwise read them again.
     """
-    recs = records.withColumn("fecha", F.to_date("fecha"))
-    top = (recs.filter(F.col("precio_analisis").isNotNull())
-               .groupBy(F.coalesce(F.nullif("producto", F.lit("")), F.lit(S.NO_DATA)).alias("producto"))
-               .agg(F.avg("precio_analisis").alias("_avg"))
-               .orderBy(F.desc("_avg"), F.asc("producto")).limit(k).select("producto"))
-    daily = (recs.filter(F.col("precio_analisis").isNotNull())
-                 .join(F.broadcast(top), "producto", "left_semi")
-                 .groupBy("producto", "fecha").agg(stable_round(F.avg("precio_analisis"), 2).alias("y")))
+    checkpoint_dir(records.sparkSession)
+    values = ["precio_analisis", "variacion_precio", "precio_mayorista", "precio_minorista"]
+    base = records.groupBy("producto", "fecha").agg(
+        *[F.sum(v).alias(f"s_{v}") for v in values], *[F.count(v).alias(f"n_{v}") for v in values]) \
+        .withColumn("fecha", F.to_date("fecha")).checkpoint()
+    priced = base.filter(F.col("n_precio_analisis") > 0)
+    top = (priced.groupBy(F.coalesce(F.nullif("producto", F.lit("")), F.lit(S.NO_DATA)).alias("producto"))
+                 .agg(_mean("s_precio_analisis", "n_precio_analisis").alias("_avg"))
+                 .orderBy(F.desc("_avg"), F.asc("producto")).limit(k).select("producto"))
+    daily = priced.join(F.broadcast(top), "producto", "left_semi").select(
+        "producto", "fecha", stable_round(F.col("s_precio_analisis") / F.col("n_precio_analisis"), 2).alias("y"))
     fit = ordinal_fit(daily, ["producto"]).withColumn("_fut", projected(1, True)) \
         .withColumn("_inc", F.col("_fut") - F.col("last_y"))
     prods = fit.agg(F.avg("_fut").alias("_avg_fut"),
                     F.min_by("producto", F.struct(-F.col("_inc"), F.col("producto"))).alias("_best"))
 
     def one_step(col: str, prefix: str) -> DataFrame:
-        s = recs.filter(F.col(col).isNotNull()).groupBy("fecha").agg(F.avg(col).alias("y"))
+        s = base.groupBy("fecha").agg(_mean(f"s_{col}", f"n_{col}").alias("y"))
         return _prefixed(ordinal_fit(s, []), prefix)
 
     one = collapse([prods, one_step("variacion_precio", "v"), one_step("precio_mayorista", "m"),

@@ -56,18 +56,19 @@ def kpis_filtered(records: DataFrame) -> DataFrame:
     )
 
 
-def fact_counts(validated: DataFrame, facts: DataFrame) -> DataFrame:
-    """Row counts per stage (A17): read / valid / rejected survey rows and facts."""
-    q = validated.agg(
+def fact_counts(validated: DataFrame) -> DataFrame:
+    """Row counts per stage (A17) in one pass: read / valid / rejected survey rows and facts.
+
+    A valid row with a date and a product yields one fact per channel with an average price.
+    """
+    ok = F.col("estado") == S.STATUS_OK
+    yields = ok & F.col("fecha").isNotNull() & (F.col("producto") != "")
+    facts = [F.count_if(yields & F.col(average).isNotNull()) for _, _, _, average, _ in S.CHANNEL_COLUMNS.values()]
+    return validated.agg(
         F.count(F.lit(1)).alias("registros_leidos"),
-        F.count_if(F.col("estado") == S.STATUS_OK).alias("registros_validos"),
+        F.count_if(ok).alias("registros_validos"),
         F.count_if(F.col("estado") == S.STATUS_ERROR).alias("registros_rechazados"),
-        F.lit(0).cast("long").alias("hechos"))
-    f = facts.agg(F.lit(0).cast("long").alias("registros_leidos"),
-                  F.lit(0).cast("long").alias("registros_validos"),
-                  F.lit(0).cast("long").alias("registros_rechazados"),
-                  F.count(F.lit(1)).alias("hechos"))
-    return q.unionByName(f).agg(*[F.sum(c).alias(c) for c in q.columns])
+        sum(facts[1:], facts[0]).alias("hechos"))
 
 
 # ------------------------------------------------------------ group averages

@@ -4,19 +4,18 @@ A scale sale carries a market, a channel, a product, a weight and a price.
 Sales of one product on one calendar day are merged into survey rows: the
 k-th wholesale sale and the k-th retail sale of that (day, product) share a
 row, stamped with the earlier of the two times (to the second).  That merge
-is a full outer equi-join on (day, product, k); k comes from a global sort
-index, so a (day, product, channel) group holding a third of all sales is
-still split over many tasks.
+is a full outer equi-join on (day, product, k); k is counted per minute, so a
+product holding a third of all sales is still split over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tambo import schemas as S
-from tambo.plans.ordinal import global_index
+from tambo.plans.ordinal import numbered
 
 PAIR_COLUMNS = [
     "fecha", "producto",
@@ -73,13 +72,21 @@ def scale_price_band(sales: DataFrame) -> DataFrame:
 
 
 def sale_rank(sales: DataFrame) -> DataFrame:
-    """k = 0-based position of the sale in its (day, product, channel), by (ts, event_id)."""
-    s = sales.withColumn("dia", F.to_date("ts"))
+    """k = 0-based position of the sale in its (day, product, channel), by (ts, event_id).
+
+    Sales are numbered within a minute of the group; the sales of its earlier
+    minutes come from a running sum over the counts (at most 1440 per group).
+    """
     keys = ["dia", "producto", "canal"]
-    idx = global_index(s, [*keys, "ts", "event_id"])
-    starts = idx.groupBy(*keys).agg(F.min("gidx").alias("_g0"))
-    return idx.join(starts, keys).withColumn("k", (F.col("gidx") - F.col("_g0")).cast("long")) \
-              .drop("gidx", "_g0")
+    cell = [*keys, "_minute"]
+    s = sales.withColumns({"dia": F.to_date("ts"), "_minute": F.date_trunc("minute", "ts")})
+    earlier = Window.partitionBy(*keys).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    starts = s.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")) \
+              .select(*cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("ts", "event_id"))
+    return (s.withColumn("_place", place).join(starts, cell)
+             .withColumn("k", F.col("_before") + F.col("_place") - 1)
+             .drop("_minute", "_place", "_before"))
 
 
 def scale_pair_sales(sales: DataFrame, cat: DataFrame) -> DataFrame:
@@ -118,15 +125,24 @@ def latest_per_key(rows: DataFrame) -> DataFrame:
 
 
 def scale_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Upsert on (fecha, producto): every price column replaced, id/created_at kept."""
-    new = latest_per_key(incoming)
-    vals = [c for c in PAIR_COLUMNS if c not in ("fecha", "producto")]
-    e = existing.select("fecha", "producto", "id", "created_at", *[F.col(c).alias(f"_old_{c}") for c in vals])
-    j = e.join(new.select("fecha", "producto", *vals, F.lit(True).alias("_new")), ["fecha", "producto"], "full_outer")
-    isnew = F.col("_new").isNotNull()
-    return j.select(
-        "fecha", "producto", "id", "created_at",
-        *[F.when(isnew, F.col(c)).otherwise(F.col(f"_old_{c}")).alias(c) for c in vals])
+    """Upsert on (fecha, producto).
+
+    Rows of both sides get every price column replaced and keep id and
+    created_at; rows only in ``existing`` stay; new ones get ids after the
+    present maximum and the present time.
+    """
+    keys = ["fecha", "producto"]
+    vals = [c for c in PAIR_COLUMNS if c not in keys]
+    new = latest_per_key(incoming).select(*keys, *vals)
+    after = existing.agg(F.max("id")).first()[0] or 0
+    added = numbered(new.join(existing.select(*keys), keys, "left_anti"), "id", after) \
+        .withColumn("created_at", F.current_timestamp())
+    fresh = new.select(*keys, F.struct(*vals).alias("_new"))
+    held = existing.select(*keys, "id", "created_at", F.struct(*vals).alias("_old")) \
+        .join(fresh, keys, "left") \
+        .select("id", *keys, F.coalesce("_new", "_old").alias("_v"), "created_at") \
+        .select("id", *keys, "_v.*", "created_at")
+    return held.unionByName(added)
 
 
 def scale_recent(sales: DataFrame, n: int = 6) -> DataFrame:

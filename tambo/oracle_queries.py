@@ -63,6 +63,9 @@ q("quality_flags", V_CTE, "SELECT estado, error, COUNT(*) AS filas FROM vq GROUP
 q("quality_split", V_CTE, """
 SELECT COUNT(*) AS registros_leidos, COUNT(*) FILTER (WHERE estado = 'OK') AS registros_validos,
        COUNT(*) FILTER (WHERE estado = 'ERROR') AS registros_rechazados FROM vq""", [])
+q("quality_rejects", V_CTE, """
+SELECT fecha, producto, hoja_origen, precio_mayorista, precio_minorista, precio_analisis, error
+FROM vq WHERE estado = 'ERROR'""", ["precio_mayorista", "precio_minorista", "precio_analisis"])
 _NN = "(CAST({a} IS NOT NULL AS INTEGER) + CAST({b} IS NOT NULL AS INTEGER))"
 _MEAN2 = ("CASE WHEN " + _NN + " > 0 THEN (COALESCE({a}, 0) + COALESCE({b}, 0)) / " + _NN + " END")
 q("etl_row_metrics", V_CTE, f"""
@@ -249,33 +252,35 @@ SELECT fecha AS fecha_registro, producto AS producto_nombre,
        {sr('precio_mayorista', 2)} AS precio_mayorista_orig, {sr('precio_minorista', 2)} AS precio_minorista_orig,
        hoja_origen
 FROM vq WHERE estado = 'OK'""", ["precio_mayorista_orig", "precio_minorista_orig"])
+# The last product, February, the months of 1996, the year 1997, the wholesale channel and the default unit are
+# removed from their dimensions; products before 'c' and all other units are entered twice.
 FK = F_CTE + """,
-dp AS (SELECT row_number() OVER (ORDER BY producto) AS id_producto, producto
-       FROM (SELECT DISTINCT producto FROM fn) d),
-dt AS (SELECT row_number() OVER (ORDER BY fecha) AS id_tiempo, fecha FROM (SELECT DISTINCT fecha FROM fn) d),
-dtv AS (SELECT row_number() OVER (ORDER BY tipo_venta) AS id_tipo_venta, tipo_venta
-        FROM (SELECT DISTINCT tipo_venta FROM fn) d),
-dun AS (SELECT row_number() OVER (ORDER BY unidad, tipo_venta) AS id_unidad, unidad, tipo_venta
-        FROM (SELECT DISTINCT unidad, tipo_venta FROM fn) d),
-fk AS (SELECT f.*, dp.id_producto, dt.id_tiempo, dtv.id_tipo_venta, dun.id_unidad FROM fn f
-       LEFT JOIN dp USING (producto) LEFT JOIN dt USING (fecha) LEFT JOIN dtv USING (tipo_venta)
-       LEFT JOIN dun ON dun.unidad = f.unidad AND dun.tipo_venta = f.tipo_venta)"""
+days AS (SELECT DISTINCT fecha FROM fn WHERE month(fecha) <> 2),
+months AS (SELECT DISTINCT year(fecha) AS y, month(fecha) AS m FROM fn WHERE year(fecha) <> 1996),
+years AS (SELECT DISTINCT year(fecha) AS y FROM fn WHERE year(fecha) <> 1997),
+goods AS (SELECT DISTINCT producto FROM fn),
+units AS (SELECT DISTINCT unidad, tipo_venta FROM fn WHERE unidad <> 'Sin unidad'),
+stored AS (SELECT producto FROM goods WHERE producto <> (SELECT MAX(producto) FROM goods)
+           UNION ALL SELECT producto FROM goods WHERE producto < 'c'),
+stored_units AS (SELECT * FROM units UNION ALL SELECT * FROM units)"""
 q("fk_check", FK, """
-SELECT 'fact_precios.id_producto' AS restriccion, COUNT(*) FILTER (WHERE id_producto IS NULL) AS violaciones FROM fk
-UNION ALL SELECT 'fact_precios.id_tiempo', COUNT(*) FILTER (WHERE id_tiempo IS NULL) FROM fk
-UNION ALL SELECT 'fact_precios.id_unidad', COUNT(*) FILTER (WHERE id_unidad IS NULL) FROM fk
-UNION ALL SELECT 'fact_precios.id_tipo_venta', COUNT(*) FILTER (WHERE id_tipo_venta IS NULL) FROM fk
-UNION ALL SELECT 'dim_tiempo.id_mes', 0
-UNION ALL SELECT 'dim_mes.id_anio', 0
-UNION ALL SELECT 'dim_unidad.id_tipo_venta', COUNT(*) FILTER (WHERE t.id_tipo_venta IS NULL)
-          FROM dun LEFT JOIN dtv t USING (tipo_venta)
-UNION ALL SELECT 'dim_producto(producto)', COUNT(*) FROM (SELECT producto FROM dp GROUP BY 1 HAVING COUNT(*) > 1) a
-UNION ALL SELECT 'dim_anio(anio)', 0
-UNION ALL SELECT 'dim_mes(id_anio,mes)', 0
-UNION ALL SELECT 'dim_tiempo(fecha)', COUNT(*) FROM (SELECT fecha FROM dt GROUP BY 1 HAVING COUNT(*) > 1) b
-UNION ALL SELECT 'dim_tipo_venta(tipo_venta)', COUNT(*) FROM (SELECT tipo_venta FROM dtv GROUP BY 1 HAVING COUNT(*) > 1) c
-UNION ALL SELECT 'dim_unidad(unidad,id_tipo_venta)',
-          COUNT(*) FROM (SELECT unidad, tipo_venta FROM dun GROUP BY 1, 2 HAVING COUNT(*) > 1) e""", [])
+SELECT 'fact_precios.id_producto' AS restriccion, COUNT(*) AS violaciones FROM fn
+WHERE producto = (SELECT MAX(producto) FROM goods)
+UNION ALL SELECT 'fact_precios.id_tiempo', COUNT(*) FROM fn WHERE fecha NOT IN (SELECT fecha FROM days)
+UNION ALL SELECT 'fact_precios.id_unidad', COUNT(*) FROM fn WHERE unidad = 'Sin unidad'
+UNION ALL SELECT 'fact_precios.id_tipo_venta', COUNT(*) FROM fn WHERE tipo_venta = 'Mayorista'
+UNION ALL SELECT 'dim_tiempo.id_mes', COUNT(*) FROM days LEFT JOIN months
+          ON y = year(fecha) AND m = month(fecha) WHERE y IS NULL
+UNION ALL SELECT 'dim_mes.id_anio', COUNT(*) FROM months WHERE y NOT IN (SELECT y FROM years)
+UNION ALL SELECT 'dim_unidad.id_tipo_venta', COUNT(*) FROM stored_units WHERE tipo_venta = 'Mayorista'
+UNION ALL SELECT 'dim_producto(producto)', COUNT(*) FROM (SELECT 1 FROM stored GROUP BY producto HAVING COUNT(*) > 1) a
+UNION ALL SELECT 'dim_anio(anio)', COUNT(*) FROM (SELECT 1 FROM years GROUP BY y HAVING COUNT(*) > 1) b
+UNION ALL SELECT 'dim_mes(id_anio,mes)', COUNT(*) FROM (SELECT 1 FROM months GROUP BY y, m HAVING COUNT(*) > 1) c
+UNION ALL SELECT 'dim_tiempo(fecha)', COUNT(*) FROM (SELECT 1 FROM days GROUP BY fecha HAVING COUNT(*) > 1) d
+UNION ALL SELECT 'dim_tipo_venta(tipo_venta)', COUNT(*) FROM (SELECT tipo_venta FROM (SELECT DISTINCT tipo_venta
+          FROM fn WHERE tipo_venta <> 'Mayorista') t GROUP BY 1 HAVING COUNT(*) > 1) e
+UNION ALL SELECT 'dim_unidad(unidad,id_tipo_venta)', COUNT(*) FROM (SELECT 1 FROM stored_units
+          GROUP BY unidad, tipo_venta HAVING COUNT(*) > 1) f""", [])
 ORACLE["schema_check"] = """
 SELECT * FROM (VALUES ('stg_precios_raw', 6, '', true), ('dim_producto', 2, '', true), ('dim_anio', 2, '', true),
   ('dim_mes', 4, '', true), ('dim_tiempo', 4, '', true), ('dim_tipo_venta', 2, '', true),
@@ -374,6 +379,26 @@ WHERE lastd.ultima_fecha IS NOT NULL
 UNION ALL
 SELECT last_fecha, last_y, 'Proyectado' FROM gf""", ["valor"])
 
+q("history_plus_forecast_range", FC, f"""
+SELECT fecha, y AS valor, 'Historico' AS tipo FROM vday
+UNION ALL
+SELECT {WEEKLY}, {proj('wk.semana', True, 'vf.')}, 'Proyectado' FROM lastd, wk LEFT JOIN vf ON true
+WHERE lastd.ultima_fecha IS NOT NULL""", ["valor"])
+q("history_plus_forecast_gap", FC, f"""
+SELECT fecha, y AS valor, 'Historico' AS tipo FROM gapday
+UNION ALL
+SELECT {WEEKLY}, {proj('wk.semana', True, 'xf.')}, 'Proyectado' FROM lastd, wk LEFT JOIN xf ON true
+WHERE lastd.ultima_fecha IS NOT NULL
+UNION ALL
+SELECT last_fecha, last_y, 'Proyectado' FROM xf""", ["valor"])
+q("history_plus_forecast_top", FC, f"""
+SELECT fecha, y AS valor, 'Historico' AS tipo FROM daily JOIN top1 USING (producto)
+UNION ALL
+SELECT CAST(pf.last_fecha + CAST(7 * wk.semana AS INTEGER) AS DATE), {proj('wk.semana', True, 'pf.')}, 'Proyectado'
+FROM pf JOIN top1 ON pf.producto = top1.producto, wk
+UNION ALL
+SELECT last_fecha, last_y, 'Proyectado' FROM pf JOIN top1 ON pf.producto = top1.producto""", ["valor"])
+
 # ------------------------------------------------------------------ date-axis forecasts
 # A least-squares line through daily means is mean(y) + slope * (t - mean(t)), t counted in days from any origin.
 DAY = "CAST(date_diff('day', DATE '1970-01-01', fecha) AS DOUBLE)"
@@ -513,9 +538,18 @@ FROM ep LEFT JOIN cat c ON ep.producto = c.producto""", ["eq_may", "eq_min"])
 q("scale_pair_sales", PAIRS, f"SELECT {PAIR_OUT} FROM pairs", PAIR_D)
 LATEST = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fecha, producto
              ORDER BY creado_ts DESC, creado_id DESC) AS rn FROM {src}) t WHERE rn = 1)"""
-# The early snapshot ends at a day boundary, so its pairs are a subset of the full re-sync:
-# the merged table equals the latest version per key of all pairs.
-q("scale_upsert", PAIRS, f"SELECT {PAIR_OUT} FROM {LATEST.format(src='pairs')} t", PAIR_D)
+# Days before the 10th stay at twice the price, days from the 10th on have the arriving prices; the rows of
+# the days before the 16th had ids and creation times, those after get new ones.  Bands follow the doubled price.
+TWICE = {"lo": sr("precio * 2 * CAST(0.95 AS DOUBLE)", 2), "hi": sr("precio * 2 * CAST(1.05 AS DOUBLE)", 2)}
+DOUBLED = PAIRS.replace("e AS (", "e AS (SELECT * REPLACE (CASE WHEN ts < TIMESTAMP '2024-01-10' THEN precio * 2 "
+                        "ELSE precio END AS precio) FROM (", 1).replace("FROM events)", "FROM events) ev)", 1)
+q("scale_upsert", DOUBLED + f""",
+lp AS {LATEST.format(src='pairs')},
+held AS (SELECT fecha, producto, row_number() OVER (ORDER BY fecha, producto) AS id_previo FROM lp
+         WHERE fecha < TIMESTAMP '2024-01-16')""", f"""
+SELECT {PAIR_OUT}, CAST(id_previo AS BIGINT) AS id_previo,
+       CASE WHEN id_previo IS NOT NULL THEN fecha END AS alta_previa, CAST(1 AS BIGINT) AS filas_con_id
+FROM lp LEFT JOIN held USING (fecha, producto)""", PAIR_D)
 q("scale_recent", E_CTE, "SELECT event_id, ts, producto, canal, precio FROM e ORDER BY ts DESC, event_id DESC LIMIT 6",
   ["precio"])
 q("scale_to_facts", PAIRS + """,
@@ -528,5 +562,5 @@ sok AS (SELECT * FROM sv WHERE length(producto) >= 3 AND precio_analisis IS NOT
 """ + facts_cte("sf", True, "sok"), "SELECT * FROM sf", FACT_D)
 q("scale_history", PAIRS, f"SELECT {PAIR_OUT} FROM pairs", PAIR_D)
 
-# The streamed table equals the upsert of the batch answer.
-ORACLE["scale_stream"] = ORACLE["scale_upsert"]
+# The streamed table equals the latest version per key of the batch answer.
+q("scale_stream", PAIRS, f"SELECT {PAIR_OUT} FROM {LATEST.format(src='pairs')} t", PAIR_D)

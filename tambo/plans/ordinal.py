@@ -1,46 +1,32 @@
-"""Distributed global row index in a sort order, for arbitrarily hot groups.
-
-A window ``row_number() OVER (PARTITION BY key ORDER BY ...)`` puts every row
-of a key into one task; when one key holds a third of all rows that task is
-the whole job.  Instead the rows are sorted globally (range partitioning on
-key + order columns splits a hot key over many partitions), each row gets its
-position inside its partition, and partition offsets are a prefix sum over the
-per-partition counts (one row per partition, broadcast: its size is the
-partition count).  The indexed rows are checkpointed to the session's
-checkpoint folder so recomputation after a lost executor cannot renumber them.
-
-Rows of one key occupy a contiguous index range, so ordinal statistics per
-key follow from shift-invariant aggregates of the global index (see
-``tambo.operators.forecast.fit_global_index``) with no join back to the rows.
+"""Consecutive ids for the rows of a frame, without a global window.
+
+The rows are fixed in their partitions by a checkpoint, so that recomputation
+after a lost executor cannot renumber them; a row's id is its partition's
+offset plus its place in the partition.  Only one count per partition reaches
+the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tambo.session import checkpoint_dir
 
 
-def global_index(df: DataFrame, order_cols: list[str], name: str = "gidx") -> DataFrame:
-    """Add ``name`` = 0-based position of the row in the global ``order_cols`` order.
+def numbered(rows: DataFrame, id_col: str, after: int) -> DataFrame:
+    """``rows`` with ids ``after`` + 1, ``after`` + 2, ... in partition order, whatever the number of partitions.
 
-    Ties get distinct consecutive positions in an unspecified order; callers
-    put every column combined with the position (e.g. the regression target)
-    into ``order_cols`` so that tie order cannot change their result.
+    Sorted rows keep their order in the ids; empty input gives no rows.
     """
-    checkpoint_dir(df.sparkSession)
-    ordered = (df.orderBy(*order_cols)
-                 .withColumn("_pid", F.spark_partition_id())
-                 .withColumn("_mid", F.monotonically_increasing_id()))
-    ordered = (ordered.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-                      .drop("_mid")
-                      .checkpoint(eager=True))
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offs = counts.withColumn(
-        "_off",
-        F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0).cast("long")))
-    return (ordered.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-                   .withColumn(name, (F.col("_off") + F.col("_local")).cast("double"))
-                   .drop("_pid", "_local", "_off"))
+    checkpoint_dir(rows.sparkSession)
+    fixed = rows.checkpoint(eager=True)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    tagged = fixed.withColumns({"_pid": F.spark_partition_id(), "_at": place})
+    counts = {r["_pid"]: r["count"] for r in tagged.groupBy("_pid").count().collect()}
+    sizes = [counts.get(p, 0) for p in range(max(counts, default=0) + 1)]
+    starts = list(itertools.accumulate(sizes[:-1], initial=after + 1))
+    start = F.get(F.split(F.lit(",".join(map(str, starts))), ","), F.col("_pid")).cast("long")
+    return tagged.select((start + F.col("_at")).alias(id_col), *rows.columns)

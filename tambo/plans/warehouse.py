@@ -3,7 +3,7 @@
 Dimensions are small by construction (catalogue of products, calendar days,
 two channels, unit x channel pairs).  New members are found set-wise
 (distinct -> left_anti against the existing dimension) and numbered after the
-current maximum id; the numbering window runs over the new members only.
+current maximum id; they are computed once per load and checkpointed.
 Facts get their surrogate keys by equi-joins on natural keys; the optimizer
 broadcasts a dimension when its runtime size is under the broadcast threshold
 (AQE), and otherwise shuffles, so a large catalogue degrades gracefully.
@@ -13,17 +13,17 @@ partitions, unique for any number of partitions and without a global ordering.
 
 from __future__ import annotations
 
-import itertools
 import os
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tambo import schemas as S
 from tambo.functions.columns import month_name
 from tambo.operators.facts import to_semantic
+from tambo.plans.ordinal import numbered
 from tambo.session import checkpoint_dir
 
 DIM_SCHEMAS = {
@@ -66,18 +66,14 @@ def upsert_members(existing: DataFrame, candidates: DataFrame, keys: list[str],
     """Existing members plus new ones (insert-if-absent), ids after the current maximum.
 
     Candidate attribute columns come along for new members; existing members
-    keep theirs.  The numbering window spans the dimension only (bounded by
-    catalogue / calendar size), never facts.
+    keep theirs.  Only the new members are sorted and numbered; they are
+    checkpointed there, so every consumer reads them instead of finding them again.
     """
     cols = [c for c in existing.columns if c != id_col]
-    new = (candidates.select(*cols).dropDuplicates(keys)
-                     .join(existing.select(*keys), keys, "left_anti")
-                     .withColumn(id_col, F.lit(None).cast("long")))
-    u = existing.select(id_col, *cols).withColumn("_new", F.lit(False)) \
-        .unionByName(new.withColumn("_new", F.lit(True)))
-    base = F.coalesce(F.max(F.when(~F.col("_new"), F.col(id_col))).over(Window.partitionBy()), F.lit(0))
-    rn = F.row_number().over(Window.partitionBy("_new").orderBy(*keys))
-    return u.withColumn(id_col, F.coalesce(F.col(id_col), (base + rn).cast("long"))).select(id_col, *cols)
+    new = candidates.select(*cols).dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    after = existing.agg(F.max(id_col)).first()[0] or 0
+    added = numbered(new.select(*cols).orderBy(*keys), id_col, after)
+    return existing.select(id_col, *cols).unionByName(added)
 
 
 # grouping_id() of each grouping set over (producto, fecha, unidad, tipo_venta).
@@ -146,21 +142,6 @@ def dim_lookup(wh: Warehouse, facts: DataFrame) -> DataFrame:
             .join(wh["dim_unidad"].select("id_unidad", "unidad", "id_tipo_venta"), ["unidad", "id_tipo_venta"]))
 
 
-def numbered(rows: DataFrame, id_col: str, after: int) -> DataFrame:
-    """``rows`` with consecutive ids from ``after`` + 1: the rows are fixed in their partitions (checkpoint), and a
-    row's id is its partition's offset plus its place there, whatever the number of partitions."""
-    spark = rows.sparkSession
-    checkpoint_dir(spark)
-    fixed = rows.checkpoint(eager=True)
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    tagged = fixed.withColumns({"_pid": F.spark_partition_id(), "_at": place})
-    counts = sorted(map(tuple, tagged.groupBy("_pid").count().collect()))       # one row per partition
-    starts = itertools.accumulate((n for _, n in counts), initial=after + 1)
-    offsets = spark.createDataFrame([(p, s) for (p, _), s in zip(counts, starts)], "_pid int, _start long")
-    return (tagged.join(F.broadcast(offsets), "_pid")
-                  .select((F.col("_start") + F.col("_at")).alias(id_col), *rows.columns))
-
-
 def fact_rows(wh: Warehouse, facts: DataFrame) -> DataFrame:
     """Facts with surrogate keys and numeric(18,2) prices, numbered after the present ones."""
     j = dim_lookup(wh, facts)
@@ -255,13 +236,22 @@ def semantic_as_double(view: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ audits
 def fk_check(wh: Warehouse) -> DataFrame:
-    """Orphan foreign keys and duplicated unique keys, one row per constraint."""
-    f = wh["fact_precios"]
+    """Orphan foreign keys and duplicated unique keys, one row per constraint.
+
+    The facts are counted by their four keys first (partial aggregates), so the
+    dimension joins see one row per key combination and the facts are read once.
+    A null key is an orphan.
+    """
+    dims = {"id_producto": "dim_producto", "id_tiempo": "dim_tiempo", "id_unidad": "dim_unidad",
+            "id_tipo_venta": "dim_tipo_venta"}
+    f = wh["fact_precios"].groupBy(*dims).agg(F.count(F.lit(1)).alias("_n"))
+    for key, dim in dims.items():
+        f = f.join(wh[dim].select(key).distinct().withColumn(f"_has_{key}", F.lit(True)), key, "left")
+    orphans = f.agg(*[F.coalesce(F.sum(F.when(F.col(f"_has_{k}").isNull(), F.col("_n"))), F.lit(0)).alias(k)
+                      for k in dims])
+    per_key = [e for k in dims for e in (F.lit(f"fact_precios.{k}"), F.col(k))]
+    of_facts = orphans.select(F.stack(F.lit(len(dims)), *per_key).alias("restriccion", "violaciones"))
     checks = [
-        ("fact_precios.id_producto", f.join(wh["dim_producto"], "id_producto", "left_anti")),
-        ("fact_precios.id_tiempo", f.join(wh["dim_tiempo"], "id_tiempo", "left_anti")),
-        ("fact_precios.id_unidad", f.join(wh["dim_unidad"], "id_unidad", "left_anti")),
-        ("fact_precios.id_tipo_venta", f.join(wh["dim_tipo_venta"], "id_tipo_venta", "left_anti")),
         ("dim_tiempo.id_mes", wh["dim_tiempo"].join(wh["dim_mes"], "id_mes", "left_anti")),
         ("dim_mes.id_anio", wh["dim_mes"].join(wh["dim_anio"], "id_anio", "left_anti")),
         ("dim_unidad.id_tipo_venta", wh["dim_unidad"].join(wh["dim_tipo_venta"], "id_tipo_venta", "left_anti")),
@@ -279,8 +269,8 @@ def fk_check(wh: Warehouse) -> DataFrame:
     parts += [df.groupBy(*k).count().filter(F.col("count") > 1)
                 .agg(F.count(F.lit(1)).alias("violaciones")).select(F.lit(n).alias("restriccion"), "violaciones")
               for n, df, k in uniques]
-    out = parts[0]
-    for p in parts[1:]:
+    out = of_facts
+    for p in parts:
         out = out.unionByName(p)
     return out
 

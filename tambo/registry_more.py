@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tambo import schemas as S
@@ -17,6 +18,7 @@ from tambo.operators import metrics as M
 from tambo.operators import quality as Q
 from tambo.operators import scale as B
 from tambo.plans import warehouse as WH
+from tambo.plans.ordinal import numbered
 from tambo.registry import facts_normalised, facts_raw, register, semantic, validated
 from tambo.session import scratch_path
 from tambo.sources import fixtures as FIX
@@ -76,6 +78,13 @@ def q_quality_split(spark, sf_dir):
     return Q.quality_counts(validated(spark, sf_dir))
 
 
+@register("quality_rejects")
+def q_quality_rejects(spark, sf_dir):
+    """The rejected rows with their messages."""
+    return Q.error_rows(validated(spark, sf_dir)).select(
+        "fecha", "producto", "hoja_origen", "precio_mayorista", "precio_minorista", "precio_analisis", "error")
+
+
 @register("etl_row_metrics")
 def q_etl_row_metrics(spark, sf_dir):
     m = Q.etl_row_metrics(Q.ok_rows(validated(spark, sf_dir)))
@@ -191,14 +200,13 @@ def q_channel_columns_avg(spark, sf_dir):
 
 @register("kpis_filtered")
 def q_kpis_filtered(spark, sf_dir):
-    r = FL.filter_units(_records(spark, sf_dir), "1996-01-01", "", None, [S.RETAIL], [S.RETAIL_UNIT])
-    return M.kpis_filtered(r)
+    r = M.dashboard_records(FL.filter_dates(facts_raw(spark, sf_dir), "1996-01-01"))
+    return M.kpis_filtered(FL.filter_units(r, "", "", None, [S.RETAIL], [S.RETAIL_UNIT]))
 
 
 @register("fact_counts")
 def q_fact_counts(spark, sf_dir):
-    v = validated(spark, sf_dir)
-    return M.fact_counts(v, FX.unpivot_channels(Q.ok_rows(v)))
+    return M.fact_counts(validated(spark, sf_dir))
 
 
 @register("product_frequency")
@@ -236,8 +244,8 @@ def q_filter_dashboard(spark, sf_dir):
 
 @register("filter_units")
 def q_filter_units(spark, sf_dir):
-    r = _records(spark, sf_dir)
-    return FL.filter_units(r, "", "1997-06-30", None, [S.WHOLESALE, S.RETAIL], [S.RETAIL_UNIT, S.NO_UNIT])
+    r = M.dashboard_records(FL.filter_dates(facts_raw(spark, sf_dir), "", "1997-06-30"))
+    return FL.filter_units(r, "", "", None, [S.WHOLESALE, S.RETAIL], [S.RETAIL_UNIT, S.NO_UNIT])
 
 
 @register("filter_domains")
@@ -330,7 +338,20 @@ def q_staging_rows(spark, sf_dir):
 
 @register("fk_check")
 def q_fk_check(spark, sf_dir):
-    return WH.fk_check(_warehouse(spark, sf_dir)[0])
+    """J10 on a warehouse damaged on purpose: members removed (orphans) and entered twice (duplicates)."""
+    wh = _warehouse(spark, sf_dir)[0]
+    t = dict(wh.tables)
+    last = t["dim_producto"].agg(F.max("producto")).first()[0]
+    again = t["dim_producto"].filter(F.col("producto") < "c").withColumn("id_producto", -F.col("id_producto"))
+    t["dim_producto"] = t["dim_producto"].filter(F.col("producto") != last).unionByName(again)
+    t["dim_tiempo"] = t["dim_tiempo"].filter(F.month("fecha") != 2)
+    year = t["dim_anio"].filter(F.col("anio") == 1996)
+    t["dim_mes"] = t["dim_mes"].join(year, "id_anio", "left_anti")
+    t["dim_anio"] = t["dim_anio"].filter(F.col("anio") != 1997)
+    t["dim_tipo_venta"] = t["dim_tipo_venta"].filter(F.col("tipo_venta") != S.WHOLESALE)
+    kept = t["dim_unidad"].filter(F.col("unidad") != S.NO_UNIT)
+    t["dim_unidad"] = kept.unionByName(kept.withColumn("id_unidad", -F.col("id_unidad")))
+    return WH.fk_check(WH.Warehouse(t))
 
 
 @register("schema_check")
@@ -428,6 +449,21 @@ def q_history_plus_forecast(spark, sf_dir):
     return FC.history_plus_forecast(semantic(spark, sf_dir), anchor=True)
 
 
+@register("history_plus_forecast_range")
+def q_history_plus_forecast_range(spark, sf_dir):
+    return FC.history_plus_forecast(semantic(spark, sf_dir), anchor=False, series="range")
+
+
+@register("history_plus_forecast_gap")
+def q_history_plus_forecast_gap(spark, sf_dir):
+    return FC.history_plus_forecast(semantic(spark, sf_dir), anchor=True, series="gap")
+
+
+@register("history_plus_forecast_top")
+def q_history_plus_forecast_top(spark, sf_dir):
+    return FC.history_plus_forecast(semantic(spark, sf_dir), anchor=True, series="top")
+
+
 @register("executive_summary")
 def q_executive_summary(spark, sf_dir):
     return FC.executive_summary(FX.to_semantic(facts_raw(spark, sf_dir)))
@@ -482,13 +518,19 @@ def q_scale_pair_sales(spark, sf_dir):
 
 @register("scale_upsert")
 def q_scale_upsert(spark, sf_dir):
+    """The table holds the days before the 16th at twice the price; the days from the 10th on arrive."""
     sales = _sales(spark, sf_dir)
     cat = B.catalogue(spark)
-    early = sales.filter(F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
-    existing = B.latest_per_key(B.scale_pair_sales(early, cat)).withColumns(
-        {"id": F.lit(None).cast("long"), "created_at": F.lit(None).cast("timestamp")})
-    merged = B.scale_upsert(existing, B.scale_pair_sales(sales, cat))
-    return merged.select(*B.PAIR_COLUMNS)
+    early = sales.filter(F.col("ts") < F.lit("2024-01-16").cast("timestamp")).withColumn("precio", F.col("precio") * 2)
+    arriving = sales.filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp"))
+    existing = numbered(B.latest_per_key(B.scale_pair_sales(early, cat)).orderBy("fecha", "producto"), "id", 0) \
+        .withColumn("created_at", F.col("fecha"))
+    held = existing.count()
+    merged = B.scale_upsert(existing, B.scale_pair_sales(arriving, cat))
+    new = F.col("id") > held
+    return merged.select(*B.PAIR_COLUMNS, F.when(~new, F.col("id")).alias("id_previo"),
+                         F.when(~new, F.col("created_at")).alias("alta_previa"),
+                         F.count(F.lit(1)).over(Window.partitionBy("id")).alias("filas_con_id"))
 
 
 @register("scale_recent")

@@ -1,30 +1,31 @@
 """Plan guards for the scale rules: no cross / nested-loop joins and no Python UDFs in any
-registered plan, and filters reach the parquet scan."""
+plan of the library's queries, and filters reach the parquet scan."""
 
 import pytest
 
-from __spark_entry__ import queries
+from tambo.registry import queries
 
 from conftest import SF_SMALL
 
-# These build their inputs eagerly (checkpoints, writes, a stream); their operators are
-# covered by the unit tests, so only lazily planned queries are inspected here.
-EAGER = {"scale_stream", "scale_history", "increments_raw_rows", "semantic_view", "dim_producto",
-         "dim_tipo_venta", "dim_tiempo", "dim_unidad", "dim_upsert", "dim_lookup", "fact_load", "fk_check",
-         "schema_check", "scale_pair_sales", "scale_upsert", "scale_to_facts"}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - EAGER))
+def plan_of(spark, name):
+    return queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_no_forbidden_operators(spark, name):
-    plan = queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(spark, name)
     assert not [op for op in FORBIDDEN if op in plan]
 
 
-def test_filter_and_pruning_reach_the_scan(spark):
-    from pyspark.sql import functions as F
-    from tambo.sources.tables import table
-    li = table(spark, SF_SMALL, "lineitem").filter(F.col("l_quantity") > 10).select("l_partkey")
-    plan = li._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in plan
-    assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double>" in plan
+@pytest.mark.parametrize("name", ["filter_dashboard", "filter_units", "kpis_filtered"])
+def test_dates_reach_the_scan(spark, name):
+    pushed = [line for line in plan_of(spark, name).splitlines() if "l_shipdate" in line and "PushedFilters" in line]
+    assert any("ThanOrEqual(l_shipdate" in line or "Than(l_shipdate" in line for line in pushed)
+
+
+@pytest.mark.parametrize("name", ["increments_raw_rows", "scale_pair_sales"])
+def test_positions_need_no_global_sort(spark, name):
+    assert "rangepartitioning" not in plan_of(spark, name)
