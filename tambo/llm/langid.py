@@ -1,14 +1,16 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
 Training counts words per language over labelled texts.  The model keeps each
-language's ``max_words`` commonest words and, for every n from ``MAX_N`` down to
-1, its ``max_grams`` commonest character n-grams (words wrapped in ``<`` and
-``>``, grams weighted by word counts).  A text's score for a language is a sum
+language's commonest words, at most ``max_words``, and, for every n from
+``MAX_N`` down to 1, its commonest character n-grams, at most ``max_grams``
+(words wrapped in ``<`` and ``>``, grams weighted by word counts); items of equal
+count are kept or left out together.  A text's score for a language is a sum
 over its words: a word known to any language gives its smoothed log frequency;
 an unknown word backs off to the longest n of which it holds a known n-gram, and
 gives the mean log frequency of its known n-grams.
 
-Training may be limited to a sample of about ``max_docs`` labelled rows, chosen
+Training may be limited to a sample of about ``max_docs`` labelled rows (fewer
+where some of them have no text), chosen
 by a hash of the id; the vocabulary counts are Spark aggregates, and only the
 model, bounded by its parameters, reaches the driver.
 
@@ -55,46 +57,70 @@ def grams_of(word: str, n: int) -> list[str]:
 # ------------------------------------------------------------------ training
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.update((lang, w) for w in words_of(text))
-        yield pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()),
-            pa.array(list(counts.values()), pa.int64())], ["lang", "item", "n"])
+            counts.setdefault(lang, Counter()).update(words_of(text))
+        for lang, found in counts.items():
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()),
+                pa.array(list(found.values()), pa.int64())], ["lang", "item", "n"])
+
+
+def gram_totals(words: list[str], times: np.ndarray) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """(n, grams, counts) of all words at once, for every n up to ``MAX_N``; a word counts ``times``.
+
+    An n-gram is numbered by the number of its first n - 1 characters and its last character.
+    """
+    padded = "".join(f"<{w}>" for w in words)
+    codes = np.frombuffer(padded.encode("utf-32-le"), np.uint32)
+    alphabet, codes = np.unique(codes, return_inverse=True)
+    lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+    weight = np.repeat(times, lengths)
+    at, number = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+    for n in range(1, MAX_N + 1):
+        inside = left[at] >= n
+        at, number = at[inside], number[inside]
+        _, first, number = np.unique(number * len(alphabet) + codes[at + n - 1], return_index=True, return_inverse=True)
+        totals = np.bincount(number, weights=weight[at], minlength=len(first)).astype(np.int64)
+        yield n, [padded[i:i + n] for i in at[first].tolist()], totals
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: Counter = Counter()
-        for lang, word, times in zip(*(c.to_pylist() for c in batch.columns)):
-            for n in range(1, MAX_N + 1):
-                for gram in grams_of(word, n):
-                    counts[lang, n, gram] += times
-        yield pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()),
-            pa.array([k[2] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
-            ["lang", "kind", "item", "n"])
+        langs = np.array(batch.column(0).to_pylist(), object)
+        words = np.array(batch.column(1).to_pylist(), object)
+        times = batch.column(2).to_numpy()
+        for lang in sorted(set(langs)):
+            own = langs == lang
+            for n, grams, totals in gram_totals(words[own].tolist(), times[own]):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(grams), pa.string()), pa.array([n] * len(grams), pa.int32()),
+                    pa.array(grams, pa.string()), pa.array(totals)], ["lang", "kind", "item", "n"])
 
 
 def train(labelled: DataFrame, max_docs: int | None = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """Model over rows whose text and language are not null: {kind: {item: log frequencies by language}}."""
     rows = labelled.select(F.col(id_col).alias("doc"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.filter("lang is not null and text is not null")
+    rows = rows.filter("lang is not null")
     if max_docs is not None:
-        total = rows.count()
+        total = rows.count()                                            # reads no text
         if total > max_docs:
             share = F.pmod(F.xxhash64("doc"), F.lit(1 << 40)) / F.lit(float(1 << 40))
             rows = rows.filter(share < max_docs / total)
-    words = rows.select("lang", "text").mapInArrow(_word_counts, "lang string, item string, n bigint")
+    words = rows.filter("text is not null").select("lang", "text").mapInArrow(_word_counts, "lang string, item string, n bigint")
     words = checkpointed(words.groupBy("lang", "item").agg(F.sum("n").alias("n")))
     grams = words.mapInArrow(_gram_counts, "lang string, kind int, item string, n bigint")
-    counts = words.select("lang", F.lit(0).alias("kind"), "item", "n").union(
-        grams.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
-    rank = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    total = Window.partitionBy("lang", "kind")
-    best = (counts.withColumn("r", F.row_number().over(rank)).withColumn("total", F.sum("n").over(total))
-                  .filter(F.col("r") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)))
+    counts = checkpointed(words.select("lang", F.lit(0).alias("kind"), "item", "n").union(
+        grams.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))))
+    # The least count kept, from how many items have each count: no window over the vocabulary.
+    sizes = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("items"))
+    by_kind = Window.partitionBy("lang", "kind")
+    sizes = sizes.withColumn("above", F.sum("items").over(by_kind.orderBy(F.desc("n"))))
+    fits = F.col("above") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)
+    least = sizes.groupBy("lang", "kind").agg(F.min(F.when(fits, F.col("n"))).alias("least"), F.sum(F.col("n") * F.col("items")).alias("total"))
+    best = counts.join(F.broadcast(least), ["lang", "kind"]).filter("n >= least")      # six rows a language
     kept = best.select("lang", "kind", "item", "n", "total").toArrow().to_pydict()
     langs = sorted(set(kept["lang"]))
     place = {lang: i for i, lang in enumerate(langs)}
@@ -166,14 +192,15 @@ class Scorer:
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc, lang_pred, score) per row, or the columns ``keep`` with ``__lang`` and ``__score``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    # Each worker's copy of the scorer keeps the words it has looked up from task to task.
+    held = docs.sparkSession.sparkContext.broadcast(Scorer(model))
     rows = docs.select(*[f"`{c}`" for c in keep]) if keep else docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("__text"))
     text_at = keep.index(text_col) if keep else 1
     names = keep or ["doc"]
     lang, score = ("__lang", "__score") if keep else ("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer = held.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)

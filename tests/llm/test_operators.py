@@ -335,6 +335,25 @@ def test_language_identification(spark, docs, none):
     assert kept.columns == none.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows)
 
 
+def test_gram_totals_equal_counting_one_by_one():
+    words, times = ["été", "a", "aaaa", "👍中", "a" * 3000, "ab"], [3, 5, 1, 2, 1, 7]
+    counts = Counter()
+    for w, k in zip(words, times):
+        for n in range(1, langid.MAX_N + 1):
+            for g in langid.grams_of(w, n):
+                counts[n, g] += k
+    got = {(n, g): k for n, grams, totals in langid.gram_totals(words, np.array(times)) for g, k in zip(grams, totals.tolist())}
+    assert got == dict(counts)
+    assert all(not grams for _, grams, _ in langid.gram_totals([], np.array([], np.int64)))
+
+
+def test_model_size_limits(spark):
+    rows = [(i, "aa aa aa bb bb cc cc dd", "x") for i in range(4)] + [(9, "ee", "y"), (10, None, "y")]
+    model = langid.train(table(spark, rows), max_words=3)
+    assert model["langs"] == ["x", "y"] and set(model["tables"][0]) == {"aa", "bb", "cc", "ee"}
+    assert set(langid.train(table(spark, rows), max_words=2)["tables"][0]) == {"aa", "ee"}      # bb and cc tie
+
+
 def test_backoff_order():
     model = {"langs": ["a", "b"], "tables": [{"known": 0}, {"z": 0}, {}, {"zzz": 0}, {}, {}],
              "logs": [np.array([[-1, -9]], np.float32), np.array([[-9, -1]], np.float32), None, np.array([[-2, -3]], np.float32), None, None]}
