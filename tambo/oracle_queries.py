@@ -50,6 +50,7 @@ q("ingest_dates", X_CTE, f"""
 SELECT fecha_texto, filas, {day_first('fecha_texto')} AS fecha
 FROM (SELECT fecha AS fecha_texto, COUNT(*) AS filas FROM x GROUP BY fecha) g""", [])
 q("ingest_numeric", X_CTE, f"SELECT {SURVEY_OUT} FROM xt", SURVEY_NUM)
+q("ingest_csv", X_CTE, f"SELECT {SURVEY_OUT} FROM xt", SURVEY_NUM)
 q("ingest_required", X_CTE, f"SELECT * REPLACE (trim(producto) AS producto) FROM "
                             f"(SELECT {SURVEY_OUT} FROM xt WHERE producto IS NOT NULL) t", SURVEY_NUM)
 q("ingest_analysis_price", X_CTE, """

@@ -22,7 +22,7 @@ from tambo.plans.ordinal import numbered
 from tambo.registry import facts_normalised, facts_raw, register, semantic, validated
 from tambo.session import scratch_path
 from tambo.sources import fixtures as FIX
-from tambo.sources.survey_csv import type_survey
+from tambo.sources.survey_csv import read_survey_csv, type_survey
 
 SURVEY_OUT = ["fecha", "producto", "unidad_may", "equiv_may", "may_min", "may_prom", "may_max",
               "unidad_min", "equiv_min", "min_min", "min_prom", "min_max", "hoja_origen"]
@@ -53,6 +53,21 @@ def q_ingest_numeric(spark, sf_dir):
     return t.select(*SURVEY_OUT)
 
 
+@register("ingest_csv")
+def q_ingest_csv(spark, sf_dir):
+    x = FIX.text_survey(spark, sf_dir)
+    sheets = []
+    for sheet, sep in (("O", ";"), ("F", ",")):                         # line statuses are O or F
+        path = scratch_path(spark, f"survey-{sheet}")
+        rows = x.filter(F.col("hoja_origen") == sheet).select(*S.SURVEY_COLUMNS)
+        # Dealt evenly, so that no file holds title rows only: such a file would be refused.
+        (rows.repartition(spark.sparkContext.defaultParallelism)
+             .write.option("sep", sep).option("header", "true")
+             .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+        sheets.append(read_survey_csv(spark, path, sep="auto", sheet_label=sheet))
+    return type_survey(sheets[0].unionByName(sheets[1])).select(*SURVEY_OUT)
+
+
 @register("ingest_required")
 def q_ingest_required(spark, sf_dir):
     t = Q.require_fields(type_survey(FIX.text_survey(spark, sf_dir)))
