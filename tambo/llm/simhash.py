@@ -174,28 +174,34 @@ def hot_links(members: DataFrame, ring: Ring, max_bits: int) -> DataFrame:
 
 
 # ------------------------------------------------------------------ operator
-def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 3, segments: int = 8, id_col: str = "doc_id",
-                    text_col: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
-    """(doc, key, fp, component) per row; component is the smallest document id reachable over links."""
-    rows = checkpointed(fingerprints(docs, k, id_col, text_col))
+def classes(rows: DataFrame, max_bits: int, segments: int, hot_key: int) -> DataFrame:
+    """(fp, component) per distinct fingerprint of ``rows`` (doc, fp)."""
     nodes = rows.groupBy("fp").agg(F.min("doc").alias("least"))
     groups = components(links(nodes.select("fp"), max_bits, segments, hot_key))
     labelled = nodes.join(groups, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("label", "fp").alias("label"))
     names = labelled.groupBy("label").agg(F.min("least").alias("component"))
-    named = labelled.join(names, "label").select("fp", "component")
-    return rows.join(named, "fp").select("doc", "key", "fp", "component")
+    return labelled.join(names, "label").select("fp", "component")
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 3, segments: int = 8, id_col: str = "doc_id",
+                    text_col: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
+    """(doc, key, fp, component) per row; component is the smallest document id reachable over links."""
+    rows = checkpointed(fingerprints(docs, k, id_col, text_col))
+    return rows.join(classes(rows, max_bits, segments, hot_key), "fp").select("doc", "key", "fp", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 3, segments: int = 8, id_col: str = "doc_id",
-                         text_col: str = "text") -> DataFrame:
+                         text_col: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
     """One document of each component, with its own columns: the one with the smallest (id, text key), nulls last.
 
     Rows that agree in id and text are one document; of those any one stays.
     """
-    found = near_duplicates(docs, k, max_bits, segments, id_col, text_col)
+    rows = checkpointed(fingerprints(docs, k, id_col, text_col))
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "key")
-    best = found.groupBy("fp").agg(F.min(order).alias("first"), F.first("component").alias("component"))
+    # The first row of each fingerprint, found before the join: copies in any number are one row there.
+    first = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    best = classes(rows, max_bits, segments, hot_key).join(first, "fp")
     # A component whose rows all have null ids has no smallest id; such components are told apart by fingerprint.
     best = best.groupBy("component", F.when(F.col("component").isNull(), F.col("fp")).alias("alone")).agg(F.min("first").alias("first"))
     chosen = best.select(F.col("first.doc").alias("__doc"), F.col("first.key").alias("__key")).distinct()
