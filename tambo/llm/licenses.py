@@ -5,9 +5,12 @@ every ``window`` consecutive ``k``-word hashes the smallest is kept (winnowing),
 a run of ``k + window - 1`` words shared by text and template always shares a
 fingerprint.  The templates' fingerprints form an inverted index (hash ->
 template and place), whose size depends on the templates alone.  Hits of a
-template at nearby places on nearby diagonals are one candidate; a candidate
-with a share of ``min_share`` of the template's fingerprints is aligned within
-a band around its diagonals (match +2, mismatch and gap -1, best local path).
+template are collected by diagonal (place in the text less place in the
+template) in buckets one band (an eighth of the template) wide; three
+neighbouring buckets that hold ``min_share`` of the template's fingerprints are a
+candidate, however often the template repeats a phrase, and are aligned with one
+more band on both sides (match +2, mismatch and gap -1, best local path).  So
+words put in or left out may shift a copy by a quarter of the template.
 A match covers matched words / template words of at least ``min_coverage``.
 
 Matches of one template do not overlap; different templates may (a notice inside
@@ -20,7 +23,6 @@ the id and text columns are read.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,9 @@ from tambo.llm.wordhash import U, finish, words
 
 K, WINDOW = 3, 3
 MIN_SHARE, MIN_COVERAGE = 0.25, 0.8
+#: Buckets of diagonals, one band wide, that are searched together.
+BUCKETS = 3
+SAME, OTHER, UP, LEFT = 1, 2, 3, 4
 #: Bytes of text hashed at a time, about (a longer text is hashed whole): bounds memory.
 BLOCK_BYTES = 1 << 20
 MATCH = ("template: string, coverage: double, matched_words: int, start_word: int, end_word: int, start_char: int, "
@@ -87,79 +92,140 @@ class Index:
     def __init__(self, templates: list[tuple[str, str]], k: int = K, window: int = WINDOW):
         self.k, self.window = k, window
         self.names, self.words, self.prints = [], [], []
-        postings = defaultdict(list)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for name, text in templates:
             _, _, hashes, owner = words([text.encode()])
             if not len(hashes):
                 continue
             at, gram = grams(hashes, owner, k)
             kept = winnow(gram, owner[at], window)
-            for i in kept.tolist():
-                postings[int(gram[i])].append((len(self.names), int(at[i])))
+            found.append((gram[kept], np.full(len(kept), len(self.names)), at[kept]))
             self.names.append(name)
             self.words.append(hashes)
             self.prints.append(len(kept))
-        self.hashes = np.array(sorted(postings), U)
-        self.postings = [postings[h] for h in self.hashes.tolist()]
+        gram, template, place = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, U), *[np.empty(0, np.int64)] * 2)
+        order = np.lexsort((place, template, gram))
+        self.template, self.place = template[order], place[order]
+        self.hashes, first = np.unique(gram[order], return_index=True)
+        self.first = np.append(first, len(order))
 
-    def hits(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``gram`` that the index holds, and where."""
+    def hits(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``gram`` that the index holds, with each template and word of it that has the same hash."""
         if not len(self.hashes) or not len(gram):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return (np.empty(0, np.int64),) * 3
         at = np.minimum(np.searchsorted(self.hashes, gram), len(self.hashes) - 1)
         found = np.flatnonzero(self.hashes[at] == gram)
-        return found, at[found]
-
-
-def candidates(hits: list[tuple[int, int]], length: int) -> Iterator[list[tuple[int, int]]]:
-    """Hits (word of the text, word of the template) in order, cut where a new copy begins: the template's place falls
-    back, or the diagonal moves by more than the band."""
-    group: list[tuple[int, int]] = []
-    for d, t in hits:
-        if group and (t <= group[-1][1] or abs((d - t) - (group[-1][0] - group[-1][1])) > band_of(length)):
-            yield group
-            group = []
-        group.append((d, t))
-    if group:
-        yield group
+        at = at[found]
+        times = self.first[at + 1] - self.first[at]
+        entry = np.arange(times.sum()) + np.repeat(self.first[at] - np.cumsum(times) + times, times)
+        return np.repeat(found, times), self.template[entry], self.place[entry]
 
 
 def band_of(length: int) -> int:
     return max(4, length // 8)
 
 
-def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Best local path over diagonals low to high: (matched words, first word of the text, end word)."""
-    band = band_of(len(template))
-    low, high = low - band, high + band
-    begin, stop = max(0, low), min(len(text), high + len(template))
-    words_, own = text[begin:stop].tolist(), template.tolist()
-    shift, width = low - begin, high - low + 1
-    # Column c of row t is text word t + shift + c.  A cell: score, matched words, first word.
-    none = (0, 0, -1)
-    above = [none] * (width + 1)
-    best = none
-    end = -1
-    for t, word in enumerate(own):
-        row = [none] * (width + 1)
-        left = none
-        for c in range(width):
-            d = t + shift + c
-            if d < 0 or d >= len(words_):
-                left = none
+def windows(diagonal: np.ndarray, t: np.ndarray, band: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bucket of every window of ``BUCKETS`` neighbouring buckets of diagonals, and how many of the template's
+    places have a hit in it."""
+    bucket = diagonal // band
+    each = np.unique(np.concatenate([(bucket - s) * length + t for s in range(BUCKETS)]))
+    return np.unique(each // length, return_counts=True)
+
+
+def copies(text: np.ndarray, template: np.ndarray, d: np.ndarray, t: np.ndarray, need: float,
+           min_coverage: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Disjoint copies of the template, as matched words (of the text, of the template), from the hits (word ``d`` of
+    the text, word ``t`` of the template).
+
+    The window with most of the template's places is aligned first; a copy found there splits the text, and both
+    sides are searched on their own.
+    """
+    band, length = band_of(len(template)), len(template)
+    bag = np.unique(template, return_counts=True)
+    todo = [(0, len(text), d, t)]
+    while todo:
+        lo, hi, d, t = todo.pop()
+        if len(d) < need:
+            continue
+        diagonal = d - t
+        start, count = windows(diagonal, t, band, length)
+        start, count = start[count >= need], count[count >= need]
+        tried = set()
+        while len(start):
+            best = np.flatnonzero(count == count.max())
+            best = int(best[len(best) // 2])            # of many equal copies the middle one: both sides are halves
+            inside = diagonal[(diagonal // band >= start[best]) & (diagonal // band < start[best] + BUCKETS)]
+            start, count = np.delete(start, best), np.delete(count, best)
+            low, high = int(inside.min()), int(inside.max())
+            if (low, high) in tried:
                 continue
-            if words_[d] == word:
-                p = above[c]
-                cell = (p[0] + 2, p[1] + 1, p[2] if p[2] >= 0 else d)
+            tried.add((low, high))
+            begin, stop = max(lo, low - band), min(hi, high + band + length)
+            if shared(text[begin:stop], bag) < min_coverage * length:
+                continue                                # no path can match enough words
+            values, times = np.unique(inside, return_counts=True)
+            at = int(values[times.argmax()])
+            if lo <= at and at + length <= hi and np.array_equal(text[at:at + length], template):
+                found = np.arange(at, at + length), np.arange(length)
             else:
-                cell = max((above[c][0] - 1, *above[c][1:]), (above[c + 1][0] - 1, *above[c + 1][1:]), (left[0] - 1, *left[1:]))
-                if cell[0] <= 0:
-                    cell = none
-            row[c] = left = cell
-            if cell > best:
-                best, end = cell, d
+                found = align(text, template, low - band, high + band, begin, stop)
+            if len(found[0]) < min_coverage * length:
+                continue
+            yield found
+            a, b = int(found[0][0]), int(found[0][-1]) + 1
+            todo += [(lo, a, d[d < a], t[d < a]), (b, hi, d[d >= b], t[d >= b])]
+            break
+
+
+def shared(text: np.ndarray, bag: tuple[np.ndarray, np.ndarray]) -> int:
+    """Words in common, by their numbers alone."""
+    at = np.minimum(np.searchsorted(bag[0], text), len(bag[0]) - 1)
+    return int(np.minimum(np.bincount(at[bag[0][at] == text], minlength=len(bag[0])), bag[1]).sum())
+
+
+#: One cell of the alignment in one number: score, matched words, first word.
+SCORE, MATCHED = 1 << 42, 1 << 21
+
+
+def align(text: np.ndarray, template: np.ndarray, low: int, high: int, begin: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best local path over diagonals low to high in the words begin to stop: its matched words, of text and template."""
+    own = text[begin:stop]
+    shift, width = low - begin, high - low + 1
+    # Column c of row t is word t + shift + c of ``own``.
+    steps = np.arange(width) * SCORE
+    moves = np.zeros((len(template), width), np.int8)
+    above, best, end = np.zeros(width + 1, np.int64), 0, (0, 0)
+    for t in range(len(template)):
+        row = np.zeros(width + 1, np.int64)
+        a, b = max(0, -t - shift), min(width, len(own) - t - shift)
+        if a < b:
+            words_ = slice(t + shift + a, t + shift + b)
+            same = own[words_] == template[t]
+            corner, up = above[a:b], above[a + 1:b + 1] - SCORE
+            fresh = np.arange(words_.start + 1, words_.stop + 1)
+            step = np.where(same, np.where(corner > 0, corner, fresh) + 2 * SCORE + MATCHED, corner - SCORE)
+            cell = np.maximum(step, up)
+            cell[cell < SCORE] = 0
+            level = np.maximum.accumulate(cell + steps[a:b]) - steps[a:b]
+            level[level < SCORE] = 0
+            move = np.where(level > cell, LEFT, np.where(up > step, UP, np.where(same, SAME, OTHER)))
+            move[level == 0] = 0
+            moves[t, a:b] = move
+            row[a:b] = level
+            top = int(level.argmax())
+            if level[top] > best:
+                best, end = int(level[top]), (t, a + top)
         above = row
-    return best[1], best[2] + begin, end + begin + 1
+    t, c = end
+    pairs = []
+    while t >= 0 and moves[t, c]:
+        move = moves[t, c]
+        if move == SAME:
+            pairs.append((begin + t + shift + c, t))
+        t, c = t - (move != LEFT), c + (move == UP) - (move == LEFT)
+    found = np.array(pairs[::-1], np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
 
 def scan(texts: list[bytes], index: Index, min_share: float = MIN_SHARE, min_coverage: float = MIN_COVERAGE) -> list[list[dict]]:
@@ -168,25 +234,25 @@ def scan(texts: list[bytes], index: Index, min_share: float = MIN_SHARE, min_cov
     starts, ends, hashes, owner = words(texts)
     at, gram = grams(hashes, owner, index.k)
     kept = winnow(gram, owner[at], index.window)
-    place, entry = index.hits(gram[kept])
+    place, template, t = index.hits(gram[kept])
+    if not len(place):
+        return out
+    word = at[kept[place]]
     first_word = np.searchsorted(owner, np.arange(len(texts) + 1))
-    begins = np.cumsum([0] + [len(t) + 1 for t in texts]).tolist()
-    by_pair = defaultdict(list)
-    for word, e in zip(at[kept[place]].tolist(), entry.tolist()):
-        for template, t in index.postings[e]:
-            by_pair[int(owner[word]), template].append((word, t))
-    for (i, template), hits in sorted(by_pair.items()):
-        own = index.words[template]
-        lo, hi = int(first_word[i]), int(first_word[i + 1])
-        covered = lo
-        for group in candidates(hits, len(own)):
-            if len({t for _, t in group}) < min_share * index.prints[template]:
-                continue
-            diagonals = [d - lo - t for d, t in group]
-            matched, a, b = align(hashes[lo:hi], own, min(diagonals), max(diagonals))
-            if matched < min_coverage * len(own) or a + lo < covered:
-                continue
-            covered = b + lo
+    begins = np.cumsum([0] + [len(x) + 1 for x in texts]).tolist()
+    need = min_share * np.array(index.prints)
+    pair = owner[word] * len(need) + template
+    order = np.argsort(pair, kind="stable")
+    pair, word, t = pair[order], word[order], t[order]
+    longest = max(map(len, index.words))
+    pairs, places = np.unique(np.unique(pair * longest + t) // longest, return_counts=True)
+    for p in pairs[places >= need[pairs % len(need)]].tolist():
+        i, template = divmod(p, len(need))
+        own, lo, hi = index.words[template], int(first_word[i]), int(first_word[i + 1])
+        part = slice(*np.searchsorted(pair, [p, p + 1]).tolist())
+        found = copies(hashes[lo:hi], own, word[part] - lo, t[part], need[template], min_coverage)
+        for at_text, _ in sorted(found, key=lambda f: int(f[0][0])):
+            a, b, matched = int(at_text[0]), int(at_text[-1]) + 1, len(at_text)
             head = len(texts[i][:int(starts[lo + a]) - begins[i]].decode("utf-8", "replace"))
             body = texts[i][int(starts[lo + a]) - begins[i]:int(ends[lo + b - 1]) - begins[i]].decode("utf-8", "replace")
             out[i].append({"template": index.names[template], "coverage": matched / len(own), "matched_words": matched,
@@ -202,8 +268,10 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                                ("start_word", pa.int32()), ("end_word", pa.int32()), ("start_char", pa.int32()),
                                ("end_char", pa.int32())]))
 
+    held = docs.sparkSession.sparkContext.broadcast(Index(templates))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = held.value
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             found: list[list[dict]] = []

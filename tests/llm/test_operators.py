@@ -121,6 +121,52 @@ def test_license_scan(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def edited(words, share, rng):
+    """``words`` with ``share`` of them put in, left out or replaced, in equal parts."""
+    out = []
+    for w in words:
+        kind = rng.choice(["in", "out", "other"]) if rng.random() < share else None
+        out += {"in": ["zzz", w], "out": [], "other": ["zzz"], None: [w]}[kind]
+    return out
+
+
+def test_license_copies_with_repeated_phrases():
+    rng = random.Random(4)
+    phrases = [[f"p{i}{j}" for j in range(4)] for i in range(6)]
+    own = [w for i in range(300) for w in (*rng.choice(phrases), f"u{rng.randrange(80)}", f"v{i}")]
+    index, head = licenses.Index([("long", " ".join(own))]), [f"h{i}" for i in range(40)]
+    for share in (0, 0.05, 0.1, 0.15):
+        copy = edited(own, share, rng)
+        text = " ".join([*head, *copy, "between", *own, *head, *copy])
+        found = licenses.scan([text.encode(), " ".join(own[:700]).encode()], index)
+        assert len(found[0]) == 3 and found[1] == [], share
+        for m, first in zip(found[0], (40, 41 + len(copy), 81 + len(copy) + len(own))):
+            assert abs(m["start_word"] - first) <= 3 and m["coverage"] >= 1 - share
+        assert found[0][1]["coverage"] == 1
+
+
+def brute_path(text, own):
+    """Best score and matched words of local paths."""
+    above, best = [(0, 0)] * (len(text) + 1), (0, 0)
+    for w in own:
+        row = [(0, 0)]
+        for j, x in enumerate(text):
+            gaps = [(above[j + 1][0] - 1, above[j + 1][1]), (row[j][0] - 1, row[j][1])]
+            row.append(max((0, 0), (above[j][0] + (2 if x == w else -1), above[j][1] + (x == w)), *gaps))
+            row[-1] = row[-1] if row[-1][0] else (0, 0)
+        best, above = max(best, *row), row
+    return best
+
+
+def test_alignment_equals_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        text, own = (rng.integers(0, 5, rng.integers(1, n)).astype(np.uint64) for n in (30, 20))
+        a, b = licenses.align(text, own, -len(own), len(text), 0, len(text))
+        assert len(a) == brute_path(text.tolist(), own.tolist())[1] and (text[a] == own[b]).all()
+        assert (np.diff(a) > 0).all() and (np.diff(b) > 0).all()
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(1)
     for _ in range(50):
