@@ -1,8 +1,14 @@
 """License notices and texts looked for by default.
 
-Fixed values: public wording of the notices, which results depend on.
+Fixed values: public wording of the notices, which results depend on.  Whole
+license texts are in ``license_files``, one file per template.
 """
 
+from pkgutil import get_data
+
+FULL_TEXTS = ["Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0",
+              "Artistic-1.0", "GFDL-1.2", "GFDL-1.3"]
+
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0 header",
@@ -30,6 +36,22 @@ TEMPLATES: list[tuple[str, str]] = [
      "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
      "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
      "the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD disclaimer",
+     'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+     "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+     "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+     "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+     "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+     "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED "
+     "OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause third clause",
+     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+     "derived from this software without specific prior written permission."),
+    ("AGPL-3.0 section 13",
+     "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently "
+     "offer all users interacting with it remotely through a computer network (if your version supports such interaction) an "
+     "opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a "
+     "network server at no charge, through some standard or customary means of facilitating copying of software."),
     ("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL header",
      "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
@@ -43,5 +65,7 @@ TEMPLATES: list[tuple[str, str]] = [
      "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
      "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("All rights reserved", "All rights reserved."),
     ("All rights reserved notice", "All rights reserved. No part of this work may be reproduced without permission."),
 ]
+TEMPLATES += [(name, get_data(__name__, f"license_files/{name}.txt").decode()) for name in FULL_TEXTS]

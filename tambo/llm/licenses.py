@@ -3,7 +3,8 @@
 Words are lower-cased runs of digits, letters and non-ASCII characters.  Of
 every ``window`` consecutive ``k``-word hashes the smallest is kept (winnowing), so
 a run of ``k + window - 1`` words shared by text and template always shares a
-fingerprint.  The templates' fingerprints form an inverted index (hash ->
+fingerprint.  Of templates of at most ``SHORT`` words every hash is kept, as they may
+be shorter than that run; a template needs ``k`` words to be found in a text.  The templates' fingerprints form an inverted index (hash ->
 template and place), whose size depends on the templates alone.  Hits of a
 template are collected by diagonal (place in the text less place in the
 template) in buckets one band (an eighth of the template) wide; three
@@ -36,6 +37,8 @@ from tambo.llm.wordhash import U, finish, words
 
 K, WINDOW = 3, 3
 MIN_SHARE, MIN_COVERAGE = 0.25, 0.8
+#: Templates of at most so many words are looked up by every run of ``K`` words, in text and template.
+SHORT = 40
 #: Buckets of diagonals, one band wide, that are searched together.
 BUCKETS = 3
 SAME, OTHER, UP, LEFT = 1, 2, 3, 4
@@ -98,11 +101,12 @@ class Index:
             if not len(hashes):
                 continue
             at, gram = grams(hashes, owner, k)
-            kept = winnow(gram, owner[at], window)
+            kept = np.arange(len(gram)) if len(hashes) <= SHORT else winnow(gram, owner[at], window)
             found.append((gram[kept], np.full(len(kept), len(self.names)), at[kept]))
             self.names.append(name)
             self.words.append(hashes)
             self.prints.append(len(kept))
+        self.short = np.array([len(w) <= SHORT for w in self.words], bool)
         gram, template, place = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, U), *[np.empty(0, np.int64)] * 2)
         order = np.lexsort((place, template, gram))
         self.template, self.place = template[order], place[order]
@@ -233,11 +237,14 @@ def scan(texts: list[bytes], index: Index, min_share: float = MIN_SHARE, min_cov
     out: list[list[dict]] = [[] for _ in texts]
     starts, ends, hashes, owner = words(texts)
     at, gram = grams(hashes, owner, index.k)
-    kept = winnow(gram, owner[at], index.window)
-    place, template, t = index.hits(gram[kept])
+    place, template, t = index.hits(gram)
+    kept = np.zeros(len(gram), bool)
+    kept[winnow(gram, owner[at], index.window)] = True
+    asked = kept[place] | index.short[template]
+    place, template, t = place[asked], template[asked], t[asked]
     if not len(place):
         return out
-    word = at[kept[place]]
+    word = at[place]
     first_word = np.searchsorted(owner, np.arange(len(texts) + 1))
     begins = np.cumsum([0] + [len(x) + 1 for x in texts]).tolist()
     need = min_share * np.array(index.prints)

@@ -145,6 +145,23 @@ def test_license_copies_with_repeated_phrases():
         assert found[0][1]["coverage"] == 1
 
 
+#: The license lines of the documents table.
+TABLE_LINES = [("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."), ("All rights reserved", "All rights reserved."),
+               ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."), ("MIT notice", "Released under the MIT License."),
+               ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0.")]
+
+
+def test_every_template_and_table_line(spark):
+    cases = [*licenses.TEMPLATES, *TABLE_LINES]
+    assert len(dict(licenses.TEMPLATES)) == len(licenses.TEMPLATES) and "GPL-3.0" in dict(licenses.TEMPLATES)
+    texts = [(i, f"Some words before.\n{text}\nand some after.", None) for i, (_, text) in enumerate(cases)]
+    for r in licenses.scan_licenses(table(spark, texts)).collect():
+        name, text = cases[r.doc]
+        own = [m for m in r.matches if m.template == name]
+        assert name in r.licenses and own[0].coverage == 1 and own[0].start_word == 3, name
+        assert licenses.words([texts[r.doc][1][own[0].start_char:own[0].end_char].encode()])[2].tolist() == licenses.words([text.encode()])[2].tolist()
+
+
 def brute_path(text, own):
     """Best score and matched words of local paths."""
     above, best = [(0, 0)] * (len(text) + 1), (0, 0)
