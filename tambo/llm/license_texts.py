@@ -9,6 +9,12 @@ from pkgutil import get_data
 FULL_TEXTS = ["Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0",
               "Artistic-1.0", "GFDL-1.2", "GFDL-1.3"]
 
+#: Words that tell one license from another: those of a notice must all be in the text, besides all words with a digit.
+NAMES = set("""apache mit isc bsd gnu gpl general lesser library affero public mozilla mpl creative commons cc by nc nd sa attribution
+sharealike alike noncommercial noderivatives noderivs derivatives""".split())
+#: Those that must not stand between the words of a notice without them.
+VARIANTS = set("lesser library affero nc nd sa sharealike alike noncommercial noderivatives noderivs derivatives".split())
+
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0 header",
@@ -52,6 +58,9 @@ TEMPLATES: list[tuple[str, str]] = [
      "offer all users interacting with it remotely through a computer network (if your version supports such interaction) an "
      "opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a "
      "network server at no charge, through some standard or customary means of facilitating copying of software."),
+    ("GPL-2.0 notice", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0 notice", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0 notice", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL header",
      "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
@@ -59,6 +68,9 @@ TEMPLATES: list[tuple[str, str]] = [
      "program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
      "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0 short notice", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0 short notice", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-SA-4.0 short notice", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-4.0 notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0 notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("MPL-2.0 notice",

@@ -14,8 +14,15 @@ more band on both sides (match +2, mismatch and gap -1, best local path).  So
 words put in or left out may shift a copy by a quarter of the template.
 A match covers matched words / template words of at least ``min_coverage``.
 
-Matches of one template do not overlap; different templates may (a notice inside
-a longer text).  All of a text is scanned, and nothing is shuffled.
+Of a template of at most ``SHORT`` words all words that tell licenses apart
+(``NAMES``, and words with a digit) must match, no word of ``VARIANTS`` may stand
+between the matched ones, and a matched number may not be part of another
+version (2 in 2.1; 3.0 is 3).
+
+Matches of one template do not overlap.  Where different templates match the same
+words (a notice inside a longer text, licenses of like wording), the match of
+most words, then of fewest gaps, counts, and one that shares half of its words
+with such matches is listed under ``lesser`` only.  All of a text is scanned, and nothing is shuffled.
 
 Defined results: null or empty texts have no match; templates without words are
 passed over; repeated rows each get a row; an empty table gives no rows; only
@@ -24,7 +31,8 @@ the id and text columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tambo.llm.common import like_type
-from tambo.llm.license_texts import TEMPLATES
+from tambo.llm.license_texts import NAMES, TEMPLATES, VARIANTS
 from tambo.llm.wordhash import U, finish, words
 
 K, WINDOW = 3, 3
@@ -94,10 +102,10 @@ class Index:
 
     def __init__(self, templates: list[tuple[str, str]], k: int = K, window: int = WINDOW):
         self.k, self.window = k, window
-        self.names, self.words, self.prints = [], [], []
+        self.names, self.words, self.prints, self.telling = [], [], [], []
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for name, text in templates:
-            _, _, hashes, owner = words([text.encode()])
+            starts, ends, hashes, owner = words([text.encode()])
             if not len(hashes):
                 continue
             at, gram = grams(hashes, owner, k)
@@ -105,6 +113,9 @@ class Index:
             found.append((gram[kept], np.full(len(kept), len(self.names)), at[kept]))
             self.names.append(name)
             self.words.append(hashes)
+            own = [text.encode()[a:b].decode().lower() for a, b in zip(starts.tolist(), ends.tolist())]
+            tells = [len(own) <= SHORT and (w in NAMES or any(c.isdigit() for c in w)) for w in own]
+            self.telling.append(np.flatnonzero(tells))
             self.prints.append(len(kept))
         self.short = np.array([len(w) <= SHORT for w in self.words], bool)
         gram, template, place = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, U), *[np.empty(0, np.int64)] * 2)
@@ -138,9 +149,9 @@ def windows(diagonal: np.ndarray, t: np.ndarray, band: int, length: int) -> tupl
 
 
 def copies(text: np.ndarray, template: np.ndarray, d: np.ndarray, t: np.ndarray, need: float,
-           min_coverage: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+           min_coverage: float, same: Callable[[np.ndarray, np.ndarray], bool]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Disjoint copies of the template, as matched words (of the text, of the template), from the hits (word ``d`` of
-    the text, word ``t`` of the template).
+    the text, word ``t`` of the template), without those that ``same`` finds to be of another license.
 
     The window with most of the template's places is aligned first; a copy found there splits the text, and both
     sides are searched on their own.
@@ -176,7 +187,8 @@ def copies(text: np.ndarray, template: np.ndarray, d: np.ndarray, t: np.ndarray,
                 found = align(text, template, low - band, high + band, begin, stop)
             if len(found[0]) < min_coverage * length:
                 continue
-            yield found
+            if same(*found):
+                yield found
             a, b = int(found[0][0]), int(found[0][-1]) + 1
             todo += [(lo, a, d[d < a], t[d < a]), (b, hi, d[d >= b], t[d >= b])]
             break
@@ -232,8 +244,27 @@ def align(text: np.ndarray, template: np.ndarray, low: int, high: int, begin: in
     return found[:, 0], found[:, 1]
 
 
+def same_license(text: bytes, spans: tuple[np.ndarray, np.ndarray], at_text: np.ndarray, at_template: np.ndarray,
+                 telling: np.ndarray) -> bool:
+    """Whether all telling words are matched, in numbers that are not parts of others, with no variant between them."""
+    if not np.isin(telling, at_template).all():
+        return False
+    matched = set(at_text.tolist())
+    for w in range(int(at_text[0]), int(at_text[-1]) + 1):
+        if w not in matched and text[spans[0][w]:spans[1][w]].decode("utf-8", "replace").lower() in VARIANTS:
+            return False
+    for w in at_text[np.isin(at_template, telling)].tolist():
+        a, b = int(spans[0][w]), int(spans[1][w])
+        if text[b - 1:b].isdigit():
+            if w - 1 not in matched and re.search(rb"[0-9]\.$", text[max(0, a - 2):a]):
+                return False
+            if w + 1 not in matched and re.match(rb"\.[0-9]*[1-9]", text[b:b + 9]):
+                return False
+    return True
+
+
 def scan(texts: list[bytes], index: Index, min_share: float = MIN_SHARE, min_coverage: float = MIN_COVERAGE) -> list[list[dict]]:
-    """Matches of each text."""
+    """Matches of each text, the lesser ones among them."""
     out: list[list[dict]] = [[] for _ in texts]
     starts, ends, hashes, owner = words(texts)
     at, gram = grams(hashes, owner, index.k)
@@ -257,19 +288,32 @@ def scan(texts: list[bytes], index: Index, min_share: float = MIN_SHARE, min_cov
         i, template = divmod(p, len(need))
         own, lo, hi = index.words[template], int(first_word[i]), int(first_word[i + 1])
         part = slice(*np.searchsorted(pair, [p, p + 1]).tolist())
-        found = copies(hashes[lo:hi], own, word[part] - lo, t[part], need[template], min_coverage)
+        spans = starts[lo:hi] - begins[i], ends[lo:hi] - begins[i]
+
+        def same(at_text: np.ndarray, at_template: np.ndarray) -> bool:
+            return len(own) > SHORT or same_license(texts[i], spans, at_text, at_template, index.telling[template])
+
+        found = copies(hashes[lo:hi], own, word[part] - lo, t[part], need[template], min_coverage, same)
         for at_text, _ in sorted(found, key=lambda f: int(f[0][0])):
             a, b, matched = int(at_text[0]), int(at_text[-1]) + 1, len(at_text)
-            head = len(texts[i][:int(starts[lo + a]) - begins[i]].decode("utf-8", "replace"))
-            body = texts[i][int(starts[lo + a]) - begins[i]:int(ends[lo + b - 1]) - begins[i]].decode("utf-8", "replace")
+            head = len(texts[i][:int(spans[0][a])].decode("utf-8", "replace"))
+            body = texts[i][int(spans[0][a]):int(spans[1][b - 1])].decode("utf-8", "replace")
             out[i].append({"template": index.names[template], "coverage": matched / len(own), "matched_words": matched,
-                           "start_word": a, "end_word": b, "start_char": head, "end_char": head + len(body)})
+                           "start_word": a, "end_word": b, "start_char": head, "end_char": head + len(body),
+                           "gaps": b - a + len(own) - 2 * matched, "at": at_text})
+    for found in out:
+        taken: set[int] = set()
+        for m in sorted(found, key=lambda m: (-m["matched_words"], m["gaps"])):
+            at_text = m.pop("at").tolist() if len(found) > 1 else []
+            m["lesser"] = 2 * len(taken.intersection(at_text)) >= max(len(at_text), 1)
+            if not m["lesser"]:
+                taken.update(at_text)
     return out
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_share: float = MIN_SHARE,
                   min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_matches, licenses, matches) per row; matches in order of template, then place."""
+    """(doc, n_matches, licenses, matches, lesser) per row; matches in order of template, then place."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
     kind = pa.list_(pa.struct([("template", pa.string()), ("coverage", pa.float64()), ("matched_words", pa.int32()),
                                ("start_word", pa.int32()), ("end_word", pa.int32()), ("start_char", pa.int32()),
@@ -290,8 +334,10 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                     hi += 1
                 found += scan(texts[lo:hi], index, min_share, min_coverage)
                 lo = hi
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc", "matches"])
+            parts = [pa.array([[m for m in ms if m["lesser"] == lesser] for ms in found], kind) for lesser in (False, True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *parts], ["doc", "matches", "lesser"])
 
-    matched = rows.mapInArrow(run, f"doc {like_type(rows, 'doc')}, matches array<struct<{MATCH}>>")
+    matched = rows.mapInArrow(run, f"doc {like_type(rows, 'doc')}, matches array<struct<{MATCH}>>, lesser array<struct<{MATCH}>>")
     return matched.select("doc", F.size("matches").cast("long").alias("n_matches"),
-                          F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["template"]))).alias("licenses"), "matches")
+                          F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["template"]))).alias("licenses"), "matches",
+                          "lesser")

@@ -162,6 +162,34 @@ def test_every_template_and_table_line(spark):
         assert licenses.words([texts[r.doc][1][own[0].start_char:own[0].end_char].encode()])[2].tolist() == licenses.words([text.encode()])[2].tolist()
 
 
+NEIGHBOURS = [
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0 notice"]),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", ["CC-BY-4.0 notice"]),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", []),
+    ("This work is licensed under a Creative Commons Attribution 3.0 International License", []),
+    ("This work is licensed under the GNU General Public License, version 2", ["GPL-2.0 notice"]),
+    ("This work is licensed under the GNU General Public License, version 3.0", ["GPL-3.0 notice"]),
+    ("This work is licensed under the GNU General Public License, version 2.3", []),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1", []),
+    ("This work is licensed under the GNU Lesser General Public License, version 3. Licensed under CC BY-NC-SA 4.0",
+     ["CC-BY-NC-SA-4.0 short notice", "LGPL-3.0 notice"]),
+    ("Released under the BSD License. Released under the MIT License", ["MIT notice"]), ("Released under the BSD License", []),
+    ("Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0", ["CC-BY-4.0 short notice", "CC-BY-NC-4.0 notice"]),
+    (dict(licenses.TEMPLATES)["All rights reserved notice"], ["All rights reserved notice"]),
+    (dict(licenses.TEMPLATES)["GPL-2.0"], ["GPL-2.0"]), (dict(licenses.TEMPLATES)["LGPL-2.1"], ["LGPL-2.1"]),
+    # Put into a longer text, but not part of it.
+    (dict(licenses.TEMPLATES)["MIT"].replace("THE SOFTWARE IS", "Licensed under CC BY 4.0. THE SOFTWARE IS"), ["CC-BY-4.0 short notice", "MIT"]),
+]
+
+
+def test_like_licenses_are_told_apart(spark):
+    texts = [(i, f"Some words. {text}. More words", None) for i, (text, _) in enumerate(NEIGHBOURS)]
+    got = {r.doc: r for r in licenses.scan_licenses(table(spark, texts)).collect()}
+    assert [(t, got[i].licenses) for i, (t, _) in enumerate(NEIGHBOURS)] == NEIGHBOURS
+    of = {m.template for m in got[13].lesser}
+    assert "GPL-1.0" in of and got[13].n_matches == 1 and {m.template for m in got[12].lesser} == {"All rights reserved"}
+
+
 def brute_path(text, own):
     """Best score and matched words of local paths."""
     above, best = [(0, 0)] * (len(text) + 1), (0, 0)
