@@ -6,14 +6,19 @@ the search works on the histogram of lengths, which is bounded however many
 pieces there are:
 
 * the largest remaining length opens a sequence;
-* its undominated fillings are enumerated (fewest and largest pieces first) for
-  waste 0, 1, ... up to, but not including, the waste of the best-fit filling,
-  which is the incumbent;
-* the filling is used as often as its lengths last;
+* its undominated fillings, of any number of pieces, are enumerated on demand for
+  waste 0, 1, ..., the largest pieces first (depth first over the lengths, led by
+  the sums that the shorter ones can reach); best fit comes first of those of
+  its waste.  A filling is dominated when some of its pieces can be changed for
+  one longer, or equally long, piece that is left;
+* the filling is used as often as its lengths last, and less often when the search
+  comes back to it after all others;
 * the whole solution found that way is the first incumbent; branch and bound
   then backtracks over the other fillings and drops a branch when the sequences
   used so far plus the bound of what is left (tokens, and pieces too long to
-  share) reach the incumbent.  It ends at the bound or after ``nodes`` nodes.
+  share) reach the incumbent, and fillings whose waste alone would.  It ends at
+  the bound, after all branches, or after ``nodes`` nodes or ``STEPS`` steps of
+  enumeration a node on average; the best solution by then is returned.
 
 A solution is a list of patterns with multiplicities.  Pieces are numbered
 within their length (row numbers in hash buckets plus bucket offsets, so a
@@ -37,7 +42,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -52,6 +57,8 @@ from tambo.llm.token_counts import byte_symbols
 CACHE, CACHE_CHARS = 300_000, 64
 #: Pieces of one length that one task numbers, about.
 BUCKET_ROWS = 500_000
+#: Steps of the enumeration of fillings for each node that the search may visit.
+STEPS = 1_000
 GAP = re.compile(r"[ \t\r\n]+")
 #: Characters that neither the normaliser's composition nor its lower-casing treats in context.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
@@ -180,44 +187,92 @@ def best_fit(counts: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def _pair(counts: np.ndarray, lengths: np.ndarray, below: np.ndarray, room: int, cap: int, used: int = 0) -> list[int]:
-    """The one or two pieces of at most ``cap`` that fill ``room`` best, the first as large as can be.
+def _reach(lengths: list[int], counts: np.ndarray, room: int) -> list[int]:
+    """Sums up to ``room``, as bits, of the pieces of the first 0, 1, ... of the ascending ``lengths``."""
+    mask, out = (1 << room + 1) - 1, [1]
+    for x in lengths:
+        bits, left, step = out[-1], min(int(counts[x]), room // x), 1
+        while left:
+            step = min(step, left)
+            bits |= bits << x * step & mask
+            left, step = left - step, step * 2
+        out.append(bits)
+    return out
 
-    ``below[x]`` is the largest length left of at most x; a piece of length ``used`` is taken already.
-    """
-    a = lengths[:np.searchsorted(lengths, min(cap, room), side="right")]
-    a = a[counts[a] > (a == used)]
-    if not len(a):
-        return []
-    b = below[np.minimum(a, room - a)]
-    b = np.where((b == used) & (counts[b] < 2), below[np.maximum(b - 1, 0)], b)
-    b = np.where((b == a) & (counts[a] < 2 + (a == used)), below[a - 1], b)
-    b = np.where((b == used) & (b > 0) & (counts[b] < 2), below[np.maximum(b - 1, 0)], b)
-    total = a + b
-    at = len(total) - 1 - int(total[::-1].argmax())
-    return [int(x) for x in (a[at], b[at]) if x]
-
-
-def fillings(counts: np.ndarray, room: int, most: int = 3) -> list[list[int]]:
-    """Undominated fillings of ``room`` in order of preference: least waste first, then few and large pieces; at
-    most ``most`` of them.  Best fit is the incumbent that bounds the waste of the others."""
+
+def _spread(bits: int, width: int) -> int:
+    """Every bit and the ``width`` bits above it."""
+    done = 0
+    while done < width:
+        more = min(done + 1, width - done)
+        bits |= bits << more
+        done += more
+    return bits
+
+
+def fillings(counts: np.ndarray, room: int, limit: Callable[[], int] | None = None, steps: list[int] | None = None) -> Iterator[list[int]]:
+    """Undominated fillings of ``room``: least waste first, up to ``limit()``, then large pieces; best fit is the first of
+    its waste.  ``steps[0]`` counts down; at 0 nothing but best fit is offered."""
     incumbent = best_fit(counts, room)
-    waste = room - sum(incumbent)
-    lengths = np.flatnonzero(counts[:room + 1])
-    if not len(lengths):
-        return [incumbent]
-    below = np.zeros(room + 1, np.int64)
-    below[lengths] = lengths
-    below = np.maximum.accumulate(below)
-    found = [incumbent, [int(lengths[-1])], _pair(counts, lengths, below, room, room)]
-    least = min(waste, *(room - sum(f) for f in found))
-    for first in lengths[-64:][::-1].tolist():
-        if least == 0:
-            break
-        found.append([first, *_pair(counts, lengths, below, room - first, first, first)])
-        least = min(least, room - sum(found[-1]))
-    useful = {tuple(f) for f in found if f and room - sum(f) <= waste}
-    return [list(f) for f in sorted(useful, key=lambda f: (room - sum(f), len(f), [-x for x in f]))[:most]]
+    least = room - sum(incumbent)
+    if least == 0:
+        yield incumbent
+    lengths = np.flatnonzero(counts[:room + 1]).tolist()
+    if not lengths:
+        if least:
+            yield incumbent
+        return
+    steps = steps or [1 << 60]
+    reach = _reach(lengths, counts, room)
+    left = {x: int(counts[x]) for x in lengths}
+    free = sum(1 << x for x in lengths)
+
+    def search(k: int, target: int, waste: int, taken: list[int], single: int, several: int, free: int) -> Iterator[list[int]]:
+        """Fillings of ``target`` from the first ``k`` lengths; ``single`` and ``several`` are the sums of one and of more
+        pieces taken, ``free`` the lengths left."""
+        if target == 0:
+            if not free & (2 << waste) - 1:             # no piece left fits besides
+                yield taken
+            return
+        while k and lengths[k - 1] > target:
+            k -= 1
+        for i in range(k - 1, -1, -1):
+            if not reach[i + 1] >> target & 1:
+                return                              # nor is it from fewer lengths
+            steps[0] -= 1
+            if steps[0] <= 0:
+                return
+            x = lengths[i]
+            if not reach[i + 1] >> target - x & 1:
+                continue
+            grown = []
+            one, more, rest = single, several, target
+            while rest >= x and len(grown) < left[x]:
+                more |= more << x | one << x
+                one |= 1 << x
+                rest -= x
+                now = free if len(grown) + 1 < left[x] else free & ~(1 << x)
+                if (_spread(more, waste) | (_spread(one << 1, waste - 1) if waste else 0)) & now:
+                    break                           # dominated, and so is all that holds it
+                grown.append((rest, one, more, now))
+            for n in range(len(grown), 0, -1):
+                rest, one, more, now = grown[n - 1]
+                if reach[i] >> rest & 1:
+                    yield from search(i, rest, waste, taken + [x] * n, one, more, now)
+
+    for waste in range(room + 1):
+        if waste == least and least:
+            yield incumbent
+        if waste > least and limit is not None and waste > limit():
+            return
+        if waste < room and reach[-1] >> room - waste & 1:
+            for found in search(len(lengths), room - waste, waste, [], 0, 0, free):
+                if found != incumbent:
+                    yield found
+        if steps[0] <= 0:
+            if waste < least:
+                yield incumbent
+            return
 
 
 def _times(counts: np.ndarray, pattern: list[int]) -> int:
@@ -229,20 +284,48 @@ def _use(counts: np.ndarray, pattern: list[int], times: int) -> None:
         counts[x] -= times
 
 
+def options(counts: np.ndarray, top: int, size: int, without: frozenset, limit: Callable[[], int],
+            steps: list[int]) -> Iterator[tuple[list[int], int, frozenset]]:
+    """Patterns that ``top`` opens, how often they are used (as often as can be, then less often), and the patterns that
+    need not be tried again for the same length afterwards."""
+    own = counts.copy()
+    own[top] -= 1
+    offered = []
+    for filling in fillings(own, size - top, limit, steps):
+        pattern = [top, *filling]
+        if tuple(pattern) not in without:
+            own[top] += 1
+            times = _times(own, pattern)
+            own[top] -= 1
+            offered.append((pattern, times))
+            yield pattern, times, without
+    for pattern, times in offered:
+        without = without | {tuple(pattern)}
+        for fewer in range(times - 1, 0, -1):
+            yield pattern, fewer, without
+
+
 def complete(counts: np.ndarray, size: int, nodes: int = 3_000) -> list[tuple[list[int], int]]:
     """Patterns (lengths of one sequence, largest first) with multiplicities that use up the histogram
     ``counts[length]``, in as few sequences as the search finds."""
     counts = counts.astype(np.int64).copy()
     goal = lower_bound(counts, size)
+    tokens = int((np.arange(len(counts)) * counts).sum())
     path: list[tuple[list[int], int]] = []
-    choices: list[list[list[int]]] = []
+    choices: list[Iterator] = []
     best, best_path, used, visited, top = None, [], 0, 0, len(counts) - 1
+    placed, steps = 0, [STEPS * nodes]
+
+    def allowed(spare: int) -> Callable[[], int]:
+        """Waste that a sequence may have for fewer sequences than the incumbent's, after waste of -``spare``."""
+        return lambda: size if best is None else (best - 1) * size - tokens + spare
 
-    def descend() -> None:
+    def descend(without: frozenset) -> None:
         """Follows the preferred fillings to the end, or until the bound shows that nothing is to be gained."""
-        nonlocal used, visited, top
+        nonlocal visited, top
         step = 0
         while True:
+            before = top
             while top > 0 and counts[top] == 0:
                 top -= 1
             if top == 0:
@@ -251,37 +334,45 @@ def complete(counts: np.ndarray, size: int, nodes: int = 3_000) -> list[tuple[li
             step += 1
             if best is not None and step % 16 == 1 and used + lower_bound(counts, size) >= best:
                 return
-            counts[top] -= 1
-            options = fillings(counts, size - top)
-            counts[top] += 1
-            choices.append([[top, *o] for o in options])
-            take()
-
-    def take() -> None:
-        nonlocal used
-        pattern = choices[-1].pop(0)
-        times = _times(counts, pattern)
+            choices.append(options(counts, top, size, without if top == before else frozenset(), allowed(placed - used * size), steps))
+            without = take()
+            if without is None:
+                choices.pop()
+                return
+
+    def take() -> frozenset | None:
+        """Takes the next choice of the last node; None when there is none."""
+        nonlocal used, placed
+        choice = next(choices[-1], None)
+        if choice is None:
+            return None
+        pattern, times, without = choice
         _use(counts, pattern, times)
         path.append((pattern, times))
         used += times
+        placed += times * sum(pattern)
+        return without
 
+    without: frozenset = frozenset()
     while True:
-        descend()
-        if top == 0 and (best is None or used < best):
+        descend(without)
+        if not counts.any() and (best is None or used < best):
             best, best_path = used, list(path)
-        if best is not None and (best <= goal or visited >= nodes):
+        if best is not None and (best <= goal or visited >= nodes or steps[0] <= 0):
             return best_path
         while path:
             pattern, times = path.pop()
             _use(counts, pattern, -times)
             used -= times
-            if choices[-1]:
+            placed -= times * sum(pattern)
+            top = pattern[0]
+            chosen = take()
+            if chosen is not None:
+                without = chosen
                 break
             choices.pop()
         if not choices:
             return best_path
-        top = len(counts) - 1
-        take()
 
 
 def placements(patterns: list[tuple[list[int], int]], size: int) -> dict[str, np.ndarray]:

@@ -511,6 +511,31 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert packing.lower_bound(counts, size) <= best[0]
 
 
+@pytest.mark.parametrize("k", [1, 3, 1000])
+def test_bin_completion_tries_fillings_of_many_pieces(k):
+    counts = np.zeros(2049, np.int64)
+    counts[[1000, 700, 648, 262]] = 2 * k, 2 * k, k, 8 * k
+    patterns = packing.complete(counts, 2048)
+    assert sum(t for _, t in patterns) == 3 * k == packing.lower_bound(counts, 2048)
+
+
+def test_fillings_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(80):
+        room, lengths = rng.randint(5, 30), [rng.randint(1, 15) for _ in range(rng.randint(1, 8))]
+        every = {tuple(sorted(c, reverse=True)) for n in range(1, 9) for c in itertools.combinations(lengths, n) if sum(c) <= room}
+
+        def dominated(f):
+            rest, waste = Counter(lengths) - Counter(f), room - sum(f)
+            inner = {c for n in range(1, len(f) + 1) for c in itertools.combinations(f, n)}
+            return any(sum(c) <= x <= sum(c) + waste and c != (x,) for c in inner for x in rest) or any(x <= waste for x in rest)
+
+        want = {f for f in every if not dominated(f)}
+        got = [tuple(f) for f in packing.fillings(np.bincount(lengths, minlength=room + 1), room) if f]
+        assert len(set(got)) == len(got) and set(got) == want
+        assert [room - sum(f) for f in got] == sorted(room - sum(f) for f in got)
+
+
 # ------------------------------------------------------------------ 10 WARC
 PAGES = "page_id bigint, url string, html string, digest string"
 BIG = "<html>" + "é body " * 300
