@@ -14,7 +14,9 @@ Defined results: a null or empty text has no words and is never contaminated;
 items that are null or have no words give no window; an empty item table leaves
 every text clean; repeated items count once (items are told apart by id);
 repeated rows of documents each get their own row; a null id is kept as a key
-of its own.  Only the named id and text columns are read, so other columns may
+of its own: all items with a null id are one item, a null at the end of ``items``
+that ``n_items`` counts (the query's ``items_sha256`` joins the ids that are not null,
+as its SQL does).  Only the named id and text columns are read, so other columns may
 have any name.
 """
 
@@ -69,7 +71,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, words_per_hit:
     found = found.select("doc", "key", _merged(F.col("hit")).alias("spans"))
     member = windows.select("window", "item")
     listed = (hits.select("doc", "key", "window").distinct().join(_bounded(member, n_windows), "window")
-                  .groupBy("doc", "key").agg(F.array_sort(F.collect_set("item")).alias("items")))
+                  .groupBy("doc", "key").agg(F.array_sort(F.transform(F.collect_set(F.struct("item")), lambda s: s["item"])).alias("items")))
     found = found.join(listed.withColumnsRenamed({"doc": "doc2", "key": "key2"}),
                        F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("key") == F.col("key2"))).drop("doc2", "key2")
     out = sized.join(found.withColumnsRenamed({"doc": "doc2", "key": "key2"}),

@@ -89,6 +89,16 @@ def test_contamination_equals_brute_force(spark, docs, monkeypatch, limit):
     assert rows == brute_contamination([(i, t) for i, t, _ in TEXTS], [b[:2] for b in bench])
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_items_without_an_id_count_as_one(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", limit)
+    bench = [*BENCH, (None, "the angry old farmer", None)]
+    got = decontaminate.contamination(docs, items(spark, bench)).collect()
+    rows = sorted(((r.doc, r.n_words, r.n_hit, tuple(sorted(map(str, r["items"]))), r.contaminated) for r in got), key=repr)
+    assert rows == brute_contamination([(i, t) for i, t, _ in TEXTS], [b[:2] for b in bench])
+    assert all(r.n_items == len(r["items"]) and None not in r["items"][:-1] for r in got) and any(None in r["items"] for r in got)
+
+
 def test_contamination_empty_tables(spark, docs, none):
     assert decontaminate.contamination(none, items(spark, BENCH)).count() == 0
     clean = decontaminate.contamination(docs, items(spark, [])).collect()
