@@ -10,8 +10,8 @@ an unknown word backs off to the longest n of which it holds a known n-gram, and
 gives the mean log frequency of its known n-grams.
 
 Training may be limited to a sample of about ``max_docs`` labelled rows (fewer
-where some of them have no text), chosen
-by a hash of the id; the vocabulary counts are Spark aggregates, and only the
+where some of them have no text), an equal number of each language, chosen by a
+hash of the id, and all rows of languages that have fewer; the vocabulary counts are Spark aggregates, and only the
 model, bounded by its parameters, reaches the driver.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0;
@@ -105,10 +105,11 @@ def train(labelled: DataFrame, max_docs: int | None = MAX_DOCS, max_words: int =
     rows = labelled.select(F.col(id_col).alias("doc"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter("lang is not null")
     if max_docs is not None:
-        total = rows.count()                                            # reads no text
-        if total > max_docs:
+        sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))     # reads no text; one row a language
+        found = sizes.agg(F.sum("rows").alias("rows"), F.count("*").alias("langs")).first()
+        if (found["rows"] or 0) > max_docs:
             share = F.pmod(F.xxhash64("doc"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-            rows = rows.filter(share < max_docs / total)
+            rows = rows.join(F.broadcast(sizes), "lang").filter(share < max_docs / found["langs"] / F.col("rows")).drop("rows")
     words = rows.filter("text is not null").select("lang", "text").mapInArrow(_word_counts, "lang string, item string, n bigint")
     words = checkpointed(words.groupBy("lang", "item").agg(F.sum("n").alias("n")))
     grams = words.mapInArrow(_gram_counts, "lang string, kind int, item string, n bigint")

@@ -455,6 +455,12 @@ def test_model_size_limits(spark):
     assert set(langid.train(table(spark, rows), max_words=2)["tables"][0]) == {"aa", "ee"}      # bb and cc tie
 
 
+def test_sample_keeps_rare_languages(spark):
+    rows = [(i, "the dog runs", "en") for i in range(3000)] + [(9000 + i, "vlk beha rychle", "cs") for i in range(2)]
+    model = langid.train(table(spark, rows), max_docs=40)
+    assert model["langs"] == ["cs", "en"] and {"vlk", "dog"} <= model["tables"][0].keys()
+
+
 def test_backoff_order():
     model = {"langs": ["a", "b"], "tables": [{"known": 0}, {"z": 0}, {}, {"zzz": 0}, {}, {}],
              "logs": [np.array([[-1, -9]], np.float32), np.array([[-9, -1]], np.float32), None, np.array([[-2, -3]], np.float32), None, None]}
