@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tambo.llm import chat, decontaminate, langid, lcp, licenses, packing, sharding, simhash, token_counts, warc
+from tambo.llm import (chat, decontaminate, langid, lcp, lexical, licenses, packing, prefix_trie, sharding, simhash, token_counts,
+                       toxicity, warc)
 from tambo.llm.common import read_table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -78,9 +79,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+    return found.select("item_id", "rank", F.col("doc").alias("doc_id"), "score")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = prefix_trie.turn_paths(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(paths)).select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.select(F.col("doc").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_license_scan, op3_token_counts, op4_chat_format, op5_simhash_near_dups,
-    op6_document_fingerprints, op7_sharding, op8_language_id, op9_best_fit_packing, op10_warc)}
+    op6_document_fingerprints, op7_sharding, op8_language_id, op9_best_fit_packing, op10_warc,
+    op11_lexical_search, op12_prefix_trie, op13_toxicity)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -121,4 +140,39 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < largest THEN
        CASE WHEN page_id < largest THEN largest END AS refers_to,
        CASE WHEN page_id < largest THEN 0 ELSE payload_bytes END::BIGINT AS block_bytes
 FROM r""",
+    "op11_lexical_search": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, row_number() OVER () AS r, {_WORDS} AS w FROM benchmark),
+s AS (SELECT count(*) AS N, sum(len(w)) AS L FROM d WHERE len(w) > 0),
+dt AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+it AS (SELECT r, term, count(*) AS q FROM (SELECT r, unnest(w) AS term FROM i) GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM dt WHERE term IN (SELECT term FROM it) GROUP BY term),
+wt AS (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS wt FROM df, s),
+m AS (SELECT r, doc_id, (25 + (75 * len(w) * N) // L)::BIGINT AS m FROM d, s WHERE len(w) > 0),
+sc AS (SELECT it.r AS item, dt.r AS doc, sum(q * wt * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+       FROM it JOIN wt USING (term) JOIN dt USING (term) JOIN m ON m.r = dt.r GROUP BY it.r, dt.r),
+rk AS (SELECT item, m.doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, m.doc_id NULLS LAST) AS rk
+       FROM sc JOIN m ON m.r = sc.doc WHERE score > 0)
+SELECT i.item_id, rk::INTEGER AS rank, doc_id, score FROM rk JOIN i ON i.r = rk.item WHERE rk <= 10""",
+    "op12_prefix_trie": """
+WITH b AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)
+                       ORDER BY i) AS tab FROM range(256) r(i)),
+t AS (SELECT conv_id AS c, turn, length(coalesce(text, '')) AS n, coalesce(role, '') AS r, coalesce(text, '') AS x
+      FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, turn, n, substr(sha256(concat(length(r), ':', r, x)), 1, 32) AS id FROM t),
+o AS (SELECT c, list({'id': id, 'n': n} ORDER BY turn NULLS FIRST, id, n) AS ids FROM k GROUP BY c),
+h AS (SELECT c, ids, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda y: ascii(y)::BIGINT)),
+             lambda a, y: xor(a // 256, tab[xor(a, y) % 256 + 1])), 4294967295) % 6 AS h FROM o, b),
+e AS (SELECT h.c, list_concat(list_slice(coalesce(o.ids, []), 1, h.h), list_slice(h.ids, h.h + 1, len(h.ids))) AS ids
+      FROM h LEFT JOIN o ON o.c = h.base),
+m AS (SELECT c, len(ids) AS total, d, list_slice(ids, 1, d) AS p FROM (SELECT c, ids, unnest(range(0, len(ids) + 1)) AS d FROM e)),
+n AS (SELECT d, p, min(c) AS conv, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE p[d].n END AS size,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (total = d), '')) AS ends FROM m GROUP BY d, p),
+g AS (SELECT d - 1 AS d, list_slice(p, 1, d - 1) AS p, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+a AS (SELECT n.*, coalesce(kids, 0) AS kids, unnest(range(0, n.d + 1)) AS above FROM n LEFT JOIN g ON g.d = n.d AND g.p = n.p),
+s AS (SELECT above AS d, list_slice(p, 1, above) AS p, sum((n - 1) * size) AS saved, count(*) FILTER (kids = 0) AS leaves FROM a GROUP BY ALL)
+SELECT n.conv AS conv_id, n.d AS depth, u.conv AS parent_conv_id, n.n AS n_convs, coalesce(g.kids, 0) AS n_children,
+       s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.p = n.p LEFT JOIN g ON g.d = n.d AND g.p = n.p
+LEFT JOIN n u ON u.d = n.d - 1 AND u.p = list_slice(n.p, 1, n.d - 1)""",
 }

@@ -13,7 +13,7 @@ from test_operators import brute_components, brute_contamination, brute_simhash
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages"):
+    for t in ("documents", "benchmark", "conversations", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     rel = con.sql(ORACLE[name])
     got = QUERIES[name](spark, SF_SMALL).select(*rel.columns)
