@@ -25,9 +25,9 @@ within their length (row numbers in hash buckets plus bucket offsets, so a
 length that a third of all pieces share is spread), and the number within the
 length names pattern, sequence and offset.
 
-Token ids are those of the library for the given vocabulary file.  Stretches
-between spaces, tabs and line ends are coded on their own and short ones
-remembered: none of the vocabulary's words, special strings or normalisations
+Token ids are those of the library for the given vocabulary file.  Words, or
+stretches between spaces, tabs and line ends, are coded on their own and short
+words remembered: none of the vocabulary's words, special strings or normalisations
 spans white space.  ``TokenCache`` must not be used for vocabularies that join
 words over spaces.
 
@@ -44,6 +44,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ from pyspark.sql import functions as F
 from tambo.llm.common import checkpointed, like_type
 from tambo.llm.token_counts import byte_symbols
 
-#: Remembered stretches per worker, and the longest one remembered.
+#: Remembered words per worker, and the longest one remembered.
 CACHE, CACHE_CHARS = 300_000, 64
 #: Pieces of one length that one task numbers, about.
 BUCKET_ROWS = 500_000
@@ -62,8 +63,10 @@ STEPS = 1_000
 GAP = re.compile(r"[ \t\r\n]+")
 #: Characters that neither the normaliser's composition nor its lower-casing treats in context.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Whole texts of such characters and the white space between them.
+PLAIN_TEXT = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f \t\r\n]*")
 #: The vocabulary's words, for lower-cased plain characters (a fixed value of its file format).
-WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f]+")
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f \t\r\n]+")
 BYTE_SYMBOLS = byte_symbols()
 
 
@@ -71,50 +74,98 @@ BYTE_SYMBOLS = byte_symbols()
 class TokenCache:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    A stretch of printable ASCII and Latin letters, in composed form, is lower-cased and cut
-    into words here and only its unknown words go to the library's merge model, whose
-    normaliser is by far the slowest part; any other stretch goes through the whole library.
+    Texts of printable ASCII and Latin letters, in composed form, are lower-cased and cut into
+    words here, and only unknown words go to the library's merge model, whose normaliser is by
+    far the slowest part; any other stretch between white space goes through the whole library.
+
+    The ids of known words lie end to end in one array.  A full table keeps the half of its words
+    that occurred most, and halves their counts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.seen: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            symbols = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
-            known = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
-            if len(word) <= CACHE_CHARS:
-                self.words[word] = known
-        return known
-
-    def stretch(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join([self.word(w) for w in WORDS.findall(text.lower())])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.room = room
+        #: Number of each known word; a stretch for the whole library is the one member of a tuple.
+        self.place: dict[str | tuple[str], int] = {}
+        self.ids = np.empty(0, "<u4")
+        self.start, self.hits = np.zeros(1, np.int64), np.empty(0, np.int64)
+
+    def code(self, word: str | tuple[str]) -> list[int]:
+        if isinstance(word, tuple):
+            return self.tokenizer.encode(word[0], add_special_tokens=False).ids
+        symbols = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+        return [t.id for t in self.model.tokenize(symbols)]
+
+    def words(self, text: str) -> list[str | tuple[str]]:
+        if PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+            return WORDS.findall(text.lower())
+        out: list[str | tuple[str]] = []
+        for stretch in GAP.split(text):
+            if PLAIN.fullmatch(stretch) and "<|" not in stretch:
+                out += WORDS.findall(stretch.lower())
+            elif stretch:
+                out.append((stretch,))
+        return out
+
+    def keep(self, numbers: np.ndarray) -> None:
+        """Only the words of these numbers (ascending) stay known, in their order."""
+        kept = set(numbers.tolist())
+        names = [w for w, at in self.place.items() if at in kept]      # in order of their numbers
+        counts = np.diff(self.start)[numbers]
+        start = np.concatenate(([0], np.cumsum(counts)))
+        self.ids = self.ids[np.repeat(self.start[numbers] - start[:-1], counts) + np.arange(start[-1])]
+        self.start, self.hits = start, self.hits[numbers]
+        self.place = {w: i for i, w in enumerate(names)}
+
+    def learn(self, new: list) -> list:
+        """Adds words that are not known; those too long to stay, which come last."""
+        long = [w for w in new if isinstance(w, tuple) or len(w) > CACHE_CHARS]
+        if long:
+            new = [w for w in new if isinstance(w, str) and len(w) <= CACHE_CHARS] + long
+        coded = [self.code(w) for w in new]
+        first = len(self.place)
+        self.place.update((w, first + i) for i, w in enumerate(new))
+        self.ids = np.concatenate((self.ids, np.array([t for c in coded for t in c], "<u4")))
+        ends = self.start[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+        self.start = np.concatenate((self.start, ends))
+        self.hits = np.concatenate((self.hits, np.zeros(len(new), np.int64)))
+        return long
+
+    def numbers(self, words: list) -> tuple[np.ndarray, list]:
+        """The number of each word, and the words that stay known for this time only."""
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        gaps = np.flatnonzero(at < 0).tolist()
+        if not gaps:
+            return at, []
+        new = list(dict.fromkeys([words[i] for i in gaps]))
+        if len(self.place) + len(new) > self.room and len(self.place) > self.room // 2:
+            self.keep(np.sort(np.argsort(-self.hits, kind="stable")[:self.room // 2]))
+            self.hits //= 2
+            return self.numbers(words)
+        passing = self.learn(new)
+        at[gaps] = list(map(self.place.__getitem__, [words[i] for i in gaps]))
+        return at, passing
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        stretches = [GAP.split(t) for t in texts]
-        every = set().union(*stretches)
-        if len(self.seen) + len(every) > CACHE:
-            self.seen = {"": b""}
-        if len(self.words) > CACHE:
-            self.words = {}
-        new = every - self.seen.keys()
-        for w in new:
-            self.seen[w] = self.stretch(w)
-        out = [b"".join(map(self.seen.__getitem__, ws)) for ws in stretches]
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del self.seen[w]
-        return out
+        per_text = [self.words(t) for t in texts]
+        words = [w for ws in per_text for w in ws]
+        at, passing = self.numbers(words)
+        self.hits += np.bincount(at, minlength=len(self.hits))
+        counts = self.start[at + 1] - self.start[at]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.ids[np.repeat(self.start[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        borders = ends[np.cumsum([0] + [len(ws) for ws in per_text])]
+        for w in passing:
+            del self.place[w]
+        if passing:
+            left = len(self.place)
+            self.ids, self.start, self.hits = self.ids[:self.start[left]], self.start[:left + 1], self.hits[:left]
+        return [ids[lo:hi].tobytes() for lo, hi in zip(borders[:-1], borders[1:])]
 
 
 @lru_cache(maxsize=2)

@@ -498,7 +498,16 @@ def test_stretches_equal_library():
     tokenizer, cache = Tokenizer.from_file(path), packing.TokenCache(path)
     parts = ["a", "B", " ", "\n", "\x0b", "\x85", "'s", "'LL", "<|endoftext|>", "é", "É", "Σ", "中", "👍", "½", "́", "İ", " ", "The ", "1", "-"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
-    assert cache.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert cache.encode(texts) == want
+    small = packing.TokenCache(path, room=40)          # forgets half of its words again and again
+    for lo in range(0, 3000, 50):
+        assert small.encode(texts[lo:lo + 50]) == want[lo:lo + 50]
+    assert small.place and max(small.place.values()) == len(small.place) - 1 == len(small.start) - 2
+    long = ["q" * 70 + " b", "b " + "q" * 70, "q" * 20_000]
+    for _ in range(2):
+        assert small.encode(long) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(long, add_special_tokens=False)]
+    assert all(len(w) <= packing.CACHE_CHARS for w in small.place)
 
 
 def test_bin_completion_is_optimal_on_small_cases():
