@@ -33,3 +33,14 @@ def text_key(text: Column) -> Column:
 def like_type(df: DataFrame, column: str) -> str:
     """The SQL type of a column, for schemas of mapInArrow results."""
     return df.schema[column].dataType.simpleString()
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores at its end as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

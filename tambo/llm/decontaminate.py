@@ -7,8 +7,9 @@ window of a text is hashed and probed against the set of benchmark hashes; a
 match is verified word by word, and hit windows are merged into word spans.
 
 All steps are DataFrame expressions.  The window set is broadcast only when its
-counted size is at most ``MAX_BROADCAST_WINDOWS``; beyond that the same join
-shuffles on the window hash.
+measured size is at most ``MAX_BROADCAST_BYTES``; beyond that the same join
+shuffles on the window hash.  Whole texts are read, however long; the words of
+one text are one array.
 
 Defined results: a null or empty text has no words and is never contaminated;
 items that are null or have no words give no window; an empty item table leaves
@@ -16,8 +17,8 @@ every text clean; repeated items count once (items are told apart by id);
 repeated rows of documents each get their own row; a null id is kept as a key
 of its own: all items with a null id are one item, a null at the end of ``items``
 that ``n_items`` counts (the query's ``items_sha256`` joins the ids that are not null,
-as its SQL does).  Only the named id and text columns are read, so other columns may
-have any name.
+as its SQL does).  Only the named id and text columns are read, and names used on the
+way avoid those of the input, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,17 +26,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tambo.llm.common import ascii_lower, checkpointed, text_key
+from tambo.llm.common import ascii_lower, checkpointed, own_names, text_key
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: About 30 MB: window text, hash and length.
-MAX_BROADCAST_WINDOWS = 200_000
+#: Words before A-Z are lower-cased, and what stands between them.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of the windows (text, hash and length) up to which they are broadcast.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    """The words of a text; null for null.  Cutting between words is several times cheaper than finding each word."""
+    return F.filter(F.split(ascii_lower(text), BETWEEN), lambda w: w != "")
 
 
 def item_windows(items: DataFrame, n: int, item_id: str, item_text: str) -> DataFrame:
@@ -48,8 +50,8 @@ def item_windows(items: DataFrame, n: int, item_id: str, item_text: str) -> Data
                          F.xxhash64("window").alias("hash")).distinct()
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST_WINDOWS else df
+def _bounded(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= MAX_BROADCAST_BYTES else df
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 13, words_per_hit: int = 20, id_col: str = "doc_id",
@@ -62,15 +64,15 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, words_per_hit:
     """
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     windows = checkpointed(item_windows(items, n, item_id, item_text))
-    n_windows = windows.count()
+    size = windows.agg(F.sum(F.octet_length("window") + F.coalesce(F.octet_length("item"), F.lit(0)) + 32)).first()[0] or 0
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())    # at most n values
     sized = base.select("doc", text_key(F.col("text")).alias("key"),
-                        F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
-    hits = checkpointed(document_hits(base, windows, n_windows, lengths))       # read twice below; hits only
+                        F.size(F.coalesce(words_of(F.col("text")), F.array().cast("array<string>"))).cast("long").alias("n_words"))
+    hits = checkpointed(document_hits(base, windows, size, lengths))       # read twice below; hits only
     found = hits.groupBy("doc", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hit"))
     found = found.select("doc", "key", _merged(F.col("hit")).alias("spans"))
     member = windows.select("window", "item")
-    listed = (hits.select("doc", "key", "window").distinct().join(_bounded(member, n_windows), "window")
+    listed = (hits.select("doc", "key", "window").distinct().join(_bounded(member, size), "window")
                   .groupBy("doc", "key").agg(F.array_sort(F.transform(F.collect_set(F.struct("item")), lambda s: s["item"])).alias("items")))
     found = found.join(listed.withColumnsRenamed({"doc": "doc2", "key": "key2"}),
                        F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("key") == F.col("key2"))).drop("doc2", "key2")
@@ -85,7 +87,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, words_per_hit:
         "contaminated", (F.col("n_hit") > 0) & (words_per_hit * F.col("n_hit") >= F.col("n_words")))
 
 
-def document_hits(base: DataFrame, windows: DataFrame, n_windows: int, lengths: list[int]) -> DataFrame:
+def document_hits(base: DataFrame, windows: DataFrame, size: int, lengths: list[int]) -> DataFrame:
     """(doc, key, window, start, end) for every verified window occurrence.
 
     Each text's window hashes, for every window length that occurs, are laid
@@ -108,7 +110,7 @@ def document_hits(base: DataFrame, windows: DataFrame, n_windows: int, lengths:
         before = before + count[m]
     start = (F.col("at") - offset).alias("start")
     window = F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ")
-    if n_windows <= MAX_BROADCAST_WINDOWS:
+    if size <= MAX_BROADCAST_BYTES:
         # Probed where the text's words are; only matches go on, so the words are at hand to verify them.
         joined = probed.join(F.broadcast(distinct.drop("length")), "hash")
         found = joined.select("doc", "key", "words", "window", start, length.alias("length")).filter(window == F.col("window"))
@@ -151,15 +153,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "drop_documents
     if mode not in ("drop_documents", "remove_spans"):
         raise ValueError(f"unknown mode: {mode}")
     report = contamination(docs, items, n, words_per_hit, id_col, text_col, item_id, item_text)
-    bad = report.filter("contaminated").select(F.col("doc").alias("__doc"), F.col("key").alias("__key"),
-                                               F.col("spans").alias("__spans"))
-    same = F.col(id_col).eqNullSafe(F.col("__doc")) & (text_key(F.col(text_col)) == F.col("__key"))
+    doc, key, cut_spans = own_names(docs, "doc", "key", "spans")
+    bad = report.filter("contaminated").select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("spans").alias(cut_spans))
+    same = F.col(id_col).eqNullSafe(F.col(doc)) & (text_key(F.col(text_col)) == F.col(key))
     if mode == "drop_documents":
         return docs.join(bad, same, "left_anti")
-    joined = docs.join(bad.dropDuplicates(["__doc", "__key"]), same, "left")
-    word = WORD_ANY_CASE[:-1]
-    other = "[" + word[2:]
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"{WORD_ANY_CASE}{other}*"), F.lit(0))
-    kept = F.filter(pieces, lambda p, i: ~F.exists("__spans", lambda s: (s["start"] <= i) & (i < s["end"])))
-    cut = F.concat(F.regexp_extract(F.col(text_col), f"^{other}*", 0), F.array_join(kept, ""))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    joined = docs.join(bad.dropDuplicates([doc, key]), same, "left")
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"{WORD}(?:{BETWEEN})?"), F.lit(0))
+    kept = F.filter(pieces, lambda p, i: ~F.exists(cut_spans, lambda s: (s["start"] <= i) & (i < s["end"])))
+    cut = F.concat(F.regexp_extract(F.col(text_col), f"^(?:{BETWEEN})?", 0), F.array_join(kept, ""))
+    columns = [f"`{c}`" for c in docs.columns]
+    return joined.withColumn(text_col, F.when(F.col(cut_spans).isNull(), F.col(text_col)).otherwise(cut)).select(*columns)
