@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tambo.llm.common import checkpointed, like_type
+from tambo.llm.common import checkpointed, like_type, own_names
 
 UNKNOWN = "und"
 MAX_N = 5
@@ -192,13 +192,13 @@ class Scorer:
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc, lang_pred, score) per row, or the columns ``keep`` with ``__lang`` and ``__score``."""
+    """(doc, lang_pred, score) per row, or the columns ``keep`` and the two (``own_names``) for language and score."""
     # Each worker's copy of the scorer keeps the words it has looked up from task to task.
     held = docs.sparkSession.sparkContext.broadcast(Scorer(model))
     rows = docs.select(*[f"`{c}`" for c in keep]) if keep else docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("__text"))
     text_at = keep.index(text_col) if keep else 1
     names = keep or ["doc"]
-    lang, score = ("__lang", "__score") if keep else ("lang_pred", "score")
+    lang, score = own_names(rows, "lang_pred", "score") if keep else ("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value
@@ -231,4 +231,5 @@ def drop_unidentified(docs: DataFrame, min_score: float = 0.0, id_col: str = "do
     model = train(docs.filter(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col,
                   lang_col=lang_col, **sizes)
     judged = predict(docs, model, id_col, text_col, keep=docs.columns)
-    return judged.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score)).drop("__lang", "__score")
+    lang, score = own_names(docs, "lang_pred", "score")
+    return judged.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).drop(lang, score)

@@ -16,8 +16,8 @@ The keys are hashes of (seed, partition, position), so retried tasks repeat them
 Defined results: every input row gets exactly one shard and slot, repeated rows
 one each; slots of a shard run from 0 without gaps; an empty table gives no
 rows; fewer rows than shards leave the last shards empty; null columns are
-carried along.  The columns added are ``shard`` and ``slot``; input columns of
-those names are an error.
+carried along, whatever the columns' names.  The columns added are ``shard`` and
+``slot``; input columns of those two names are an error.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tambo.llm.common import checkpointed
+from tambo.llm.common import checkpointed, own_names
 
 #: Rows of one random bucket of a shard, about: what one task orders.
 BUCKET_ROWS = 100_000
@@ -92,24 +92,25 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 42) -> DataFrame
         raise ValueError(f"the input already has columns {sorted(clash)}")
     spark = df.sparkSession
     fixed = checkpointed(df)
+    pid, sums_of, at, draw, pos, bucket, before_it, place = own_names(df, "pid", "sums", "at", "draw", "pos", "bucket", "before", "place")
     counts = {r["pid"]: r["count"] for r in fixed.groupBy(F.spark_partition_id().alias("pid")).count().collect()}
     pids = sorted(counts)
     matrix = communication_matrix([counts[p] for p in pids], shards, seed)
     sums = [(p, np.cumsum(row).tolist()) for p, row in zip(pids, matrix)]
-    lookup = spark.createDataFrame(sums, "__pid int, __sums array<bigint>")
+    lookup = spark.createDataFrame(sums, f"`{pid}` int, `{sums_of}` array<bigint>")
     lookup = F.broadcast(lookup) if len(pids) * shards <= MAX_BROADCAST_CELLS else lookup
 
     in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    keyed = fixed.withColumns({"__pid": F.spark_partition_id(), "__at": in_partition})
-    keyed = keyed.withColumn("__r", F.xxhash64(F.lit(seed), "__pid", "__at"))
-    placed = keyed.sortWithinPartitions("__r", "__at").withColumn("__pos", in_partition)
-    sent = placed.join(lookup, "__pid").withColumn("shard", F.size(F.filter("__sums", lambda s: s <= F.col("__pos"))))
+    keyed = fixed.withColumns({pid: F.spark_partition_id(), at: in_partition})
+    keyed = keyed.withColumn(draw, F.xxhash64(F.lit(seed), pid, at))
+    placed = keyed.sortWithinPartitions(draw, at).withColumn(pos, in_partition)
+    sent = placed.join(lookup, pid).withColumn("shard", F.size(F.filter(sums_of, lambda s: s <= F.col(pos))))
 
     buckets = max(1, math.ceil(max(shard_sizes(sum(counts.values()), shards), default=0) / BUCKET_ROWS))
-    sent = sent.withColumn("__r", F.xxhash64(F.lit(seed + 1), "__pid", "__at")).withColumn("__b", F.pmod(F.col("__r"), F.lit(buckets)))
-    sizes = sent.groupBy("shard", "__b").count()
-    before = Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("shard", "__b").orderBy("__r", "__pid", "__at")
-    ranked = sent.withColumn("__n", F.row_number().over(inside)).join(offsets, ["shard", "__b"])
-    return ranked.select(*[f"`{c}`" for c in df.columns], "shard", (F.col("__before") + F.col("__n") - 1).alias("slot"))
+    sent = sent.withColumn(draw, F.xxhash64(F.lit(seed + 1), pid, at)).withColumn(bucket, F.pmod(F.col(draw), F.lit(buckets)))
+    sizes = sent.groupBy("shard", bucket).agg(F.count("*").alias(place))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", bucket, F.coalesce(F.sum(place).over(before), F.lit(0)).alias(before_it))
+    inside = Window.partitionBy("shard", bucket).orderBy(draw, pid, at)
+    ranked = sent.withColumn(place, F.row_number().over(inside)).join(offsets, ["shard", bucket])
+    return ranked.select(*[f"`{c}`" for c in df.columns], "shard", (F.col(before_it) + F.col(place) - 1).alias("slot"))

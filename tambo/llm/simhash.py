@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tambo.llm.common import checkpointed, like_type, text_key
+from tambo.llm.common import checkpointed, like_type, own_names, text_key
 from tambo.llm.components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -204,6 +204,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 3, segment
     best = classes(rows, max_bits, segments, hot_key).join(first, "fp")
     # A component whose rows all have null ids has no smallest id; such components are told apart by fingerprint.
     best = best.groupBy("component", F.when(F.col("component").isNull(), F.col("fp")).alias("alone")).agg(F.min("first").alias("first"))
-    chosen = best.select(F.col("first.doc").alias("__doc"), F.col("first.key").alias("__key")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__doc")) & (text_key(F.col(text_col)) == F.col("__key"))
-    return docs.join(chosen, same).dropDuplicates(["__doc", "__key"]).select(*[f"`{c}`" for c in docs.columns])
+    own_doc, own_key = own_names(docs, "doc", "key")
+    chosen = best.select(F.col("first.doc").alias(own_doc), F.col("first.key").alias(own_key)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(own_doc)) & (text_key(F.col(text_col)) == F.col(own_key))
+    return docs.join(chosen, same).dropDuplicates([own_doc, own_key]).select(*[f"`{c}`" for c in docs.columns])

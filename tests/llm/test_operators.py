@@ -82,7 +82,7 @@ BENCH = [(1, "brown fox jumps over the lazy dog and runs away from the angry old
 
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_contamination_equals_brute_force(spark, docs, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", limit)
     bench = [b for b in BENCH if b[0] is not None]
     got = decontaminate.contamination(docs, items(spark, bench)).collect()
     rows = sorted(((r.doc, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got), key=repr)
@@ -91,7 +91,7 @@ def test_contamination_equals_brute_force(spark, docs, monkeypatch, limit):
 
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_items_without_an_id_count_as_one(spark, docs, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", limit)
     bench = [*BENCH, (None, "the angry old farmer", None)]
     got = decontaminate.contamination(docs, items(spark, bench)).collect()
     rows = sorted(((r.doc, r.n_words, r.n_hit, tuple(sorted(map(str, r["items"]))), r.contaminated) for r in got), key=repr)
@@ -390,7 +390,6 @@ def test_equal_substrings_share_phrases():
 def test_shards_are_exact(spark, docs, shards):
     got = sharding.shuffle_into_shards(docs, shards).collect()
     sizes = Counter(r.shard for r in got)
-    assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None) == sorted((i, t) for i, t, _ in TEXTS if i is not None) or True
     assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, _ in TEXTS)
     assert [sizes[s] for s in range(shards)] == sharding.shard_sizes(len(TEXTS), shards)
     for s in sizes:
@@ -612,3 +611,25 @@ def test_warc_archive_with_dictionary(spark, tmp_path):
 def test_bad_records(raw, why):
     with pytest.raises(warc.BadRecord, match=why):
         warc.parse_record(raw)
+
+
+# ------------------------------------------------------------------ clashing names
+CLASHES = ["doc", "key", "spans", "Pid", "sums", "at", "draw", "pos", "bucket", "before", "place", "lang_pred", "score", "__doc", "__key",
+           "__lang", "__r", "__pid", "__n", "fp", "component", "length"]
+
+
+def test_clashing_columns_come_back_unchanged(spark):
+    columns = ["doc_id", "text", "lang", *CLASHES]
+    rows = [(i, t, la, *[f"{c} {i}" for c in CLASHES]) for i, (_, t, la) in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'bigint' if c == 'doc_id' else 'string'}" for c in columns)).repartition(3)
+    bench = spark.createDataFrame([(1, TEXTS[0][1], "x")], "item_id bigint, text string, doc string")
+    shards = sharding.shuffle_into_shards(df, 4)
+    assert shards.columns == [*columns, "shard", "slot"]
+    assert sorted(map(tuple, shards.drop("shard", "slot").collect()), key=repr) == sorted(rows, key=repr)
+    for stage in (langid.drop_unidentified(df), simhash.drop_near_duplicates(df), decontaminate.decontaminate(df, bench)):
+        assert stage.columns == columns
+        got = set(map(tuple, stage.collect()))
+        assert got and got < set(rows)
+    cut = decontaminate.decontaminate(df, bench, mode="remove_spans")
+    assert cut.columns == columns
+    assert {r[3:] for r in map(tuple, cut.collect())} == {r[3:] for r in rows}
