@@ -5,8 +5,8 @@ Two regression axes exist:
 * ordinal: x = 0..n-1 over the non-null points of a series in date order; the
   projection h steps ahead is ``intercept + slope * (n - 1 + h)``; one point
   projects to itself, an empty series to 0.0; ``clamp`` floors at 0.
-* date: x = days since 2000-01-01, written with explicit centred sums so the
-  range slope keeps the reference's denominator over all dates.
+* date: x = days since 2000-01-01; lines come from moments in one aggregate, the
+  spread of x being that of all dates, with or without a value.
 
 Series are daily means, i.e. aggregates whose size is bounded by the calendar
 (per key: one row per date).  Windows run only over those aggregates.  The
@@ -234,21 +234,21 @@ def _weekly(one_row: DataFrame, horizon: int, cols: dict[str, Column]) -> DataFr
 
 
 def forecast_weeks(sem: DataFrame, horizon: int = S.HORIZON, clamp: bool = True) -> DataFrame:
-    """Global daily mean price projected 1..8 steps, labelled last date + 7*i."""
-    one = collapse(_global_parts(sem)[:2])
+    """Global daily mean price projected 1..8 steps, labelled last date + 7*i, from rows fit for forecasting."""
+    one = collapse(_global_parts(forecastable(sem))[:2])
     return _weekly(one, horizon, {"precio_promedio_futuro": _proj_prefixed("p", F.col("semana"), clamp)})
 
 
 def forecast_variation(sem: DataFrame, horizon: int = S.HORIZON) -> DataFrame:
     """Global daily mean range projected 1..8 steps (F8)."""
-    parts = _global_parts(sem)
+    parts = _global_parts(forecastable(sem))
     one = collapse([parts[0], parts[2]])
     return _weekly(one, horizon, {"tendencia_variacion": _proj_prefixed("v", F.col("semana"))})
 
 
 def forecast_gap(sem: DataFrame, horizon: int = S.HORIZON) -> DataFrame:
     """Retail - wholesale daily gap projected 1..8 steps; 0.0 without common dates."""
-    parts = _global_parts(sem)
+    parts = _global_parts(forecastable(sem))
     one = collapse([parts[0], parts[3]])
     return _weekly(one, horizon, {"diferencia_futura": _proj_prefixed("g", F.col("semana"))})
 
@@ -258,7 +258,8 @@ def _top_part(sem: DataFrame) -> DataFrame:
 
 
 def forecast_table(sem: DataFrame, horizon: int = S.HORIZON) -> DataFrame:
-    """The 8-row forecast table: date, price, range, gap and top product (F16)."""
+    """The 8-row forecast table: date, price, range, gap and top product (F16), from the rows fit for forecasting."""
+    sem = forecastable(sem)
     one = collapse(_global_parts(sem) + [_top_part(sem)])
     return _weekly(one, horizon, {
         "preciopromediofuturo": _proj_prefixed("p", F.col("semana")),
@@ -303,63 +304,49 @@ def history_plus_forecast(sem: DataFrame, anchor: bool = True, horizon: int = S.
 
 
 # ---------------------------------------------------------------- date axis
-def _centred(series: DataFrame, cols: list[str]) -> DataFrame:
-    """Attach global means of x and ``cols`` (window over the date aggregate only)."""
-    w = Window.partitionBy()
-    return series.withColumns({f"a_{c}": F.avg(c).over(w) for c in ["x", *cols]})
+def _line(y: str) -> Column:
+    """Aggregate: the least-squares line of ``y`` over x as (mean of x, mean of y, slope).
+
+    A day without ``y`` has no part in the covariance but counts for the spread of x.
+    """
+    return F.struct(F.avg("x").alias("x"), F.avg(y).alias("y"),
+                    (F.regr_sxy(y, "x") / F.nullif(F.regr_sxx("x", "x"), F.lit(0.0))).alias("slope"))
+
+
+def _on(line: str, x: Column) -> Column:
+    """The value of a line at ``x``."""
+    return F.col(f"{line}.y") + F.col(f"{line}.slope") * (x - F.col(f"{line}.x"))
+
+
+def _weeks_ahead(series: DataFrame, values: dict[str, str], horizon: int) -> DataFrame:
+    """(fecha_prediccion, one column for each value's line) for the weeks after the last day of a series; no row without one."""
+    lines = series.withColumn("x", days_since_origin("fecha")).agg(
+        F.max("fecha").alias("ultima_fecha"), *[_line(y).alias(f"_{name}") for name, y in values.items()])
+    ahead = lines.filter(F.col("ultima_fecha").isNotNull()).select("*", weeks(horizon)) \
+                 .withColumn("fecha_prediccion", F.date_add("ultima_fecha", F.col("semana") * S.STEP_DAYS))
+    return ahead.select("fecha_prediccion", *[_on(f"_{name}", days_since_origin("fecha_prediccion")).alias(name) for name in values])
 
 
 def forecast_date_axis(sem: DataFrame, horizon: int = S.HORIZON) -> DataFrame:
     """Global 8-week forecast of price and range on the date axis."""
-    serie = daily_base(sem).groupBy("fecha").agg(_mean("_sy", "_ny").alias("y"), _mean("_sv", "_nv").alias("vy")) \
-               .withColumn("x", days_since_origin("fecha"))
-    c = _centred(serie, ["y", "vy"])
-    dx = F.col("x") - F.col("a_x")
-    reg = c.agg(
-        F.max("fecha").alias("ultima_fecha"),
-        F.first("a_x").alias("ax"), F.first("a_y").alias("ay"), F.first("a_vy").alias("avy"),
-        (F.sum(dx * (F.col("y") - F.col("a_y"))) / F.nullif(F.sum(dx * dx), F.lit(0.0))).alias("pend"),
-        (F.sum(dx * (F.col("vy") - F.col("a_vy"))) / F.nullif(F.sum(dx * dx), F.lit(0.0))).alias("pendv"),
-    )
-    out = reg.filter(F.col("ultima_fecha").isNotNull()).select("*", weeks(horizon)) \
-             .withColumn("fecha_prediccion", F.date_add("ultima_fecha", F.col("semana") * S.STEP_DAYS))
-    xf = days_since_origin("fecha_prediccion") - F.col("ax")
-    return out.select(
-        "fecha_prediccion",
-        (F.col("ay") + F.col("pend") * xf).alias("precio_promedio_futuro"),
-        (F.col("avy") + F.col("pendv") * xf).alias("tendencia_variacion"))
+    days = daily_base(sem).groupBy("fecha").agg(_mean("_sy", "_ny").alias("precio"), _mean("_sv", "_nv").alias("rango"))
+    return _weeks_ahead(days, {"precio_promedio_futuro": "precio", "tendencia_variacion": "rango"}, horizon)
 
 
 def forecast_product_date_axis(sem: DataFrame, ahead_days: int = S.PRODUCT_AHEAD_DAYS) -> DataFrame:
     """Per product on the date axis: current, value at +56 days, increment, rank; n >= 2."""
-    serie = daily_series(sem, ["producto"]).withColumn("x", days_since_origin("fecha"))
-    w = Window.partitionBy("producto")
-    b = serie.withColumns({"n": F.count(F.lit(1)).over(w), "ax": F.avg("x").over(w),
-                           "ay": F.avg("y").over(w), "maxx": F.max("x").over(w)}) \
-             .filter(F.col("n") >= 2)
-    dx = F.col("x") - F.col("ax")
-    reg = b.groupBy("producto", "maxx", "ax", "ay").agg(
-        F.max(F.when(F.col("x") == F.col("maxx"), F.col("y"))).alias("precio_actual"),
-        (F.sum(dx * (F.col("y") - F.col("ay"))) / F.nullif(F.sum(dx * dx), F.lit(0.0))).alias("pend"))
-    reg = reg.withColumn("precio_futuro",
-                         F.col("ay") + F.col("pend") * ((F.col("maxx") + ahead_days) - F.col("ax")))
-    out = reg.select("producto", "precio_actual", "precio_futuro",
-                     (F.col("precio_futuro") - F.col("precio_actual")).alias("incremento_esperado"))
+    days = daily_series(sem, ["producto"]).withColumn("x", days_since_origin("fecha"))
+    fit = days.groupBy("producto").agg(F.count(F.lit(1)).alias("_n"), F.max("x").alias("_last"),
+                                       F.max_by("y", "x").alias("precio_actual"), _line("y").alias("_line"))
+    out = fit.filter(F.col("_n") >= 2).select("producto", "precio_actual", _on("_line", F.col("_last") + ahead_days).alias("precio_futuro"))
+    out = out.withColumn("incremento_esperado", F.col("precio_futuro") - F.col("precio_actual"))
     rw = Window.orderBy(F.desc("incremento_esperado"), F.asc("producto"))
     return out.withColumn("ranking_incremento", F.row_number().over(rw).cast("long"))
 
 
 def forecast_gap_date_axis(sem: DataFrame, horizon: int = S.HORIZON) -> DataFrame:
     """Channel-gap 8-week forecast on the date axis over dates with both channels."""
-    serie = gap_series(sem).withColumn("x", days_since_origin("fecha"))
-    c = _centred(serie, ["y"])
-    dx = F.col("x") - F.col("a_x")
-    reg = c.agg(F.max("fecha").alias("ultima_fecha"), F.first("a_x").alias("ax"), F.first("a_y").alias("ay"),
-                (F.sum(dx * (F.col("y") - F.col("a_y"))) / F.nullif(F.sum(dx * dx), F.lit(0.0))).alias("pend"))
-    out = reg.filter(F.col("ultima_fecha").isNotNull()).select("*", weeks(horizon)) \
-             .withColumn("fecha_prediccion", F.date_add("ultima_fecha", F.col("semana") * S.STEP_DAYS))
-    xf = days_since_origin("fecha_prediccion") - F.col("ax")
-    return out.select("fecha_prediccion", (F.col("ay") + F.col("pend") * xf).alias("diferencia_futura"))
+    return _weeks_ahead(gap_series(sem), {"diferencia_futura": "y"}, horizon)
 
 
 # ------------------------------------------------------------------ summaries

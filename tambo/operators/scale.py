@@ -124,17 +124,18 @@ def latest_per_key(rows: DataFrame) -> DataFrame:
     return g.select("fecha", "producto", "_v.*")
 
 
-def scale_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def scale_upsert(existing: DataFrame, incoming: DataFrame, after: int | None = None) -> DataFrame:
     """Upsert on (fecha, producto).
 
     Rows of both sides get every price column replaced and keep id and
-    created_at; rows only in ``existing`` stay; new ones get ids after the
-    present maximum and the present time.
+    created_at; rows only in ``existing`` stay; new ones get the present time
+    and ids after ``after``, or else after the present maximum.
     """
     keys = ["fecha", "producto"]
     vals = [c for c in PAIR_COLUMNS if c not in keys]
     new = latest_per_key(incoming).select(*keys, *vals)
-    after = existing.agg(F.max("id")).first()[0] or 0
+    if after is None:
+        after = existing.agg(F.max("id")).first()[0] or 0
     added = numbered(new.join(existing.select(*keys), keys, "left_anti"), "id", after) \
         .withColumn("created_at", F.current_timestamp())
     fresh = new.select(*keys, F.struct(*vals).alias("_new"))

@@ -215,6 +215,18 @@ SELECT f.producto, f.fecha, day(f.fecha) AS dia, month(f.fecha) AS mes, {MONTHS}
        CAST(CAST({sr('f.precio_max', 2)} AS DECIMAL(18,2)) - CAST({sr('f.precio_min', 2)} AS DECIMAL(18,2))
             AS DOUBLE) AS variacion_precio
 FROM fn f JOIN du ON f.unidad = du.unidad AND f.tipo_venta = du.tipo_venta""", SEM_D)
+q("catalog_views", F_CTE, f"""
+, st AS (SELECT producto, fecha, tipo_venta, {sr('precio_prom', 2)} AS p, {sr('precio_max', 2)} AS hi,
+                CAST(CAST({sr('precio_max', 2)} AS DECIMAL(18,2)) - CAST({sr('precio_min', 2)} AS DECIMAL(18,2)) AS DOUBLE) AS v
+         FROM fn),
+  rk AS (SELECT producto, AVG(p) AS m, row_number() OVER (ORDER BY AVG(p) DESC, producto) AS n FROM st GROUP BY producto)
+SELECT 'vw_capa_semantica_bi' AS vista, CAST(year(fecha) AS VARCHAR) AS clave, CAST(COUNT(*) AS DOUBLE) AS valor, AVG(hi) AS valor2
+FROM st GROUP BY year(fecha)
+UNION ALL SELECT 'vw_kpis_precios', 'kpi', AVG(p), AVG(v) FROM st
+UNION ALL SELECT 'vw_ranking_productos', producto, m, CAST(n AS DOUBLE) FROM rk
+UNION ALL SELECT 'vw_grafico_barras_top10', producto, m, CAST(n AS DOUBLE) FROM rk WHERE n <= 10
+UNION ALL SELECT 'vw_grafico_circular', tipo_venta, AVG(p), NULL FROM st GROUP BY tipo_venta
+UNION ALL SELECT 'vw_grafico_lineas', CAST(fecha AS VARCHAR), AVG(p), NULL FROM st GROUP BY fecha""".lstrip(), ["valor", "valor2"])
 q("dim_producto", F_CTE, """
 SELECT CAST(row_number() OVER (ORDER BY producto) AS BIGINT) AS id_producto, producto
 FROM (SELECT DISTINCT producto FROM fn WHERE producto IS NOT NULL) d""", [])
@@ -427,7 +439,14 @@ q("forecast_gap_date_axis", F_CTE, f"""
   m AS (SELECT MAX(t) AS hi, AVG(t) AS mt, AVG(y) AS my, regr_slope(y, t) AS by_day FROM gap WHERE y IS NOT NULL)
 SELECT {AHEAD}, my + by_day * (hi + 7 * k - mt) AS diferencia_futura
 FROM m, range(1, 9) AS weeks(k)""".lstrip(), ["diferencia_futura"])
-ORACLE["result_tables"] = ORACLE["increments"]
+q("result_tables", FC, f"""
+SELECT 'ranking' AS tabla, CAST(row_number() OVER (ORDER BY incremento_esperado DESC, producto) AS BIGINT) AS fila, producto,
+       CAST(NULL AS DATE) AS fecha, precio_actual AS valor1, precio_predicho AS valor2, incremento_esperado AS valor3 FROM inc
+UNION ALL
+SELECT 'prediccion', CAST(wk.semana AS BIGINT), COALESCE((SELECT producto FROM top1), 'Sin datos'), {WEEKLY},
+       {proj('wk.semana', True, 'gf.')}, {proj('wk.semana', True, 'vf.')}, {proj('wk.semana', True, 'xf.')}
+FROM lastd, wk LEFT JOIN gf ON true LEFT JOIN vf ON true LEFT JOIN xf ON true
+WHERE lastd.ultima_fecha IS NOT NULL""", ["valor1", "valor2", "valor3"])
 
 # ------------------------------------------------------------------ summaries over raw facts
 FCR = FC.replace("FROM fn\n)", "FROM fr\n)", 1)
@@ -551,6 +570,10 @@ held AS (SELECT fecha, producto, row_number() OVER (ORDER BY fecha, producto) AS
 SELECT {PAIR_OUT}, CAST(id_previo AS BIGINT) AS id_previo,
        CASE WHEN id_previo IS NOT NULL THEN fecha END AS alta_previa, CAST(1 AS BIGINT) AS filas_con_id
 FROM lp LEFT JOIN held USING (fecha, producto)""", PAIR_D)
+q("scale_upsert_stored", DOUBLED + f""",
+lp AS {LATEST.format(src='pairs')}""", f"""
+SELECT {PAIR_OUT}, CASE WHEN fecha < TIMESTAMP '2024-01-16' THEN true END AS conserva_alta, CAST(1 AS BIGINT) AS filas_con_id
+FROM lp""", PAIR_D)
 q("scale_recent", E_CTE, "SELECT event_id, ts, producto, canal, precio FROM e ORDER BY ts DESC, event_id DESC LIMIT 6",
   ["precio"])
 q("scale_to_facts", PAIRS + """,

@@ -16,13 +16,13 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tambo import schemas as S
 from tambo.functions.columns import month_name
 from tambo.operators.facts import to_semantic
+from tambo.plans import manifest
 from tambo.plans.ordinal import numbered
 from tambo.session import checkpoint_dir
 
@@ -47,6 +47,8 @@ class Warehouse:
     # Rows added by the last load for the appendable tables, and its load id.
     batch: dict[str, DataFrame] = field(default_factory=dict)
     load_id: int | None = None
+    # The committed state that this content goes back to; None: none in particular.
+    version: int | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -130,7 +132,7 @@ def load_dimensions(wh: Warehouse, facts: DataFrame, members: DataFrame | None =
                     .select("unidad", F.col("equivalencia").cast("decimal(18,4)").alias("equivalencia"),
                             "id_tipo_venta"))
     t["dim_unidad"] = upsert_members(t["dim_unidad"], units, ["unidad", "id_tipo_venta"], "id_unidad")
-    return Warehouse(t)
+    return Warehouse(t, version=wh.version)
 
 
 def dim_lookup(wh: Warehouse, facts: DataFrame) -> DataFrame:
@@ -180,10 +182,10 @@ def kpi_rows_of_table(facts: DataFrame) -> DataFrame:
     """KPI table (A3) of a whole fact table, old and new rows together."""
     from tambo.operators.metrics import kpi_table_from
     k = facts.agg(
-        F.avg("precio_prom").cast("double").alias("precio_promedio_general"),
+        F.avg(F.col("precio_prom").cast("double")).alias("precio_promedio_general"),
         F.max("precio_max").cast("double").alias("precio_maximo_registrado"),
         F.min("precio_min").cast("double").alias("precio_minimo_registrado"),
-        F.avg(F.col("precio_max") - F.col("precio_min")).cast("double").alias("variacion_promedio"))
+        F.avg((F.col("precio_max") - F.col("precio_min")).cast("double")).alias("variacion_promedio"))
     return kpi_table_from(k).withColumn("fecha_calculo", F.current_timestamp())
 
 
@@ -208,7 +210,7 @@ def load(wh: Warehouse, ok: DataFrame, facts: DataFrame, replace: bool = True, l
         t["fact_precios"] = wh["fact_precios"].unionByName(new_facts)
         t["stg_precios_raw"] = wh["stg_precios_raw"].unionByName(new_stg)
     t["fact_kpis"] = kpi_rows(members) if replace else kpi_rows_of_table(t["fact_precios"])
-    return Warehouse(t, {"fact_precios": new_facts, "stg_precios_raw": new_stg}, load_id)
+    return Warehouse(t, {"fact_precios": new_facts, "stg_precios_raw": new_stg}, load_id, wh.version)
 
 
 # ------------------------------------------------------------------ semantic view
@@ -291,78 +293,78 @@ TABLES = [*DIM_SCHEMAS, "fact_precios", "stg_precios_raw", "fact_kpis"]
 APPENDABLE = ("fact_precios", "stg_precios_raw")
 
 
-def _manifest(spark: SparkSession, root: str) -> dict[str, list[int]] | None:
-    """Committed state: table -> load ids, from the newest manifest version (one line per table)."""
-    try:
-        lines = spark.read.text(os.path.join(root, "_manifest", "v=*")) \
-            .withColumn("v", F.regexp_extract(F.input_file_name(), r"v=([0-9]+)", 1).cast("long"))
-        newest = lines.agg(F.max("v")).first()[0]
-        if newest is None:
-            return None
-        rows = lines.filter(F.col("v") == newest).select("value").collect()   # one row per table
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None                                                     # no manifest written yet
-    out = {}
-    for r in rows:
-        name, ids = r.value.split("=", 1)
-        out[name] = [int(x) for x in ids.split(",") if x]
-    return out
+def _write_new(df: DataFrame, root: str, table: str, prefix: str) -> str:
+    """Writes ``df`` into a directory of a new name below the table's folder; that name."""
+    name = manifest.new_name(prefix)
+    df.write.mode("errorifexists").parquet(os.path.join(root, table, name))
+    return name
 
 
-def save(wh: Warehouse, root: str, replace: bool = True, load_id: int | None = None) -> int:
-    """Write a load as new per-table directories, then commit a new manifest.
+def save(wh: Warehouse, root: str, replace: bool = True) -> int:
+    """Write a load as new per-table directories, then commit the state that lists them.
 
-    Every table is written under ``<table>/load=<id>``; nothing existing is
-    touched.  The manifest (one line per table listing the load directories
-    that make up its current content) is written last: a load that fails
-    before it leaves readers on the previous state, which is the rollback.
-    Replace mode lists only the new facts, staging and KPIs; append mode adds
-    the new fact and staging directories to the previous ones.  Dimensions
-    are full snapshots.  Returns the load id.
+    Nothing existing is touched: a load that fails leaves readers on the previous state, which is the rollback, and of
+    two loads that go back to the same state the second raises ``manifest.Conflict`` (its ids and members follow an
+    outdated state; ``load_into`` repeats it).  Replace mode lists only the new facts, staging and KPIs; append mode adds the
+    new fact and staging directories to the previous ones.  Dimensions are full snapshots.  Returns the state's number.
     """
     spark = next(iter(wh.tables.values())).sparkSession
-    prev = _manifest(spark, root) or {}
-    if load_id is None:
-        load_id = wh.load_id or 1 + max([i for ids in prev.values() for i in ids], default=0)
-    if any(load_id in ids for ids in prev.values()):
-        raise ValueError(f"load {load_id} is committed already")
-    state = {}
+    now = manifest.newest(spark, root)
+    base = now if wh.version is None else wh.version
+    if base != now:
+        raise manifest.Conflict(f"{root} is at state {now}; this load began at {base}")
+    state = manifest.state_of(spark, root, base)
+    prefix = f"load={base + 1 if wh.load_id is None else wh.load_id}"
     for name in TABLES:
         append = not replace and name in APPENDABLE and name in wh.batch
-        df = wh.batch[name] if append else wh.tables[name]
-        # No manifest lists this load yet: what stands there is left by a load that failed.
-        df.write.mode("overwrite").parquet(os.path.join(root, name, f"load={load_id}"))
-        keep = prev.get(name, []) if append else []
-        state[name] = keep + [load_id]
-    lines = [(f"{n}={','.join(str(i) for i in ids)}",) for n, ids in state.items()]
-    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("errorifexists") \
-        .text(os.path.join(root, "_manifest", f"v={load_id}"))
-    return load_id
+        written = _write_new(wh.batch[name] if append else wh.tables[name], root, name, prefix)
+        state[name] = (state.get(name, []) if append else []) + [written]
+    return manifest.commit(spark, root, base, state)
+
+
+def load_into(spark: SparkSession, root: str, ok: DataFrame, facts: DataFrame, replace: bool = True, attempts: int = 3) -> int:
+    """Read, load and save; again from the newest state when another load was committed in between."""
+    for left in reversed(range(attempts)):
+        try:
+            return save(load(read(spark, root), ok, facts, replace), root, replace)
+        except manifest.Conflict:
+            if not left:
+                raise
+    raise ValueError("attempts must be positive")
 
 
 def read(spark: SparkSession, root: str) -> Warehouse:
     """Read the committed warehouse state (S6 reads its semantic view from here)."""
-    state = _manifest(spark, root)
-    if state is None:
-        return empty_warehouse(spark)
-    return Warehouse({n: spark.read.parquet(*[os.path.join(root, n, f"load={i}") for i in ids])
-                      for n, ids in state.items()})
+    version = manifest.newest(spark, root)
+    state = manifest.state_of(spark, root, version)
+    tables = empty_warehouse(spark).tables
+    tables |= {n: spark.read.parquet(*[os.path.join(root, n, d) for d in state[n]]) for n in TABLES if n in state}
+    return Warehouse(tables, version=version)
 
 
 # ------------------------------------------------------------------ result tables (L9), source choice
 RESULTS = ("predicciones_precios", "ranking_incremento")
 
 
-def save_results(root: str, forecast: DataFrame, ranking: DataFrame) -> None:
-    """Writes the batch job's two outputs, replacing those of an earlier run."""
-    for name, df in zip(RESULTS, (forecast, ranking)):
-        df.write.mode("overwrite").parquet(os.path.join(root, "resultados", name))
+def save_results(root: str, forecast: DataFrame, ranking: DataFrame) -> int:
+    """Replaces the batch job's two outputs together: both are written aside, then one commit lists both.
+
+    They depend on no other table, so a commit by somebody else in between only means to commit after that.
+    """
+    spark = forecast.sparkSession
+    written = {name: [_write_new(df, root, name, "run")] for name, df in zip(RESULTS, (forecast, ranking))}
+    while True:
+        base = manifest.newest(spark, root)
+        try:
+            return manifest.commit(spark, root, base, manifest.state_of(spark, root, base) | written)
+        except manifest.Conflict:
+            continue
 
 
 def read_results(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(os.path.join(root, "resultados", n)) for n in RESULTS}
+    """The result tables of one run; none before the first."""
+    state = manifest.state_of(spark, root, manifest.newest(spark, root))
+    return {n: spark.read.parquet(*[os.path.join(root, n, d) for d in state[n]]) for n in RESULTS if n in state}
 
 
 def choose_source(spark: SparkSession, root: str, session_facts: DataFrame | None = None) -> DataFrame:

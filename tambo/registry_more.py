@@ -5,6 +5,7 @@ path, X for the text ingest, E for scale sales (see FIXTURES.md)."""
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from tambo.operators import forecast as FC
 from tambo.operators import metrics as M
 from tambo.operators import quality as Q
 from tambo.operators import scale as B
+from tambo.plans import catalog as CAT
+from tambo.plans import scale_store as SS
 from tambo.plans import warehouse as WH
 from tambo.plans.ordinal import numbered
 from tambo.registry import facts_normalised, facts_raw, register, semantic, validated
@@ -60,10 +63,12 @@ def q_ingest_csv(spark, sf_dir):
     for sheet, sep in (("O", ";"), ("F", ",")):                         # line statuses are O or F
         path = scratch_path(spark, f"survey-{sheet}")
         rows = x.filter(F.col("hoja_origen") == sheet).select(*S.SURVEY_COLUMNS)
-        # Dealt evenly, so that no file holds title rows only: such a file would be refused.
         (rows.repartition(spark.sparkContext.defaultParallelism)
              .write.option("sep", sep).option("header", "true")
              .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+        # A sheet of notes, without a dated row, is passed over.
+        x.filter("false").select(F.lit("").alias("value")).unionByName(
+            spark.createDataFrame([("Notas;sin fecha",)], "value string")).coalesce(1).write.mode("append").text(path)
         sheets.append(read_survey_csv(spark, path, sep="auto", sheet_label=sheet))
     return type_survey(sheets[0].unionByName(sheets[1])).select(*SURVEY_OUT)
 
@@ -290,6 +295,35 @@ def q_semantic_view(spark, sf_dir):
     return WH.semantic_sorted(WH.read(spark, root)).drop("id_precio")
 
 
+@register("catalog_views")
+def q_catalog_views(spark, sf_dir):
+    """L1, T5: the catalog created twice over a warehouse that was loaded twice; all six views read by name."""
+    ok = Q.ok_rows(validated(spark, sf_dir))
+    facts = FX.unpivot_channels(ok, normalise=True)
+    root = scratch_path(spark, "catalog")
+    WH.load_into(spark, root, ok, facts.filter(F.col("tipo_venta") == S.RETAIL))
+    CAT.create_catalog(spark, root)
+    WH.load_into(spark, root, ok, facts)
+    name = CAT.create_catalog(spark, root)
+    view = lambda v: CAT.read_view(spark, name, v)                                  # noqa: E731
+    rows = [
+        view("vw_capa_semantica_bi").groupBy(F.col("anio").cast("string").alias("clave")).agg(
+            F.count(F.lit(1)).cast("double").alias("valor"), F.avg(F.col("precio_maximo").cast("double")).alias("valor2")),
+        view("vw_kpis_precios").select(F.lit("kpi").alias("clave"), F.col("precio_promedio_general").alias("valor"),
+                                       F.col("variacion_promedio").alias("valor2")),
+        view("vw_ranking_productos").select(F.col("producto").alias("clave"), F.col("precio_promedio").alias("valor"),
+                                            F.col("ranking").cast("double").alias("valor2")),
+        view("vw_grafico_barras_top10").select(F.col("producto").alias("clave"), F.col("precio_promedio").alias("valor"),
+                                               F.col("ranking").cast("double").alias("valor2")),
+        view("vw_grafico_circular").select(F.col("tipo_venta").alias("clave"), F.col("precio_promedio").alias("valor"),
+                                           F.lit(None).cast("double").alias("valor2")),
+        view("vw_grafico_lineas").select(F.col("fecha").cast("string").alias("clave"), F.col("precio_promedio").alias("valor"),
+                                         F.lit(None).cast("double").alias("valor2")),
+    ]
+    out = [r.select(F.lit(v).alias("vista"), "clave", "valor", "valor2") for v, r in zip(CAT.VIEWS, rows)]
+    return functools.reduce(lambda a, b: a.unionByName(b), out)
+
+
 @register("dim_producto")
 def q_dim_producto(spark, sf_dir):
     return _warehouse(spark, sf_dir)[0]["dim_producto"]
@@ -437,11 +471,19 @@ def q_increments_raw_rows(spark, sf_dir):
 
 @register("result_tables")
 def q_result_tables(spark, sf_dir):
-    """The second of two runs replaces the tables; the ranking is read back."""
+    """The second of two runs replaces both tables, which are read back together."""
     root, sem = scratch_path(spark, "results"), semantic(spark, sf_dir)
     for _ in range(2):
         WH.save_results(root, FC.forecast_table(sem), FC.increments(sem))
-    return WH.read_results(spark, root)["ranking_incremento"]
+    tables = WH.read_results(spark, root)
+    forecast, ranking = tables["predicciones_precios"], tables["ranking_incremento"]
+    return ranking.select(F.lit("ranking").alias("tabla"), F.col("ranking").alias("fila"), "producto",
+                          F.lit(None).cast("date").alias("fecha"), F.col("precio_actual").alias("valor1"),
+                          F.col("precio_predicho").alias("valor2"), F.col("incremento_esperado").alias("valor3")).unionByName(
+        forecast.select(F.lit("prediccion").alias("tabla"), F.col("semana").alias("fila"),
+                        F.col("productomayorincremento").alias("producto"), F.col("fechaprediccion").alias("fecha"),
+                        F.col("preciopromediofuturo").alias("valor1"), F.col("tendenciavariacion").alias("valor2"),
+                        F.col("diferenciamayoristaminoristafutura").alias("valor3")))
 
 
 @register("top_increment")
@@ -548,6 +590,21 @@ def q_scale_upsert(spark, sf_dir):
                          F.count(F.lit(1)).over(Window.partitionBy("id")).alias("filas_con_id"))
 
 
+@register("scale_upsert_stored")
+def q_scale_upsert_stored(spark, sf_dir):
+    """L10 on the stored table: the same two loads as ``scale_upsert``, one after the other."""
+    sales, cat = _sales(spark, sf_dir), B.catalogue(spark)
+    early = sales.filter(F.col("ts") < F.lit("2024-01-16").cast("timestamp")).withColumn("precio", F.col("precio") * 2)
+    arriving = sales.filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp"))
+    root = scratch_path(spark, "upsert")
+    SS.upsert_stored(spark, root, B.scale_pair_sales(early, cat))
+    before = SS.read_stored(spark, root).select("fecha", "producto", F.struct("id", "created_at").alias("antes"))
+    SS.upsert_stored(spark, root, B.scale_pair_sales(arriving, cat))
+    after = SS.read_stored(spark, root).join(before, ["fecha", "producto"], "left")
+    return after.select(*B.PAIR_COLUMNS, (F.col("antes") == F.struct("id", "created_at")).alias("conserva_alta"),
+                        F.count(F.lit(1)).over(Window.partitionBy("id")).alias("filas_con_id"))
+
+
 @register("scale_recent")
 def q_scale_recent(spark, sf_dir):
     return B.scale_recent(_sales(spark, sf_dir)).select("event_id", "ts", "producto", "canal", "precio")

@@ -11,7 +11,9 @@ safe under any split of the file.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,43 +24,62 @@ from tambo.functions.parsing import finite, parse_day_first_date, parse_number
 SEPARATORS = [";", ",", "\t"]
 
 
-def sniff_separators(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+def _plain(uri: str) -> str:
+    """A file's path as text, however its URI was written."""
+    return re.sub(r"^file:/+", "/", unquote(uri))
+
+
+def sniff_separators(spark: SparkSession, paths: Sequence[str], undated: str = "skip") -> dict[str, str]:
     """Separator of each file (S2): the one under which most of its lines, over the whole file, begin with a
-    day-first date and have a second field; ties go to the first candidate.  A file without such a line is refused."""
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\uFEFF", "").alias("value"))
+    day-first date and have a second field; ties go to the first candidate.
+
+    A file without such a line, an empty one too, is no survey sheet: it is passed over, or with
+    ``undated="raise"`` refused.
+    """
+    if undated not in ("skip", "raise"):
+        raise ValueError(f"unknown undated: {undated}")
+    lines = spark.read.text(list(paths))
+    files = lines.inputFiles()
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\uFEFF", "").alias("value"))
     fields = [F.split("value", "\\t" if sep == "\t" else f"[{sep}]") for sep in SEPARATORS]
     dated = [(F.size(f) > 1) & parse_day_first_date(F.trim(F.translate(f[0], '"', ""))).isNotNull() for f in fields]
     counts = lines.groupBy("file").agg(*[F.count_if(d).alias(f"c{i}") for i, d in enumerate(dated)]).collect()   # one row per file
     found = {}
     for r in counts:
         best = max(range(len(SEPARATORS)), key=lambda i: (r[f"c{i}"], -i))
-        if r[f"c{best}"] == 0:
-            raise ValueError(f"no dated row under any separator: {r['file']}")
-        found[r["file"]] = SEPARATORS[best]
+        if r[f"c{best}"]:
+            found[unquote(r["file"])] = SEPARATORS[best]
+    without = sorted({_plain(f) for f in files} - {_plain(f) for f in found})
+    if without and undated == "raise":
+        raise ValueError(f"no dated row under any separator: {', '.join(without)}")
     return found
 
 
 def read_survey_csv(spark: SparkSession, paths: str | Sequence[str], sep: str = ";",
-                    sheet_label: str | None = None) -> DataFrame:
+                    sheet_label: str | None = None, undated: str = "skip") -> DataFrame:
     """Raw 12 text columns + ``hoja_origen``.
 
     A sheet is labelled by its file's stem unless ``sheet_label`` names it.  With
-    ``sep="auto"`` each file is read with its own separator.  A leading byte-order
-    mark is removed from the first column.
+    ``sep="auto"`` each file is read with its own separator and those without a dated row are
+    passed over or refused (``undated``, see ``sniff_separators``).  A leading byte-order mark is
+    removed from the first column.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if sep == "auto":
         by_sep: dict[str, list[str]] = {}
-        for file, own in sniff_separators(spark, paths).items():
+        for file, own in sniff_separators(spark, paths, undated).items():
             by_sep.setdefault(own, []).append(file)
         parts = [read_survey_csv(spark, files, own, sheet_label) for own, files in sorted(by_sep.items())]
+        if not parts:
+            return spark.createDataFrame([], ", ".join(f"{c} string" for c in [*S.SURVEY_COLUMNS, "hoja_origen"]))
         return functools.reduce(DataFrame.unionByName, parts)
     raw = (spark.read.schema(S.RAW_SURVEY_SCHEMA)
            .option("sep", sep).option("header", "false").option("mode", "PERMISSIVE")
            .option("encoding", "UTF-8")
            .csv(paths))
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    # The name comes as it stands in the file's URI.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
     return raw.select(
         F.regexp_replace(F.col("fecha"), "^\uFEFF", "").alias("fecha"),
         *S.SURVEY_COLUMNS[1:],

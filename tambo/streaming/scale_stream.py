@@ -5,7 +5,9 @@ is handled by ``foreachBatch``:
 
 1. deduplicate the batch by ``event_id`` and drop sales already stored
    (anti join against the raw store, touched days only), then append the new
-   sales to the raw store, partitioned by sale day;
+   sales to the raw store, partitioned by sale day.  A sale without an id is
+   known by its content (time, market, channel, product, weight, price), so
+   equal ones without an id are one sale;
 2. find the touched (day, product) groups and recompute their survey rows
    from *all* stored sales of those groups (the k-th wholesale + k-th retail
    pairing of ``tambo.operators.scale``);
@@ -37,6 +39,15 @@ from tambo.session import checkpoint_dir
 ROW_COLUMNS = [*B.PAIR_COLUMNS, "creado_ts", "creado_id"]
 
 
+CONTENT = ["ts", "mercado", "canal", "producto", "peso", "precio"]
+
+
+def with_sale_key(sales: DataFrame) -> DataFrame:
+    """``_sale``: the event id, or for a sale without one its content."""
+    content = F.sha2(F.to_json(F.struct(*CONTENT)), 256)
+    return sales.withColumn("_sale", F.coalesce(F.col("event_id").cast("string"), F.concat(F.lit("sha256 "), content)))
+
+
 class ScaleSalesSink:
     """foreachBatch handler maintaining ``<root>/raw`` and ``<root>/ventas``."""
 
@@ -67,16 +78,16 @@ class ScaleSalesSink:
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         cat = B.catalogue(self.spark)
-        sales = batch.dropDuplicates(["event_id"]).withColumn("dia", F.to_date("ts")).checkpoint(eager=True)
+        sales = with_sale_key(batch).dropDuplicates(["_sale"]).withColumn("dia", F.to_date("ts")).checkpoint(eager=True)
         # Days of one batch: bounded by the calendar.  As literals they prune the stores' partitions.
         days = [r["dia"] for r in sales.select("dia").distinct().collect()]
         if not days:
             return
         touched = F.col("dia").isin([d for d in days if d is not None]) | F.col("dia").isNull()
         stored = self.raw().filter(touched)
-        new = sales.join(stored.select("event_id"), "event_id", "left_anti").checkpoint(eager=True)
+        new = sales.join(with_sale_key(stored).select("_sale"), "_sale", "left_anti").checkpoint(eager=True)
         if not new.isEmpty():
-            new.write.mode("append").partitionBy("dia").parquet(self.raw_path)
+            new.drop("_sale").write.mode("append").partitionBy("dia").parquet(self.raw_path)
 
         # Groups of the whole batch, not of its new sales: a batch that failed after the append is made good.
         groups = sales.select("dia", "producto").distinct()

@@ -157,8 +157,10 @@ def test_default_loads_manifest_errors_and_appended_kpis(spark, tmp_path, monkey
     for (name, a), (_, b) in zip(kpis(WH.read(spark, root)), kpis(whole)):
         assert abs(a - b) <= 0.02, name
     with monkeypatch.context() as m:
-        m.setattr(F, "input_file_name", lambda: F.raise_error(F.lit("lost")))
-        with pytest.raises(Exception, match="lost"):
+        def lost(*_):
+            raise OSError("lost")
+        m.setattr(WH.manifest, "newest", lost)
+        with pytest.raises(OSError, match="lost"):
             WH.save(two, root, replace=False)
     assert WH.choose_source(spark, root, f.filter(half)).count() == f.filter(half).count()
     assert WH.choose_source(spark, root, f.filter("false")).count() == f.count()
