@@ -56,7 +56,7 @@ def test_separator_is_found_per_file_below_long_notes(spark, tmp_path):
     assert {r.hoja_origen: r["count"] for r in t.groupBy("hoja_origen").count().collect()} == {"Enero": 2, "Febrero": 2}
     assert {r.hoja_origen for r in read_survey_csv(spark, f"file://{tmp_path}").collect()} == {"Enero", "Febrero"}
     with pytest.raises(ValueError, match="no dated row"):
-        sniff_separators(spark, [_write(tmp_path / "x.csv", notes)])
+        sniff_separators(spark, [_write(tmp_path / "x.csv", notes)], undated="raise")
 
 
 def test_two_files_are_two_sheets(spark, tmp_path):
