@@ -214,7 +214,8 @@ def edited_likeness(docs: DataFrame, levels: int = LEVELS, size: int = SKETCH, r
     """Per row: doc, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     ranges = max(12, -(-docs.count() // rows_per_range))
     rows = with_next(docs, ranges, id_col, text_col)
-    placed = (rows.repartition(ranges + 1, "range")
+    # One range a partition: hashed, several would meet in one.
+    placed = (rows.repartitionById(ranges + 1, (F.col("range") + 1).cast("int"))
                   .sortWithinPartitions(F.desc("range"), "head", F.col("doc").desc_nulls_last(), F.desc("tie"))
                   .select("range", "head", "doc", "text"))
 
