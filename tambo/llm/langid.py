@@ -1,10 +1,11 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
 Training counts words per language over labelled texts.  The model keeps each
-language's commonest words, at most ``max_words``, and, for every n from
-``MAX_N`` down to 1, its commonest character n-grams, at most ``max_grams``
-(words wrapped in ``<`` and ``>``, grams weighted by word counts); items of equal
-count are kept or left out together.  A text's score for a language is a sum
+language's commonest words, about ``max_words``, and, for every n from
+``MAX_N`` down to 1, its commonest character n-grams, about ``max_grams``
+(words wrapped in ``<`` and ``>``, grams weighted by word counts); of the items with
+the count at which the number is reached, the share that still fits is kept, by a
+hash of the item.  A text's score for a language is a sum
 over its words: a word known to any language gives its smoothed log frequency;
 an unknown word backs off to the longest n of which it holds a known n-gram, and
 gives the mean log frequency of its known n-grams.
@@ -115,13 +116,20 @@ def train(labelled: DataFrame, max_docs: int | None = MAX_DOCS, max_words: int =
     grams = words.mapInArrow(_gram_counts, "lang string, kind int, item string, n bigint")
     counts = checkpointed(words.select("lang", F.lit(0).alias("kind"), "item", "n").union(
         grams.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))))
-    # The least count kept, from how many items have each count: no window over the vocabulary.
+    # The least count kept whole and the share kept of the count below, from how many items have each count: no window
+    # over the vocabulary.
     sizes = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("items"))
     by_kind = Window.partitionBy("lang", "kind")
     sizes = sizes.withColumn("above", F.sum("items").over(by_kind.orderBy(F.desc("n"))))
-    fits = F.col("above") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)
-    least = sizes.groupBy("lang", "kind").agg(F.min(F.when(fits, F.col("n"))).alias("least"), F.sum(F.col("n") * F.col("items")).alias("total"))
-    best = counts.join(F.broadcast(least), ["lang", "kind"]).filter("n >= least")      # six rows a language
+    room = F.when(F.col("kind") == 0, max_words).otherwise(max_grams)
+    over = F.when(F.col("above") > room, F.col("n"))
+    least = sizes.groupBy("lang", "kind").agg(
+        F.coalesce(F.min(F.when(F.col("above") <= room, F.col("n"))), F.max("n") + 1).alias("least"), F.max(over).alias("partly"),
+        F.max_by((room - F.col("above") + F.col("items")) / F.col("items"), over).alias("share"),
+        F.sum(F.col("n") * F.col("items")).alias("total"))
+    place_of = F.pmod(F.xxhash64("item"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    best = counts.join(F.broadcast(least), ["lang", "kind"])      # six rows a language
+    best = best.filter((F.col("n") >= F.col("least")) | ((F.col("n") == F.col("partly")) & (place_of < F.col("share"))))
     kept = best.select("lang", "kind", "item", "n", "total").toArrow().to_pydict()
     langs = sorted(set(kept["lang"]))
     place = {lang: i for i, lang in enumerate(langs)}
@@ -225,11 +233,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, model, id_col, text_col).withColumn("held_out", held_out(F.col("doc")))
 
 
-def drop_unidentified(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text",
-                      lang_col: str = "lang", **sizes) -> DataFrame:
-    """The documents, with their own columns, whose text has a language (not ``und``) with a score of at least ``min_score``."""
+def drop_unidentified(docs: DataFrame, min_score: float = 0.0, languages: list[str] | None = None, id_col: str = "doc_id",
+                      text_col: str = "text", lang_col: str = "lang", **sizes) -> DataFrame:
+    """The documents, with their own columns, whose text has a language (not ``und``; one of ``languages``, by default any that
+    was learned) with a score of at least ``min_score``."""
     model = train(docs.filter(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col,
                   lang_col=lang_col, **sizes)
     judged = predict(docs, model, id_col, text_col, keep=docs.columns)
     lang, score = own_names(docs, "lang_pred", "score")
-    return judged.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).drop(lang, score)
+    wanted = F.col(lang) != UNKNOWN if languages is None else F.col(lang).isin(languages)
+    return judged.filter(wanted & (F.col(score) >= min_score)).drop(lang, score)
