@@ -47,7 +47,7 @@ def item_windows(items: DataFrame, n: int, item_id: str, item_text: str) -> Data
     starts = sized.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1)))
     window = starts.select("item", "length", F.slice("words", F.col("at"), F.col("length")).alias("window"))
     return window.select("item", "length", F.array_join("window", " ").alias("window"),
-                         F.xxhash64("window").alias("hash")).distinct()
+                         F.xxhash64(word_hashes(F.col("window"))).alias("hash")).distinct()
 
 
 def _bounded(df: DataFrame, size: int) -> DataFrame:
@@ -97,8 +97,9 @@ def document_hits(base: DataFrame, windows: DataFrame, size: int, lengths: list[
         return base.select("doc", text_key(F.col("text")).alias("key"), F.lit("").alias("window"),
                            F.lit(0).alias("start"), F.lit(0).alias("end")).filter(F.lit(False))
     words = base.select("doc", text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("words"))
+    words = words.withColumn("hashes", word_hashes(F.col("words")))
     count = {m: F.greatest(F.size("words") - (m - 1), F.lit(0)) for m in lengths}
-    hashes = [window_hashes(F.col("words"), m) for m in lengths]
+    hashes = [window_hashes(F.col("hashes"), m) for m in lengths]
     # The outer form, whose null row of an empty array finds no match: for the inner form Spark would add a filter on
     # the array's size and compute every hash twice.
     probed = words.select("doc", "key", "words", F.posexplode_outer(F.concat(*hashes) if len(hashes) > 1 else hashes[0]).alias("at", "hash"))
@@ -122,10 +123,14 @@ def document_hits(base: DataFrame, windows: DataFrame, size: int, lengths: list[
     return found.select("doc", "key", "window", "start", (F.col("start") + F.col("length")).alias("end"))
 
 
-def window_hashes(words: Column, m: int) -> Column:
-    """Hash of every run of ``m`` consecutive words, by start."""
-    starts = F.sequence(F.lit(1), F.size(words) - (m - 1))
-    return (F.when(F.size(words) >= m, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(m)))))
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def window_hashes(hashes: Column, m: int) -> Column:
+    """Hash of every run of ``m`` consecutive words, by start, from the words' hashes."""
+    starts = F.sequence(F.lit(1), F.size(hashes) - (m - 1))
+    return (F.when(F.size(hashes) >= m, F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, F.lit(m)))))
              .otherwise(F.array().cast("array<bigint>")))
 
 
