@@ -33,6 +33,8 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of the windows (text, hash and length) up to which they are broadcast.
 MAX_BROADCAST_BYTES = 32 << 20
+#: Hash of the entry behind a text's windows; told from a window of equal hash by its place.
+COUNTED = 0
 
 
 def words_of(text: Column) -> Column:
@@ -66,9 +68,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, words_per_hit:
     windows = checkpointed(item_windows(items, n, item_id, item_text))
     size = windows.agg(F.sum(F.octet_length("window") + F.coalesce(F.octet_length("item"), F.lit(0)) + 32)).first()[0] or 0
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())    # at most n values
-    sized = base.select("doc", text_key(F.col("text")).alias("key"),
-                        F.size(F.coalesce(words_of(F.col("text")), F.array().cast("array<string>"))).cast("long").alias("n_words"))
-    hits = checkpointed(document_hits(base, windows, size, lengths))       # read twice below; hits only
+    sized, hits = document_hits(base, windows, size, lengths)
     found = hits.groupBy("doc", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hit"))
     found = found.select("doc", "key", _merged(F.col("hit")).alias("spans"))
     member = windows.select("window", "item")
@@ -87,40 +87,48 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, words_per_hit:
         "contaminated", (F.col("n_hit") > 0) & (words_per_hit * F.col("n_hit") >= F.col("n_words")))
 
 
-def document_hits(base: DataFrame, windows: DataFrame, size: int, lengths: list[int]) -> DataFrame:
-    """(doc, key, window, start, end) for every verified window occurrence.
+def document_hits(base: DataFrame, windows: DataFrame, size: int, lengths: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(doc, key, n_words) of every row, and (doc, key, window, start, end) for every verified window occurrence.
 
     Each text's window hashes, for every window length that occurs, are laid
-    end to end in one array, so one probe serves all lengths.
+    end to end in one array, so one probe serves all lengths.  Where the windows
+    are broadcast, one more entry behind them finds a row without a window, which
+    carries the text's number of words: each text is cut into words once.
     """
+    words = base.select("doc", text_key(F.col("text")).alias("key"),
+                        F.coalesce(words_of(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    sized = words.select("doc", "key", F.size("words").cast("long").alias("n_words"))
     if not lengths:
-        return base.select("doc", text_key(F.col("text")).alias("key"), F.lit("").alias("window"),
-                           F.lit(0).alias("start"), F.lit(0).alias("end")).filter(F.lit(False))
-    words = base.select("doc", text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("words"))
+        return sized, sized.select("doc", "key", F.lit("").alias("window"), F.lit(0).alias("start"),
+                                   F.lit(0).alias("end")).filter(F.lit(False))
+    local = size <= MAX_BROADCAST_BYTES
     words = words.withColumn("hashes", word_hashes(F.col("words")))
     count = {m: F.greatest(F.size("words") - (m - 1), F.lit(0)) for m in lengths}
-    hashes = [window_hashes(F.col("hashes"), m) for m in lengths]
+    hashes = [window_hashes(F.col("hashes"), m) for m in lengths] + ([F.array(F.lit(COUNTED).cast("long"))] if local else [])
     # The outer form, whose null row of an empty array finds no match: for the inner form Spark would add a filter on
     # the array's size and compute every hash twice.
     probed = words.select("doc", "key", "words", F.posexplode_outer(F.concat(*hashes) if len(hashes) > 1 else hashes[0]).alias("at", "hash"))
-    distinct = windows.select("hash", "length", "window").distinct()
+    distinct = windows.select("hash", "window").distinct()
     offset, length, before = F.lit(0), F.lit(lengths[0]), F.lit(0)
     for m in lengths:
         offset = F.when(F.col("at") >= before, before).otherwise(offset)
         length = F.when(F.col("at") >= before, m).otherwise(length)
         before = before + count[m]
-    start = (F.col("at") - offset).alias("start")
+    start, counted = (F.col("at") - offset).alias("start"), (F.col("at") == before).alias("counted")
     window = F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ")
-    if size <= MAX_BROADCAST_BYTES:
+    spans = ["doc", "key", "window", "start", (F.col("start") + F.col("length")).alias("end")]
+    if local:
         # Probed where the text's words are; only matches go on, so the words are at hand to verify them.
-        joined = probed.join(F.broadcast(distinct.drop("length")), "hash")
-        found = joined.select("doc", "key", "words", "window", start, length.alias("length")).filter(window == F.col("window"))
-    else:
-        # Rows move to the windows: each takes its own window along, not the text.
-        placed = probed.select("doc", "key", "words", "hash", start, length.alias("length"))
-        found = placed.select("doc", "key", "hash", "start", "length", window.alias("window")).join(
-            distinct.drop("length"), ["hash", "window"])
-    return found.select("doc", "key", "window", "start", (F.col("start") + F.col("length")).alias("end"))
+        table = distinct.unionByName(base.sparkSession.range(1).select(F.lit(COUNTED).cast("long").alias("hash"), F.lit(None).cast("string").alias("window")))
+        joined = probed.join(F.broadcast(table), "hash").select("doc", "key", "words", "window", start, length.alias("length"), counted)
+        found = joined.filter(F.when(F.col("counted"), F.col("window").isNull()).otherwise(F.coalesce(window == F.col("window"), F.lit(False))))
+        rows = checkpointed(found.select(*spans, F.when(F.col("counted"), F.size("words").cast("long")).alias("n_words")))
+        return (rows.filter(F.col("n_words").isNotNull()).select("doc", "key", "n_words"),
+                rows.filter(F.col("n_words").isNull()).drop("n_words"))
+    # Rows move to the windows: each takes its own window along, not the text.
+    placed = probed.select("doc", "key", "words", "hash", start, length.alias("length"))
+    found = placed.select("doc", "key", "hash", "start", "length", window.alias("window")).join(distinct, ["hash", "window"])
+    return sized, checkpointed(found.select(*spans))       # read twice; hits only
 
 
 def word_hashes(words: Column) -> Column:
