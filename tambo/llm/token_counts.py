@@ -6,18 +6,23 @@ to end in one array (ragged rows), and each round every row merges all
 occurrences of its lowest-rank pair at once, until no row has a pair of the
 vocabulary; the symbols that survive are its tokens.  A merged symbol takes
 part in higher ranks only, so this equals merging one occurrence at a time.
-Counts of short pre-tokens are remembered per worker, up to ``CACHE`` of them.
+A row of more than ``LONG`` bytes would need a round over all its symbols for
+each rank that it holds: its places are kept by rank instead, and a round visits
+those of the lowest rank and their neighbours alone, so one very long word costs
+about its length.  Counts of short pre-tokens are remembered per worker, up to
+``CACHE`` of them.
 
 The vocabulary file is read where it is installed on each executor; its path is
 a parameter.
 
 Defined results: null counts as empty and has 0 tokens; a special string is one
-token; texts are never cut; repeated rows each get a row; an empty table gives
+token; texts are never cut, and neither is a very long word; repeated rows each get a row; an empty table gives
 no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +41,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CACHE, CACHE_CHARS = 400_000, 64
 #: Bytes of new pre-tokens merged together, about.
 MERGE_BYTES = 1 << 19
+#: Bytes of a pre-token beyond which its places are kept by rank.
+LONG = 1024
 
 
 def byte_symbols() -> dict[int, str]:
@@ -46,6 +53,15 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
+def every_other(at: np.ndarray, overlaps: np.ndarray) -> np.ndarray:
+    """The places without those that overlap the one kept before them; ``overlaps`` says it of each place but the first."""
+    if not overlaps.any():
+        return at
+    count = np.arange(len(at))
+    run = np.maximum.accumulate(np.where(np.concatenate(([True], ~overlaps)), count, 0))
+    return at[(count - run) % 2 == 0]
+
+
 class Vocabulary:
     """Merge ranks as sorted arrays, and the counts seen so far."""
 
@@ -74,6 +90,14 @@ class Vocabulary:
 
     def merge(self, rows: list[bytes]) -> np.ndarray:
         """Tokens of each non-empty byte row."""
+        out, long = np.zeros(len(rows), np.int64), np.array([len(r) > LONG for r in rows], bool)
+        for which, merged in ((~long, self.merge_rows), (long, self.merge_long)):
+            if which.any():
+                out[which] = merged([rows[i] for i in np.flatnonzero(which)])
+        return out
+
+    def merge_rows(self, rows: list[bytes]) -> np.ndarray:
+        """Tokens of each row: every round goes over all symbols that are left."""
         out = np.zeros(len(rows), np.int64)
         length = np.array([len(r) for r in rows], np.int64)
         row = np.repeat(np.arange(len(rows)), length)
@@ -92,16 +116,50 @@ class Vocabulary:
             take = (rank == here) & (here < self.none)
             # Of pairs that overlap (runs of one symbol), every other one, from the left.
             at = np.flatnonzero(take)
-            if len(at) > 1 and (np.diff(at) == 1).any():
-                fresh = np.concatenate(([True], np.diff(at) != 1))
-                run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-                at = at[(np.arange(len(at)) - run) % 2 == 0]
+            at = every_other(at, np.diff(at) == 1)
             symbol[at] = self.merged[rank[at]]
             stay = np.repeat(~done, count)
             stay[at + 1] = False
             symbol, row = symbol[stay], row[stay]
         return out
 
+    def merge_long(self, rows: list[bytes]) -> np.ndarray:
+        """Tokens of each row: every round goes over the places of one rank, the lowest there is in any row."""
+        # Rows end to end with a symbol of no pair before, between and behind them; neighbours by index.
+        symbol = np.concatenate([np.array([-1])] + [np.append(self.of_byte[np.frombuffer(r, np.uint8)], -1) for r in rows])
+        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+        rank = np.append(self.rank(symbol[:-1], symbol[1:]), self.none)
+        alive = symbol >= 0
+        ends = np.flatnonzero(~alive)
+        places: dict[int, list[int]] = {}
+        ranks: list[int] = []
+
+        def file(at: np.ndarray) -> None:
+            at = at[rank[at] < self.none]
+            for r, i in zip(rank[at].tolist(), at.tolist()):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(i)
+
+        file(np.arange(len(symbol)))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.array(places.pop(r), np.int64))
+            at = at[rank[at] == r]              # others have been merged away since they were filed
+            if not len(at):
+                continue
+            at = every_other(at, after[at[:-1]] == at[1:])
+            gone = after[at]
+            symbol[at] = self.merged[r]
+            alive[gone], rank[gone] = False, self.none
+            after[at] = after[gone]
+            before[after[at]] = at
+            beside = np.unique(np.concatenate((at, before[at])))
+            rank[beside] = self.rank(symbol[beside], symbol[after[beside]])
+            file(beside)
+        return np.add.reduceat(alive, ends[:-1], dtype=np.int64)
+
     def learn(self, tokens: set[str]) -> dict[str, int]:
         """Tokens of each new pre-token."""
         new, lo, fresh = list(tokens), 0, {}

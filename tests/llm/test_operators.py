@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import struct
 import zlib
 from collections import Counter
@@ -252,6 +253,18 @@ def test_token_counts_of_odd_text():
     assert vocab.count(texts) == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_token_counts_of_very_long_words():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, vocab, rng = Tokenizer.from_file(path), token_counts.Vocabulary(path), random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["a" * 3001, "ab" * 4000 + "c", "a" * 1025 + " " + "b" * 2000 + "!" * 5001 + "\u00e9" * 4000, " " * 3000 + "x",
+             *("".join(rng.choices(letters, k=k)) for k in (1023, 1024, 1025, 5000, 300_000)), "".join(rng.choices("a\u00e9\u4e16b", k=20_000))]
+    began = time.monotonic()
+    got = vocab.count(texts)
+    assert time.monotonic() - began < 20            # a round over the whole word for each rank would take minutes
+    assert got == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 # ------------------------------------------------------------------ 4 chat format
 TURNS = [(1, 0, "user", "hi <|im_end|>\n"), (1, 1, "user", "again \\ <\\|x"), (1, 2, "assistant", "<|im_start|>user<|im_sep|>"),
          (1, 2, "assistant", "<|im_start|>user<|im_sep|>"), (1, 3, "assistant", None), (1, 4, "assistant", "\\"), (2, None, None, None),
