@@ -1,17 +1,21 @@
 """WARC archives in Zstandard: one frame per record, the dictionary in a leading skippable frame.
 
 **Writing.**  Records are built in Spark expressions (SHA-1 of the payload, the
-response that a copy refers to) and compressed in tasks.  An archive is one file
-per partition: a skippable frame (magic 0x184D2A5D) with the dictionary, then
-one frame per record.  Spark's text writer puts the files on any file system it
-knows; the bytes it writes between rows form an empty skippable frame, which
-readers pass over.  The dictionary is trained on a bounded sample of pages.
+response that a copy refers to) and compressed in tasks.  An archive is one file:
+a skippable frame (magic 0x184D2A5D) with the dictionary, then one frame per
+record.  A task begins the next archive once the frames of one reach
+``archive_bytes``; only a record larger than that makes a larger archive.  Each archive is one row for
+Spark's text writer, which begins a new file with every row, on any file system it
+knows; the bytes it writes behind a row, which stand between the frames too, form
+an empty skippable frame, which readers pass over.  The dictionary is trained on a bounded sample of pages.
+Payloads stay in the partitions of the input: only the keys of repeated payloads
+are joined to them, broadcast while they are few (else the join shuffles).
 
 **Reading.**  Archives are read as binary files.  The reader walks the frames,
 loads the dictionary from the leading one, decodes each record's frame (its
 content checksum is verified by the decoder), and validates version line,
 required headers, Content-Length against the block, the closing line ends, and
-a response's payload digest against its payload.  A bad record is an error that
+a response's payload digest and payload length against its payload.  A bad record is an error that
 names archive and place, unless ``errors`` is "report": then it is a row whose
 ``error`` says what is wrong.
 
@@ -37,6 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tambo.llm.common import checkpointed
 from tambo.session import scratch_path
 
 VERSION = "WARC/1.1"
@@ -48,6 +53,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: Pages the dictionary is trained on, its bytes, and the bytes of a page that are used.
 SAMPLE_PAGES, DICTIONARY_BYTES, SAMPLE_BYTES = 400, 64 << 10, 16 << 10
+#: Bytes of an archive's frames after which the next begins.
+ARCHIVE_BYTES = 64 << 20
+#: Bytes of the keys of repeated payloads (KEY_BYTES each, about) up to which they are broadcast.
+MAX_BROADCAST_BYTES, KEY_BYTES = 16 << 20, 96
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
 
@@ -60,7 +69,8 @@ def with_record_types(pages: DataFrame, min_revisit: int = 1000, id_col: str = "
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
     same = (rows.filter(F.col("payload_bytes") >= min_revisit).groupBy(F.col("digest").alias("d"), F.col("payload_bytes").alias("b"))
                 .agg(F.max("page").alias("largest"), F.count("*").alias("n")).filter("n > 1 and largest is not null"))
-    found = rows.join(same, (F.col("digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
+    same = checkpointed(same.drop("n"))
+    found = rows.join(F.broadcast(same) if same.count() * KEY_BYTES <= MAX_BROADCAST_BYTES else same, (F.col("digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
     return found.select("page", "url", "payload", "payload_bytes", "digest",
                         F.when(F.col("page") < F.col("largest"), F.col("largest")).alias("refers_to"))
 
@@ -99,24 +109,29 @@ def train_dictionary(rows: DataFrame) -> bytes:
     return zstandard.train_dictionary(size, parts, level=3).as_bytes()
 
 
-def write_archives(rows: DataFrame, path: str, level: int = 3) -> None:
-    """Writes the records of ``with_record_types`` rows as one archive per partition below ``path``."""
+def write_archives(rows: DataFrame, path: str, level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes the records of ``with_record_types`` rows as archives of about ``archive_bytes`` at most below ``path``."""
     dictionary = train_dictionary(rows)
     lead = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=level, dict_data=trained, write_checksum=True, write_content_size=True)
-        begun = False
+        frames, held = [], 0
+        whole = lambda: pa.RecordBatch.from_arrays([pa.array([GAP.encode().join([lead, *frames])], pa.binary())], ["value"])
         for batch in batches:
-            frames = [] if begun or not batch.num_rows else [lead]
-            begun = begun or bool(batch.num_rows)
             for head, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                frames.append(press.compress(b"".join((head, block or b"", b"\r\n\r\n"))))
-            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["value"])
+                frame = press.compress(b"".join((head, block or b"", b"\r\n\r\n")))
+                if frames and held + len(frame) > archive_bytes:
+                    yield whole()
+                    frames, held = [], 0
+                frames.append(frame)
+                held += len(frame)
+        if frames:
+            yield whole()
 
     frames = record_heads(rows).mapInArrow(run, "value binary")
-    frames.select(F.col("value").cast("string")).write.option("lineSep", GAP).text(path)
+    frames.select(F.col("value").cast("string")).write.option("lineSep", GAP).option("maxRecordsPerFile", 1).text(path)
 
 
 # ------------------------------------------------------------------ reading
@@ -190,6 +205,9 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     digest = headers.get("WARC-Payload-Digest", "")
     if headers["WARC-Type"] == "response" and digest.startswith("sha1:") and hashlib.sha1(block).hexdigest() != digest[5:].lower():
         raise BadRecord("payload digest differs")
+    stated = headers.get("WARC-Payload-Length")
+    if headers["WARC-Type"] == "response" and stated is not None and stated != str(size):
+        raise BadRecord(f"WARC-Payload-Length {stated[:20]}, but the payload has {size} bytes")
     return headers, block
 
 
@@ -250,11 +268,12 @@ def page_of(header: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(header, F.lit("")), r"^<urn:page:(-?\d+)>$", 1), F.lit("")).cast("long")
 
 
-def round_trip(pages: DataFrame, min_revisit: int = 1000, path: str | None = None, **names) -> DataFrame:
+def round_trip(pages: DataFrame, min_revisit: int = 1000, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES,
+               **names) -> DataFrame:
     """Writes ``pages`` as archives and gives what reading them finds, one row per record."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    write_archives(with_record_types(pages, min_revisit, **names), path)
+    write_archives(with_record_types(pages, min_revisit, **names), path, archive_bytes=archive_bytes)
     h = F.col("headers")
     found = read_archives(spark, path)
     return found.select(

@@ -3,8 +3,8 @@
 import hashlib
 import itertools
 import random
-import time
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -591,6 +591,24 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, warc.MAX_BROADCAST_BYTES])
+def test_warc_archives_of_bounded_size_and_joined_keys(spark, tmp_path, monkeypatch, bound):
+    """A small bound gives several archives, each with the dictionary, and the same records either way of the join."""
+    monkeypatch.setattr(warc, "MAX_BROADCAST_BYTES", bound)
+    rng = random.Random(6)
+    same = "".join(rng.choices("abcd ", k=3000))
+    table = [(i, f"http://h/{i}", same if i % 3 == 0 else "".join(rng.choices("abcdefgh <p>", k=rng.randint(0, 4000)))) for i in range(120)]
+    pages = spark.createDataFrame(table, "page_id bigint, url string, html string").coalesce(2)
+    path = str(tmp_path / "small")
+    got = sorted(tuple(r) for r in warc.round_trip(pages, path=path, archive_bytes=20_000).collect())
+    sizes = [f.stat().st_size for f in (tmp_path / "small").glob("part-*")]
+    assert len(sizes) > 4 and max(sizes) < 100_000
+    assert got == sorted(tuple(r) for r in warc.round_trip(pages).collect())
+    assert [(r[0], r[3], r[4]) for r in got] == [(i, "revisit" if i % 3 == 0 and i != 117 else "response", 117 if i % 3 == 0 and i != 117 else None)
+                                                 for i in range(120)]
+    assert [r[1] for r in got] == [len(t[2]) for t in table]
+
+
 def test_warc_archive_with_dictionary(spark, tmp_path):
     rng = random.Random(9)
     text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "<p>", "</p>", "delta"]) + str(rng.randint(0, 99)) for _ in range(400))
