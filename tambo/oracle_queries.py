@@ -255,6 +255,14 @@ def _dec_sum(c: str) -> str:
     return f"CAST(SUM(CAST({sr(c, 2)} AS DECIMAL(18,2))) AS DOUBLE)"
 
 
+q("kpi_incremental", F_CTE, f"""
+, st AS (SELECT producto, fecha, tipo_venta, {sr('precio_prom', 2)} AS p, {sr('precio_max', 2)} AS hi, {sr('precio_min', 2)} AS lo FROM fn)
+SELECT 'Precio Promedio General' AS clave, '' AS fecha, '' AS tipo_venta, {srs('AVG(p)', 2)} AS valor FROM st
+UNION ALL SELECT 'Precio Maximo Registrado', '', '', MAX(hi) FROM st
+UNION ALL SELECT 'Precio Minimo Registrado', '', '', MIN(lo) FROM st
+UNION ALL SELECT 'Variacion Promedio', '', '', {srs('AVG(hi - lo)', 2)} FROM st
+UNION ALL SELECT producto, CAST(CAST(fecha AS DATE) AS VARCHAR), tipo_venta, AVG(p) FROM st GROUP BY producto, fecha, tipo_venta""",
+  ["valor"])
 q("fact_load", F_CTE, f"""
 SELECT COUNT(*) AS hechos, COUNT(*) AS ids_distintos, {_dec_sum('precio_prom')} AS suma_precio_prom,
        {_dec_sum('precio_min')} AS suma_precio_min, {_dec_sum('precio_max')} AS suma_precio_max FROM fn""",

@@ -16,7 +16,7 @@ from tambo.operators import metrics as M
 from tambo.plans import manifest
 from tambo.plans import warehouse as WH
 
-COLUMNS = {**WH.DIM_SCHEMAS, "fact_precios": WH.FACT_SCHEMA, "stg_precios_raw": WH.STG_SCHEMA, "fact_kpis": WH.KPI_SCHEMA}
+COLUMNS = {**WH.DIM_SCHEMAS, "fact_precios": WH.FACT_SCHEMA, "stg_precios_raw": WH.STG_SCHEMA, WH.SUMS: WH.SUMS_SCHEMA, "fact_kpis": WH.KPI_SCHEMA}
 #: Each view's reading order.
 VIEWS = {
     "vw_capa_semantica_bi": ["fecha", "producto", "tipo_venta"],

@@ -2,14 +2,12 @@
 
 The rows are fixed in their partitions by a checkpoint, so that recomputation
 after a lost executor cannot renumber them; a row's id is its partition's
-offset plus its place in the partition.  Only one count per partition reaches
-the driver.
+offset plus its place in the partition.  Only one count per partition (and
+group) reaches the driver; the offsets are joined back as a frame of that size.
 """
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +19,31 @@ def numbered(rows: DataFrame, id_col: str, after: int) -> DataFrame:
 
     Sorted rows keep their order in the ids; empty input gives no rows.
     """
-    checkpoint_dir(rows.sparkSession)
+    one = rows.withColumn("_group", F.lit(0))
+    return _with_ids(one, "_group", id_col, {0: after}).select(id_col, *rows.columns)
+
+
+def numbered_within(rows: DataFrame, group: str, order: list[str], id_col: str, after: dict) -> DataFrame:
+    """``rows`` with ids that run on within each value of ``group``, in ``order``, behind ``after`` of that value (or 0).
+
+    One sort and one checkpoint serve all groups.
+    """
+    return _with_ids(rows.orderBy(group, *order), group, id_col, after).select(id_col, *rows.columns)
+
+
+def _with_ids(rows: DataFrame, group: str, id_col: str, after: dict) -> DataFrame:
+    """Rows of one group must stand together within each partition."""
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
     fixed = rows.checkpoint(eager=True)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     tagged = fixed.withColumns({"_pid": F.spark_partition_id(), "_at": place})
-    counts = {r["_pid"]: r["count"] for r in tagged.groupBy("_pid").count().collect()}
-    sizes = [counts.get(p, 0) for p in range(max(counts, default=0) + 1)]
-    starts = list(itertools.accumulate(sizes[:-1], initial=after + 1))
-    start = F.get(F.split(F.lit(",".join(map(str, starts))), ","), F.col("_pid")).cast("long")
-    return tagged.select((start + F.col("_at")).alias(id_col), *rows.columns)
+    parts = tagged.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).collect()
+    starts, given = [], dict(after)
+    for r in sorted(parts, key=lambda r: r["_pid"]):
+        last = given.get(r[group], 0)
+        starts.append((r[group], r["_pid"], last + 1 - r["first"]))
+        given[r[group]] = last + r["n"]
+    kind = fixed.schema[group].dataType.simpleString()
+    offsets = spark.createDataFrame(starts, f"{group} {kind}, _pid int, _start long")      # a row per partition and group
+    return tagged.join(F.broadcast(offsets), [group, "_pid"]).withColumn(id_col, F.col("_start") + F.col("_at"))

@@ -1,9 +1,10 @@
 """Snowflake warehouse on parquet.
 
 Dimensions are small by construction (catalogue of products, calendar days,
-two channels, unit x channel pairs).  New members are found set-wise
-(distinct -> left_anti against the existing dimension) and numbered after the
-current maximum id; they are computed once per load and checkpointed.
+two channels, unit x channel pairs).  The members of all dimensions that a batch
+names are one frame of (table, natural key): new ones are found by one anti join
+with the stored keys, sorted and checkpointed once, and numbered after the
+current maximum id of their table.
 Facts get their surrogate keys by equi-joins on natural keys; the optimizer
 broadcasts a dimension when its runtime size is under the broadcast threshold
 (AQE), and otherwise shuffles, so a large catalogue degrades gracefully.
@@ -15,16 +16,16 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tambo import schemas as S
 from tambo.functions.columns import month_name
 from tambo.operators.facts import to_semantic
 from tambo.plans import manifest
-from tambo.plans.ordinal import numbered
-from tambo.session import checkpoint_dir
+from tambo.plans.ordinal import numbered, numbered_within
 
 DIM_SCHEMAS = {
     "dim_producto": "id_producto long, producto string",
@@ -38,6 +39,10 @@ FACT_SCHEMA = ("id_precio long, id_producto long, id_tiempo long, id_unidad long
                "precio_min decimal(18,2), precio_prom decimal(18,2), precio_max decimal(18,2)")
 STG_SCHEMA = ("fecha_registro date, fecha_captura timestamp, producto_nombre string, unidad_medida string, "
               "precio_mayorista_orig decimal(18,2), precio_minorista_orig decimal(18,2), hoja_origen string")
+#: Mergeable sums of a load's facts by product, day and channel: exact decimals, so any grouping of loads gives one result.
+SUMS = "agg_diario"
+SUMS_SCHEMA = ("id_producto long, id_tiempo long, id_tipo_venta long, ultimo_id long, n_prom long, suma_prom decimal(38,2), "
+               "max_max decimal(18,2), min_min decimal(18,2), n_rango long, suma_rango decimal(38,2)")
 KPI_SCHEMA = "kpi_key long, nombre_kpi string, valor decimal(18,2), meta string, fecha_calculo timestamp"
 
 
@@ -59,79 +64,98 @@ def empty_warehouse(spark: SparkSession) -> Warehouse:
     t = {n: spark.createDataFrame([], s) for n, s in DIM_SCHEMAS.items()}
     t["fact_precios"] = spark.createDataFrame([], FACT_SCHEMA)
     t["stg_precios_raw"] = spark.createDataFrame([], STG_SCHEMA)
+    t[SUMS] = spark.createDataFrame([], SUMS_SCHEMA)
     t["fact_kpis"] = spark.createDataFrame([], KPI_SCHEMA)
     return Warehouse(t)
 
 
 # ------------------------------------------------------------------ get-or-create
-def upsert_members(existing: DataFrame, candidates: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """Existing members plus new ones (insert-if-absent), ids after the current maximum.
-
-    Candidate attribute columns come along for new members; existing members
-    keep theirs.  Only the new members are sorted and numbered; they are
-    checkpointed there, so every consumer reads them instead of finding them again.
-    """
-    cols = [c for c in existing.columns if c != id_col]
-    new = candidates.select(*cols).dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
-    after = existing.agg(F.max(id_col)).first()[0] or 0
-    added = numbered(new.select(*cols).orderBy(*keys), id_col, after)
-    return existing.select(id_col, *cols).unionByName(added)
-
-
 # grouping_id() of each grouping set over (producto, fecha, unidad, tipo_venta).
-GID_PRODUCT, GID_DATE, GID_UNIT, GID_ALL = 7, 11, 12, 15
+GID_PRODUCT, GID_DATE, GID_UNIT = 7, 11, 12
+MEMBER_KEY = ["tabla", "texto", "canal", "dia"]
 
 
 def batch_members(facts: DataFrame) -> DataFrame:
-    """One pass over a fact batch: dimension members and the batch KPIs.
+    """The dimension members of a fact batch in one pass.
 
-    Grouping sets (producto), (fecha), (unidad, tipo_venta) and () in a single
-    partial aggregate; the result has one row per product, date and unit plus
-    one KPI row, so it is small and is checkpointed for the dimension upserts.
+    Grouping sets (producto), (fecha) and (unidad, tipo_venta) in a single
+    partial aggregate; the result has one row per product, date and unit, so
+    it is small.
     """
     return facts.groupingSets(
-        [["producto"], ["fecha"], ["unidad", "tipo_venta"], []],
+        [["producto"], ["fecha"], ["unidad", "tipo_venta"]],
         "producto", "fecha", "unidad", "tipo_venta",
-    ).agg(
-        F.grouping_id().alias("gid"),
-        F.min("equivalencia").alias("equivalencia"),
-        F.avg("precio_prom").alias("precio_promedio_general"),
-        F.max("precio_max").alias("precio_maximo_registrado"),
-        F.min("precio_min").alias("precio_minimo_registrado"),
-        F.avg("variacion_precio").alias("variacion_promedio"),
-    )
-
-
-def load_dimensions(wh: Warehouse, facts: DataFrame, members: DataFrame | None = None) -> Warehouse:
-    """Product, year, month, date, channel and unit dimensions for a fact batch."""
-    if members is None:
-        checkpoint_dir(facts.sparkSession)
-        members = batch_members(facts).checkpoint(eager=True)
-    t = dict(wh.tables)
-    products = members.filter((F.col("gid") == GID_PRODUCT) & F.col("producto").isNotNull())
-    units_m = members.filter(F.col("gid") == GID_UNIT)
-    t["dim_producto"] = upsert_members(t["dim_producto"], products, ["producto"], "id_producto")
-    t["dim_tipo_venta"] = upsert_members(t["dim_tipo_venta"], units_m, ["tipo_venta"], "id_tipo_venta")
-
-    dates = members.filter((F.col("gid") == GID_DATE) & F.col("fecha").isNotNull()).select("fecha")
-    t["dim_anio"] = upsert_members(t["dim_anio"], dates.select(F.year("fecha").alias("anio")),
-                                   ["anio"], "id_anio")
-    months = (dates.select(F.month("fecha").alias("mes"), F.year("fecha").alias("anio")).distinct()
-                   .join(t["dim_anio"], "anio")
-                   .select("mes", month_name(F.col("mes")).alias("nombre_mes"), "id_anio"))
-    t["dim_mes"] = upsert_members(t["dim_mes"], months, ["id_anio", "mes"], "id_mes")
-    days = (dates.select("fecha", F.dayofmonth("fecha").alias("dia"), F.month("fecha").alias("mes"),
-                         F.year("fecha").alias("anio"))
-                 .join(t["dim_anio"], "anio")
-                 .join(t["dim_mes"].select("id_mes", "mes", "id_anio"), ["mes", "id_anio"])
-                 .select("fecha", "dia", "id_mes"))
-    t["dim_tiempo"] = upsert_members(t["dim_tiempo"], days, ["fecha"], "id_tiempo")
+    ).agg(F.grouping_id().alias("gid"), F.min("equivalencia").alias("equivalencia"))
+
+
+def _key(texto: Column | None = None, canal: Column | None = None, dia: Column | None = None) -> list[Column]:
+    """A member's natural key in the columns that all dimensions share; those without a part of it hold a fixed value."""
+    return [(F.lit("") if texto is None else texto).alias("texto"), (F.lit("") if canal is None else canal).alias("canal"),
+            (F.lit("1970-01-01") if dia is None else dia).cast("date").alias("dia")]
+
+
+def member_keys(members: DataFrame) -> DataFrame:
+    """(tabla, texto, canal, dia, equivalencia): each dimension's members that a batch names; keys with a null name none."""
+    none = F.lit(None).cast("decimal(18,4)")
 
+    def member(table: str, *key: Column, equivalence: Column = none) -> Column:
+        return F.struct(F.lit(table).alias("tabla"), *key, equivalence.alias("equivalencia"))
+
+    producto, fecha, unidad, canal = (F.col(c) for c in ("producto", "fecha", "unidad", "tipo_venta"))
+    of_date = [member("dim_anio", *_key(dia=F.trunc(fecha, "year"))), member("dim_mes", *_key(dia=F.trunc(fecha, "month"))),
+               member("dim_tiempo", *_key(dia=fecha))]
     # First equivalence wins: the smallest of the batch; an existing row is kept.
-    units = (units_m.join(t["dim_tipo_venta"], "tipo_venta")
-                    .select("unidad", F.col("equivalencia").cast("decimal(18,4)").alias("equivalencia"),
-                            "id_tipo_venta"))
-    t["dim_unidad"] = upsert_members(t["dim_unidad"], units, ["unidad", "id_tipo_venta"], "id_unidad")
+    of_unit = [member("dim_tipo_venta", *_key(canal=canal)),
+               F.when(unidad.isNotNull(), member("dim_unidad", *_key(unidad, canal),
+                                                 equivalence=F.col("equivalencia").cast("decimal(18,4)")))]
+    named = (F.when((F.col("gid") == GID_PRODUCT) & producto.isNotNull(), F.array(member("dim_producto", *_key(producto))))
+              .when((F.col("gid") == GID_DATE) & fecha.isNotNull(), F.array(*of_date))
+              .when((F.col("gid") == GID_UNIT) & canal.isNotNull(), F.array_compact(F.array(*of_unit))))
+    return members.select(F.inline(named)).groupBy(*MEMBER_KEY).agg(F.min("equivalencia").alias("equivalencia"))
+
+
+def stored_keys(t: dict[str, DataFrame]) -> DataFrame:
+    """(tabla, texto, canal, dia, id) of every member that the dimensions hold."""
+    months = t["dim_mes"].join(t["dim_anio"], "id_anio", "left")
+    units = t["dim_unidad"].join(t["dim_tipo_venta"], "id_tipo_venta", "left")
+    found = {
+        "dim_producto": (t["dim_producto"], _key(F.col("producto")), "id_producto"),
+        "dim_anio": (t["dim_anio"], _key(dia=F.make_date("anio", F.lit(1), F.lit(1))), "id_anio"),
+        "dim_mes": (months, _key(dia=F.make_date("anio", "mes", F.lit(1))), "id_mes"),
+        "dim_tiempo": (t["dim_tiempo"], _key(dia=F.col("fecha")), "id_tiempo"),
+        "dim_tipo_venta": (t["dim_tipo_venta"], _key(canal=F.col("tipo_venta")), "id_tipo_venta"),
+        "dim_unidad": (units, _key(F.col("unidad"), F.col("tipo_venta")), "id_unidad"),
+    }
+    parts = [df.select(F.lit(name).alias("tabla"), *key, F.col(number).alias("id")) for name, (df, key, number) in found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def load_dimensions(wh: Warehouse, facts: DataFrame) -> Warehouse:
+    """Product, year, month, date, channel and unit dimensions for a fact batch.
+
+    Insert-if-absent for all of them together; existing members keep their ids and attributes.
+    """
+    t = dict(wh.tables)
+    stored = stored_keys(t)
+    last = {r["tabla"]: r["id"] for r in stored.groupBy("tabla").agg(F.max("id").alias("id")).collect() if r["id"] is not None}
+    absent = member_keys(batch_members(facts)).join(stored.select(*MEMBER_KEY), MEMBER_KEY, "left_anti")
+    new = numbered_within(absent, "tabla", ["dia", "texto", "canal"], "id", last)
+
+    def add(table: str, *columns: Column, parents: DataFrame | None = None, on: Column | None = None) -> None:
+        rows = new.filter(F.col("tabla") == table)
+        rows = rows if parents is None else rows.join(parents, on)
+        t[table] = t[table].unionByName(rows.select(F.col("id").alias(t[table].columns[0]), *columns))
+
+    add("dim_producto", F.col("texto").alias("producto"))
+    add("dim_tipo_venta", F.col("canal").alias("tipo_venta"))
+    add("dim_anio", F.year("dia").alias("anio"))
+    add("dim_mes", F.month("dia").alias("mes"), month_name(F.month("dia")).alias("nombre_mes"), F.col("id_anio"),
+        parents=t["dim_anio"], on=F.year("dia") == F.col("anio"))
+    months = t["dim_mes"].join(t["dim_anio"], "id_anio").select("id_mes", "mes", "anio")
+    add("dim_tiempo", F.col("dia").alias("fecha"), F.dayofmonth("dia").alias("dia"), F.col("id_mes"),
+        parents=months, on=(F.year("dia") == F.col("anio")) & (F.month("dia") == F.col("mes")))
+    add("dim_unidad", F.col("texto").alias("unidad"), F.col("equivalencia"), F.col("id_tipo_venta"),
+        parents=t["dim_tipo_venta"], on=F.col("canal") == F.col("tipo_venta"))
     return Warehouse(t, version=wh.version)
 
 
@@ -147,7 +171,7 @@ def dim_lookup(wh: Warehouse, facts: DataFrame) -> DataFrame:
 def fact_rows(wh: Warehouse, facts: DataFrame) -> DataFrame:
     """Facts with surrogate keys and numeric(18,2) prices, numbered after the present ones."""
     j = dim_lookup(wh, facts)
-    after = wh["fact_precios"].agg(F.max("id_precio")).first()[0] or 0
+    after = wh[SUMS].agg(F.max("ultimo_id")).first()[0] or 0
     rows = j.select(
         "id_producto", "id_tiempo", "id_unidad", "id_tipo_venta",
         F.col("precio_min").cast("decimal(18,2)").alias("precio_min"),
@@ -170,16 +194,40 @@ def staging_rows(ok: DataFrame) -> DataFrame:
         F.col("hoja_origen"))
 
 
-def kpi_rows(members: DataFrame) -> DataFrame:
-    """KPI table (A3) from the batch's KPI row of ``batch_members``."""
+def daily_sums(facts: DataFrame) -> DataFrame:
+    """Sums, counts and extremes of fact rows by product, day and channel (A10), to be merged with other loads'."""
+    spread = F.col("precio_max") - F.col("precio_min")
+    return facts.groupBy("id_producto", "id_tiempo", "id_tipo_venta").agg(
+        F.max("id_precio").alias("ultimo_id"), F.count("precio_prom").alias("n_prom"),
+        F.sum("precio_prom").cast("decimal(38,2)").alias("suma_prom"), F.max("precio_max").alias("max_max"),
+        F.min("precio_min").alias("min_min"), F.count(spread).alias("n_rango"),
+        F.sum(spread).cast("decimal(38,2)").alias("suma_rango"))
+
+
+def _mean(total: str, count: str) -> Column:
+    """Mean of merged sums; null when they are of no value."""
+    return F.try_divide(F.sum(total).cast("double"), F.sum(count))
+
+
+def daily_averages(wh: Warehouse) -> DataFrame:
+    """Mean price by product, day and channel (A10) from the stored sums; reads no facts."""
+    merged = wh[SUMS].groupBy("id_producto", "id_tiempo", "id_tipo_venta").agg(_mean("suma_prom", "n_prom").alias("precio_promedio"))
+    return (merged.join(wh["dim_producto"], "id_producto").join(wh["dim_tiempo"].select("id_tiempo", "fecha"), "id_tiempo")
+                  .join(wh["dim_tipo_venta"], "id_tipo_venta").select("producto", "fecha", "tipo_venta", "precio_promedio"))
+
+
+def kpi_rows(sums: DataFrame) -> DataFrame:
+    """KPI table (A3) from daily sums."""
     from tambo.operators.metrics import kpi_table_from
-    k = members.filter(F.col("gid") == GID_ALL).select(
-        "precio_promedio_general", "precio_maximo_registrado", "precio_minimo_registrado", "variacion_promedio")
+    k = sums.agg(_mean("suma_prom", "n_prom").alias("precio_promedio_general"),
+                 F.max("max_max").cast("double").alias("precio_maximo_registrado"),
+                 F.min("min_min").cast("double").alias("precio_minimo_registrado"),
+                 _mean("suma_rango", "n_rango").alias("variacion_promedio"))
     return kpi_table_from(k).withColumn("fecha_calculo", F.current_timestamp())
 
 
 def kpi_rows_of_table(facts: DataFrame) -> DataFrame:
-    """KPI table (A3) of a whole fact table, old and new rows together."""
+    """KPI table (A3) recounted from a whole fact table."""
     from tambo.operators.metrics import kpi_table_from
     k = facts.agg(
         F.avg(F.col("precio_prom").cast("double")).alias("precio_promedio_general"),
@@ -193,24 +241,18 @@ def load(wh: Warehouse, ok: DataFrame, facts: DataFrame, replace: bool = True, l
     """Load a batch (L8): replace clears facts, KPIs and staging but keeps dimensions.
 
     The batch is read twice: once by the grouping-sets aggregate that yields
-    every dimension member and the KPIs (small, checkpointed), once by the
-    fact-row projection that looks the surrogate keys up (checkpointed to be
-    numbered).  KPIs are the batch's in replace mode, the whole table's in
-    append mode.
+    every dimension member, once by the fact-row projection that looks the
+    surrogate keys up (checkpointed to be numbered).  KPIs are the batch's in
+    replace mode, the whole table's in append mode; either way they come from
+    the daily sums, to which an append adds its own: it reads no old facts.
     """
-    checkpoint_dir(facts.sparkSession)
-    members = batch_members(facts).checkpoint(eager=True)
-    w2 = load_dimensions(wh, facts, members)
+    w2 = load_dimensions(wh, facts)
     t = dict(w2.tables)
-    new_facts = fact_rows(w2, facts)
-    new_stg = staging_rows(ok)
-    if replace:
-        t["fact_precios"], t["stg_precios_raw"] = new_facts, new_stg
-    else:
-        t["fact_precios"] = wh["fact_precios"].unionByName(new_facts)
-        t["stg_precios_raw"] = wh["stg_precios_raw"].unionByName(new_stg)
-    t["fact_kpis"] = kpi_rows(members) if replace else kpi_rows_of_table(t["fact_precios"])
-    return Warehouse(t, {"fact_precios": new_facts, "stg_precios_raw": new_stg}, load_id, wh.version)
+    batch = {"fact_precios": fact_rows(w2, facts), "stg_precios_raw": staging_rows(ok)}
+    batch[SUMS] = daily_sums(batch["fact_precios"])
+    t |= batch if replace else {n: wh[n].unionByName(df) for n, df in batch.items()}
+    t["fact_kpis"] = kpi_rows(t[SUMS])
+    return Warehouse(t, batch, load_id, wh.version)
 
 
 # ------------------------------------------------------------------ semantic view
@@ -240,41 +282,39 @@ def semantic_as_double(view: DataFrame) -> DataFrame:
 def fk_check(wh: Warehouse) -> DataFrame:
     """Orphan foreign keys and duplicated unique keys, one row per constraint.
 
-    The facts are counted by their four keys first (partial aggregates), so the
-    dimension joins see one row per key combination and the facts are read once.
+    All constraints are counted together: every key value gives one row with how
+    often children and parents (or members, for unique keys) hold it, and one
+    aggregate by (constraint, value) finds values without a parent and values
+    held twice.  The facts are counted by their four keys first, in one reading.
     A null key is an orphan.
     """
-    dims = {"id_producto": "dim_producto", "id_tiempo": "dim_tiempo", "id_unidad": "dim_unidad",
-            "id_tipo_venta": "dim_tipo_venta"}
-    f = wh["fact_precios"].groupBy(*dims).agg(F.count(F.lit(1)).alias("_n"))
-    for key, dim in dims.items():
-        f = f.join(wh[dim].select(key).distinct().withColumn(f"_has_{key}", F.lit(True)), key, "left")
-    orphans = f.agg(*[F.coalesce(F.sum(F.when(F.col(f"_has_{k}").isNull(), F.col("_n"))), F.lit(0)).alias(k)
-                      for k in dims])
-    per_key = [e for k in dims for e in (F.lit(f"fact_precios.{k}"), F.col(k))]
-    of_facts = orphans.select(F.stack(F.lit(len(dims)), *per_key).alias("restriccion", "violaciones"))
-    checks = [
-        ("dim_tiempo.id_mes", wh["dim_tiempo"].join(wh["dim_mes"], "id_mes", "left_anti")),
-        ("dim_mes.id_anio", wh["dim_mes"].join(wh["dim_anio"], "id_anio", "left_anti")),
-        ("dim_unidad.id_tipo_venta", wh["dim_unidad"].join(wh["dim_tipo_venta"], "id_tipo_venta", "left_anti")),
-    ]
-    uniques = [
-        ("dim_producto(producto)", wh["dim_producto"], ["producto"]),
-        ("dim_anio(anio)", wh["dim_anio"], ["anio"]),
-        ("dim_mes(id_anio,mes)", wh["dim_mes"], ["id_anio", "mes"]),
-        ("dim_tiempo(fecha)", wh["dim_tiempo"], ["fecha"]),
-        ("dim_tipo_venta(tipo_venta)", wh["dim_tipo_venta"], ["tipo_venta"]),
-        ("dim_unidad(unidad,id_tipo_venta)", wh["dim_unidad"], ["unidad", "id_tipo_venta"]),
-    ]
-    parts = [df.agg(F.count(F.lit(1)).alias("violaciones")).select(F.lit(n).alias("restriccion"), "violaciones")
-             for n, df in checks]
-    parts += [df.groupBy(*k).count().filter(F.col("count") > 1)
-                .agg(F.count(F.lit(1)).alias("violaciones")).select(F.lit(n).alias("restriccion"), "violaciones")
-              for n, df, k in uniques]
-    out = of_facts
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    one, zero, nobody = F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("string")
+
+    def held(constraint: str, value: Column, children: Column, parents: Column) -> list[Column]:
+        return [F.lit(constraint).alias("restriccion"), value.cast("string").alias("clave"), children.alias("hijos"),
+                parents.alias("padres")]
+
+    keys = {"id_producto": "dim_producto", "id_tiempo": "dim_tiempo", "id_unidad": "dim_unidad", "id_tipo_venta": "dim_tipo_venta"}
+    above = [("dim_tiempo", "id_mes", "dim_mes"), ("dim_mes", "id_anio", "dim_anio"), ("dim_unidad", "id_tipo_venta", "dim_tipo_venta")]
+    uniques = [("dim_producto", ["producto"]), ("dim_anio", ["anio"]), ("dim_mes", ["id_anio", "mes"]), ("dim_tiempo", ["fecha"]),
+               ("dim_tipo_venta", ["tipo_venta"]), ("dim_unidad", ["unidad", "id_tipo_venta"])]
+    facts = wh["fact_precios"].groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = [facts.select(F.inline(F.array(*[F.struct(*held(f"fact_precios.{k}", F.col(k), F.col("n"), zero)) for k in keys])))]
+    children = [(f"fact_precios.{k}", k, dim) for k, dim in keys.items()] + [(f"{table}.{k}", k, dim) for table, k, dim in above]
+    rows += [wh[table].select(*held(f"{table}.{k}", F.col(k), one, zero)) for table, k, _ in above]
+    rows += [wh[dim].filter(F.col(k).isNotNull()).select(*held(name, F.col(k), zero, one)) for name, k, dim in children]
+    names = [name for name, _, _ in children]
+    for table, key in uniques:
+        name = f"{table}({','.join(key)})"
+        names.append(name)
+        rows.append(wh[table].select(*held(name, F.to_json(F.struct(*key)), zero, one)))
+    every = wh["dim_anio"].sparkSession.createDataFrame([(n,) for n in names], "n string")      # a row for each constraint
+    rows.append(every.select(F.col("n").alias("restriccion"), nobody.alias("clave"), zero.alias("hijos"), zero.alias("padres")))
+    counted = reduce(DataFrame.unionByName, rows).groupBy("restriccion", "clave").agg(F.sum("hijos").alias("hijos"),
+                                                                                      F.sum("padres").alias("padres"))
+    wrong = (F.when(F.col("restriccion").contains("("), F.when(F.col("padres") > 1, one).otherwise(zero))
+              .when(F.col("padres") == 0, F.col("hijos")).otherwise(zero))
+    return counted.groupBy("restriccion").agg(F.sum(wrong).alias("violaciones"))
 
 
 def schema_check(wh: Warehouse) -> DataFrame:
@@ -289,8 +329,8 @@ def schema_check(wh: Warehouse) -> DataFrame:
 
 
 # ------------------------------------------------------------------ parquet persistence
-TABLES = [*DIM_SCHEMAS, "fact_precios", "stg_precios_raw", "fact_kpis"]
-APPENDABLE = ("fact_precios", "stg_precios_raw")
+TABLES = [*DIM_SCHEMAS, "fact_precios", "stg_precios_raw", SUMS, "fact_kpis"]
+APPENDABLE = ("fact_precios", "stg_precios_raw", SUMS)
 
 
 def _write_new(df: DataFrame, root: str, table: str, prefix: str) -> str:
@@ -316,9 +356,9 @@ def save(wh: Warehouse, root: str, replace: bool = True) -> int:
     state = manifest.state_of(spark, root, base)
     prefix = f"load={base + 1 if wh.load_id is None else wh.load_id}"
     for name in TABLES:
-        append = not replace and name in APPENDABLE and name in wh.batch
+        append = not replace and name in APPENDABLE and name in wh.batch and name in state
         written = _write_new(wh.batch[name] if append else wh.tables[name], root, name, prefix)
-        state[name] = (state.get(name, []) if append else []) + [written]
+        state[name] = (state[name] if append else []) + [written]
     return manifest.commit(spark, root, base, state)
 
 
@@ -339,6 +379,8 @@ def read(spark: SparkSession, root: str) -> Warehouse:
     state = manifest.state_of(spark, root, version)
     tables = empty_warehouse(spark).tables
     tables |= {n: spark.read.parquet(*[os.path.join(root, n, d) for d in state[n]]) for n in TABLES if n in state}
+    if "fact_precios" in state and SUMS not in state:       # stored before the sums were kept
+        tables[SUMS] = daily_sums(tables["fact_precios"])
     return Warehouse(tables, version=version)
 
 

@@ -324,6 +324,23 @@ def q_catalog_views(spark, sf_dir):
     return functools.reduce(lambda a, b: a.unionByName(b), out)
 
 
+@register("kpi_incremental")
+def q_kpi_incremental(spark, sf_dir):
+    """A3, A10 kept by increments: facts appended in three loads, then KPIs and daily means read from the stored sums."""
+    ok = Q.ok_rows(validated(spark, sf_dir))
+    facts = FX.unpivot_channels(ok, normalise=True)
+    root = scratch_path(spark, "increments")
+    part = F.when(F.year("fecha") < 1996, 0).when(F.year("fecha") < 1998, 1).otherwise(2)
+    for n in range(3):
+        WH.load_into(spark, root, ok.filter(part == n), facts.filter(part == n), replace=n == 0)
+    wh = WH.read(spark, root)
+    daily = WH.daily_averages(wh).select(F.col("producto").alias("clave"), F.col("fecha").cast("string").alias("fecha"), "tipo_venta",
+                                         F.col("precio_promedio").alias("valor"))
+    kpis = wh["fact_kpis"].select(F.col("nombre_kpi").alias("clave"), F.lit("").alias("fecha"), F.lit("").alias("tipo_venta"),
+                                  F.col("valor").cast("double").alias("valor"))
+    return kpis.unionByName(daily)
+
+
 @register("dim_producto")
 def q_dim_producto(spark, sf_dir):
     return _warehouse(spark, sf_dir)[0]["dim_producto"]

@@ -190,3 +190,22 @@ def test_forecasts_leave_out_rows_without_product_or_price(spark):
     for forecast in (FC.forecast_table, FC.forecast_weeks, FC.forecast_variation, FC.forecast_gap):
         assert forecast(frame(rows + odd)).collect() == forecast(frame(rows)).collect()
     assert [r.preciopromediofuturo for r in FC.forecast_table(frame(rows + odd)).limit(3).collect()] == [6.0, 7.0, 8.0]
+
+
+def test_appends_read_no_old_facts_and_keep_kpis(spark):
+    f = FX.unpivot_channels(Q.ok_rows(Q.validate(FIX.wide_survey(spark, SF_SMALL))))
+    ok = Q.ok_rows(Q.validate(FIX.wide_survey(spark, SF_SMALL)))
+    early = F.col("fecha") < "1997-01-01"
+    first = WH.load(WH.empty_warehouse(spark), ok, f.filter(early))
+    unread = first["fact_precios"].withColumn("id_precio", F.raise_error(F.lit("old facts were read")).cast("long"))
+    second = WH.load(WH.Warehouse({**first.tables, "fact_precios": unread}), ok, f.filter(~early), replace=False)
+    added = second.batch["fact_precios"]
+    whole = first["fact_precios"].unionByName(added)
+    ids = whole.agg(F.count("*"), F.min("id_precio"), F.max("id_precio"), F.count_distinct("id_precio")).first()
+    assert tuple(ids) == (f.count(), 1, f.count(), f.count())
+    shown = lambda k: sorted((r.nombre_kpi, r.valor) for r in k.collect())                           # noqa: E731
+    assert shown(second["fact_kpis"]) == shown(WH.kpi_rows_of_table(whole))
+    daily = {(r.producto, r.fecha, r.tipo_venta): r.precio_promedio for r in WH.daily_averages(second).collect()}
+    again = WH.semantic_as_double(WH.semantic_view(WH.Warehouse({**second.tables, "fact_precios": whole})))
+    want = again.groupBy("producto", "fecha", "tipo_venta").agg(F.avg("precio_promedio").alias("p")).collect()
+    assert len(want) == len(daily) and all(abs(daily[r.producto, r.fecha, r.tipo_venta] - r.p) < 1e-9 for r in want)
