@@ -1,8 +1,8 @@
 """The warehouse as catalog objects: tables by name over the committed state, and the report views (L1, T5).
 
 ``create_catalog`` may be run any number of times: databases and tables are created if they do not exist, the
-partitions of each table (one for each load directory) are brought in line with the committed state, and views are
-replaced.  A table's ``carga`` column names the load; the views leave it out.
+partitions of each table (one for each load directory, or load and year) are brought in line with the committed state,
+and views are replaced.  A table's ``carga`` column names the load; the views leave it out.
 """
 
 from __future__ import annotations
@@ -33,6 +33,17 @@ def database_of(root: str) -> str:
     return f"mercado_{zlib.crc32(root.rstrip('/').encode()):08x}"
 
 
+def partition_of(directory: str) -> str:
+    """The partition that a directory of a state is: ``carga=<load>`` and what the directory says further."""
+    load, *further = directory.split("/")
+    return "/".join([f"carga={load.replace('=', '-')}", *further])
+
+
+def _spec(partition: str) -> str:
+    pairs = [part.partition("=") for part in partition.split("/")]
+    return ", ".join(f"{column} = '{value}'" for column, _, value in pairs)
+
+
 def create_catalog(spark: SparkSession, root: str) -> str:
     """Creates what is missing and follows the committed state; the database's name."""
     database = database_of(root)
@@ -41,13 +52,14 @@ def create_catalog(spark: SparkSession, root: str) -> str:
     for name, columns in COLUMNS.items():
         table = f"{database}.{name}"
         location = os.path.join(root, name)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}, carga string) USING parquet PARTITIONED BY (carga) LOCATION '{location}'")
-        listed = {r["partition"].partition("=")[2] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()}      # one row a load
-        loads = {d.replace("=", "-"): d for d in state.get(name, [])}
-        for gone in sorted(listed - loads.keys()):
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (carga = '{gone}')")
-        for new in sorted(loads.keys() - listed):
-            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (carga = '{new}') LOCATION '{os.path.join(location, loads[new])}'")
+        by = ", ".join(["carga", *([WH.STORED_BY[name]] if name in WH.STORED_BY else [])])
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}, carga string) USING parquet PARTITIONED BY ({by}) LOCATION '{location}'")
+        listed = {r["partition"] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()}      # one row a load (and year)
+        stored = {partition_of(d): d for d in state.get(name, [])}
+        for gone in sorted(listed - stored.keys()):
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({_spec(gone)})")
+        for new in sorted(stored.keys() - listed):
+            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({_spec(new)}) LOCATION '{os.path.join(location, stored[new])}'")
         spark.catalog.refreshTable(table)
     for name, view in report_views(spark, database).items():
         view.createOrReplaceTempView(f"{database}_{name}")

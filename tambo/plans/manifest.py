@@ -37,6 +37,12 @@ def new_name(prefix: str) -> str:
     return f"{prefix}-{uuid.uuid4().hex[:12]}"
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below one, sorted."""
+    files, at = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(at) if s.isDirectory())
+
+
 def newest(spark: SparkSession, root: str) -> int:
     """Number of the newest committed state, 0 before the first; reads names only."""
     files, at = _file_system(spark, _folder(root))

@@ -5,27 +5,31 @@ two channels, unit x channel pairs).  The members of all dimensions that a batch
 names are one frame of (table, natural key): new ones are found by one anti join
 with the stored keys, sorted and checkpointed once, and numbered after the
 current maximum id of their table.
-Facts get their surrogate keys by equi-joins on natural keys; the optimizer
-broadcasts a dimension when its runtime size is under the broadcast threshold
-(AQE), and otherwise shuffles, so a large catalogue degrades gracefully.
+Facts get their surrogate keys by equi-joins with the members that the batch
+names: broadcast while their counted bytes stay under a bound, and beyond it
+shuffled, apart from the members that hold a large share of the facts.
+Facts are stored by load and year, so a range of dates reads the years it meets.
 Fact ids follow the present maximum: partition offsets plus places within the
 partitions, unique for any number of partitions and without a global ordering.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tambo import schemas as S
 from tambo.functions.columns import month_name
 from tambo.operators.facts import to_semantic
 from tambo.plans import manifest
 from tambo.plans.ordinal import numbered, numbered_within
+from tambo.session import checkpoint_dir
 
 DIM_SCHEMAS = {
     "dim_producto": "id_producto long, producto string",
@@ -36,7 +40,7 @@ DIM_SCHEMAS = {
     "dim_unidad": "id_unidad long, unidad string, equivalencia decimal(18,4), id_tipo_venta long",
 }
 FACT_SCHEMA = ("id_precio long, id_producto long, id_tiempo long, id_unidad long, id_tipo_venta long, "
-               "precio_min decimal(18,2), precio_prom decimal(18,2), precio_max decimal(18,2)")
+               "precio_min decimal(18,2), precio_prom decimal(18,2), precio_max decimal(18,2), anio int")
 STG_SCHEMA = ("fecha_registro date, fecha_captura timestamp, producto_nombre string, unidad_medida string, "
               "precio_mayorista_orig decimal(18,2), precio_minorista_orig decimal(18,2), hoja_origen string")
 #: Mergeable sums of a load's facts by product, day and channel: exact decimals, so any grouping of loads gives one result.
@@ -80,12 +84,12 @@ def batch_members(facts: DataFrame) -> DataFrame:
 
     Grouping sets (producto), (fecha) and (unidad, tipo_venta) in a single
     partial aggregate; the result has one row per product, date and unit, so
-    it is small.
+    it is small.  ``n`` counts the facts.
     """
     return facts.groupingSets(
         [["producto"], ["fecha"], ["unidad", "tipo_venta"]],
         "producto", "fecha", "unidad", "tipo_venta",
-    ).agg(F.grouping_id().alias("gid"), F.min("equivalencia").alias("equivalencia"))
+    ).agg(F.grouping_id().alias("gid"), F.min("equivalencia").alias("equivalencia"), F.count(F.lit(1)).alias("n"))
 
 
 def _key(texto: Column | None = None, canal: Column | None = None, dia: Column | None = None) -> list[Column]:
@@ -95,11 +99,12 @@ def _key(texto: Column | None = None, canal: Column | None = None, dia: Column |
 
 
 def member_keys(members: DataFrame) -> DataFrame:
-    """(tabla, texto, canal, dia, equivalencia): each dimension's members that a batch names; keys with a null name none."""
+    """(tabla, texto, canal, dia, equivalencia, n): each dimension's members that a batch names, and how many of its facts
+    name them; keys with a null name none."""
     none = F.lit(None).cast("decimal(18,4)")
 
     def member(table: str, *key: Column, equivalence: Column = none) -> Column:
-        return F.struct(F.lit(table).alias("tabla"), *key, equivalence.alias("equivalencia"))
+        return F.struct(F.lit(table).alias("tabla"), *key, equivalence.alias("equivalencia"), F.col("n"))
 
     producto, fecha, unidad, canal = (F.col(c) for c in ("producto", "fecha", "unidad", "tipo_venta"))
     of_date = [member("dim_anio", *_key(dia=F.trunc(fecha, "year"))), member("dim_mes", *_key(dia=F.trunc(fecha, "month"))),
@@ -111,7 +116,7 @@ def member_keys(members: DataFrame) -> DataFrame:
     named = (F.when((F.col("gid") == GID_PRODUCT) & producto.isNotNull(), F.array(member("dim_producto", *_key(producto))))
               .when((F.col("gid") == GID_DATE) & fecha.isNotNull(), F.array(*of_date))
               .when((F.col("gid") == GID_UNIT) & canal.isNotNull(), F.array_compact(F.array(*of_unit))))
-    return members.select(F.inline(named)).groupBy(*MEMBER_KEY).agg(F.min("equivalencia").alias("equivalencia"))
+    return members.select(F.inline(named)).groupBy(*MEMBER_KEY).agg(F.min("equivalencia").alias("equivalencia"), F.sum("n").alias("n"))
 
 
 def stored_keys(t: dict[str, DataFrame]) -> DataFrame:
@@ -130,16 +135,17 @@ def stored_keys(t: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def load_dimensions(wh: Warehouse, facts: DataFrame) -> Warehouse:
-    """Product, year, month, date, channel and unit dimensions for a fact batch.
+def _dimensions(wh: Warehouse, facts: DataFrame) -> tuple[Warehouse, DataFrame]:
+    """The warehouse with a batch's members, and (tabla, texto, canal, dia, equivalencia, n, id) of the members it names.
 
-    Insert-if-absent for all of them together; existing members keep their ids and attributes.
+    Insert-if-absent for all dimensions together; existing members keep their ids and attributes.
     """
     t = dict(wh.tables)
+    checkpoint_dir(facts.sparkSession)
     stored = stored_keys(t)
     last = {r["tabla"]: r["id"] for r in stored.groupBy("tabla").agg(F.max("id").alias("id")).collect() if r["id"] is not None}
-    absent = member_keys(batch_members(facts)).join(stored.select(*MEMBER_KEY), MEMBER_KEY, "left_anti")
-    new = numbered_within(absent, "tabla", ["dia", "texto", "canal"], "id", last)
+    named = member_keys(batch_members(facts)).join(stored, MEMBER_KEY, "left").checkpoint()
+    new = numbered_within(named.filter(F.col("id").isNull()).drop("id"), "tabla", ["dia", "texto", "canal"], "id", last)
 
     def add(table: str, *columns: Column, parents: DataFrame | None = None, on: Column | None = None) -> None:
         rows = new.filter(F.col("tabla") == table)
@@ -149,34 +155,78 @@ def load_dimensions(wh: Warehouse, facts: DataFrame) -> Warehouse:
     add("dim_producto", F.col("texto").alias("producto"))
     add("dim_tipo_venta", F.col("canal").alias("tipo_venta"))
     add("dim_anio", F.year("dia").alias("anio"))
+    # Years and months are bounded by the calendar (9,999 and twelve times that).
     add("dim_mes", F.month("dia").alias("mes"), month_name(F.month("dia")).alias("nombre_mes"), F.col("id_anio"),
-        parents=t["dim_anio"], on=F.year("dia") == F.col("anio"))
-    months = t["dim_mes"].join(t["dim_anio"], "id_anio").select("id_mes", "mes", "anio")
+        parents=F.broadcast(t["dim_anio"]), on=F.year("dia") == F.col("anio"))
+    months = t["dim_mes"].join(F.broadcast(t["dim_anio"]), "id_anio").select("id_mes", "mes", "anio")
     add("dim_tiempo", F.col("dia").alias("fecha"), F.dayofmonth("dia").alias("dia"), F.col("id_mes"),
-        parents=months, on=(F.year("dia") == F.col("anio")) & (F.month("dia") == F.col("mes")))
+        parents=F.broadcast(months), on=(F.year("dia") == F.col("anio")) & (F.month("dia") == F.col("mes")))
     add("dim_unidad", F.col("texto").alias("unidad"), F.col("equivalencia"), F.col("id_tipo_venta"),
         parents=t["dim_tipo_venta"], on=F.col("canal") == F.col("tipo_venta"))
-    return Warehouse(t, version=wh.version)
+    return Warehouse(t, version=wh.version), named.filter(F.col("id").isNotNull()).unionByName(new)
+
+
+def load_dimensions(wh: Warehouse, facts: DataFrame) -> Warehouse:
+    """Product, year, month, date, channel and unit dimensions for a fact batch."""
+    return _dimensions(wh, facts)[0]
+
 
+# ------------------------------------------------------------------ natural keys -> ids
+#: Members of a dimension are broadcast up to this many counted bytes.
+LOOKUP_BYTES = 32 << 20
+#: Beyond that, members named by more than one fact in this many (so fewer than this many members) are looked up apart.
+FREQUENT = 64
+#: Each looked-up dimension's id, and its natural key as (column of the facts: column of the members).
+LOOKUPS = {"dim_producto": ("id_producto", {"producto": "texto"}), "dim_tiempo": ("id_tiempo", {"fecha": "dia"}),
+           "dim_tipo_venta": ("id_tipo_venta", {"tipo_venta": "canal"}),
+           "dim_unidad": ("id_unidad", {"unidad": "texto", "tipo_venta": "canal"})}
 
-def dim_lookup(wh: Warehouse, facts: DataFrame) -> DataFrame:
-    """Natural keys -> surrogate keys for a fact batch."""
-    return (facts
-            .join(wh["dim_producto"], "producto")
-            .join(wh["dim_tiempo"].select("id_tiempo", "fecha"), "fecha")
-            .join(wh["dim_tipo_venta"], "tipo_venta")
-            .join(wh["dim_unidad"].select("id_unidad", "unidad", "id_tipo_venta"), ["unidad", "id_tipo_venta"]))
 
+def _lookup_apart(facts: DataFrame, members: DataFrame, key: list[str], number: str, total: int) -> DataFrame:
+    """An equi-join with members too many to broadcast, in which no member's facts meet in one task for being many.
 
-def fact_rows(wh: Warehouse, facts: DataFrame) -> DataFrame:
-    """Facts with surrogate keys and numeric(18,2) prices, numbered after the present ones."""
-    j = dim_lookup(wh, facts)
+    Frequent members are found by a broadcast of fewer than ``FREQUENT`` rows; their facts go through the shuffle of the
+    others under keys that spread them and that no member has.
+    """
+    frequent = members.filter(F.col("n") * FREQUENT > total).select(*key, F.col(number).alias("_frequent"))
+    found = facts.dropna(subset=key).join(F.broadcast(frequent), key, "left")
+    spread = 1 + F.pmod(F.xxhash64(F.spark_partition_id(), *facts.columns), F.lit(1 << 20))
+    found = found.withColumn("_apart", F.when(F.col("_frequent").isNull(), F.lit(0).cast("long")).otherwise(spread))
+    every = members.select(*key, number, F.lit(0).cast("long").alias("_apart")).hint("shuffle_merge")
+    both = found.join(every, [*key, "_apart"], "left").withColumn(number, F.coalesce("_frequent", number))
+    return both.filter(F.col(number).isNotNull()).drop("_frequent", "_apart")
+
+
+def dim_lookup(wh: Warehouse, facts: DataFrame, ids: DataFrame | None = None, broadcast_bytes: int = LOOKUP_BYTES) -> DataFrame:
+    """Natural keys -> surrogate keys for a fact batch (J2); facts with a key that no dimension holds have no row.
+
+    ``ids`` are the members that the batch names (as ``_dimensions`` gives them); without them they are counted here.
+    """
+    if ids is None:
+        checkpoint_dir(facts.sparkSession)
+        ids = member_keys(batch_members(facts)).join(stored_keys(wh.tables), MEMBER_KEY).checkpoint()
+    sizes = {r["tabla"]: r for r in ids.groupBy("tabla").agg(
+        F.sum("n").alias("n"), F.sum(F.octet_length("texto") + F.octet_length("canal") + 64).alias("bytes")).collect()}     # six rows at most
+    for table, (number, on) in LOOKUPS.items():
+        members = ids.filter(F.col("tabla") == table).select(*[F.col(k).alias(f) for f, k in on.items()], F.col("id").alias(number), "n")
+        size = sizes.get(table)
+        if size is None or size["bytes"] <= broadcast_bytes:
+            facts = facts.join(F.broadcast(members.drop("n")), list(on))
+        else:
+            facts = _lookup_apart(facts, members, list(on), number, size["n"])
+    return facts
+
+
+def fact_rows(wh: Warehouse, facts: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Facts with surrogate keys, numeric(18,2) prices and their year, numbered after the present ones."""
+    j = dim_lookup(wh, facts, ids)
     after = wh[SUMS].agg(F.max("ultimo_id")).first()[0] or 0
     rows = j.select(
         "id_producto", "id_tiempo", "id_unidad", "id_tipo_venta",
         F.col("precio_min").cast("decimal(18,2)").alias("precio_min"),
         F.col("precio_prom").cast("decimal(18,2)").alias("precio_prom"),
-        F.col("precio_max").cast("decimal(18,2)").alias("precio_max"))
+        F.col("precio_max").cast("decimal(18,2)").alias("precio_max"),
+        F.year("fecha").alias("anio"))
     return numbered(rows, "id_precio", after)
 
 
@@ -246,9 +296,9 @@ def load(wh: Warehouse, ok: DataFrame, facts: DataFrame, replace: bool = True, l
     replace mode, the whole table's in append mode; either way they come from
     the daily sums, to which an append adds its own: it reads no old facts.
     """
-    w2 = load_dimensions(wh, facts)
+    w2, ids = _dimensions(wh, facts)
     t = dict(w2.tables)
-    batch = {"fact_precios": fact_rows(w2, facts), "stg_precios_raw": staging_rows(ok)}
+    batch = {"fact_precios": fact_rows(w2, facts, ids), "stg_precios_raw": staging_rows(ok)}
     batch[SUMS] = daily_sums(batch["fact_precios"])
     t |= batch if replace else {n: wh[n].unionByName(df) for n, df in batch.items()}
     t["fact_kpis"] = kpi_rows(t[SUMS])
@@ -257,11 +307,15 @@ def load(wh: Warehouse, ok: DataFrame, facts: DataFrame, replace: bool = True, l
 
 # ------------------------------------------------------------------ semantic view
 def semantic_view(wh: Warehouse) -> DataFrame:
-    """Fact joined to its six dimensions, with the range as variacion_precio."""
+    """Fact joined to its six dimensions, with the range as variacion_precio.
+
+    Facts and dates also agree in the year, by which the facts are stored: a condition on the view's ``anio`` chooses the
+    years read when the query is planned, one on its ``fecha`` when it runs (through the dates that are left).
+    """
     f = wh["fact_precios"]
     t = wh["dim_tiempo"].join(wh["dim_mes"], "id_mes").join(wh["dim_anio"], "id_anio")
     return (f.join(wh["dim_producto"], "id_producto")
-             .join(t, "id_tiempo")
+             .join(t, ["id_tiempo", "anio"])
              .join(wh["dim_unidad"].drop("id_tipo_venta"), "id_unidad")
              .join(wh["dim_tipo_venta"], "id_tipo_venta")
              .select("id_precio", "producto", "fecha", "dia", "mes", "nombre_mes", "anio", "unidad",
@@ -271,6 +325,19 @@ def semantic_view(wh: Warehouse) -> DataFrame:
                      (F.col("precio_max") - F.col("precio_min")).alias("variacion_precio")))
 
 
+def semantic_between(wh: Warehouse, since: str | None = None, until: str | None = None) -> DataFrame:
+    """The semantic view of the days from ``since`` to ``until`` (ISO dates, both included; None: no bound).
+
+    Reads the facts of the years in between only, whatever the join of the dates turns out to be.
+    """
+    view = semantic_view(wh)
+    for day, inside in ((since, Column.__ge__), (until, Column.__le__)):
+        if day is not None:
+            date = dt.date.fromisoformat(day)
+            view = view.filter(inside(F.col("fecha"), F.lit(date)) & inside(F.col("anio"), F.lit(date.year)))
+    return view
+
+
 def semantic_as_double(view: DataFrame) -> DataFrame:
     """Semantic rows with decimals as doubles, ready for the analytics."""
     return view.withColumns({c: F.col(c).cast("double") for c in
@@ -333,11 +400,26 @@ TABLES = [*DIM_SCHEMAS, "fact_precios", "stg_precios_raw", SUMS, "fact_kpis"]
 APPENDABLE = ("fact_precios", "stg_precios_raw", SUMS)
 
 
-def _write_new(df: DataFrame, root: str, table: str, prefix: str) -> str:
-    """Writes ``df`` into a directory of a new name below the table's folder; that name."""
+#: Tables stored in one directory for each value of a column.
+STORED_BY = {"fact_precios": "anio"}
+
+
+def _write_new(df: DataFrame, root: str, table: str, prefix: str) -> list[str]:
+    """Writes ``df`` into a directory of a new name below the table's folder; the names of what is to be read: that
+    directory, or those below it by ``STORED_BY`` (none for no rows)."""
     name = manifest.new_name(prefix)
-    df.write.mode("errorifexists").parquet(os.path.join(root, table, name))
-    return name
+    path = os.path.join(root, table, name)
+    if table not in STORED_BY:
+        df.write.mode("errorifexists").parquet(path)
+        return [name]
+    df.write.mode("errorifexists").partitionBy(STORED_BY[table]).parquet(path)
+    return [f"{name}/{d}" for d in manifest.folders(df.sparkSession, path) if d.startswith(f"{STORED_BY[table]}=")]
+
+
+def _read_stored(spark: SparkSession, root: str, table: str, names: list[str], schema: StructType) -> DataFrame:
+    folder = os.path.join(root, table)
+    stored = spark.read.schema(schema).option("basePath", folder).parquet(*[os.path.join(folder, d) for d in names])
+    return stored.select(*schema.names)
 
 
 def save(wh: Warehouse, root: str, replace: bool = True) -> int:
@@ -358,7 +440,7 @@ def save(wh: Warehouse, root: str, replace: bool = True) -> int:
     for name in TABLES:
         append = not replace and name in APPENDABLE and name in wh.batch and name in state
         written = _write_new(wh.batch[name] if append else wh.tables[name], root, name, prefix)
-        state[name] = (state[name] if append else []) + [written]
+        state[name] = (state[name] if append else []) + written
     return manifest.commit(spark, root, base, state)
 
 
@@ -378,7 +460,7 @@ def read(spark: SparkSession, root: str) -> Warehouse:
     version = manifest.newest(spark, root)
     state = manifest.state_of(spark, root, version)
     tables = empty_warehouse(spark).tables
-    tables |= {n: spark.read.parquet(*[os.path.join(root, n, d) for d in state[n]]) for n in TABLES if n in state}
+    tables |= {n: _read_stored(spark, root, n, state[n], tables[n].schema) for n in TABLES if state.get(n)}
     if "fact_precios" in state and SUMS not in state:       # stored before the sums were kept
         tables[SUMS] = daily_sums(tables["fact_precios"])
     return Warehouse(tables, version=version)
@@ -394,7 +476,7 @@ def save_results(root: str, forecast: DataFrame, ranking: DataFrame) -> int:
     They depend on no other table, so a commit by somebody else in between only means to commit after that.
     """
     spark = forecast.sparkSession
-    written = {name: [_write_new(df, root, name, "run")] for name, df in zip(RESULTS, (forecast, ranking))}
+    written = {name: _write_new(df, root, name, "run") for name, df in zip(RESULTS, (forecast, ranking))}
     while True:
         base = manifest.newest(spark, root)
         try:
