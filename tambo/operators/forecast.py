@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tambo import schemas as S
 from tambo.functions.columns import days_since_origin, stable_round
+from tambo.plans.ordinal import ranked
 from tambo.session import checkpoint_dir
 
 
@@ -137,16 +138,24 @@ def project_ordinal(sem: DataFrame, horizon: int = S.HORIZON, clamp: bool = True
     )
 
 
-def increments(sem: DataFrame, horizon: int = S.HORIZON, clamp: bool = True) -> DataFrame:
-    """Per product: current, predicted, increment, rank by increment."""
+def expected_increments(sem: DataFrame, horizon: int = S.HORIZON, clamp: bool = True) -> DataFrame:
+    """Per product: current, predicted, increment (F10 without the rank)."""
     fit = ordinal_fit(daily_series(sem, ["producto"]), ["producto"])
-    out = fit.select(
+    return fit.select(
         "producto",
         F.col("last_y").alias("precio_actual"),
         projected(horizon, clamp).alias("precio_predicho"),
     ).withColumn("incremento_esperado", F.col("precio_predicho") - F.col("precio_actual"))
-    w = Window.orderBy(F.desc("incremento_esperado"), F.asc("producto"))
-    return out.withColumn("ranking", F.row_number().over(w).cast("long"))
+
+
+def _by_increment(rows: DataFrame, rank_col: str) -> DataFrame:
+    """Ranked by the expected increment, the largest first, ties by name."""
+    return ranked(rows, [F.desc("incremento_esperado"), F.asc("producto")], rank_col)
+
+
+def increments(sem: DataFrame, horizon: int = S.HORIZON, clamp: bool = True) -> DataFrame:
+    """Per product: current, predicted, increment, rank by increment."""
+    return _by_increment(expected_increments(sem, horizon, clamp), "ranking")
 
 
 def forecastable(sem: DataFrame) -> DataFrame:
@@ -189,13 +198,12 @@ def increments_raw_rows(sem: DataFrame, horizon: int = S.HORIZON, min_points: in
         F.col("last_y").alias("precio_actual"),
         projected(horizon, clamp=False).alias("precio_predicho"),
     ).withColumn("incremento_esperado", F.col("precio_predicho") - F.col("precio_actual"))
-    w = Window.orderBy(F.desc("incremento_esperado"), F.asc("producto"))
-    return out.withColumn("ranking", F.row_number().over(w).cast("long"))
+    return _by_increment(out, "ranking")
 
 
 def top_increment(sem: DataFrame) -> DataFrame:
     """The product with the largest expected increment; 'Sin datos' when none."""
-    inc = increments(sem).select(
+    inc = expected_increments(sem).select(
         F.col("producto").alias("producto_mayor_incremento"),
         F.col("incremento_esperado"),
         F.struct(-F.col("incremento_esperado"), F.col("producto")).alias("_k"))
@@ -340,8 +348,7 @@ def forecast_product_date_axis(sem: DataFrame, ahead_days: int = S.PRODUCT_AHEAD
                                        F.max_by("y", "x").alias("precio_actual"), _line("y").alias("_line"))
     out = fit.filter(F.col("_n") >= 2).select("producto", "precio_actual", _on("_line", F.col("_last") + ahead_days).alias("precio_futuro"))
     out = out.withColumn("incremento_esperado", F.col("precio_futuro") - F.col("precio_actual"))
-    rw = Window.orderBy(F.desc("incremento_esperado"), F.asc("producto"))
-    return out.withColumn("ranking_incremento", F.row_number().over(rw).cast("long"))
+    return _by_increment(out, "ranking_incremento")
 
 
 def forecast_gap_date_axis(sem: DataFrame, horizon: int = S.HORIZON) -> DataFrame:
@@ -352,7 +359,7 @@ def forecast_gap_date_axis(sem: DataFrame, horizon: int = S.HORIZON) -> DataFram
 # ------------------------------------------------------------------ summaries
 def executive_summary(sem: DataFrame, horizon: int = S.HORIZON) -> DataFrame:
     """One row, 2 dp: mean of product futures, projected range, top product, projected gap."""
-    prod = increments(sem, horizon).agg(F.avg("precio_predicho").alias("_fut"))
+    prod = expected_increments(sem, horizon).agg(F.avg("precio_predicho").alias("_fut"))
     parts = _global_parts(sem)
     one = collapse([prod, parts[2], parts[3], _top_part(sem)])
     return one.select(

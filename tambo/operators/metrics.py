@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tambo import schemas as S
 from tambo.functions.columns import money, stable_round
+from tambo.plans.ordinal import ranked
 
 
 # ----------------------------------------------------------------- KPIs
@@ -138,13 +139,8 @@ def channel_columns_avg(records: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------------- rankings
 def ranking_products(sem: DataFrame) -> DataFrame:
-    """ROW_NUMBER over the product averages, dearest first, ties by name.
-
-    The window has no partition: it runs over the per-product aggregate (one
-    row per product), never over facts.
-    """
-    w = Window.orderBy(F.desc("precio_promedio"), F.asc("producto"))
-    return avg_by_product(sem).withColumn("ranking", F.row_number().over(w).cast("long"))
+    """Places of the product averages, dearest first, ties by name."""
+    return ranked(avg_by_product(sem), [F.desc("precio_promedio"), F.asc("producto")], "ranking")
 
 
 def top_products(sem: DataFrame, k: int = 10) -> DataFrame:

@@ -169,12 +169,26 @@ def write_sales_csv(pairs: DataFrame, path: str) -> None:
 
 
 def sales_csv_missing_columns(spark: SparkSession, path: str) -> list[str]:
-    """Header check of a sales history CSV (L12, re-aimed): the expected columns it lacks.
+    """Header check of a sales history (L12, re-aimed): the expected columns that any of its files lacks.
 
-    Only the header line is parsed; the file is never rewritten or deleted.
+    The files are never rewritten or deleted.
     """
-    header = spark.read.option("sep", ";").option("header", True).csv(path).columns
-    return [c for c in S.SALES_CSV_COLUMNS if c not in header]
+    lacking = sales_csv_headers(spark, path).select(F.explode("faltantes").alias("c")).distinct().collect()    # at most the header
+    return [c for c in S.SALES_CSV_COLUMNS if c in {r["c"] for r in lacking}]
+
+
+def sales_csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(archivo, faltantes, filas) of every file of a sales history: the expected columns its header lacks, its lines below that.
+
+    A file's header is the first line of its first block, whichever task reads it.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("archivo"), F.regexp_replace("value", "^\uFEFF", "").alias("linea"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("lugar"))
+    files = lines.groupBy("archivo").agg(F.min_by("linea", "lugar").alias("cabecera"), F.count(F.lit(1)).alias("n"))
+    fields = F.transform(F.split("cabecera", ";"), lambda f: F.trim(F.translate(f, '"', "")))
+    expected = F.array(*[F.lit(c) for c in S.SALES_CSV_COLUMNS])
+    return files.select("archivo", F.array_except(expected, fields).alias("faltantes"), (F.col("n") - 1).alias("filas"))
 
 
 def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -51,6 +51,10 @@ SELECT fecha_texto, filas, {day_first('fecha_texto')} AS fecha
 FROM (SELECT fecha AS fecha_texto, COUNT(*) AS filas FROM x GROUP BY fecha) g""", [])
 q("ingest_numeric", X_CTE, f"SELECT {SURVEY_OUT} FROM xt", SURVEY_NUM)
 q("ingest_csv", X_CTE, f"SELECT {SURVEY_OUT} FROM xt", SURVEY_NUM)
+q("ingest_pad_cut", X_CTE, """
+SELECT fecha, producto, unidad_may, equiv_may, may_min, may_prom, may_max, unidad_min, equiv_min,
+       CASE WHEN unidad_may IS NOT NULL THEN min_min END AS min_min, CASE WHEN unidad_may IS NOT NULL THEN min_prom END AS min_prom,
+       CASE WHEN unidad_may IS NOT NULL THEN min_max END AS min_max FROM xt""", SURVEY_NUM)
 q("ingest_required", X_CTE, f"SELECT * REPLACE (trim(producto) AS producto) FROM "
                             f"(SELECT {SURVEY_OUT} FROM xt WHERE producto IS NOT NULL) t", SURVEY_NUM)
 q("ingest_analysis_price", X_CTE, """
@@ -207,14 +211,22 @@ SELECT DISTINCT producto FROM s WHERE producto IS NOT NULL AND contains(lower(pr
 # ------------------------------------------------------------------ warehouse
 DIMU = F_CTE + """,
 du AS (SELECT unidad, tipo_venta, MIN(equivalencia) AS eq FROM fn GROUP BY unidad, tipo_venta)"""
-q("semantic_view", DIMU, f"""
+SEMANTIC = f"""
 SELECT f.producto, f.fecha, day(f.fecha) AS dia, month(f.fecha) AS mes, {MONTHS}[month(f.fecha)] AS nombre_mes,
        year(f.fecha) AS anio, f.unidad, {sr('du.eq', 4)} AS equivalencia, f.tipo_venta,
        {sr('f.precio_min', 2)} AS precio_minimo, {sr('f.precio_prom', 2)} AS precio_promedio,
        {sr('f.precio_max', 2)} AS precio_maximo,
        CAST(CAST({sr('f.precio_max', 2)} AS DECIMAL(18,2)) - CAST({sr('f.precio_min', 2)} AS DECIMAL(18,2))
             AS DOUBLE) AS variacion_precio
-FROM fn f JOIN du ON f.unidad = du.unidad AND f.tipo_venta = du.tipo_venta""", SEM_D)
+FROM fn f JOIN du ON f.unidad = du.unidad AND f.tipo_venta = du.tipo_venta"""
+q("semantic_view", DIMU, SEMANTIC, SEM_D)
+q("semantic_between", DIMU, SEMANTIC + " WHERE f.fecha BETWEEN DATE '1995-06-15' AND DATE '1996-03-31'", SEM_D)
+q("source_choice", F_CTE, f"""
+SELECT 'con sesion' AS caso, tipo_venta, COUNT(*) AS filas, AVG(precio_prom) AS precio_promedio FROM fn
+WHERE tipo_venta = 'Minorista' GROUP BY tipo_venta
+UNION ALL
+SELECT caso, tipo_venta, COUNT(*), AVG({sr('precio_prom', 2)}) FROM fn, (VALUES ('sesion vacia'), ('sin sesion')) c(caso)
+GROUP BY caso, tipo_venta""", ["precio_promedio"])
 q("catalog_views", F_CTE, f"""
 , st AS (SELECT producto, fecha, tipo_venta, {sr('precio_prom', 2)} AS p, {sr('precio_max', 2)} AS hi,
                 CAST(CAST({sr('precio_max', 2)} AS DECIMAL(18,2)) - CAST({sr('precio_min', 2)} AS DECIMAL(18,2)) AS DOUBLE) AS v
@@ -592,6 +604,9 @@ sv AS (SELECT CAST(fecha AS DATE) AS fecha, trim(producto) AS producto, unidad_m
 sok AS (SELECT * FROM sv WHERE length(producto) >= 3 AND precio_analisis IS NOT NULL AND precio_analisis > 0
         AND producto <> ''),
 """ + facts_cte("sf", True, "sok"), "SELECT * FROM sf", FACT_D)
+q("scale_headers", PAIRS, """
+SELECT 'completo' AS historial, '' AS faltantes, COUNT(*) AS filas FROM pairs
+UNION ALL SELECT 'incompleto', 'Mayorista - Precio Min., Mayorista - Precio Prom.', COUNT(*) FROM pairs""", [])
 q("scale_history", PAIRS, f"SELECT {PAIR_OUT} FROM pairs", PAIR_D)
 
 # The streamed table equals the latest version per key of the batch answer.

@@ -8,7 +8,7 @@ group) reaches the driver; the offsets are joined back as a frame of that size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tambo.session import checkpoint_dir
@@ -31,6 +31,12 @@ def numbered_within(rows: DataFrame, group: str, order: list[str], id_col: str,
     return _with_ids(rows.orderBy(group, *order), group, id_col, after).select(id_col, *rows.columns)
 
 
+def ranked(rows: DataFrame, order: list[Column], rank_col: str) -> DataFrame:
+    """``rows`` with their places 1, 2, ... in ``order``, which should leave no ties: a range exchange and the partitions'
+    offsets instead of a window that takes all rows into one task."""
+    return numbered(rows.orderBy(*order), rank_col, 0).select(*rows.columns, rank_col)
+
+
 def _with_ids(rows: DataFrame, group: str, id_col: str, after: dict) -> DataFrame:
     """Rows of one group must stand together within each partition."""
     spark = rows.sparkSession

@@ -16,6 +16,7 @@ partitions, unique for any number of partitions and without a global ordering.
 from __future__ import annotations
 
 import datetime as dt
+import operator
 import os
 from dataclasses import dataclass, field
 from functools import reduce
@@ -192,7 +193,8 @@ def _lookup_apart(facts: DataFrame, members: DataFrame, key: list[str], number:
     found = facts.dropna(subset=key).join(F.broadcast(frequent), key, "left")
     spread = 1 + F.pmod(F.xxhash64(F.spark_partition_id(), *facts.columns), F.lit(1 << 20))
     found = found.withColumn("_apart", F.when(F.col("_frequent").isNull(), F.lit(0).cast("long")).otherwise(spread))
-    every = members.select(*key, number, F.lit(0).cast("long").alias("_apart")).hint("shuffle_merge")
+    # Always 0, but no literal: the optimizer would make that a filter and shuffle by the natural key alone.
+    every = members.select(*key, number, F.least(F.col("n"), F.lit(0)).alias("_apart")).hint("shuffle_merge")
     both = found.join(every, [*key, "_apart"], "left").withColumn(number, F.coalesce("_frequent", number))
     return both.filter(F.col(number).isNotNull()).drop("_frequent", "_apart")
 
@@ -331,7 +333,7 @@ def semantic_between(wh: Warehouse, since: str | None = None, until: str | None
     Reads the facts of the years in between only, whatever the join of the dates turns out to be.
     """
     view = semantic_view(wh)
-    for day, inside in ((since, Column.__ge__), (until, Column.__le__)):
+    for day, inside in ((since, operator.ge), (until, operator.le)):
         if day is not None:
             date = dt.date.fromisoformat(day)
             view = view.filter(inside(F.col("fecha"), F.lit(date)) & inside(F.col("anio"), F.lit(date.year)))

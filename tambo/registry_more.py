@@ -73,6 +73,18 @@ def q_ingest_csv(spark, sf_dir):
     return type_survey(sheets[0].unionByName(sheets[1])).select(*SURVEY_OUT)
 
 
+@register("ingest_pad_cut")
+def q_ingest_pad_cut(spark, sf_dir):
+    """Rows without a wholesale unit end after nine columns, those without data have two columns too many."""
+    x = FIX.text_survey(spark, sf_dir)
+    text = [F.coalesce(F.col(c), F.lit("")) for c in S.SURVEY_COLUMNS]
+    line = F.when(F.col("unidad_may").isNull(), F.concat_ws(";", *text[:9])) \
+            .when(F.col("may_prom") == "S/D", F.concat_ws(";", *text, F.lit("de"), F.lit("mas"))).otherwise(F.concat_ws(";", *text))
+    path = scratch_path(spark, "survey-ragged")
+    x.select(line.alias("value")).write.text(path)
+    return type_survey(read_survey_csv(spark, path)).select(*SURVEY_OUT[:-1])
+
+
 @register("ingest_required")
 def q_ingest_required(spark, sf_dir):
     t = Q.require_fields(type_survey(FIX.text_survey(spark, sf_dir)))
@@ -295,6 +307,28 @@ def q_semantic_view(spark, sf_dir):
     return WH.semantic_sorted(WH.read(spark, root)).drop("id_precio")
 
 
+@register("semantic_between")
+def q_semantic_between(spark, sf_dir):
+    """A range of dates from the stored view, whose facts lie in a directory for each year."""
+    wh, _ = _warehouse(spark, sf_dir)
+    root = scratch_path(spark, "by_year")
+    WH.save(wh, root)
+    return WH.semantic_between(WH.read(spark, root), "1995-06-15", "1996-03-31").drop("id_precio")
+
+
+@register("source_choice")
+def q_source_choice(spark, sf_dir):
+    """The session's facts when it has any, else the stored view."""
+    wh, facts = _warehouse(spark, sf_dir)
+    root = scratch_path(spark, "source")
+    WH.save(wh, root)
+    sessions = {"con sesion": facts.filter(F.col("tipo_venta") == S.RETAIL), "sesion vacia": facts.filter(F.lit(False)), "sin sesion": None}
+    rows = [WH.choose_source(spark, root, session).groupBy("tipo_venta").agg(
+        F.count(F.lit(1)).alias("filas"), F.avg("precio_promedio").alias("precio_promedio")).withColumn("caso", F.lit(case))
+        for case, session in sessions.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), rows)
+
+
 @register("catalog_views")
 def q_catalog_views(spark, sf_dir):
     """L1, T5: the catalog created twice over a warehouse that was loaded twice; all six views read by name."""
@@ -641,6 +675,19 @@ def q_scale_history(spark, sf_dir):
     return B.read_sales_csv(spark, path)
 
 
+@register("scale_headers")
+def q_scale_headers(spark, sf_dir):
+    """The files of a sales history and of one without some columns, checked file by file."""
+    pairs = B.scale_pair_sales(_sales(spark, sf_dir), B.catalogue(spark))
+    whole, lacking = scratch_path(spark, "ventas_csv"), scratch_path(spark, "ventas_sin")
+    B.write_sales_csv(pairs, whole)
+    lines = spark.read.option("sep", ";").option("header", True).csv(whole)
+    lines.drop(*S.SALES_CSV_COLUMNS[4:6]).write.option("sep", ";").option("header", True).csv(lacking)
+    return functools.reduce(lambda a, b: a.unionByName(b), [
+        B.sales_csv_headers(spark, path).groupBy(F.array_join("faltantes", ", ").alias("faltantes")).agg(F.sum("filas").alias("filas"))
+         .withColumn("historial", F.lit(name)) for name, path in (("completo", whole), ("incompleto", lacking))])
+
+
 @register("scale_stream")
 def q_scale_stream(spark, sf_dir):
     """The sales arrive as two file batches, the second holding earlier sales of

@@ -1,6 +1,7 @@
 """CSV scan, title rows, column padding/cutting, separators, sheets."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,5 +124,9 @@ def test_sales_csv_header_check(spark, tmp_path):
     assert len(rows) == 1 and rows[0].may_prom == 1.6 and rows[0].min_prom is None
     bad = _write(tmp_path / "old.csv", "Fecha;Producto;Precio\n05/03/2024;Papa;1.6\n")
     assert "Productos" in B.sales_csv_missing_columns(spark, bad)
+    # Every file of a folder is checked by its own first line.
+    both = B.sales_csv_headers(spark, str(tmp_path)).collect()
+    assert {(os.path.basename(r.archivo), len(r.faltantes) > 0, r.filas) for r in both} == {("v.csv", False, 2), ("old.csv", True, 1)}
+    assert "Productos" in B.sales_csv_missing_columns(spark, str(tmp_path))
     with pytest.raises(ValueError):
         B.read_sales_csv(spark, bad)

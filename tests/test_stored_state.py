@@ -14,6 +14,7 @@ from tambo.plans import catalog as CAT
 from tambo.plans import manifest
 from tambo.plans import scale_store as SS
 from tambo.plans import warehouse as WH
+from tambo.plans.ordinal import ranked
 from tambo.sources import fixtures as FIX
 from tambo.sources.survey_csv import read_survey_csv
 from tambo.streaming.scale_stream import ScaleSalesSink, current_sales_table
@@ -82,6 +83,68 @@ def test_commits_are_compare_and_set(spark, tmp_path):
     assert manifest.commit(spark, root, 1, {"t": ["c"]}) == 2
 
 
+# ------------------------------------------------------------------ S6, P14, J2
+def test_a_range_of_dates_reads_its_years_only(spark, tmp_path, batch):
+    ok, facts = batch
+    root = str(tmp_path / "wh")
+    WH.load_into(spark, root, ok, facts)
+    WH.load_into(spark, root, ok, facts.limit(0), replace=False)                    # a load without facts adds no directory
+    names = manifest.state_of(spark, root, 2)["fact_precios"]
+    years = {r.y for r in facts.select(F.year("fecha").alias("y")).distinct().collect()}
+    assert len(years) > 2 and {n.split("/anio=")[1] for n in names} == {str(y) for y in years}
+    want = facts.filter("fecha between date'1995-06-15' and date'1995-10-01'").count()
+    for n in names:
+        if not n.endswith("anio=1995"):
+            for f in files_below(os.path.join(root, "fact_precios", n)):
+                if f.endswith(".parquet"):
+                    open(f, "wb").write(b"not to be read")
+    view = WH.semantic_between(WH.read(spark, root), "1995-06-15", "1995-10-01")
+    assert view.count() == want > 0
+    assert WH.semantic_view(WH.read(spark, root)).filter("anio = 1995").count() == facts.filter("year(fecha) = 1995").count()
+    # A condition on the date alone chooses the years when the query runs.
+    plan = WH.semantic_view(WH.read(spark, root)).filter("fecha = date'1995-06-20'")._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    with pytest.raises(Exception):
+        WH.semantic_between(WH.read(spark, root), "1995-06-15").count()
+    assert WH.semantic_between(WH.Warehouse(WH.empty_warehouse(spark).tables), until="1995-10-01").count() == 0
+
+
+def test_frequent_members_are_looked_up_apart(spark, batch):
+    _, facts = batch
+    hot = facts.withColumn("producto", F.when(F.col("precio_prom") % 1 < 0.4, F.lit("Papa")).otherwise(F.col("producto")))
+    copies = hot.filter(F.col("producto") == "Papa").limit(1).join(spark.range(2000)).drop("id")     # a group of equal rows
+    hot = hot.unionByName(copies).unionByName(hot.limit(3).withColumn("producto", F.lit(None).cast("string"))).repartition(8).cache()
+    wh = WH.load_dimensions(WH.empty_warehouse(spark), hot.filter("producto != 'Papa' or producto is null").unionByName(copies))
+    n = hot.filter(F.col("producto").isNotNull()).count()
+    assert hot.filter("producto = 'Papa'").count() > n / 3
+    key = ["producto", "fecha", "tipo_venta", "unidad", "precio_prom", "id_producto", "id_tiempo", "id_tipo_venta", "id_unidad"]
+    counted = lambda df: {tuple(r) for r in df.groupBy(*key).count().collect()}      # noqa: E731
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        ids = WH.member_keys(WH.batch_members(hot)).join(WH.stored_keys(wh.tables), WH.MEMBER_KEY).filter("tabla = 'dim_producto'")
+        members = ids.select(F.col("texto").alias("producto"), F.col("id").alias("id_producto"), "n")
+        apart = WH._lookup_apart(hot, members, ["producto"], "id_producto", n)
+        tasks = [r["count"] for r in apart.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == n and len(tasks) == 8 and max(tasks) < n / 4
+        assert "SortMergeJoin" in apart._jdf.queryExecution().executedPlan().toString()
+        split = counted(WH.dim_lookup(wh, hot, broadcast_bytes=0))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert split == counted(WH.dim_lookup(wh, hot))
+    assert WH.dim_lookup(wh, hot.limit(0), broadcast_bytes=0).count() == 0
+
+
+def test_ranks_over_many_partitions(spark):
+    rows = spark.range(500).select((F.col("id") % 40).cast("double").alias("v"), F.col("id").cast("string").alias("p")).repartition(60)
+    got = ranked(rows, [F.desc("v"), F.asc("p")], "n").collect()
+    assert [(r.v, r.p) for r in sorted(got, key=lambda r: r.n)] == sorted(((r.v, r.p) for r in got), key=lambda x: (-x[0], x[1]))
+    assert sorted(r.n for r in got) == list(range(1, 501))
+    assert ranked(rows.limit(0), [F.desc("v")], "n").columns == ["v", "p", "n"] and ranked(rows.limit(0), [F.desc("v")], "n").count() == 0
+
+
 # ------------------------------------------------------------------ L9
 def test_result_tables_are_swapped_together(spark, tmp_path, batch):
     root = str(tmp_path / "wh")
