@@ -60,6 +60,10 @@ def create_catalog(spark: SparkSession, root: str) -> str:
             spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({_spec(gone)})")
         for new in sorted(stored.keys() - listed):
             spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({_spec(new)}) LOCATION '{os.path.join(location, stored[new])}'")
+        if name in WH.DIM_SCHEMAS:
+            # Without a size a table counts as too large to broadcast: the views would shuffle all facts by each key in turn,
+            # by the channel's two values too.  Takes the files' sizes and reads no rows; a change of partitions drops it.
+            spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS NOSCAN")
         spark.catalog.refreshTable(table)
     for name, view in report_views(spark, database).items():
         view.createOrReplaceTempView(f"{database}_{name}")
