@@ -65,13 +65,15 @@ class Warehouse:
 
 
 def empty_warehouse(spark: SparkSession) -> Warehouse:
-    """Idempotent creation of the table set (L1) as empty frames."""
-    t = {n: spark.createDataFrame([], s) for n, s in DIM_SCHEMAS.items()}
-    t["fact_precios"] = spark.createDataFrame([], FACT_SCHEMA)
-    t["stg_precios_raw"] = spark.createDataFrame([], STG_SCHEMA)
-    t[SUMS] = spark.createDataFrame([], SUMS_SCHEMA)
-    t["fact_kpis"] = spark.createDataFrame([], KPI_SCHEMA)
-    return Warehouse(t)
+    """Idempotent creation of the table set (L1) as empty frames, which the optimizer knows to be empty."""
+    schemas = {**DIM_SCHEMAS, "fact_precios": FACT_SCHEMA, "stg_precios_raw": STG_SCHEMA, SUMS: SUMS_SCHEMA, "fact_kpis": KPI_SCHEMA}
+    none = F.lit(None).cast("string")
+
+    def empty(schema: str) -> DataFrame:
+        fields = StructType.fromDDL(schema).fields
+        return spark.range(1).filter(F.lit(False)).select(*[none.cast(f.dataType).alias(f.name) for f in fields])
+
+    return Warehouse({name: empty(schema) for name, schema in schemas.items()})
 
 
 # ------------------------------------------------------------------ get-or-create
@@ -292,16 +294,18 @@ def kpi_rows_of_table(facts: DataFrame) -> DataFrame:
 def load(wh: Warehouse, ok: DataFrame, facts: DataFrame, replace: bool = True, load_id: int | None = None) -> Warehouse:
     """Load a batch (L8): replace clears facts, KPIs and staging but keeps dimensions.
 
-    The batch is read twice: once by the grouping-sets aggregate that yields
-    every dimension member, once by the fact-row projection that looks the
-    surrogate keys up (checkpointed to be numbered).  KPIs are the batch's in
-    replace mode, the whole table's in append mode; either way they come from
-    the daily sums, to which an append adds its own: it reads no old facts.
+    The batch is read three times: by the grouping-sets aggregate that yields
+    every dimension member, by the fact-row projection that looks the surrogate
+    keys up (stored once to be numbered), and by the staging table; batches that
+    are costly to compute should be stored before (``session.stored_once``).
+    KPIs are the batch's in replace mode, the whole table's in append mode;
+    either way they come from the daily sums, taken once from the numbered facts,
+    to which an append adds its own: it reads no old facts.
     """
     w2, ids = _dimensions(wh, facts)
     t = dict(w2.tables)
     batch = {"fact_precios": fact_rows(w2, facts, ids), "stg_precios_raw": staging_rows(ok)}
-    batch[SUMS] = daily_sums(batch["fact_precios"])
+    batch[SUMS] = daily_sums(batch["fact_precios"]).checkpoint()
     t |= batch if replace else {n: wh[n].unionByName(df) for n, df in batch.items()}
     t["fact_kpis"] = kpi_rows(t[SUMS])
     return Warehouse(t, batch, load_id, wh.version)
