@@ -1,8 +1,9 @@
 """Consecutive ids for the rows of a frame, without a global window.
 
-The rows are fixed in their partitions by a checkpoint, so that recomputation
+The rows are stored once, each with its partition and place, so that recomputation
 after a lost executor cannot renumber them; a row's id is its partition's
-offset plus its place in the partition.  Only one count per partition (and
+offset plus its place in the partition.  The store is parquet: the count and
+all later readers take the columns they need.  Only one count per partition (and
 group) reaches the driver; the offsets are joined back as a frame of that size.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tambo.session import checkpoint_dir
+from tambo.session import stored_once
 
 
 def numbered(rows: DataFrame, id_col: str, after: int) -> DataFrame:
@@ -26,7 +27,7 @@ def numbered(rows: DataFrame, id_col: str, after: int) -> DataFrame:
 def numbered_within(rows: DataFrame, group: str, order: list[str], id_col: str, after: dict) -> DataFrame:
     """``rows`` with ids that run on within each value of ``group``, in ``order``, behind ``after`` of that value (or 0).
 
-    One sort and one checkpoint serve all groups.
+    One sort and one store serve all groups.
     """
     return _with_ids(rows.orderBy(group, *order), group, id_col, after).select(id_col, *rows.columns)
 
@@ -40,10 +41,9 @@ def ranked(rows: DataFrame, order: list[Column], rank_col: str) -> DataFrame:
 def _with_ids(rows: DataFrame, group: str, id_col: str, after: dict) -> DataFrame:
     """Rows of one group must stand together within each partition."""
     spark = rows.sparkSession
-    checkpoint_dir(spark)
-    fixed = rows.checkpoint(eager=True)
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    tagged = fixed.withColumns({"_pid": F.spark_partition_id(), "_at": place})
+    fixed = stored_once(rows.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    tagged = fixed.withColumns({"_pid": F.shiftright("_place", 33).cast("int"),
+                                "_at": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))})
     parts = tagged.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).collect()
     starts, given = [], dict(after)
     for r in sorted(parts, key=lambda r: r["_pid"]):

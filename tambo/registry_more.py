@@ -23,7 +23,7 @@ from tambo.plans import scale_store as SS
 from tambo.plans import warehouse as WH
 from tambo.plans.ordinal import numbered
 from tambo.registry import facts_normalised, facts_raw, register, semantic, validated
-from tambo.session import scratch_path
+from tambo.session import scratch_path, stored_once
 from tambo.sources import fixtures as FIX
 from tambo.sources.survey_csv import read_survey_csv, type_survey
 
@@ -291,10 +291,15 @@ def q_product_search(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ warehouse
+def _batch(spark, sf_dir):
+    """OK survey rows with the columns that a load reads, stored once, and their facts."""
+    ok = Q.ok_rows(validated(spark, sf_dir)).select(*S.SURVEY_COLUMNS, "hoja_origen", "precio_mayorista", "precio_minorista")
+    ok = stored_once(ok, "batch")
+    return ok, FX.unpivot_channels(ok, normalise=True)
+
+
 def _warehouse(spark, sf_dir):
-    v = validated(spark, sf_dir)
-    ok = Q.ok_rows(v)
-    f = FX.unpivot_channels(ok, normalise=True)
+    ok, f = _batch(spark, sf_dir)
     return WH.load(WH.empty_warehouse(spark), ok, f, replace=True), f
 
 
@@ -332,8 +337,7 @@ def q_source_choice(spark, sf_dir):
 @register("catalog_views")
 def q_catalog_views(spark, sf_dir):
     """L1, T5: the catalog created twice over a warehouse that was loaded twice; all six views read by name."""
-    ok = Q.ok_rows(validated(spark, sf_dir))
-    facts = FX.unpivot_channels(ok, normalise=True)
+    ok, facts = _batch(spark, sf_dir)
     root = scratch_path(spark, "catalog")
     WH.load_into(spark, root, ok, facts.filter(F.col("tipo_venta") == S.RETAIL))
     CAT.create_catalog(spark, root)
@@ -361,8 +365,7 @@ def q_catalog_views(spark, sf_dir):
 @register("kpi_incremental")
 def q_kpi_incremental(spark, sf_dir):
     """A3, A10 kept by increments: facts appended in three loads, then KPIs and daily means read from the stored sums."""
-    ok = Q.ok_rows(validated(spark, sf_dir))
-    facts = FX.unpivot_channels(ok, normalise=True)
+    ok, facts = _batch(spark, sf_dir)
     root = scratch_path(spark, "increments")
     part = F.when(F.year("fecha") < 1996, 0).when(F.year("fecha") < 1998, 1).otherwise(2)
     for n in range(3):

@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -54,3 +54,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub folder of the checkpoint folder (never reused, never cleared)."""
     return os.path.join(checkpoint_dir(spark).rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def stored_once(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, computed once, written as parquet to a fresh scratch folder and read back.
+
+    For rows that several jobs read: each reads its own columns of fixed, splittable files instead of computing all rows again.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

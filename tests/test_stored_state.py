@@ -14,7 +14,8 @@ from tambo.plans import catalog as CAT
 from tambo.plans import manifest
 from tambo.plans import scale_store as SS
 from tambo.plans import warehouse as WH
-from tambo.plans.ordinal import ranked
+from tambo.plans.ordinal import numbered, ranked
+from tambo.registry_more import _batch
 from tambo.sources import fixtures as FIX
 from tambo.sources.survey_csv import read_survey_csv
 from tambo.streaming.scale_stream import ScaleSalesSink, current_sales_table
@@ -272,3 +273,48 @@ def test_appends_read_no_old_facts_and_keep_kpis(spark):
     again = WH.semantic_as_double(WH.semantic_view(WH.Warehouse({**second.tables, "fact_precios": whole})))
     want = again.groupBy("producto", "fecha", "tipo_venta").agg(F.avg("precio_promedio").alias("p")).collect()
     assert len(want) == len(daily) and all(abs(daily[r.producto, r.fecha, r.tipo_venta] - r.p) < 1e-9 for r in want)
+
+
+# ------------------------------------------------------------------ plans at size
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_views_by_name_broadcast_the_dimensions(spark, tmp_path, batch):
+    """Without sizes of the tables all facts went through one shuffle a dimension, by the channel's two values too."""
+    root = str(tmp_path / "wh")
+    WH.load_into(spark, root, *batch)
+    CAT.create_catalog(spark, root)
+    WH.load_into(spark, root, *batch)
+    name = CAT.create_catalog(spark, root)
+    plan = executed(spark.table(f"{name}_vw_capa_semantica_bi"))
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 6
+    assert spark.table(f"{name}_vw_capa_semantica_bi").count() == batch[1].count()
+
+
+def test_a_load_takes_its_daily_sums_once(spark, batch):
+    sums = WH.load(WH.empty_warehouse(spark), *batch)[WH.SUMS]
+    plan = executed(sums)
+    assert "Aggregate" not in plan and "BroadcastHashJoin" not in plan
+    assert sums.agg(F.sum("n_prom")).first()[0] == batch[1].count()
+
+
+def test_empty_warehouse_has_no_tasks(spark):
+    for table in WH.empty_warehouse(spark).tables.values():
+        assert table.rdd.getNumPartitions() == 0 or "LocalTableScan <empty>" in executed(table)
+        assert table.count() == 0
+
+
+def test_loads_read_a_batch_stored_once(spark):
+    ok, facts = _batch(spark, SF_SMALL)
+    for df in (ok, facts):
+        assert "Join" not in executed(df) and "FileScan parquet" in executed(df)
+    want = Q.ok_rows(Q.validate(FIX.wide_survey(spark, SF_SMALL)))
+    assert sorted(map(str, ok.collect())) == sorted(map(str, want.select(*ok.columns).collect()))
+
+
+def test_numbered_rows_are_read_by_column(spark):
+    rows = spark.range(1000).selectExpr("id as x", "cast(id as string) as y").repartition(7)
+    found = numbered(rows, "n", 5)
+    assert "FileScan parquet [x" in executed(found.select("x", "n")) and "y#" not in executed(found.select("x", "n"))
+    assert sorted(r.n for r in found.collect()) == list(range(6, 1006)) and found.collect() == found.collect()
