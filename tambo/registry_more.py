@@ -63,9 +63,8 @@ def q_ingest_csv(spark, sf_dir):
     for sheet, sep in (("O", ";"), ("F", ",")):                         # line statuses are O or F
         path = scratch_path(spark, f"survey-{sheet}")
         rows = x.filter(F.col("hoja_origen") == sheet).select(*S.SURVEY_COLUMNS)
-        (rows.repartition(spark.sparkContext.defaultParallelism)
-             .write.option("sep", sep).option("header", "true")
-             .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+        (rows.write.option("sep", sep).option("header", "true")
+         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
         # A sheet of notes, without a dated row, is passed over.
         x.filter("false").select(F.lit("").alias("value")).unionByName(
             spark.createDataFrame([("Notas;sin fecha",)], "value string")).coalesce(1).write.mode("append").text(path)

@@ -15,7 +15,7 @@ import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tambo import schemas as S
@@ -29,6 +29,15 @@ def _plain(uri: str) -> str:
     return re.sub(r"^file:/+", "/", unquote(uri))
 
 
+def dated_under(sep: str) -> Column:
+    """Whether a line (``value``) begins with a day-first date and has a second field under ``sep``.
+
+    Cuts the first field out of lines that hold the separator; no line is split into all its fields.
+    """
+    first = F.trim(F.translate(F.substring_index("value", sep, 1), '"', ""))
+    return F.contains("value", F.lit(sep)) & parse_day_first_date(first).isNotNull()
+
+
 def sniff_separators(spark: SparkSession, paths: Sequence[str], undated: str = "skip") -> dict[str, str]:
     """Separator of each file (S2): the one under which most of its lines, over the whole file, begin with a
     day-first date and have a second field; ties go to the first candidate.
@@ -41,8 +50,7 @@ def sniff_separators(spark: SparkSession, paths: Sequence[str], undated: str = "
     lines = spark.read.text(list(paths))
     files = lines.inputFiles()
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\uFEFF", "").alias("value"))
-    fields = [F.split("value", "\\t" if sep == "\t" else f"[{sep}]") for sep in SEPARATORS]
-    dated = [(F.size(f) > 1) & parse_day_first_date(F.trim(F.translate(f[0], '"', ""))).isNotNull() for f in fields]
+    dated = [dated_under(sep) for sep in SEPARATORS]
     counts = lines.groupBy("file").agg(*[F.count_if(d).alias(f"c{i}") for i, d in enumerate(dated)]).collect()   # one row per file
     found = {}
     for r in counts:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tambo.operators import quality as Q
-from tambo.sources.survey_csv import read_survey_csv, sniff_separators, type_survey
+from tambo.sources.survey_csv import SEPARATORS, dated_under, read_survey_csv, sniff_separators, type_survey
 
 
 def _write(path, text, bom=False):
@@ -130,3 +130,12 @@ def test_sales_csv_header_check(spark, tmp_path):
     assert "Productos" in B.sales_csv_missing_columns(spark, str(tmp_path))
     with pytest.raises(ValueError):
         B.read_sales_csv(spark, bad)
+
+
+def test_separators_are_told_by_the_first_field(spark):
+    lines = ["05/03/2024;Papa", "05/03/2024", '"05/03/2024" ,x', "05/03/2024\tx;y", ";05/03/2024", "x;05/03/2024", " 5/3/2024 ;", "2024-03-05,1;2", ""]
+    rows = spark.createDataFrame([(v,) for v in lines], "value string").select(*[dated_under(sep).alias(f"c{i}") for i, sep in enumerate(SEPARATORS)])
+    assert [tuple(r) for r in rows.collect()] == [
+        (True, False, False), (False, False, False), (False, True, False), (False, False, True), (False, False, False),
+        (False, False, False), (True, False, False), (False, True, False), (False, False, False)]
+    assert "split(" not in rows._jdf.queryExecution().executedPlan().toString()
