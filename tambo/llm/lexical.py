@@ -46,7 +46,7 @@ BLOCK_BYTES = 1 << 20
 #: One document in so many gives the first thresholds.
 SEED = 64
 #: Cells (documents x terms, items x terms) of the arrays that a task holds for a block of documents and a group of items.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: Members of a leaf, and children of a node above, in both trees.
 LEAF, FAN = 8, 4
 #: Beyond this sum float64 products would not be whole numbers any more.
