@@ -319,9 +319,10 @@ def semantic_view(wh: Warehouse) -> DataFrame:
     years read when the query is planned, one on its ``fecha`` when it runs (through the dates that are left).
     """
     f = wh["fact_precios"]
+    # Days are bounded by the calendar; their size after two joins is guessed so large that all facts would be shuffled by day.
     t = wh["dim_tiempo"].join(wh["dim_mes"], "id_mes").join(wh["dim_anio"], "id_anio")
     return (f.join(wh["dim_producto"], "id_producto")
-             .join(t, ["id_tiempo", "anio"])
+             .join(F.broadcast(t), ["id_tiempo", "anio"])
              .join(wh["dim_unidad"].drop("id_tipo_venta"), "id_unidad")
              .join(wh["dim_tipo_venta"], "id_tipo_venta")
              .select("id_precio", "producto", "fecha", "dia", "mes", "nombre_mes", "anio", "unidad",
