@@ -246,3 +246,19 @@ def test_toxicity_held_out_accuracy(spark):
     right = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
     assert right[1, 1] / (right[1, 1] + right.get((1, 0), 0)) > 0.9
     assert right[0, 0] / (right[0, 0] + right.get((0, 1), 0)) > 0.99
+
+
+def test_arrays_of_a_search_task_are_bounded():
+    import tracemalloc
+
+    make = np.random.default_rng(1)
+    items = [(np.sort(make.choice(4000, 40, replace=False)), np.full(40, 5000)) for _ in range(200)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(2200)), pa.array([60] * 2200),
+                                       pa.array([make.choice(4000, 30, replace=False) for _ in range(2200)], pa.list_(pa.int32())),
+                                       pa.array([[1] * 30] * 2200, pa.list_(pa.int32()))], ["doc", "n", "terms", "tfs"])
+    task = lexical.search_task(items, 4000, 2200, 2200 * 60, np.zeros(200, np.int64), 10)
+    tracemalloc.start()
+    found = sum(b.num_rows for b in task(iter([docs])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 2000 and peak < 64_000_000
